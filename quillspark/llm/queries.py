@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .decontaminate import scan_contamination
 from .embedding_dedup import embedding_links
+from .line_dedup import remove_fuzzy_lines
 from .mixing import mix_copies, word_count
+from .packing import pack_tokens
 from .quality import score_quality
 from .sharding import shard_by_bytes
 from .simhash import simhash_classes
@@ -49,6 +51,16 @@ def op5_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("__id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
 
 
+def op6_pack_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in packed rows of 2048."""
+    return pack_tokens(_read(spark, sf_dir, "documents"))
+
+
+def op7_lines_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line or nearly."""
+    return remove_fuzzy_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 #: Rules of the URL query: fixed values.
 URL_RULES = [
     UrlRule("org", "/", "allow"),
@@ -85,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, folder of tables)."""
-    listed = [op1_shard_kk, op2_embedding_hnsw, op3_simhash_gray, op4_quality_ri, op5_mix_pivotal, op8_url_bloom, op9_substring_seeds, op10_decontaminate_ac, pipeline]
+    listed = [op1_shard_kk, op2_embedding_hnsw, op3_simhash_gray, op4_quality_ri, op5_mix_pivotal, op6_pack_bfd, op7_lines_minhash, op8_url_bloom, op9_substring_seeds, op10_decontaminate_ac, pipeline]
     return {f.__name__: f for f in listed}
 
 
