@@ -1,0 +1,403 @@
+"""Each operator against brute force on small tables, and on odd and empty ones."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from quillspark.llm import decontaminate, embedding_dedup, line_dedup, mixing, packing, quality, sharding, simhash, substring, url_filter
+from quillspark.llm.components import components
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def test_components(spark):
+    draw = random.Random(3)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(None, 5), (7, None), (9, 9)]
+    label = {n: n for e in edges for n in e if None not in e and e[0] != e[1]}
+    for _ in range(80):
+        for a, b in edges:
+            if a in label and b in label and a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == label
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- op1
+
+
+def test_differencing_is_tight():
+    draw = np.random.default_rng(1)
+    sizes = draw.integers(1, 1000, 3000)
+    parts = np.zeros((3000, 7), np.int64)
+    parts[:, 0] = sizes
+    place, _ = sharding.difference(parts)
+    sums = np.bincount(place[:, 0], sizes, 7)
+    assert sums.max() - sums.min() <= 2
+
+
+def test_shards(docs, odd, none):
+    rows = sharding.shard_by_bytes(docs, 8).collect()
+    assert len(rows) == docs.count()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    by, bytes_, homes = defaultdict(list), Counter(), defaultdict(set)
+    for r in rows:
+        assert r["size"] == len(texts[r["doc_id"]].encode()) + 16
+        by[r["shard"]].append(r["slot"])
+        bytes_[r["shard"]] += r["size"]
+        homes[texts[r["doc_id"]]].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert all(len(h) == 1 for h in homes.values())
+    assert max(bytes_.values()) - min(bytes_.values()) < 0.1 * sum(bytes_.values()) / 8
+    again = sharding.shard_by_bytes(docs.repartition(7), 8).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
+    placed = sharding.shard_documents(odd, 3)
+    assert placed.count() == odd.count() and set(placed.columns) == {*odd.columns, "slot"}
+    assert sharding.shard_by_bytes(none).count() == 0
+
+
+def test_a_heavy_group_is_cut(spark):
+    rows = spark.createDataFrame([(i, "same text here" if i % 3 else f"text {i}") for i in range(600)], "doc_id long, text string")
+    sums = Counter()
+    for r in sharding.shard_by_bytes(rows, 10).collect():
+        sums[r["shard"]] += r["size"]
+    assert len(sums) == 10 and max(sums.values()) < 1.2 * min(sums.values())
+
+
+# --- op2
+
+
+def test_embedding_links(spark):
+    draw = np.random.default_rng(5)
+    base = draw.normal(size=(300, 16))
+    near = np.concatenate([base, base[:60] + draw.normal(0, 0.08, (60, 16)), base[:40] * 2, np.repeat(base[:1], 30, 0)])
+    rows = [(i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(near)]
+    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, []), (905, [1.0] * 8), (906, [2.0] * 8), (None, [1.0] * 4)]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_links(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")).collect()}
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    link = (v @ v.T >= 0.95) & ~np.eye(len(v), dtype=bool)
+    label = np.arange(len(v))
+    for _ in range(len(v)):
+        label = np.minimum(label, np.where(link, label[None, :], len(v)).min(1))
+    assert [got[i]["n_links"] for i in range(len(v))] == link.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(v))] == label.tolist()
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
+    assert got[906]["component_id"] == 905 and got[905]["n_links"] == 1
+    assert embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_graph_recall():
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(3000, 32)).astype(np.float32)
+    x = np.concatenate([x, x[:500] + draw.normal(0, 0.05, (500, 32)).astype(np.float32)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = embedding_dedup.audited_links(embedding_dedup.Graph(x), x, 0.95)
+    truth = np.argwhere(x @ x.T >= 0.95 - 1e-4)
+    assert len(set(zip(a.tolist(), b.tolist())) & set(map(tuple, truth.tolist()))) >= 0.99 * len(truth)
+
+
+# --- op3
+
+
+def _simhash(text):
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _classes(rows):
+    label = [r[0] if r[0] is not None else 10**9 + k for k, r in enumerate(rows)]
+    codes = [_simhash(r[1]) for r in rows]
+    for _ in rows:
+        old = list(label)
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (codes[i] ^ codes[j]).bit_count() <= 4:
+                    label[i] = label[j] = min(label[i], label[j])
+        if old == label:
+            return codes, label
+
+
+def test_simhash(spark, docs, odd, none):
+    for table in (docs, odd):
+        rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+        codes, label = _classes(rows)
+        got = Counter((r["__id"], r["__fp"] % 2**64, r["component_id"]) for r in simhash.simhash_classes(table).collect())
+        assert got == Counter((r[0], c, l if l < 10**9 else None) for r, c, l in zip(rows, codes, label))
+    assert simhash.simhash_classes(none).count() == 0 == simhash.drop_near_copies(none).count()
+    kept = simhash.drop_near_copies(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == len(set(_classes([(r["doc_id"], r["text"]) for r in odd.collect()])[1]))
+
+
+@pytest.mark.parametrize("limit", [8192, 40])
+def test_near_codes_links_all_pairs(spark, limit):
+    draw = random.Random(7)
+    codes = {draw.getrandbits(64) for _ in range(300)}
+    for c in list(codes)[:60]:
+        for _ in range(6):
+            for b in draw.sample(range(64), draw.randint(1, 5)):
+                c ^= 1 << b
+            codes.add(c)
+    codes |= {(5 << 40) + k for k in range(300)}  # one masked pattern holds very many
+    codes = sorted(codes)
+    table = spark.createDataFrame([(c - 2**64 if c >> 63 else c,) for c in codes], "fp long")
+    roots = {r["node"] % 2**64: r["root"] for r in components(simhash.near_codes(table, limit=limit)).collect()}
+    x = np.array(codes, np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(x)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    for i in range(len(x)):
+        assert (codes[i] in roots) == (near[i].sum() > 1)
+    groups, mine = defaultdict(set), defaultdict(set)
+    for i, c in enumerate(codes):
+        groups[label[i]].add(c)
+        mine[roots.get(c, ("alone", c))].add(c)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+# --- op4
+
+
+def test_quality(spark, odd, none):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, labels).collect()}
+    held = [(got[r["doc_id"]], r["quality"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert np.mean([g["predicted"] == q for g, q in held]) > 0.95
+    assert all(0 <= g["score"] <= 1 for g, _ in held)
+    scored = quality.score_quality(odd, labels.limit(0))
+    assert scored.count() == odd.count() and {r["score"] for r in scored.collect()} == {0.5}
+    assert set(scored.columns) == {*odd.columns, "held_out", "predicted"}
+    assert quality.score_quality(none, labels).count() == 0
+
+
+def test_temperature_and_network():
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(2000, 8))
+    p = 1 / (1 + np.exp(-2 * x[:, 0]))
+    net = quality.fit_network(x, (draw.random(2000) < p).astype(int))
+    assert np.abs(net.score(x) - p).mean() < 0.08
+
+
+# --- op5
+
+
+def test_pivot_keeps_words():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        size, mass = draw.integers(1, 500, 80).astype(float), draw.random(80)
+        out, left = mixing.pivot(mass, size, draw.random(80))
+        assert abs((out * size).sum() - (mass * size).sum()) < 1e-5 * size.sum()
+        assert all(v in (0, 1) for k, v in enumerate(out) if k != left)
+
+
+def test_mix(spark, docs, odd, none):
+    plan = mixing.mix_copies(docs).collect()
+    size, target, taken, largest = Counter(), {}, Counter(), Counter()
+    for r in plan:
+        size[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+        taken[r["source"]] += r["copies"] * r["size"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+        assert 0 <= r["copies"] <= 2
+    order = sorted(size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want, free, budget = {}, set(order), 1.5 * sum(size.values())
+    while True:
+        left = budget - sum(2 * size[s] for s in order if s not in free)
+        want = {s: left * weight[s] / sum(weight[t] for t in free) for s in free}
+        over = {s for s in free if want[s] > 2 * size[s]}
+        if not over:
+            break
+        free -= over
+    for s in order:
+        assert target[s] == pytest.approx(want.get(s, 2 * size[s]))
+        assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6
+    assert sorted(map(repr, plan)) == sorted(map(repr, mixing.mix_copies(docs.repartition(5)).collect()))
+    mixed = mixing.mix_documents(odd)
+    assert mixed.columns == odd.columns
+    assert mixed.count() == sum(r["copies"] for r in mixing.mix_copies(odd).collect())
+    assert mixing.mix_documents(none).count() == 0
+
+
+# --- op6
+
+
+def test_packing_round_trip(docs, odd, none):
+    encode = packing.load_tokenizer("x.tiktoken", open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb").read())
+    for table in (docs, odd):
+        got = defaultdict(list)
+        for r in packing.pack_tokens(table, length=300).collect():
+            ids, at = np.frombuffer(r["input_ids"], "<u2"), np.frombuffer(r["position_ids"], "<u2")
+            assert len(ids) == 300 and r["cu_seqlens"][-1] == r["n_tokens"]
+            for k, d in enumerate(r["doc_ids"]):
+                a, b = r["cu_seqlens"][k : k + 2]
+                assert at[a:b].tolist() == list(range(b - a))
+                got[d].append((r["doc_starts"][k], ids[a:b].tolist()))
+        want = Counter(t for r in table.collect() if r["text"] for t in encode([r["text"]])[0] + [50256])
+        assert Counter(t for parts in got.values() for _, p in parts for t in p) == want
+        if table is docs:
+            for r in docs.collect():
+                assert [t for _, p in sorted(got[r["doc_id"]]) for t in p] == encode([r["text"]])[0] + [50256]
+    assert packing.pack_tokens(none).count() == 0
+
+
+def test_best_fit_is_best():
+    draw = random.Random(4)
+    for _ in range(100):
+        length = draw.randint(1, 40)
+        sizes = np.array([draw.randint(1, length) for _ in range(draw.randint(1, 60))])
+        bins = packing.best_fit_decreasing(sizes, length)
+        left = []
+        for i in np.argsort(-sizes, kind="stable"):
+            fits = [(c, k) for k, c in enumerate(left) if c >= sizes[i]]
+            if fits:
+                left[min(fits)[1]] -= sizes[i]
+            else:
+                left.append(length - sizes[i])
+        assert sorted(left) == sorted(length - sizes[b].sum() for b in bins)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+
+
+# --- op7
+
+
+def test_fuzzy_lines(spark, docs, odd, none):
+    got = {r["doc_id"]: r for r in line_dedup.remove_fuzzy_lines(docs, texts=True).collect()}
+    rows = sorted((r["doc_id"], line_dedup._lines(r["text"])) for r in docs.collect())
+    first, names = {}, []
+    for d, lines in rows:
+        for n, x in enumerate(lines):
+            if x and x not in first:
+                first[x] = (d, n)
+                names.append(x)
+    sets = [set(line_dedup.line_set(x).tolist()) for x in names]
+    label = list(range(len(names)))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(20):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    head, at = {}, {x: k for k, x in enumerate(names)}
+    for k, x in enumerate(names):
+        head[label[k]] = min(head.get(label[k], first[x]), first[x])
+    for d, lines in rows:
+        assert got[d]["removed_lines"] == [n for n, x in enumerate(lines) if x and head[label[at[x]]] != (d, n)]
+    assert line_dedup.remove_fuzzy_lines(odd).count() == odd.count()
+    assert line_dedup.remove_fuzzy_lines(none).count() == 0
+
+
+def test_buckets_are_compared_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BUCKET", 3)
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    lines = [" ".join(words[:30] + [words[30 + k % 5] * 2, str(k) * 3]) for k in range(25)]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    gone = sum(r["n_removed"] for r in line_dedup.remove_fuzzy_lines(table).collect())
+    assert gone == 24
+
+
+# --- op8
+
+
+def test_url_rules(spark):
+    rules = [url_filter.UrlRule("org", "/", "allow"), url_filter.UrlRule("example.org", "/en/1", "block"), url_filter.UrlRule("a.b", "/cd", "block"), url_filter.UrlRule("b", "/cdxx", "allow")]
+    urls = ["http://Example.ORG/en/1?x", "https://x.example.org/en/12#y", "https://notexample.org/en/1", "http://org", "no scheme/en/1", None, "", "http://a.b/cdxx", "ftp://u@x.org:80/p", "http://ÄÖ.org/É", "http://example.org/en/1"]
+    table = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls + urls[:1])], "page_id long, url string, host string")
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.apply_url_rules(table, url_filter.rules_table(spark, rules)).orderBy("page_id").collect()]
+    assert got[0][1:] == ("example.org", "/en/1", "example.org/en/1", "block") == got[11][1:]
+    assert got[1][1:] == ("x.example.org", "/en/12", "example.org/en/1", "block")
+    assert got[2][3:] == ("org/", "allow") and got[3][1:] == ("org", "", None, "allow")
+    assert all(g[1:] == ("", "", None, "allow") for g in got[4:7])
+    assert got[7][3:] == ("a.b/cd", "block") and got[8][1] == "u@x.org:80" and got[9][1:3] == ("ÄÖ.org", "/É")
+    assert url_filter.apply_url_rules(table, url_filter.rules_table(spark, []), otherwise="block").filter("verdict = 'block'").count() == 12
+    assert url_filter.apply_url_rules(table.limit(0), url_filter.rules_table(spark, rules)).count() == 0
+
+
+def test_url_plan_has_no_python(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    plan = url_filter.apply_url_rules(pages, url_filter.rules_table(spark, [url_filter.UrlRule("org", "/", "allow")]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# --- op9
+
+
+def _substring(rows, window=20):
+    first, out = {}, {}
+    for d, h, words in sorted(rows, key=lambda r: (r[0] is not None, r[0], str(r[1]))):
+        for p in range(len(words) - window + 1):
+            gram = tuple(words[p : p + window])
+            first[gram] = min(first.get(gram, ((True, 10**9), 0)), ((d is not None, d or 0), p))
+    for d, h, words in rows:
+        gone = set()
+        for p in range(len(words) - window + 1):
+            if first[tuple(words[p : p + window])] != ((d is not None, d or 0), p):
+                gone.update(range(p, p + window))
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+        out[d, h] = (len(words), len(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_substring(docs, odd, none):
+    for table in (docs, odd):
+        rows = [(r["doc_id"], r["text"], (r["text"] or "").encode().split()) for r in table.collect()]
+        want = Counter((d, *_substring(rows)[d, h]) for d, h, _ in rows)
+        got = substring.remove_repeats(table, texts=True).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+        for r in got:
+            assert sum(x["end"] - x["start"] for x in r["repeats"]) == r["n_removed"]
+    assert substring.remove_repeats(none).count() == 0
+
+
+def test_repeated_words(spark):
+    rows = [(1, "for " * 50), (2, "for " * 19), (3, "a b c d e f g h i j " * 7), (4, "x " + "for " * 21)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(table).collect()}
+    want = _substring([(d, d, t.encode().split()) for d, t in rows])
+    assert got == {d: want[d, d] for d, _ in rows}
+
+
+# --- op10
+
+
+def test_contamination(spark, docs, odd, none, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = [(r["item_id"], r["text"]) for r in bench.collect()] + [(90, "short item"), (91, None), (92, "..."), (90, "short item")]
+    docs = docs.union(spark.createDataFrame([(9001, "A SHORT--item, short item!", "en", "s", 26), (9002, "ashort item shortitem", "en", "s", 21)], docs.schema))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    cut = lambda t: (t or "").encode().translate(decontaminate._CLEAN).split()
+    windows = {(tuple(w[p : p + 10]), i) for i, t in items for w in [cut(t)] for p in range(max(1, len(w) - 9)) if w}
+    by = defaultdict(set)
+    for w, i in windows:
+        by[w].add(str(i))
+    for limit in (decontaminate.AUTOMATON_BYTES, 2000):
+        monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", limit)
+        for r in decontaminate.scan_contamination(docs, table).collect():
+            words, hit, ids = cut(r["text"]), set(), set()
+            for n in {len(w) for w in by}:
+                for p in range(len(words) - n + 1):
+                    if found := by.get(tuple(words[p : p + n])):
+                        hit.update(range(p, p + n))
+                        ids |= found
+            assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(words), len(hit), len(ids), bool(hit))
+            assert r["items_sha256"] == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+            raw = r["text"].encode()
+            assert sum(len(cut(raw[s["start"] : s["end"]].decode())) for s in r["hit_spans"]) == len(hit)
+    assert decontaminate.scan_contamination(odd, table).count() == odd.count()
+    assert decontaminate.scan_contamination(odd, table.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.scan_contamination(none, table).count() == 0
