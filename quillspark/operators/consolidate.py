@@ -73,6 +73,16 @@ def similar_pairs(new: DataFrame, old: DataFrame, low: float, high: float, digit
     return o.join(F.broadcast(n), F.col("new_id") != F.col("old_id")).select("new_id", "old_id", sim.alias("sim")).filter((F.col("sim") >= low) & (F.col("sim") < high))
 
 
+def other_lineage(pairs: DataFrame, memories: DataFrame, parent: str = "extracted_from") -> DataFrame:
+    """Pairs without those of a claim with its parent, or of two claims of one parent; all where no parent is known."""
+    if parent not in memories.columns:
+        return pairs
+    n = memories.select(F.col("id").alias("new_id"), F.col(parent).alias("__np"))
+    o = memories.select(F.col("id").alias("old_id"), F.col(parent).alias("__op"))
+    kin = (F.col("__np") == F.col("old_id")) | (F.col("__op") == F.col("new_id")) | (F.col("__np") == F.col("__op"))
+    return pairs.join(n, "new_id").join(o, "old_id").filter(~F.coalesce(kin, F.lit(False))).drop("__np", "__op")
+
+
 def digit_words(text: Column) -> Column:
     """Sorted distinct words with a digit in them."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(DIGIT_WORD), F.lit(0))))
@@ -104,7 +114,7 @@ def supersessions(pairs: DataFrame, memories: DataFrame, low: float = SUPERSEDE_
     marker = F.lit(False)
     for m in REVISION_MARKERS:
         marker |= text.contains(m)
-    rows = _both(pairs.filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["content", "status", "occurred_at", "tags"])
+    rows = _both(other_lineage(pairs, memories).filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["content", "status", "occurred_at", "tags"])
     rows = rows.filter((F.col("o_status") == "active") & (F.length("o_content") <= DOCUMENT_CHARS) & (F.col("o_occurred_at") < F.col("n_occurred_at")))
     shared = F.arrays_overlap(F.col("n_tags"), F.col("o_tags"))
     value = 0.35 + 0.45 * (F.col("sim") - low) / (high - low) + F.when(marker, 0.15).otherwise(0.0) + F.when(negated(F.col("n_content")), 0.05).otherwise(0.0) + F.when(shared, 0.05).otherwise(0.0)
@@ -133,7 +143,7 @@ def figure_conflict(a: Column, b: Column) -> Column:
 
 def contradictions(pairs: DataFrame, memories: DataFrame, low: float = CONTRADICT_LOW, high: float = DUPLICATE, digits: int = 6) -> DataFrame:
     """(left_id, right_id, sim, polarity, figures, confidence) of pairs with a sign of disagreement."""
-    rows = _both(pairs.filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["content", "status"]).filter("o_status = 'active'")
+    rows = _both(other_lineage(pairs, memories).filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["content", "status"]).filter("o_status = 'active'")
     rows = rows.withColumns({"polarity": polarity_conflict(F.col("n_content"), F.col("o_content")), "figures": figure_conflict(F.col("n_content"), F.col("o_content"))}).filter("polarity or figures")
     value = F.least(0.45 + 0.2 * (F.col("sim") - low) / (high - low), F.lit(0.95))
     value = F.when(F.col("polarity") & F.col("figures"), F.least(value + 0.2, F.lit(0.95))).otherwise(value)
@@ -142,7 +152,7 @@ def contradictions(pairs: DataFrame, memories: DataFrame, low: float = CONTRADIC
 
 def unexplained(pairs: DataFrame, memories: DataFrame, low: float = CONTRADICT_LOW, high: float = DUPLICATE) -> DataFrame:
     """(new_id, old_id, sim) of pairs in the band without such a sign, for an adjudicator."""
-    rows = _both(pairs.filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["content", "status"]).filter("o_status = 'active'")
+    rows = _both(other_lineage(pairs, memories).filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["content", "status"]).filter("o_status = 'active'")
     return rows.filter(~(polarity_conflict(F.col("n_content"), F.col("o_content")) | figure_conflict(F.col("n_content"), F.col("o_content")))).select("new_id", "old_id", "sim")
 
 
@@ -151,7 +161,7 @@ def associations(pairs: DataFrame, memories: DataFrame, entities: DataFrame | No
 
     ``entities`` is (id, entities array); without it only tags count.
     """
-    rows = _both(pairs.filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["status", "tags"]).filter("o_status = 'active'")
+    rows = _both(other_lineage(pairs, memories).filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["status", "tags"]).filter("o_status = 'active'")
     if entities is not None:
         rows = rows.join(entities.select(F.col("id").alias("new_id"), F.col("entities").alias("n_e")), "new_id", "left").join(entities.select(F.col("id").alias("old_id"), F.col("entities").alias("o_e")), "old_id", "left")
         common = F.coalesce(F.size(F.array_intersect("n_e", "o_e")), F.lit(0))

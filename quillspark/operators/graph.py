@@ -143,3 +143,44 @@ def neighbourhood(edges: DataFrame, node: object, most: int = 20) -> DataFrame:
     w = Window.partitionBy("direction", "type").orderBy("created_at", "id")
     some = out.union(into).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
     return some.groupBy("direction", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def link(memories: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, edges) after adding edges, with what follows from them.
+
+    The targets of new supersessions become superseded and what is derived from them stale, each with its version
+    counted up; a contradiction is added both ways; edges that exist stay as they are.
+    """
+    old = new.filter("type = 'supersedes'").select(F.col("target_id").alias("id")).distinct()
+    after = add_edges(edges, new)
+    stale = stale_after(memories, after, old).withColumn("__to", F.lit("stale"))
+    hit = old.withColumn("__to", F.lit("superseded"))
+    change = hit.unionByName(stale.join(hit.select("id"), "id", "left_anti"))
+    moved = memories.join(change, "id", "left").withColumn("version", F.col("version") + F.col("__to").isNotNull().cast("int"))
+    return moved.withColumn("status", F.coalesce("__to", "status")).select(memories.columns), after
+
+
+def topological(closure: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, nodes): a root's bounded dependency closure (root, node, depth), what is needed before what needs it."""
+    import pandas as pd
+
+    need = edges.filter("type in ('depends_on', 'derived_from')").select(F.col("source_id").alias("node"), F.col("target_id").alias("needs"))
+    own = closure.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    rows = closure.select("root", "node", "depth").union(own).join(need, "node", "left")
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        inside = set(pdf["node"])
+        first = pdf.drop_duplicates("node").set_index("node")["depth"]
+        needs = {n: sorted({x for x in g["needs"].dropna() if x in inside}, key=lambda x: (first[x], x)) for n, g in pdf.groupby("node")}
+        out, seen, stack = [], set(), [(pdf["root"].iloc[0], False)]
+        while stack:
+            node, done = stack.pop()
+            if done:
+                out.append(node)
+            elif node not in seen:
+                seen.add(node)
+                stack.append((node, True))
+                stack += [(int(x), False) for x in reversed(needs.get(node, []))]
+        return pd.DataFrame({"root": [pdf["root"].iloc[0]], "nodes": [[int(x) for x in out]]})
+
+    return rows.groupBy("root").applyInPandas(order, "root long, nodes array<long>")
