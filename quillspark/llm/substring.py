@@ -6,7 +6,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -66,22 +67,42 @@ def _windows(texts: pa.Array, window: int):
             yield first, row, place, good, least, seeds, words
 
 
-def repeated_anchors(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """(anchor) of the winnowed anchors that occur at two places or more, in one text or several."""
+def _copy_key(id_col: Column, text: Column) -> Column:
+    """Hash of an id and its whole text."""
+    return F.xxhash64(F.xxhash64(text), F.xxhash64(text, F.lit(1)), id_col)
+
+
+def first_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(key) of the first row of each distinct text: the others repeat it from their first word to the last."""
+    t = F.col(text)
+    least = F.min(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"))).alias("least")
+    firsts = docs.filter(t.isNotNull()).groupBy(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b")).agg(least)
+    return firsts.select(F.xxhash64("a", "b", "least.id").alias("key"))
+
+
+def repeated_anchors(docs: DataFrame, text: str, window: int, firsts: Broadcast, key: Column) -> DataFrame:
+    """(anchor) of the winnowed anchors that occur at two places or more, in one first copy or several."""
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(has(firsts.value, np.asarray(batch.column(1)).view(np.uint64))))
             for _, row, place, good, least, seeds, _ in _windows(batch.column(0), window):
                 before = np.maximum(good - 1, 0)
                 fresh = (place[good] == 0) | (least[good] != least[before]) | (seeds[before] == least[before])
                 yield pa.RecordBatch.from_arrays([pa.array(least[good[fresh]].view(np.int64))], names=["anchor"])
 
-    anchors = docs.select(F.col(text).alias("t")).mapInArrow(run, "anchor long")
+    anchors = docs.select(F.col(text).alias("t"), key.alias("key")).mapInArrow(run, "anchor long")
     return anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
 
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """Bits set at the anchors' hashes. Its size has a fixed bound; a fuller one lets more windows through, none less."""
+def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a bitmap has the bits of hashes."""
+    at = hashes & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bitmap(anchors: DataFrame) -> np.ndarray:
+    """Bits set at the hashes. Its size has a fixed bound; a fuller one lets more rows through, none less."""
     number = anchors.count()
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (number * BITS_EACH).bit_length()))
     at = F.col("anchor").bitwiseAND(F.lit(bits - 1).cast("long"))
@@ -92,25 +113,24 @@ def _bitmap(anchors: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def later_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """(__id, __h, place) of each window of ``window`` words that also starts earlier; __h is the text's XXH64.
+def later_windows(docs: DataFrame, firsts: Broadcast, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
+    """(__id, __h, place) of each window of ``window`` words of first copies that also starts earlier; __h: the text's XXH64.
 
     Seeds are winnowed anchors: of the 8-word grams in a window that with the least hash. Equal windows choose equal
     anchors, so texts are joined on the anchors that occur twice or more; each occurrence is extended to both sides
     over all windows that it stands for, and a window repeats where its 128-bit hash does. The first in order of id and
     place stays, whatever the number of others: no pairs are made. Rows of one id and text are one document.
     """
-    marked = saved(repeated_anchors(docs, text, window))
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(marked))
-    read = docs.select(F.col(id_col).alias("__id"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("__h"), F.col(text).alias("t"))
+    key = _copy_key(F.col(id_col), F.col(text))
+    marked = saved(repeated_anchors(docs, text, window, firsts, key))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(marked))
+    read = docs.select(F.col(id_col).alias("__id"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("__h"), F.col(text).alias("t"), key.alias("key"))
 
     def run(batches):
-        bitmap = sent.value
-        full = np.uint64(len(bitmap) * 64 - 1)
         for batch in batches:
+            batch = batch.filter(pa.array(has(firsts.value, np.asarray(batch.column(3)).view(np.uint64))))
             for first, row, place, good, least, _, words in _windows(batch.column(2), window):
-                at = least[good] & full
-                good = good[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                good = good[has(sent.value, least[good])]
                 if not len(good):
                     continue
                 one, two = gram_hashes(words, window)[good], gram_hashes(mixed(words), window)[good]
@@ -129,13 +149,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Words are cut at white space and compared as they are. Removed is each word that a window covers which also starts
     earlier; ``repeats`` lists these maximal stretches as (first word, one past the last). Windows are judged on the
-    input. Null, empty and blank texts have no words; texts under ``window`` words keep all. Repeated rows (same id,
+    input. Later copies of a whole text are all repeat, and known from a first pass over the texts' hashes: a bitmap of the
+    first copies, of bounded size, tells them; where it is too full it takes copies for first ones, which then go the long
+    way to the same result. Null, empty and blank texts have no words; texts under ``window`` words keep all. Repeated rows (same id,
     same text) do not make each other repeats. A null id comes before all others.
     """
-    later = later_windows(docs, id_col, text, window)
+    firsts = docs.sparkSession.sparkContext.broadcast(bitmap(first_copies(docs, id_col, text).withColumnRenamed("key", "anchor")))
+    later = later_windows(docs, firsts, id_col, text, window)
     spans = later.groupBy("__id", "__h").agg(F.array_sort(F.collect_set("place")).alias("places"))
     read = docs.select(F.col(id_col).alias("__id"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("__h"), F.col(text).alias("__t"))
-    joined = null_safe(read, spans, ["__id", "__h"], "left").select("__id", "__t", "places")
+    joined = null_safe(read, spans, ["__id", "__h"], "left").select("__id", "__t", "places", _copy_key(F.col("__id"), F.col("__t")).alias("key"))
     none = hashlib.sha256(b"").hexdigest()
     new = "n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>" + ", kept_text string" * texts
     schema = StructType([StructField(id_col, read.schema["__id"].dataType), *StructType.fromDDL(new).fields])
@@ -143,13 +166,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def run(batches):
         for batch in batches:
             n_words, n_removed, sha, repeats, left = [], [], [], [], []
-            lists = batch.column(2)
+            lists, first = batch.column(2), has(firsts.value, np.asarray(batch.column(3)).view(np.uint64))
             for i, t in enumerate(batch.column(1).cast(pa.binary())):
                 words = (t.as_py() or b"").split()
                 removed = np.zeros(len(words), bool)
                 stretches = []
-                if lists[i].is_valid and len(words):
-                    at = np.asarray(lists[i].values)
+                if len(words) >= window and (lists[i].is_valid or not first[i]):
+                    at = np.asarray(lists[i].values) if first[i] else np.arange(len(words) - window + 1)
                     cut = np.flatnonzero(np.diff(at) > window) + 1
                     for a, b in zip(at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]] + window):
                         removed[a:b] = True
