@@ -386,13 +386,19 @@ def search_production(spark, sf):
     return search(memories, _chunks(memories), X.chunks_vec(spark, sf), _questions(spark, sf), options)
 
 
+def entity_bridge(spark, sf):
+    memories = X.memories_text(spark, sf)
+    options = SearchOptions(limit=10, use_entities=True, use_decay=False)
+    return search(memories, _chunks(memories), X.chunks_vec(spark, sf), _questions(spark, sf), options).select("qid", "memory_id", "score", "rank")
+
+
 ALL = [
     filter_memories, tenant_usage, quota_flags, keyset_page, exact_dedupe, merge_duplicates, token_counts, analyzed_terms, token_estimates, bm25_topk, bm25_filtered_topk,
     vector_topk, vector_topk_batch, best_chunk_per_memory, hybrid_topk, weighted_fusion, heuristic_rerank, recency_decay, access_boost, temporal_boost, source_cap,
     kind_allocation, evidence_budget, mmr_topk, confidence_grade, conflict_pairs, suppress_superseded, lineage_head, reachable_superseders, bridge_on_delete,
     stale_propagation, dependency_closure, graph_profile, node_degrees, as_of_snapshot, as_of_join, scd2_history, erase_report, near_duplicate_pairs,
     supersession_proposals, contradiction_proposals, unexplained_pairs, association_edges, entity_lists, prose_chunks, turn_neighbours, hydrate_budget,
-    classify_questions, question_windows, derive_reduce, ground_quotes, jaccard_dedupe, retrieval_metrics, wilson_by_category, deterministic_embed, search_production,
+    classify_questions, question_windows, derive_reduce, ground_quotes, jaccard_dedupe, retrieval_metrics, wilson_by_category, deterministic_embed, search_production, entity_bridge,
 ]
 
 

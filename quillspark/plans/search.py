@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.entities import salient
 from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import retrieval as S
@@ -26,6 +27,9 @@ class SearchOptions:
     lexical_weight: float = 1.0
     rrf_k: int = 60
     tune_by_intent: bool = True
+    use_entities: bool = False
+    entity_weight: float = 0.6
+    entity_budget: int = 6
     use_rerank: bool = False
     use_decay: bool = True
     half_life_days: float = R.HALF_LIFE_DAYS
@@ -47,10 +51,23 @@ def hybrid_arms(live: DataFrame, chunks: DataFrame, vectors: DataFrame, question
     return stored(vector), stored(S.lexical_search(chunks, questions.select("qid", "text"), fetch))
 
 
+def entity_arm(chunks: DataFrame, fused: DataFrame, questions: DataFrame, fetch: int, limit: int, budget: int = 6, seeds: int = 8) -> DataFrame:
+    """(qid, memory_id, score, rank) of memories that share a salient name with the first fused ones and aren't fused yet.
+
+    Each name of a question is one lexical lookup; all lookups are one batch. A memory counts by its best lookup.
+    """
+    texts = chunks.groupBy("memory_id").agg(F.min_by("text", "ordinal").alias("text"))
+    top = fused.filter(F.col("rank") <= seeds).select("qid", "memory_id").join(texts, "memory_id").select("qid", "text")
+    found = stored(salient(top, questions.select("qid", "text"), budget).withColumn("key", F.concat_ws("#", F.col("qid").cast("string"), "entity")))
+    hits = S.lexical_search(chunks, found.select(F.col("key").alias("qid"), F.col("entity").alias("text")), max(fetch // 2, limit))
+    best = hits.withColumnRenamed("qid", "key").join(found.select("key", "qid"), "key").groupBy("qid", "memory_id").agg(F.max("score").alias("score"))
+    return R.ranked(best.join(fused.select("qid", "memory_id"), ["qid", "memory_id"], "left_anti"))
+
+
 def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions: DataFrame, options: SearchOptions, edges: DataFrame | None = None) -> DataFrame:
-    """(qid, memory_id, score, rank, vector_score, lexical_score, source, kind, status) of each question's results.
+    """(qid, memory_id, score, rank, vector_score, lexical_score, source, kind, status, explain) of each question's results.
 
-    Order: arms, rank fusion with the weights of the question kind, pool, rerank, window of ``questions.start``/``end``
+    Order: arms, rank fusion with the weights of the question kind, names as a third arm, pool, rerank, window of ``questions.start``/``end``
     if there, decay, suppression of what a result supersedes, source cap, kind allocation, diversification, cut, floor.
     """
     live = memories.filter(options.filter.column())
@@ -59,8 +76,13 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
     ids = live.select(F.col("id").alias("memory_id"))
     vector, lexical = hybrid_arms(live, chunks.join(ids, "memory_id", "left_semi"), vectors, questions, fetch)
     wv, wl, k = R.INTENT_WEIGHTS[options.question_kind] if options.tune_by_intent else (1.0, 1.0, options.rrf_k)
-    fused = R.rank_fusion({"vector": (vector, options.vector_weight * wv), "lexical": (lexical, options.lexical_weight * wl)}, k)
-    pool = fused.filter(F.col("rank") <= pool_size).select("qid", "memory_id", "score")
+    arms = {"vector": (vector, options.vector_weight * wv), "lexical": (lexical, options.lexical_weight * wl)}
+    fused = R.rank_fusion(arms, k)
+    if options.use_entities and options.entity_budget > 0:
+        third = entity_arm(chunks.join(ids, "memory_id", "left_semi"), stored(fused), questions, fetch, limit, options.entity_budget)
+        fused = R.rank_fusion(arms | {"entity": (stored(third), options.entity_weight)}, k)
+    why = F.transform(F.map_entries("ranks"), lambda e: F.concat(e["key"], F.lit(" rank "), e["value"].cast("string")))
+    pool = fused.filter(F.col("rank") <= pool_size).select("qid", "memory_id", "score", F.concat(why, F.array(F.concat(F.lit("fused "), F.col("score").cast("string")))).alias("explain"))
     pool = pool.join(vector.select("qid", "memory_id", F.col("score").alias("vector_score")), ["qid", "memory_id"], "left")
     pool = pool.join(lexical.select("qid", "memory_id", F.col("score").alias("lexical_score")), ["qid", "memory_id"], "left")
     about = live.select(F.col("id").alias("memory_id"), "source", "kind", "status", "occurred_at")
@@ -86,4 +108,4 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
         out = rows.filter(F.coalesce("vector_score", "score") >= options.min_score)
     else:
         out = R.cut(rows, limit, options.min_score, "vector_score")
-    return out.select("qid", "memory_id", "score", "rank", "vector_score", "lexical_score", "source", "kind", "status")
+    return out.select("qid", "memory_id", "score", "rank", "vector_score", "lexical_score", "source", "kind", "status", "explain")

@@ -44,6 +44,18 @@ def test_search_end_to_end(spark, corpus):
         assert 1 not in kept and 2 in kept
 
 
+def test_names_bring_in_what_no_arm_finds(spark):
+    rows = [(1, "the office is run by Berta Klein"), (2, "a letter from Berta Klein to the bank"), (3, "coffee from the old mill")]
+    memories = spark.createDataFrame([(i, t, "s", "episodic", "active", at(1)) for i, t in rows], "id long, content string, source string, kind string, status string, occurred_at timestamp").withColumn("tags", F.array("source"))
+    chunks = memories.select(F.col("id").alias("memory_id"), F.lit(0).alias("ordinal"), F.col("content").alias("text"))
+    none = spark.createDataFrame([], "memory_id long, ordinal int, embedding array<double>")
+    asked = spark.createDataFrame([(7, "who heads the office", None)], "qid long, text string, embedding array<double>")
+    plain = search(memories, chunks, none, asked, SearchOptions(limit=5))
+    assert {r["memory_id"] for r in plain.collect()} == {1}
+    got = {r["memory_id"]: r["explain"] for r in search(memories, chunks, none, asked, SearchOptions(limit=5, use_entities=True)).collect()}
+    assert set(got) == {1, 2} and got[2][0] == "entity rank 1"
+
+
 def test_multi_chunk_best_and_ties(spark):
     chunks = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 0, None), (4, 0, [1.0]), (5, 0, [0.0, 0.0])], "memory_id int, ordinal int, embedding array<double>")
     q = spark.createDataFrame([("x", [2.0, 0.0])], "qid string, embedding array<double>")
