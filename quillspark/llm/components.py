@@ -22,6 +22,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges, from the larger to the smaller node, are stars: no node has two, or is both leaf and centre."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return seen.filter("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node reachable.
 
@@ -29,14 +36,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     with the square of the logarithm of the largest component; each round's edges are written to shared storage.
     """
     kept = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a != b").distinct()
-    now, mark = saved(kept), None
+    now = saved(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(most_rounds):
+        if _settled(now):
+            break
         after = saved(_star(_star(now, True), False))
-        last, mark = mark, after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
         drop_saved(now)
         now = after
-        if mark == last:
-            break
     else:
         raise RuntimeError("components did not settle")
     roots = now.groupBy("a").agg(F.min("b").alias("root"))

@@ -6,22 +6,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._shared import mixed, null_safe, rows_per_task, saved
-from .components import components
+from ._shared import mixed, null_safe, saved
+from .substring import bitmap, has
+from .verify import verified_components
 
 #: Characters of a shingle; least Jaccard similarity of a link.
 SHINGLE, LEAST = 8, 0.8
 #: Bands and signature rows of each: lines of similarity 0.8 share a band with probability 0.99, of 0.9 with 0.99999.
 BANDS, ROWS = 12, 5
-#: Lines of one band that are compared in one task; more are compared block by block.
-BUCKET = 1000
-#: Characters of text that are signed at once; keyed rows of one task.
-STEP_CHARS, ROWS_PER_TASK = 1 << 19, 1_000_000
+#: Characters of text that are signed at once.
+STEP_CHARS = 1 << 17
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,13 +37,11 @@ def shingle_hashes(codes: np.ndarray) -> np.ndarray:
 def line_set(line: str) -> np.ndarray:
     """Distinct shingle hashes of a line; a line under SHINGLE characters is one shingle."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.unique(shingle_hashes(np.pad(codes, (0, max(0, SHINGLE - len(codes))))))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    if len(codes) < SHINGLE:
+        codes = np.append(codes, np.zeros(SHINGLE - len(codes), np.uint32))
+    h = shingle_hashes(codes)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -68,23 +64,25 @@ def band_keys(lines: list[str]) -> np.ndarray:
     h, line = h[pick], np.repeat(np.arange(len(lines)), number)
     most = np.uint64(np.iinfo(np.uint64).max)
     places = np.full(len(lines) * k, most, np.uint64)
-    np.minimum.at(places, line * k + ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64), mixed(h))
+    np.minimum.at(places, line * k + ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64), h)
     sign = places.reshape(-1, k)
-    empty = sign == most
+    short = np.flatnonzero((sign == most).any(axis=1))
+    given, made = sign[short], sign[short].copy()
     for d in range(1, k):
-        if not empty.any():
+        if not len(short):
             break
-        near = np.roll(places.reshape(-1, k), -d, axis=1)
-        fill = empty & (near != most)
-        sign = np.where(fill, mixed(near + np.uint64(d)), sign)
-        empty &= ~fill
-    keys = np.zeros((len(lines), BANDS), np.uint64)
+        near = np.roll(given, -d, axis=1)
+        fill = (made == most) & (near != most)
+        made[fill] = mixed(near[fill] + np.uint64(d))
+        sign[short] = made
+        left = (made == most).any(axis=1)
+        if not left.all():
+            short, given, made = short[left], given[left], made[left]
+    parts = sign.reshape(-1, BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS))
     with np.errstate(over="ignore"):
-        for b in range(BANDS):
-            key = np.full(len(lines), b + 1, np.uint64)
-            for r in range(ROWS):
-                key = mixed(key * _B + sign[:, b * ROWS + r])
-            keys[:, b] = key
+        for r in range(ROWS):
+            keys = mixed(keys * _B + parts[:, :, r])
     return keys
 
 
@@ -101,7 +99,7 @@ def _signed(batches):
     """(key, line) of each distinct line of each batch and band."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
-            lines = sorted({x for t in batch.column(0).slice(lo, 256).to_pylist() for x in _lines(t) if x})
+            lines = list({x for t in batch.column(0).slice(lo, 256).to_pylist() for x in _lines(t) if x})
             while lines:
                 total, take = 0, 0
                 while take < len(lines) and (not take or total + len(lines[take]) <= STEP_CHARS):
@@ -112,7 +110,7 @@ def _signed(batches):
 
 
 def _shared(batches):
-    """Of rows sorted by (key, line): distinct (key, line, first line of the key) of keys that two lines or more share."""
+    """Of rows sorted by key: (key, line, first line of the key) of keys that two lines or more share."""
     key, low, waits = None, None, False
     for batch in batches:
         k, l = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -129,86 +127,34 @@ def _shared(batches):
         key, low = k[-1], lows[-1]
 
 
-def _verify_pairs(batches):
-    """(a, b) of pairs of texts that are similar enough."""
-    for batch in batches:
-        sets: dict[str, np.ndarray] = {}
-        good = []
-        for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            for x in (s, t):
-                if x not in sets:
-                    if len(sets) > 2000:
-                        sets.clear()
-                    sets[x] = line_set(x)
-            good.append(jaccard(sets[s] if s in sets else line_set(s), sets[t]) >= LEAST)
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pc.filter(batch.column(0), mask), pc.filter(batch.column(1), mask)], names=["a", "b"])
-
-
-def _verify_bucket(pdf):
-    """Links between lines of one bucket (or of two blocks of it) that no link joins yet."""
-    import pandas as pd
-
-    pdf = pdf.drop_duplicates("line").sort_values("line", kind="stable")
-    lines, home, block = pdf["line"].tolist(), pdf["root"].tolist(), pdf["block"].tolist()
-    sets = [line_set(x) for x in pdf["text"]]
-    up = {r: r for r in home}
-
-    def root(r):
-        while up[r] != r:
-            up[r] = up[up[r]]
-            r = up[r]
-        return r
-
-    across = len(set(block)) > 1
-    found = []
-    for i in range(len(lines)):
-        for j in range(i):
-            if across and block[i] == block[j]:
-                continue
-            a, b = root(home[i]), root(home[j])
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if a != b and small >= LEAST * large and jaccard(sets[i], sets[j]) >= LEAST:
-                up[max(a, b)] = min(a, b)
-                found.append((lines[i], lines[j]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
 def line_links(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the components of distinct lines by similarity; lines without a link are absent.
 
-    Distinct lines that share a band go in two rounds. First each is compared with the least line of its bucket, which
-    settles families of copies in one comparison a line. Then, in buckets with lines of several components still, all
-    lines of different components are compared, in blocks of BUCKET, and those that a new link joins no more. So every
-    pair that shares a band is either linked through others or compared: no cap, and no pairs within a family.
+    Distinct lines that share a band go in two rounds. First each is compared with one line of its bucket, the same for
+    all, which settles families of copies in one comparison a line. Then, where the lines compared with the same line
+    are of several components still, those of different components are compared with each other, in blocks of BUCKET,
+    and those that a new link joins no more. So every pair that shares a band is either linked through others or
+    compared: no cap, and no pairs within a family.
     """
     spark = docs.sparkSession
     signed = docs.select(F.col(text).alias("t")).mapInArrow(_signed, "key long, line long")
-    shared = saved(signed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_shared, "key long, line long, low long"))
-    pairs = shared.select("line", "low").distinct()
+    shared = signed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, line long, low long")
+    pairs = saved(shared.select("line", "low").distinct())
     wanted = saved(pairs.select("line").union(pairs.select(F.col("low").alias("line"))).distinct())
+    sent = spark.sparkContext.broadcast(bitmap(wanted.withColumnRenamed("line", "anchor")))
 
     def rows(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                lines = sorted({x for t in batch.column(0).slice(lo, 256).to_pylist() for x in _lines(t) if x})
-                yield pa.RecordBatch.from_arrays([pa.array([_line_id(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], names=["line", "text"])
+                lines = list({x for t in batch.column(0).slice(lo, 256).to_pylist() for x in _lines(t) if x})
+                ids = np.array([_line_id(x) for x in lines], np.int64)
+                some = pa.array(np.flatnonzero(has(sent.value, ids.view(np.uint64))))
+                yield pa.RecordBatch.from_arrays([pa.array(ids).take(some), pa.array(lines, pa.string()).take(some)], names=["line", "text"])
 
     texts = docs.select(F.col(text).alias("t")).mapInArrow(rows, "line long, text string")
-    texts = saved(texts.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")))
-    lows = texts.select(F.col("line").alias("low"), F.col("text").alias("low_text"))
-    star = saved(pairs.join(texts, "line").join(lows, "low").select(F.col("line").alias("a"), F.col("low").alias("b"), "text", "low_text").mapInArrow(_verify_pairs, "a long, b long"))
-    roots = saved(components(star))
-    members = shared.select("key", "line").union(shared.select("key", F.col("low").alias("line"))).distinct()
-    placed = members.join(roots, members["line"] == roots["node"], "left").select("key", "line", F.coalesce("root", "line").alias("root"))
-    mixed_keys = saved(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least != most").select("key", "n"))
-    open_rows = placed.join(mixed_keys, "key").join(texts, "line")
-    blocks = F.ceil(F.col("n") / BUCKET).cast("int")
-    own = F.pmod(F.xxhash64("line"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y")))
-    dealt = open_rows.withColumn("block", own).withColumn("unit", F.explode(meets)).select("key", "unit.x", "unit.y", "line", "root", "block", "text")
-    more = saved(dealt.groupBy("key", "x", "y").applyInPandas(_verify_bucket, "a long, b long"))
-    return components(star.union(more))
+    texts = saved(texts.groupBy("line").agg(F.min("text").alias("text")).join(wanted, "line", "left_semi"))
+    named = pairs.withColumnRenamed("line", "node")
+    return verified_components(named, texts.withColumnRenamed("line", "node"), line_set, LEAST)
 
 
 def remove_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
@@ -236,11 +182,12 @@ def remove_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     held = read.select("__id", "__h").schema.fields
     seen = saved(read.mapInArrow(occurrences, StructType([*held, *StructType.fromDDL("number int, line long").fields])))
-    lines = seen.groupBy("line").agg(F.min(F.struct("__id", "number")).alias("first"), F.count("*").alias("n"))
-    classed = saved(lines.join(roots, lines["line"] == roots["node"], "left").select("line", "n", "first", F.coalesce("root", "line").alias("root")))
-    heads = classed.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("m")).filter("m > 1")
-    heads = classed.join(heads, "root").select("line", "head")
-    gone = seen.join(heads, "line").filter(~F.struct("__id", "number").eqNullSafe(F.col("head"))).groupBy("__id", "__h").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+    counts = seen.groupBy("line").agg(F.count("*").alias("n"))
+    classed = saved(counts.join(roots, counts["line"] == roots["node"], "left").select("line", "n", F.coalesce("root", "line").alias("root")))
+    several = classed.groupBy("root").agg(F.sum("n").alias("m")).filter("m > 1").select("root")
+    repeated = saved(seen.join(classed.join(several, "root").select("line", "root"), "line").select("__id", "__h", "number", "root"))
+    heads = repeated.groupBy("root").agg(F.min(F.struct("__id", "number")).alias("head"))
+    gone = repeated.join(heads, "root").filter(~F.struct("__id", "number").eqNullSafe(F.col("head"))).groupBy("__id", "__h").agg(F.array_sort(F.collect_set("number")).alias("gone"))
     joined = null_safe(read, gone, ["__id", "__h"], "left").select("__id", "__t", "gone")
     new = "n_lines long, n_removed long, kept_sha256 string, removed_lines array<int>" + ", kept_text string" * texts
     schema = StructType([StructField(id_col, held[0].dataType), *StructType.fromDDL(new).fields])
