@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,6 +19,8 @@ BUCKETS, DIMENSIONS, NONZEROS, SIDE = 1 << 15, 64, 6, 2
 MOST_LABELLED = 20_000
 #: Bytes of text whose context rows are held at once; bucket rows in a summed block.
 STEP_BYTES, BLOCK = 1 << 20, 1024
+#: Tasks' sums of a block are added in so many lanes before the lanes are.
+LANES = 64
 
 # Runs of one class are words: letters (and bytes from 0x80), digits, or one kind of punctuation mark.
 _CLASS = np.arange(256, dtype=np.int16) + 3
@@ -52,7 +55,8 @@ def index_vectors() -> np.ndarray:
 def fit_word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Unit vectors of all buckets, scaled by rarity: sums of the index vectors of all neighbours in all ``docs``.
 
-    Every task sums over its texts; the sums, of fixed size, are added by blocks of buckets. Buckets never met are zero.
+    Every task sums over its texts; the sums, of fixed size, are added by blocks of buckets, first in lanes of tasks, then
+    over the lanes, so that no task reads the sums of all. Buckets never met are zero.
     """
     width = DIMENSIONS + 1
 
@@ -76,20 +80,23 @@ def fit_word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
                 total[ids[cut], DIMENSIONS] += np.diff(np.append(cut, len(ids))).astype(np.int32)
         for b in range(0, BUCKETS, BLOCK):
             if total[b : b + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([total[b : b + BLOCK].astype("<i8").tobytes()])], names=["block", "sums"])
+                lane = TaskContext.get().partitionId() % LANES
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([lane], pa.int32()), pa.array([total[b : b + BLOCK].astype("<i4").tobytes()])], names=["block", "lane", "sums"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for b, s in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(s.as_buffer(), "<i8")
-                sums[b] = sums[b] + part if b in sums else part
-        for b, s in sorted(sums.items()):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([s.tobytes()])], names=["block", "sums"])
-
-    parts = docs.select(text).mapInArrow(count, "block int, sums binary")
+            for b, lane, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                raw = s.as_buffer()
+                part = np.frombuffer(raw, "<i4" if raw.size == BLOCK * width * 4 else "<i8").astype(np.int64)
+                sums[b, lane] = sums[b, lane] + part if (b, lane) in sums else part
+        for (b, lane), s in sorted(sums.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([lane], pa.int32()), pa.array([s.tobytes()])], names=["block", "lane", "sums"])
+
+    schema = "block int, lane int, sums binary"
+    lanes = docs.select(text).mapInArrow(count, schema).repartition("block", "lane").mapInArrow(add, schema)
     total = np.zeros((BUCKETS, width), np.float64)
-    for r in parts.repartition(BUCKETS // BLOCK, "block").mapInArrow(add, "block int, sums binary").collect():
+    for r in lanes.withColumn("lane", F.lit(0)).repartition("block").mapInArrow(add, schema).collect():
         total[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["sums"], "<i8").reshape(-1, width)
     vectors, often = total[:, :DIMENSIONS], total[:, DIMENSIONS:] / max(1.0, total[:, DIMENSIONS].sum())
     vectors = vectors - often.T @ vectors  # what all contexts share says nothing
