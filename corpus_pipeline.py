@@ -11,7 +11,7 @@ from quillspark.llm.decontaminate import scan_contamination
 from quillspark.llm.mixing import mix_documents
 from quillspark.llm.quality import score_quality
 from quillspark.llm.sharding import shard_documents
-from quillspark.llm.simhash import drop_near_copies
+from quillspark.llm.simhash import drop_near_texts
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return drop_near_copies(docs)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return drop_near_texts(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

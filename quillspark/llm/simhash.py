@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ._shared import LOWER, joined_words, local_roots, mixed, null_safe, rows_per_task, saved, text_slices, word_bounds, xxh64_slices
 from .components import components
+from .substring import bitmap, has
+from .verify import verified_components
 
 #: Blocks of an upper node's open bits; two fingerprints within 4 bits agree in at least BLOCKS - 4 of them.
 BLOCKS = 6
-#: Fingerprints of one masked pattern that are indexed at once; a larger node is refined by more masked bits.
+#: Fingerprints of one masked pattern that are indexed at once; more are joined block by block.
 NODE_LIMIT = 8192
 #: Children of a node of the hierarchical index; node pairs that are expanded at once.
 FANOUT, PAIRS_AT_ONCE = 8, 200_000
@@ -111,37 +113,33 @@ def near_pairs(codes: np.ndarray, group: np.ndarray, most: int):
             yield i[keep], j[keep]
 
 
-def node_masks(used: int, blocks: int, same: int) -> list[int]:
-    """Masks of the next lower nodes: ``same`` of the ``blocks`` runs of the bits that ``used`` leaves open."""
-    free = [b for b in range(64) if not used >> b & 1]
-    runs = [sum(1 << b for b in part) for part in np.array_split(np.array(free, object), blocks)]
+def node_masks(blocks: int, same: int) -> list[int]:
+    """Masks of the upper nodes: ``same`` of the ``blocks`` runs of the 64 bits."""
+    runs = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), blocks)]
     return [sum(c) for c in combinations(runs, same)]
 
 
-def _keyed(rows: DataFrame, blocks: int, same: int) -> DataFrame:
-    """Rows (node, used, fp) one level down: each under every masked pattern that a near code may share with it."""
+def _keyed(codes: DataFrame, blocks: int, same: int) -> DataFrame:
+    """Rows (node, fp): each code under every masked pattern that a near code may share with it."""
 
     def run(batches):
         for batch in batches:
-            node, used, fp = (np.asarray(batch.column(i)).view(np.uint64) for i in range(3))
-            for u in np.unique(used):
-                at = np.flatnonzero(used == u)
-                for mask in node_masks(int(u), blocks, same):
-                    m = np.uint64(mask)
-                    below = mixed(mixed(mixed(node[at]) ^ (fp[at] & m)) ^ m)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (below, np.full(len(at), u | m), fp[at])], names=["node", "used", "fp"])
+            fp = np.asarray(batch.column(0)).view(np.uint64)
+            for mask in node_masks(blocks, same):
+                node = mixed(mixed(fp & np.uint64(mask)) ^ np.uint64(mask))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0)], names=["node", "fp"])
 
-    return rows.mapInArrow(run, "node long, used long, fp long")
+    return codes.mapInArrow(run, "node long, fp long")
 
 
-def _linked(keyed: DataFrame, tasks: int, most: int, limit: int) -> DataFrame:
-    """Rows (a, b, node, used, fp): links found within nodes, as a forest; or rows of nodes over ``limit``, as they came."""
+def _linked(keyed: DataFrame, tasks: int, most: int, limit: int | None) -> DataFrame:
+    """Rows (a, b, node, fp): links found within nodes, as a forest; or rows of nodes over ``limit``, as they came."""
 
     def run(batches):
         def out(a, b, over=None):
             none = pa.nulls(len(a) if over is None else len(over[0]), pa.int64())
-            left = [pa.array(x.view(np.int64)) for x in (a, b)] + [none] * 3 if over is None else [none] * 2 + [pa.array(x.view(np.int64)) for x in over]
-            return pa.RecordBatch.from_arrays(left, names=["a", "b", "node", "used", "fp"])
+            left = [pa.array(x.view(np.int64)) for x in (a, b)] + [none] * 2 if over is None else [none] * 2 + [pa.array(x.view(np.int64)) for x in over]
+            return pa.RecordBatch.from_arrays(left, names=["a", "b", "node", "fp"])
 
         def index(node, fp):
             _, group, size = np.unique(node, return_inverse=True, return_counts=True)
@@ -160,7 +158,7 @@ def _linked(keyed: DataFrame, tasks: int, most: int, limit: int) -> DataFrame:
             return out(fp[root[member]], fp[member])
 
         empty = np.zeros(0, np.uint64)
-        held, over = (empty, empty, empty), None
+        held, over = (empty, empty), None
         for batch in batches:
             held = tuple(np.concatenate([h, np.asarray(batch.column(i)).view(np.uint64)]) for i, h in enumerate(held))
             if not len(held[0]):
@@ -172,7 +170,7 @@ def _linked(keyed: DataFrame, tasks: int, most: int, limit: int) -> DataFrame:
                 if not len(part[0]):
                     continue
                 node, group, size = np.unique(part[0], return_inverse=True, return_counts=True)
-                big = size > limit
+                big = size > limit if limit else np.zeros(len(size), bool)
                 if over is not None:
                     big |= node == over
                 if big.any():
@@ -182,34 +180,39 @@ def _linked(keyed: DataFrame, tasks: int, most: int, limit: int) -> DataFrame:
                         over = last
                         held = rest
                     part = rest
-                if ended and len(part[0]) and (made := index(part[0], part[2])) is not None:
+                if ended and len(part[0]) and (made := index(part[0], part[1])) is not None:
                     yield made
-        if len(held[0]) and (made := index(held[0], held[2])) is not None:
+        if len(held[0]) and (made := index(held[0], held[1])) is not None:
             yield made
 
-    return keyed.repartition(tasks, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, node long, used long, fp long")
+    return keyed.repartition(tasks, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, node long, fp long")
 
 
 def near_codes(codes: DataFrame, fp: str = "fp", most: int = 4, limit: int = NODE_LIMIT) -> DataFrame:
     """Edges (a, b) between distinct 64-bit codes, whose closure links all that differ in at most ``most`` bits.
 
     Each code goes under the masked patterns of the pairs of its six bit blocks: two near codes share at least one.
-    The codes of a pattern are sorted by Gray rank, indexed and joined with themselves in one task. A pattern with over
-    ``limit`` codes is an upper node: its codes are keyed again by pairs of blocks of its open bits, and so on, so no
-    task holds more than ``limit`` codes of a node and nothing is dropped. Links come as forests, not as all pairs.
+    The codes of a pattern are sorted by Gray rank, indexed and joined with themselves in one task. The codes of a pattern
+    with over ``limit`` are dealt into blocks of half that, each joined with itself and each other: no task holds more
+    than the limit, and nothing is dropped. Links come as forests, not as all pairs.
     """
     blocks, same = most + 2, 2
-    rows = codes.select(F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("used"), F.col(fp).cast("long").alias("fp")).distinct()
-    number, edges = rows.count(), None
-    while True:
-        tasks = rows_per_task(codes.sparkSession, number * blocks * (blocks - 1) // 2, ROWS_PER_TASK)
-        step = saved(_linked(_keyed(rows, blocks, same), tasks, most, limit))
-        found = step.filter("a is not null").select("a", "b")
-        edges = found if edges is None else edges.union(found)
-        rows = step.filter("a is null").select("node", "used", "fp")
-        number = rows.count()
-        if not number:
-            return edges.distinct()
+    rows = codes.select(F.col(fp).cast("long").alias("fp")).distinct()
+    tasks = rows_per_task(codes.sparkSession, rows.count() * blocks * (blocks - 1) // 2, ROWS_PER_TASK)
+    step = saved(_linked(_keyed(rows, blocks, same), tasks, most, limit))
+    edges, over = step.filter("a is not null").select("a", "b"), step.filter("a is null").select("node", "fp")
+    if not over.isEmpty():
+        units = saved(_linked(in_blocks(over, "node", "fp", limit), tasks, most, None))
+        edges = edges.union(units.select("a", "b"))
+    return edges.distinct()
+
+
+def in_blocks(rows: DataFrame, group: str, member: str, limit: int) -> DataFrame:
+    """Rows of too large groups, each in the units of its block with every block: ``group`` then names the unit."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") * 2 / limit).cast("int").alias("__k"))
+    own = rows.join(sizes, group).withColumn("__own", F.pmod(F.xxhash64(member), F.col("__k")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda j: F.xxhash64(group, F.least(j, F.col("__own")), F.greatest(j, F.col("__own"))))
+    return own.withColumn("__unit", F.explode(meets)).select(F.col("__unit").alias(group), *[c for c in rows.columns if c != group])
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
@@ -237,3 +240,176 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = docs.withColumns({"__id": F.col(id_col), "__h": F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text)))})
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0)))).filter("__n = 1")
     return null_safe(rows, kept, ["__id", "__h"]).select(docs.columns)
+
+
+# --- texts by similarity: a wide fingerprint finds, exact similarity decides ---------------------------------------
+
+#: Most bits of 128 that two texts of similarity 0.8 differ in (20 on average, deviation 4 and more in short texts); share for which masks are counted.
+WIDE_MOST, WIDE_SHARE = 36, 0.19
+#: Recall of the masks at that similarity.
+WIDE_RECALL = 0.99
+
+
+def _shingles(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; fewer words make one."""
+    data = np.frombuffer(text + bytes(8), np.uint8)
+    data = LOWER[data]
+    starts, ends, _ = word_bounds(data, np.array([0, len(text)]))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    buffer, starts, ends = joined_words(data, starts, ends)
+    n = min(size, len(starts))
+    return np.unique(xxh64_slices(buffer, starts[: len(starts) - n + 1], ends[n - 1 :] - starts[: len(starts) - n + 1]))
+
+
+def wide_fingerprints(texts, size: int) -> np.ndarray:
+    """128-bit SimHash (two words) of the distinct shingles of each text; zero without words."""
+    out = np.zeros((len(texts), 2), np.uint64)
+    for i, t in enumerate(texts):
+        h = _shingles(t, size)
+        for k, x in enumerate((h, mixed(h ^ np.uint64(0x5851F42D4C957F2D)))):
+            if len(h):
+                bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                out[i, k] = np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def wide_masks(number: int) -> list[tuple[int, int]]:
+    """Masks of random bits: as many bits as leave few codes a pattern, as many masks as give the recall."""
+    bits = min(28, max(12, int(number).bit_length() - 10))
+    masks = int(np.ceil(np.log(1 - WIDE_RECALL) / np.log(1 - (1 - WIDE_SHARE) ** bits)))
+    draw = np.random.default_rng(1234)
+    out = []
+    for _ in range(masks):
+        chosen = draw.permutation(128)[:bits]
+        out.append((sum(1 << int(b) for b in chosen if b < 64), sum(1 << int(b - 64) for b in chosen if b >= 64)))
+    return out
+
+
+def near_text_classes(docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, root) of texts with others of Jaccard similarity ``least`` or more, over lower-cased word shingles.
+
+    A node is a text's XXH64; texts without words are node 0. Distinct texts get 128-bit fingerprints and go under
+    masked patterns of random bits (two texts of similarity 0.8 share one with probability WIDE_RECALL). The codes of a
+    pattern are sorted by Gray rank and joined with themselves through their hierarchical index; a pattern with over
+    NODE_LIMIT codes goes on in blocks, each with each. What differs in few enough bits is verified exactly.
+    """
+    t = F.col(text)
+    read = docs.filter(t.isNotNull()).select(F.xxhash64(t).alias("node"), t.alias("t"))
+
+    def sign(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                code = wide_fingerprints([x.as_py() for x in part.column(1).cast(pa.binary())], shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(code[:, k]).view(np.int64)) for k in (0, 1))], names=["node", "one", "two"])
+
+    codes = saved(read.mapInArrow(sign, "node long, one long, two long").filter("one <> 0 or two <> 0").distinct())
+    number = codes.count()
+    masks = wide_masks(number)
+
+    def keyed(batches):
+        for batch in batches:
+            node, one, two = (np.asarray(batch.column(i)).view(np.uint64) for i in range(3))
+            for i, (a, b) in enumerate(masks):
+                key = mixed(mixed(np.uint64(i + 1) ^ (one & np.uint64(a))) ^ (two & np.uint64(b)))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, node, one, two)], names=["up", "node", "one", "two"])
+
+    shape = "up long, node long, one long, two long"
+    tasks = rows_per_task(docs.sparkSession, number * len(masks), ROWS_PER_TASK)
+    step = saved(codes.select("node", "one", "two").mapInArrow(keyed, shape).repartition(tasks, "up").sortWithinPartitions("up").mapInArrow(_wide_links(NODE_LIMIT), "a long, b long, " + shape).distinct())
+    pairs = step.filter("a is not null").select(F.col("a").alias("node"), F.col("b").alias("low"))
+    over = step.filter("a is null").select("up", "node", "one", "two")
+    if not over.isEmpty():
+        units = in_blocks(over, "up", "node", NODE_LIMIT)
+        blocks = saved(units.repartition("up").sortWithinPartitions("up").mapInArrow(_wide_links(None), "a long, b long, " + shape).distinct())
+        pairs = pairs.union(blocks.select(F.col("a").alias("node"), F.col("b").alias("low")))
+    # one row a node: its family's least node stands for all that it met under the masks
+    family = components(pairs.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    pairs = saved(family.filter("node <> root").select("node", F.col("root").alias("low")))
+    wanted = saved(pairs.select("node").union(pairs.select("low")).distinct())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.withColumnRenamed("node", "anchor")))
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has(sent.value, np.asarray(batch.column(0)).view(np.uint64))))
+
+    texts = read.mapInArrow(some, read.schema).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("t").alias("text"))
+    return verified_components(pairs, saved(texts), lambda x: _shingles(x.encode(), shingle), least)
+
+
+def _wide_links(limit: int | None):
+    """Of rows sorted by pattern: (a, b) links of codes within WIDE_MOST bits, b the least node of those linked; or rows of
+    patterns over the limit, as they came."""
+
+    def out(a, b, over=None):
+        none = pa.nulls(len(a) if over is None else len(over[0]), pa.int64())
+        left = [pa.array(x.view(np.int64)) for x in (a, b)] + [none] * 4 if over is None else [none] * 2 + [pa.array(x.view(np.int64)) for x in over]
+        return pa.RecordBatch.from_arrays(left, names=["a", "b", "up", "node", "one", "two"])
+
+    def index(up, node, one, two):
+        _, group, size = np.unique(up, return_inverse=True, return_counts=True)
+        order = np.lexsort((gray_rank(one), group))
+        order = order[size[group[order]] > 1]
+        if not len(order):
+            return None
+        group, node, one, two = group[order], node[order], one[order], two[order]
+        found = []
+        for i, j in near_pairs(one, group, WIDE_MOST):
+            close = np.bitwise_count(one[i] ^ one[j]) + np.bitwise_count(two[i] ^ two[j]) <= WIDE_MOST
+            found.append((i[close], j[close]))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if not len(i):
+            return None
+        root = local_roots(len(node), i, j)
+        low = np.full(len(node), np.iinfo(np.int64).max, np.int64)
+        np.minimum.at(low, root, node.view(np.int64))
+        member = np.flatnonzero((low[root] != node.view(np.int64)) & (np.bincount(root, minlength=len(node))[root] > 1))
+        return out(node[member], low[root[member]].view(np.uint64))
+
+    def run(batches):
+        empty = np.zeros(0, np.uint64)
+        held, over = (empty,) * 4, None
+        for batch in batches:
+            held = tuple(np.concatenate([h, np.asarray(batch.column(i)).view(np.uint64)]) for i, h in enumerate(held))
+            if not len(held[0]):
+                continue
+            last = held[0][-1]
+            cut = int(np.flatnonzero(held[0] != last)[-1]) + 1 if (held[0] != last).any() else 0
+            done, held = tuple(x[:cut] for x in held), tuple(x[cut:] for x in held)
+            for part, ended in ((done, True), (held, False)):
+                if not len(part[0]):
+                    continue
+                _, group, size = np.unique(part[0], return_inverse=True, return_counts=True)
+                big = (size > limit)[group] if limit else np.zeros(len(group), bool)
+                if over is not None:
+                    big |= part[0] == over
+                if big.any():
+                    yield out(None, None, tuple(x[big] for x in part))
+                    part = tuple(x[~big] for x in part)
+                    if not ended:
+                        over, held = last, part
+                if ended and len(part[0]) and (made := index(*part)) is not None:
+                    yield made
+        if len(held[0]) and (made := index(*held)) is not None:
+            yield made
+
+    return run
+
+
+def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicate texts of ``docs``: that with the smallest id (null last), then text hash.
+
+    Texts count as near by ``near_text_classes``; all texts without words, null ones too, are one group.
+    """
+    t = F.col(text)
+    blank = F.coalesce(F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
+    h = F.when(t.isNotNull(), F.xxhash64(t))
+    marked = docs.select(F.col(id_col).alias("__id"), h.alias("__h"), F.when(blank, F.lit(0)).otherwise(F.xxhash64(t)).cast("long").alias("__node"))
+    firsts = saved(marked.groupBy("__node").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), "__id", "__h")).alias("k")))
+    roots = near_text_classes(docs.filter(~blank), text, shingle, least)
+    classed = firsts.join(roots, firsts["__node"] == roots["node"], "left").select(F.coalesce("root", "__node").alias("root"), "k")
+    kept = classed.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h"), F.lit(1).alias("__n"))
+    rows = docs.withColumns({"__id": F.col(id_col), "__h": h})
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0)))).filter("__n = 1")
+    return null_safe(rows, kept, ["__id", "__h"]).select(docs.columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillspark.llm import decontaminate, embedding_dedup, line_dedup, mixing, packing, quality, sharding, simhash, substring, url_filter
+from quillspark.llm import decontaminate, embedding_dedup, line_dedup, mixing, packing, quality, sharding, simhash, substring, url_filter, verify
 from quillspark.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -171,6 +171,36 @@ def test_near_codes_links_all_pairs(spark, limit):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def _alike(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in (a, b))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_near_texts_by_five_words(spark, odd, none):
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(400)]
+    rows, texts = [], []
+    for k in range(40):
+        base = [draw.choice(words) for _ in range(draw.randint(120, 300))]
+        for _ in range(draw.randint(1, 5)):
+            copy = list(base)
+            for _ in range(draw.randint(0, 4)):
+                copy[draw.randrange(len(copy))] = draw.choice(words)
+            texts.append(" ".join(copy))
+    rows = [(i, t) for i, t in enumerate(texts + texts[:5])]
+    label = list(range(len(rows)))
+    for _ in range(6):
+        for i, (_, a) in enumerate(rows):
+            for j in range(i):
+                if _alike(a, rows[j][1]):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = [r["doc_id"] for r in simhash.drop_near_texts(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == sorted(set(label))
+    kept = simhash.drop_near_texts(odd)
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "5", "8"]
+    assert simhash.drop_near_texts(none).count() == 0
+
+
 # --- op4
 
 
@@ -302,7 +332,7 @@ def test_fuzzy_lines(spark, docs, odd, none):
 
 
 def test_buckets_are_compared_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BUCKET", 3)
+    monkeypatch.setattr(verify, "BUCKET", 3)
     draw = random.Random(8)
     words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
     lines = [" ".join(words[:30] + [words[30 + k % 5] * 2, str(k) * 3]) for k in range(25)]
