@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,6 +81,17 @@ def first_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return firsts.select(F.xxhash64("a", "b", "least.id").alias("key"))
 
 
+def _later_here(one: np.ndarray, two: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which windows repeat an earlier one of the same slice of texts."""
+    order = np.lexsort((place, rank, two, one))
+    o, t, r, p = one[order], two[order], rank[order], place[order]
+    fresh = np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])])
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    sure = np.zeros(len(one), bool)
+    sure[order] = (r != r[head]) | (p != p[head])
+    return sure
+
+
 def repeated_anchors(docs: DataFrame, text: str, window: int, firsts: Broadcast, key: Column) -> DataFrame:
     """(anchor) of the winnowed anchors that occur at two places or more, in one first copy or several."""
 
@@ -119,7 +131,9 @@ def later_windows(docs: DataFrame, firsts: Broadcast, id_col: str = "doc_id", te
     Seeds are winnowed anchors: of the 8-word grams in a window that with the least hash. Equal windows choose equal
     anchors, so texts are joined on the anchors that occur twice or more; each occurrence is extended to both sides
     over all windows that it stands for, and a window repeats where its 128-bit hash does. The first in order of id and
-    place stays, whatever the number of others: no pairs are made. Rows of one id and text are one document.
+    place stays, whatever the number of others: no pairs are made. A window that repeats one of the same slice of texts is
+    known to there, and travels under a key of its own, so a window that is very common meets in no one task. Rows of one
+    id and text are one document.
     """
     key = _copy_key(F.col(id_col), F.col(text))
     marked = saved(repeated_anchors(docs, text, window, firsts, key))
@@ -134,14 +148,17 @@ def later_windows(docs: DataFrame, firsts: Broadcast, id_col: str = "doc_id", te
                 if not len(good):
                     continue
                 one, two = gram_hashes(words, window)[good], gram_hashes(mixed(words), window)[good]
-                rows = pa.array(first + row[good])
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[good].astype(np.int32))], names=["one", "two", "__id", "__h", "place"])
+                rows, at = pa.array(first + row[good]), place[good]
+                rank = np.asarray(pc.rank(batch.column(0).take(rows), null_placement="at_start", tiebreaker="dense"))
+                sure = _later_here(one, two, rank, at)
+                one[sure] = mixed(one[sure] ^ mixed(rank[sure] * np.uint64(1 << 32) + at[sure].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(sure)], names=["one", "two", "__id", "__h", "place", "sure"])
 
     schema = read.select("__id", "__h").schema
-    rows = read.mapInArrow(run, StructType([*StructType.fromDDL("one long, two long").fields, *schema.fields, *StructType.fromDDL("place int").fields]))
+    rows = read.mapInArrow(run, StructType([*StructType.fromDDL("one long, two long").fields, *schema.fields, *StructType.fromDDL("place int, sure boolean").fields]))
     order = Window.partitionBy("one", "two").orderBy("__id", "place")
     first = F.first(F.struct("__id", "place")).over(order)
-    return rows.withColumn("first", first).filter(~F.struct("__id", "place").eqNullSafe(F.col("first"))).select("__id", "__h", "place")
+    return rows.withColumn("first", first).filter(F.col("sure") | ~F.struct("__id", "place").eqNullSafe(F.col("first"))).select("__id", "__h", "place")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, texts: bool = False) -> DataFrame:
