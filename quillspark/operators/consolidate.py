@@ -57,8 +57,8 @@ def merge_duplicates(rows: DataFrame, by: list[str], order: str = "id") -> DataF
     return merged.join(tags, [*by, "content_sha256"], "left")
 
 
-def similar_pairs(new: DataFrame, old: DataFrame, low: float, high: float, digits: int = 9) -> DataFrame:
-    """(new_id, old_id, sim) of vectors with cosine in [low, high), another id each.
+def similar_pairs(new: DataFrame, old: DataFrame, low: float, high: float | None, digits: int = 9) -> DataFrame:
+    """(new_id, old_id, sim) of vectors with cosine in [low, high), or from ``low`` up where ``high`` is None; another id each.
 
     ``new`` is a bounded micro-batch: its vectors are compared with all of ``old`` by retrieval.vector_search-like matrix
     products; the batch is checked against MOST_QUERIES there.
@@ -70,7 +70,8 @@ def similar_pairs(new: DataFrame, old: DataFrame, low: float, high: float, digit
     n = new.select(F.col("id").alias("new_id"), F.col("embedding").alias("__n"))
     o = old.select(F.col("id").alias("old_id"), F.col("embedding").alias("__o"))
     sim = F.round(cosine(F.col("__n"), F.col("__o")), digits)
-    return o.join(F.broadcast(n), F.col("new_id") != F.col("old_id")).select("new_id", "old_id", sim.alias("sim")).filter((F.col("sim") >= low) & (F.col("sim") < high))
+    wanted = F.col("sim") >= low if high is None else (F.col("sim") >= low) & (F.col("sim") < high)
+    return o.join(F.broadcast(n), F.col("new_id") != F.col("old_id")).select("new_id", "old_id", sim.alias("sim")).filter(wanted)
 
 
 def other_lineage(pairs: DataFrame, memories: DataFrame, parent: str = "extracted_from") -> DataFrame:

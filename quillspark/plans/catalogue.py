@@ -253,7 +253,7 @@ def _pairs(spark, sf, low, high):
 
 
 def near_duplicate_pairs(spark, sf):
-    return C.near_duplicates(_pairs(spark, sf, 0.25, 0.99)).select("new_id", "old_id", F.round("sim", 6).alias("sim"))
+    return C.near_duplicates(_pairs(spark, sf, 0.25, None)).select("new_id", "old_id", F.round("sim", 6).alias("sim"))
 
 
 def supersession_proposals(spark, sf):
