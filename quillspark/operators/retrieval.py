@@ -67,11 +67,19 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int, digits: int | N
                     s = np.where(norm == 0, 0.0, np.clip(q @ x.T / norm, -1, 1))
                 if digits is not None:
                     s = np.round(s, digits) + 0.0
+                ids, member = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                ordinal = np.asarray(part.column(1))
+                by_memory = np.lexsort((ordinal, member))
+                starts = np.flatnonzero(np.diff(member[by_memory], prepend=-1))
                 for i, qid in enumerate(qids):
-                    most = min(len(rows), 4 * k)
-                    at = np.argpartition(-s[i], most - 1)[:most] if most < len(rows) else np.arange(len(rows))
-                    if most < len(rows):  # ties at the edge, and chunks of one memory, must not push others out
-                        at = np.flatnonzero(s[i] >= s[i][at].min())
+                    # the best chunk of each memory first, so that many chunks of one push no other out
+                    at = by_memory
+                    if len(ids) < len(at):
+                        best = np.maximum.reduceat(s[i][at], starts)
+                        at = at[s[i][at] == np.repeat(best, np.diff(starts, append=len(at)))]
+                        at = at[np.flatnonzero(np.diff(member[at], prepend=-1))]
+                    if k < len(at):  # with ties at the edge
+                        at = at[s[i][at] >= np.partition(s[i][at], len(at) - k)[len(at) - k]]
                     yield pa.RecordBatch.from_arrays([pa.array([qid] * len(at), qid_type), part.column(0).take(pa.array(at)), pa.array(s[i][at]), part.column(1).take(pa.array(at))], names=schema.names)
 
     return top_per_query(best_chunk(read.mapInArrow(score, schema)), k)

@@ -1,5 +1,9 @@
 """Cases beyond the registered tables: copies, shared names, long documents, many queries."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import retrieval as S
 from quillspark.plans import catalogue
 
 
@@ -8,3 +12,13 @@ def test_near_duplicates_take_copies(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r["new_id"]: (r["old_id"], r["sim"]) for r in catalogue.near_duplicate_pairs(spark, str(tmp_path)).collect()}
     assert got == {0: (1, 1.0), 50: (51, 0.99995)}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_long_documents_push_no_memory_out(spark, kind):
+    near = [(1, o, [1.0, o / 1e4]) for o in range(40)] + [(2, o, [1.0, 0.1 + o / 1e4]) for o in range(40)]
+    rows = near + [(m, 0, [1.0, float(m)]) for m in range(3, 60)]
+    chunks = spark.createDataFrame(rows, "memory_id long, ordinal int, embedding array<double>").coalesce(1).withColumn("memory_id", F.col("memory_id").cast(kind))
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, embedding array<double>")
+    got = S.vector_search(chunks, asked, 5).orderBy("rank").collect()
+    assert [(int(r["memory_id"]), r["ordinal"]) for r in got] == [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0)]
