@@ -269,7 +269,9 @@ def unexplained_pairs(spark, sf):
 
 
 def association_edges(spark, sf):
-    return C.associations(_pairs(spark, sf, 0.1, 0.97), X.memories_text(spark, sf), low=0.1, tag_low=0.1).select("left_id", "right_id", F.round("sim", 6).alias("sim"), "weight", "confidence")
+    m = X.memories_text(spark, sf)
+    named = stored(entities(m.select("id", "content"), "content").select("id", "entities"))
+    return C.associations(_pairs(spark, sf, 0.1, 0.97), m, named, low=0.1, tag_low=0.1).select("left_id", "right_id", F.round("sim", 6).alias("sim"), "weight", "confidence")
 
 
 def entity_lists(spark, sf):

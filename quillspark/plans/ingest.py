@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_memories
 from ..functions.embed import Embedder, contextual, embed
+from ..functions.entities import entities
 from ..functions.text import content_hash, normalize
 from ..operators import consolidate as C
 from ..operators.claims import confirm
@@ -71,7 +72,9 @@ def ingest(space: Space, batch: DataFrame, embedder: Embedder, now: datetime, ad
     replaced = confirm(C.supersessions(band, both), both, adjudicator).filter("confirmed")
     clash = C.contradictions(band, both).select(F.col("left_id").alias("new_id"), F.col("right_id").alias("old_id"), "confidence")
     clash = clash.join(replaced, ["new_id", "old_id"], "left_anti")
-    about = C.associations(band, both).select(F.col("left_id").alias("new_id"), F.col("right_id").alias("old_id"), "confidence")
+    met_ids = band.select(F.col("new_id").alias("id")).union(band.select("old_id")).distinct()
+    named = stored(entities(both.join(met_ids, "id", "left_semi").select("id", "content"), "content").select("id", "entities"))
+    about = C.associations(band, both, named).select(F.col("left_id").alias("new_id"), F.col("right_id").alias("old_id"), "confidence")
     edge = lambda rows, kind: rows.select(F.col("new_id").alias("source_id"), F.col("old_id").alias("target_id"), F.lit(kind).alias("type"), "confidence", F.lit(now).alias("created_at"))
     edges = stored(edge(replaced, "supersedes").unionByName(edge(clash, "contradicts")).unionByName(edge(about, "references")))
     merged = repeats.unionByName(twins).groupBy(F.col("into").alias("id")).agg(F.count("*").cast("int").alias("__more"))

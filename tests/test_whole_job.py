@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions.entities import scan_names
 from quillspark.llm import embedding_dedup
 from quillspark.operators import retrieval as S
 from quillspark.plans import catalogue
@@ -57,3 +58,15 @@ def test_audit_sees_small_families():
     x = np.concatenate([x, x[-250:]]).astype(np.float32)  # pairs beside a large group
     row, node = embedding_dedup.audited_links(Narrow(x), x, 0.95, own=True)
     assert {(a, b) for a, b in zip(row, node, strict=True) if a >= 1500 and a != b} == {(1500 + i, 1500 + (i + 250) % 500) for i in range(500)}
+
+
+def test_associations_take_shared_names(spark, tmp_path):
+    texts = {0: "we met Berta Klein at the gate", 1: "the crane belongs to Berta Klein now", 2: "the crane is out of order"}
+    rows = [(i, t, f"l{i}", f"s{i}") for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, [1.0, 0.5 * i]) for i in texts], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    names = {i: {n for n, _, sure in scan_names(t) if sure} for i, t in texts.items()}
+    want = {(0, i, len(names[0] & names[i]) + 1) for i in (1, 2) if names[0] & names[i]}
+    got = {(r["left_id"], r["right_id"], r["weight"]) for r in catalogue.association_edges(spark, str(tmp_path)).collect()}
+    assert got == want == {(0, 1, 2)}
