@@ -132,6 +132,31 @@ def text_slices(texts: pa.Array, limit: int = CHUNK_BYTES):
         first = last
 
 
+def row_pieces(data: np.ndarray, size: int, separates: np.ndarray = WHITE, overlap: int = 0, limit: int = CHUNK_BYTES):
+    """Yields (first byte, first word, piece, starts, ends) for the ``size`` bytes of one row, about ``limit`` bytes at a time.
+
+    Pieces end between words and repeat the last ``overlap`` words of the piece before; a row of up to ``limit`` bytes is
+    one piece. ``piece`` ends in 8 spare bytes. So a very long text costs the memory of a piece, not its own times 50.
+    """
+    begin, word, reach = 0, 0, limit
+    while True:
+        end = min(size, begin + reach)
+        while end < size and not separates[data[end]]:
+            end += 1
+        piece = np.zeros(end - begin + 8, np.uint8)
+        piece[:-8] = data[begin:end]
+        starts, ends, _ = word_bounds(piece, np.array([0, end - begin]), separates)
+        again = min(overlap, len(starts))
+        back = int(starts[len(starts) - again]) if again else end - begin
+        if end < size and not back:  # the piece has no more words than repeat: take a longer one
+            reach *= 2
+            continue
+        yield begin, word, piece, starts, ends
+        if end >= size:
+            return
+        begin, word, reach = begin + back, word + len(starts) - again, limit
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all rows, and for each row where its words begin (one more at the end)."""
     n = int(offsets[-1])

@@ -8,117 +8,183 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from ._shared import LOWER, text_slices, word_bounds
+from ._shared import LOWER, row_pieces, saved, text_slices, word_bounds, xxh64_slices
 
 #: Bytes that separate words: all ASCII but digits and letters.
 APART = np.ones(256, bool)
 APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 #: Lower-cases A-Z and turns separators into spaces.
 _CLEAN = bytes(0x20 if APART[b] else int(LOWER[b]) for b in range(256))
+_CLEAN_BYTES = np.frombuffer(_CLEAN, np.uint8)
 
-#: Most bytes of distinct windows that one automaton takes in a worker's memory; more are scanned for in several turns.
-AUTOMATON_BYTES = 4 << 20
+#: A word is two letters of the automaton, six bits of its hash each; letters of first and second place differ.
+LETTER_BITS, FIRST_LETTER = 6, 0x100
+#: Bytes of benchmark that one automaton covers (some 130 bytes of worker's memory each); a larger one takes a pass for each part.
+PART_BYTES = 2 << 20
+#: Bytes of text that are scanned at once.
+SCAN_BYTES = 1 << 20
 
 
-def item_windows(items: list[tuple], window: int = 10) -> dict[str, list[str]]:
-    """Windows of the items, words joined by spaces with one at each end, and the ids of the items that have them.
+def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two letters (UTF-32 codes) of each word."""
+    h = xxh64_slices(data, starts, ends - starts)
+    out = np.empty((len(starts), 2), np.uint32)
+    for k in range(2):
+        out[:, k] = (h >> np.uint64(k * LETTER_BITS)) & np.uint64((1 << LETTER_BITS) - 1)
+        out[:, k] += np.uint32(FIRST_LETTER + (k << LETTER_BITS))
+    return out
 
-    Bytes stand as Latin-1 characters. An item of fewer words than ``window``, but not none, is one window.
+
+class Windows:
+    """Automaton over the windows of items, and the exact words and item ids of each window.
+
+    Words enter as two hashed letters each, so a window costs a few nodes whatever the length of its words. What the
+    automaton finds is looked up by its words, which removes chance hits.
     """
-    found: dict[str, set[str]] = {}
-    for item, text in items:
-        words = (text or "").encode().translate(_CLEAN).split()
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(f" {b' '.join(words[i : i + window]).decode('latin-1')} ", set()).add(str(item))
-    return {k: sorted(v) for k, v in sorted(found.items())}
-
-
-def automata(windows: dict[str, list[str]]):
-    """Automata over the windows, each under AUTOMATON_BYTES; usually one."""
-    import ahocorasick
-
-    part, size = ahocorasick.Automaton(), 0
-    for key, ids in windows.items():
-        if size and size + len(key) > AUTOMATON_BYTES:
-            part.make_automaton()
-            yield part
-            part, size = ahocorasick.Automaton(), 0
-        part.add_word(key, (key.count(" ") - 1, ids))
-        size += len(key)
-    if size:
-        part.make_automaton()
-        yield part
-
-
-def _hits(text: bytes, parts) -> tuple[list[tuple[int, int]], set[str]]:
-    """Spans of hit words (first, one past the last) and ids of items with windows in a normalised text."""
-    plain = f" {b' '.join(text.split()).decode('latin-1')} "
-    spans, items, ends = [], set(), None
-    for part in parts:
-        for end, (n, ids) in part.iter(plain):
-            if ends is None:
-                ends = np.flatnonzero(np.frombuffer(plain.encode("latin-1"), np.uint8) == 0x20)
-            last = int(np.searchsorted(ends, end))
-            spans.append((last - n, last))
-            items.update(ids)
-    return spans, items
-
-
-def scan_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None) -> DataFrame:
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        import ahocorasick
+
+        self.exact: dict[bytes, list[str]] = {}
+        self.trie = ahocorasick.Automaton()
+        for item, text in items:
+            data = np.frombuffer(text + bytes(8), np.uint8)
+            starts, ends, _ = word_bounds(data, np.array([0, len(text)]), APART)
+            if not len(starts):
+                continue
+            letters, n = _letters(data, starts, ends).tobytes().decode("utf-32-le"), min(window, len(starts))
+            words = text.split()
+            for i in range(len(words) - n + 1):
+                ids = self.exact.setdefault(b" ".join(words[i : i + n]), [])
+                if not ids:
+                    self.trie.add_word(letters[2 * i : 2 * (i + n)], n)
+                if not ids or ids[-1] != item:
+                    ids.append(item)
+        self.exact = {k: sorted(set(v)) for k, v in self.exact.items()}
+        if self.exact:
+            self.trie.make_automaton()
+
+    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray):
+        """(first word, last word + 1, exact window) of each occurrence; ``rows`` is the row of each word, ascending."""
+        if not self.exact or not len(starts):
+            return
+        at = 2 * np.arange(len(starts)) + rows - rows[0]
+        codes = np.full(int(at[-1]) + 2, 0x20, np.uint32)
+        letters = _letters(data, starts, ends)
+        codes[at], codes[at + 1] = letters[:, 0], letters[:, 1]
+        for end, n in self.trie.iter(codes.tobytes().decode("utf-32-le")):
+            last = int(np.searchsorted(at, end))
+            first = last - n
+            words = b" ".join(data[starts[first] : ends[last - 1]].tobytes().split())
+            if words in self.exact:
+                yield first, last, words
+
+
+_built: dict = {}
+
+
+def _windows(sent, window: int) -> Windows:
+    """The automaton of a broadcast list of items: built once in a worker process, then kept for its next tasks."""
+    key = sent._jbroadcast.id() if getattr(sent, "_jbroadcast", None) is not None else sent._path
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows(sent.value, window)
+    return _built[key]
+
+
+def _merged(spans: list[tuple[int, int, int, int]]) -> tuple[int, list[dict]]:
+    """Words in the union of (first word, last word + 1, first byte, last byte + 1), and its stretches in bytes."""
+    a, b, s, e = np.array(sorted(spans), np.int64).T
+    reach = np.maximum.accumulate(b)
+    begin = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+    finish = np.append(begin[1:], len(a)) - 1
+    return int((reach[finish] - a[begin]).sum()), [{"start": int(x), "end": int(y)} for x, y in zip(s[begin], np.maximum.accumulate(e)[finish])]
+
+
+def _scanned(docs: DataFrame, items: list[tuple[str, bytes]], window: int, text: str) -> DataFrame:
+    """``docs`` with hits of the items added to the columns __words, __spans and __items."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+    span = pa.struct([(c, pa.int64()) for c in ("a", "b", "s", "e")])
+
+    def scan(batches):
+        found = _windows(sent, window)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            spans, ids, words = [[] for _ in range(len(texts))], [set() for _ in range(len(texts))], np.zeros(len(texts), np.int64)
+            seen: set[tuple[int, bytes]] = set()
+
+            def add(row, word, shift, first, last, key, starts, ends):
+                spans[row].append((word + first, word + last, shift + int(starts[first]), shift + int(ends[last - 1])))
+                if (row, key) not in seen:
+                    seen.add((row, key))
+                    ids[row].update(found.exact[key])
+
+            for first, data, offsets in text_slices(texts, SCAN_BYTES):
+                if len(offsets) == 2 and offsets[1] > SCAN_BYTES:
+                    for shift, word, piece, starts, ends in row_pieces(data, int(offsets[1]), APART, window - 1, SCAN_BYTES):
+                        words[first] = word + len(starts)
+                        clean = _CLEAN_BYTES[piece]
+                        for a, b, key in found.hits(clean, starts, ends, np.zeros(len(starts), np.int64)):
+                            add(first, word, shift, a, b, key, starts, ends)
+                    continue
+                starts, ends, of = word_bounds(data, offsets, APART)
+                count = np.diff(of)
+                words[first : first + len(count)] = count
+                rows = np.repeat(np.arange(len(count)), count)
+                for a, b, key in found.hits(_CLEAN_BYTES[data], starts, ends, rows):
+                    r = int(rows[a])
+                    base, shift = int(of[r]), -int(offsets[r])
+                    add(first + r, -base, shift, a, b, key, starts, ends)
+            old_spans, old_items = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__spans", "__items"))
+            spans = [o + [dict(zip("abse", x)) for x in sorted(set(s))] for o, s in zip(old_spans, spans)]
+            new = {"__words": pa.array(words), "__spans": pa.array(spans, pa.list_(span)), "__items": pa.array([sorted(set(o) | i) for o, i in zip(old_items, ids)], pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def scan_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """``keep`` columns of ``docs`` (all by default) and ``n_words, n_hit, n_items, items_sha256, contaminated, hit_spans``.
 
     Texts and items are lower-cased (A-Z) and cut into words of ASCII letters, digits and bytes from 0x80. A document
-    word inside any occurrence of an item's window is hit. ``hit_spans`` lists the hit stretches as (start, end) byte
-    offsets of the original UTF-8 text. Each text is scanned once by the automaton, which is built from the benchmark
-    table; that is read on the driver, as a benchmark is a bounded list of test items: its distinct windows are sent to
-    the workers, and where they are over AUTOMATON_BYTES they are scanned for in several turns.
+    word inside any occurrence of an item's window is hit; an item of fewer words than ``window``, but not none, is one
+    window. ``hit_spans`` lists the hit stretches as (start, end) byte offsets of the original UTF-8 text.
+
+    The items are read on the driver and sent to the workers, each of which builds one automaton and keeps it; each
+    text is scanned once by it, very long ones piece by piece. That table's size is checked first: what goes to the
+    driver and the workers at once is at most ``part_bytes``, and a larger benchmark is dealt into parts by hash, one
+    pass over the texts each, whose hits are added up.
 
     Null and empty texts have no words and no hits; items without words have no window; repeated items count by their
     ids once; an empty benchmark hits nothing. Rows stay as they are, repeats too; own columns of these names go.
     """
-    windows = item_windows([tuple(r) for r in benchmark.select(item_id, item_text).collect()], window)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(windows)
     new = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:long,end:long>>"
-    added = [x.split()[0] for x in new.split(", ")]
-    columns = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    read = docs.select(*columns, F.col(text).alias("__text"))
-    schema = docs.select(*columns).schema
-    for f in StructType.fromDDL(new).fields:
-        schema = schema.add(f)
+    added = StructType.fromDDL(new)
+    columns = [c for c in (keep if keep is not None else docs.columns) if c not in added.names]
+    kept = docs.select(*columns).schema
+    t = F.col(item_text)
+    listed = benchmark.filter(t.isNotNull()).select(F.col(item_id).cast("string").alias("item"), t.alias("text")).distinct()
+    parts = max(1, -(-(listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+    hidden = "array<struct<a:long,b:long,s:long,e:long>>"
+    rows = docs.select(*columns, F.col(text).alias("__t"), F.lit(0).cast("long").alias("__words"), F.array().cast(hidden).alias("__spans"), F.array().cast("array<string>").alias("__items"))
+    for p in range(parts):
+        mine = listed.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).collect()
+        items = sorted(("null" if r["item"] is None else r["item"], r["text"].encode("utf-8", "surrogatepass").translate(_CLEAN)) for r in mine)
+        rows = _scanned(saved(rows) if p else rows, items, window, "__t")
+    schema = StructType([*kept.fields, *added.fields])
     none = hashlib.sha256(b"").hexdigest()
 
-    def scan(batches):
-        parts = list(automata(sent.value)) if sum(map(len, sent.value)) <= AUTOMATON_BYTES else None
+    def digest(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            n_words, n_hit, n_items, sha, spans_out = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [none] * len(texts), [[]] * len(texts)
-            for first, data, offsets in text_slices(texts):
-                starts, ends, of = word_bounds(data, offsets, APART)
-                n_words[first : first + len(offsets) - 1] = np.diff(of)
-                whole = data.tobytes().translate(_CLEAN)
-                for r in range(len(offsets) - 1):
-                    if of[r] == of[r + 1]:
-                        continue
-                    spans, items = _hits(whole[offsets[r] : offsets[r + 1]], parts if parts is not None else automata(sent.value))
-                    if not spans:
-                        continue
-                    step = np.zeros(of[r + 1] - of[r] + 1, np.int64)
-                    for a, b in spans:
-                        step[a] += 1
-                        step[b] -= 1
-                    hit = np.cumsum(step[:-1]) > 0
-                    row = first + r
-                    n_hit[row], n_items[row] = int(hit.sum()), len(items)
-                    sha[row] = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    s, e = starts[of[r] : of[r + 1]] - offsets[r], ends[of[r] : of[r + 1]] - offsets[r]
-                    spans_out[row] = [{"start": int(s[a]), "end": int(e[b - 1])} for a, b in zip(edge[::2], edge[1::2])]
-            more = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(n_hit > 0), pa.array(spans_out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*columns, *added])
-
-    return read.mapInArrow(scan, schema)
-
-
+            out: dict[str, list] = {c: [] for c in added.names}
+            words, spans, ids = (batch.column(batch.num_columns - k).to_pylist() for k in (3, 2, 1))
+            for w, s, i in zip(words, spans, ids):
+                hit, stretches = _merged([(x["a"], x["b"], x["s"], x["e"]) for x in s]) if s else (0, [])
+                for c, v in zip(added.names, (w, hit, len(i), hashlib.sha256(",".join(i).encode()).hexdigest() if i else none, hit > 0, stretches)):
+                    out[c].append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=schema.names)
+
+    return rows.drop("__t").mapInArrow(digest, schema)

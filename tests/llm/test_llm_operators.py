@@ -415,9 +415,9 @@ def test_contamination(spark, docs, odd, none, monkeypatch):
     by = defaultdict(set)
     for w, i in windows:
         by[w].add(str(i))
-    for limit in (decontaminate.AUTOMATON_BYTES, 2000):
-        monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", limit)
-        for r in decontaminate.scan_contamination(docs, table).collect():
+    monkeypatch.setattr(decontaminate, "SCAN_BYTES", 3000)
+    for limit in (decontaminate.PART_BYTES, 8000):
+        for r in decontaminate.scan_contamination(docs, table, part_bytes=limit).collect():
             words, hit, ids = cut(r["text"]), set(), set()
             for n in {len(w) for w in by}:
                 for p in range(len(words) - n + 1):
@@ -431,3 +431,37 @@ def test_contamination(spark, docs, odd, none, monkeypatch):
     assert decontaminate.scan_contamination(odd, table).count() == odd.count()
     assert decontaminate.scan_contamination(odd, table.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.scan_contamination(none, table).count() == 0
+
+
+def test_contamination_by_a_large_benchmark(spark):
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30_000)]
+    items = [(k, " ".join(draw.choice(words) for _ in range(120))) for k in range(1200)]
+    table = spark.createDataFrame(items, "item_id long, text string")  # 10 MB of windows
+    docs, want = [], {}
+    for d in range(60):
+        text, hit, ids = [], 0, set()
+        for _ in range(5):
+            text += [draw.choice(words) for _ in range(50)]
+            if d % 2:
+                k, p = draw.randrange(1200), draw.randrange(100)
+                text += ["and"] + items[k][1].split()[p : p + 15] + ["then"]
+                hit += 15
+                ids.add(str(k))
+        docs.append((d, " ".join(text).upper()))
+        want[d] = (len(text), hit, hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest())
+    got = decontaminate.scan_contamination(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items_sha256"]) for r in got} == want
+
+
+def test_long_rows_in_pieces():
+    from quillspark.llm import _shared
+
+    text = b"  ab cd  e " + b"x" * 50 + b" f g h i j k" * 30
+    data = np.concatenate([np.frombuffer(text, np.uint8), np.zeros(8, np.uint8)])
+    for overlap in (0, 1, 3):
+        got = {}
+        for begin, word, piece, starts, ends in _shared.row_pieces(data, len(text), overlap=overlap, limit=16):
+            for k, (a, b) in enumerate(zip(starts, ends)):
+                assert got.setdefault(word + k, (begin + a, begin + b)) == (begin + a, begin + b)
+        assert [text[got[k][0] : got[k][1]] for k in range(len(got))] == text.split()
