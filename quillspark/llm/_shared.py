@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; bounds a Python worker's memory whatever the batch size.
@@ -75,12 +75,36 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(other, cond, how).drop(*[f"__r_{i}" for i in range(len(keys))])
 
 
-def with_row_number(df: DataFrame, id_col: str, ties: list[str]) -> DataFrame:
-    """Adds ``__n``: 1, 2, ... among rows of one id, so that repeated ids stay separate rows.
+def row_tie(df: DataFrame) -> Column:
+    """Hash of all columns of a row: tells rows of one id apart the same way in every run."""
+    return F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields])
 
-    Rows equal in ``ties`` too are exact repeats, for which any numbering is the same.
+
+def with_row_number(df: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``__n``: 1, 2, ... among rows of one key, which has an id and a hash of all else: they are exact repeats."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+
+
+#: A key with over this part of a join's rows is hot: so there are fewer hot keys than its inverse.
+HOT_PART = 1 / 500
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of ``left``, any key of which may have a large part of its rows, with ``right``, unique in the keys.
+
+    Hot keys are counted first (combined where the rows are) and number under 1 / HOT_PART by definition: their right rows
+    are broadcast, so their left rows stay where they are, and all others are joined by a shuffle. ``left`` is read
+    twice, so it should be a saved table or cheap. Null keys match nothing.
     """
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*ties)))
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__c"))
+    hot = saved(counts.filter(F.col("__c") > max(1.0, left.count() * HOT_PART)).select(*keys).filter(" and ".join(f"{k} is not null" for k in keys)))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    columns = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]
+    few = right.join(F.broadcast(hot), keys, "left_semi")
+    cold = marked.filter("__hot is null").drop("__hot").join(right, keys, how)
+    return cold.select(columns).union(marked.filter("__hot").drop("__hot").join(F.broadcast(few), keys, how).select(columns))
 
 
 def with_global_rank(df: DataFrame, order: list[str], name: str = "__rank") -> DataFrame:
@@ -96,9 +120,9 @@ def with_global_rank(df: DataFrame, order: list[str], name: str = "__rank") -> D
     return joined.withColumn(name, F.col("__at") - 1 + F.coalesce("__before", F.lit(0))).drop("__pid", "__at", "__before")
 
 
-def rows_per_task(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Number of partitions that keeps each at about ``per_task`` rows, at least the session's parallelism."""
-    return max(1, min(spark.sparkContext.defaultParallelism, rows), -(-rows // per_task))
+def tasks_for(rows: int, per_task: int) -> int:
+    """Number of parts of about ``per_task`` rows; it follows from the rows alone, never from the cluster."""
+    return max(1, -(-rows // per_task))
 
 
 # --- bytes -------------------------------------------------------------------------------------------------------
