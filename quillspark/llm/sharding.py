@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import null_safe, rows_per_task, saved, text_key, with_row_number, with_text_key
+from ._shared import null_safe, row_tie, saved, tasks_for, text_key, with_text_key
 
 #: Cells a shard's fair share is cut into: what differencing sees is bounded by the shard count, not by the documents.
 CELLS_PER_SHARD = 400
 #: Rows whose slots one task numbers.
-ROWS_PER_LOT = 50_000
+ROWS_PER_LOT = 10_000
 
 
 def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,35 +51,32 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, held[at - 1]
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text: str = "text", overhead: int = 16, keep_under: float = 0.8) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``; law ``bytes``.
 
-    Size is UTF-8 bytes of the text plus ``overhead``. Rows of equal text form a group that goes to one shard whole,
-    unless it weighs over ``keep_under`` of a shard's fair share: such a group (there are at most
-    ``n_shards / keep_under``) is first cut into small pieces of whole rows by a hash of the id.
+    Size is UTF-8 bytes of the text plus ``overhead``. Rows of equal text form a group that goes to one shard whole. Only
+    a group that weighs more than a whole fair share (there are fewer than ``n_shards``) is cut, into small pieces of
+    whole rows by a hash of the id: no shard could hold it and be near equal.
 
     Groups heavier than 1 / CELLS_PER_SHARD of a fair share are cells of their own; lighter ones are dealt by hash into
-    as many cells (or are cells of their own too, where there are few groups). So at most
-    ``2 * CELLS_PER_SHARD * n_shards`` weighted cells, and the pieces, are differenced, in one task, and the tables that
-    are broadcast to the rows have this bound. Rows are shuffled only, as narrow rows, to number the slots.
+    ``CELLS_PER_SHARD * n_shards`` cells, however many there are. So at most ``2 * CELLS_PER_SHARD * n_shards`` weighted
+    cells, and the pieces, are differenced, in one task, and the tables that are broadcast to the rows have this bound.
+    Rows are shuffled only, as narrow rows, to number the slots, in lots whose number follows from that of the rows.
 
     Null texts are one group of size ``overhead`` and null CRC; empty texts another. Repeated rows are rows of their
     own, with slots of their own. Empty input gives no rows; fewer groups than shards leave shards empty.
     """
-    spark = docs.sparkSession
     key = text_key()
     base = saved(with_text_key(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")), "__t", overhead).drop("__t"))
     groups = base.groupBy(*key).agg(F.sum("__size").alias("bytes"), F.count("*").alias("n"))
-    seen = groups.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("rows"), F.count("*").alias("groups")).first()
+    seen = groups.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("rows")).first()
     share = max(1.0, (seen["bytes"] or 0) / n_shards)
-    few = seen["groups"] <= CELLS_PER_SHARD * n_shards
-    limit = keep_under * share
-    pieces = F.when((F.col("bytes") > limit) & (F.col("n") > 1), F.ceil(F.col("bytes") * 10 / share)).otherwise(1)
+    pieces = F.when((F.col("bytes") > share) & (F.col("n") > 1), F.ceil(F.col("bytes") * 10 / share)).otherwise(1)
     # at most CELLS_PER_SHARD * n_shards groups weigh so much, whatever the input
-    large = groups.filter(F.col("bytes") > (limit if few else share / CELLS_PER_SHARD)).select(*key, pieces.cast("int").alias("__cut"))
+    large = groups.filter(F.col("bytes") > share / CELLS_PER_SHARD).select(*key, pieces.cast("int").alias("__cut"))
     own = F.xxhash64(*key, F.when(F.col("__cut") > 1, F.pmod(F.xxhash64("__id"), F.col("__cut"))).otherwise(F.lit(0)))
     dealt = F.xxhash64(F.pmod(F.xxhash64(*key), F.lit(CELLS_PER_SHARD * n_shards)))
-    celled = null_safe(base, F.broadcast(large), key, "left").withColumn("__cell", own if few else F.when(F.col("__cut").isNull(), dealt).otherwise(own)).drop("__cut")
+    celled = null_safe(base, F.broadcast(large), key, "left").withColumn("__cell", F.when(F.col("__cut").isNull(), dealt).otherwise(own)).drop("__cut")
     cells = celled.groupBy("__cell").agg(F.sum("__size").alias("bytes"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +86,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
         return pd.DataFrame({"__cell": pdf["__cell"], "shard": difference(parts)[0][:, 0].astype(np.int32)})
 
     home = saved(cells.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(place, "__cell long, shard int"))
-    lots = rows_per_task(spark, seen["rows"] or 0, ROWS_PER_LOT)
+    lots = tasks_for(seen["rows"] or 0, ROWS_PER_LOT)
     put = celled.join(F.broadcast(home), "__cell").withColumn("__lot", F.pmod(F.xxhash64("__id", "__h", F.lit(7)), F.lit(lots)).cast("int"))
     before = put.groupBy("shard", "__lot").count().withColumn("__before", F.sum("count").over(Window.partitionBy("shard").orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)))
     at = F.row_number().over(Window.partitionBy("shard", "__lot").orderBy("__id", "__h", "__crc", "__size"))
@@ -112,10 +109,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
 def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``; each row's bytes are shuffled once, to meet its place.
 
-    Rows meet by id and text hash; repeated rows are told apart by a number among their likes. Own columns of these
-    names are replaced.
+    Rows meet by id and text hash; rows alike in both are told apart by a number in order of all their columns. Own
+    columns of these names are replaced.
     """
     places = shard_by_bytes(docs, n_shards, id_col, text, **options).select(F.col(id_col).alias("__id"), F.col("text_xxh64").alias("__h"), "shard", "slot")
-    places = with_row_number(places, "__id", ["__h", "shard", "slot"])
-    rows = docs.drop("shard", "slot").withColumns({"__id": F.col(id_col), "__h": F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text)))})
-    return null_safe(with_row_number(rows, "__id", ["__h"]), places.drop("__h"), ["__id", "__n"]).drop("__id", "__h", "__n")
+    like = Window.partitionBy("__id", "__h")
+    places = places.withColumn("__n", F.row_number().over(like.orderBy("shard", "slot")))
+    docs = docs.drop("shard", "slot")
+    rows = docs.withColumns({"__id": F.col(id_col), "__h": F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))), "__tie": row_tie(docs)})
+    rows = rows.withColumn("__n", F.row_number().over(like.orderBy("__tie"))).drop("__tie")
+    return null_safe(rows, places, ["__id", "__h", "__n"]).drop("__id", "__h", "__n")
