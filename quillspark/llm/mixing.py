@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mixed, rows_per_task, saved, with_global_rank, with_row_number
+from ._shared import mixed, row_tie, saved, tasks_for, with_global_rank, with_row_number
 
 #: Rows that one task rounds, residual rows of earlier tasks that one later task combines.
-ROWS_PER_TASK, FAN_IN = 50_000, 64
+ROWS_PER_TASK, FAN_IN = 10_000, 64
 #: Fractions nearer than this to 0 or 1 count as integral.
 NEAR = 1e-9
 
@@ -73,28 +73,31 @@ def pivot(mass: np.ndarray, size: np.ndarray, coin: np.ndarray) -> tuple[np.ndar
     return out, held
 
 
-def mix_copies(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """(id, __n, source, size, source_size, target, copies) for every row: how often the mix takes it.
+def mix_copies(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, tie: Column | None = None) -> DataFrame:
+    """(id, __tie, __n, source, size, source_size, target, copies) for every row: how often the mix takes it.
 
     A row's expected copies are target over size of its source, at most ``most``. The whole part is certain; the
     fractions are rounded by pivotal exchange that keeps each source's words: first in buckets of rows by hash (a
     source with any share of the rows is spread over all buckets), largest rows first, then the buckets' residual
     rows in a tree. At its root at most one row a source is left; it goes to the nearer integer, so a source misses
-    its target by at most half that row's words. All draws follow from ids and ``seed``: reruns agree.
+    its target by at most half that row's words. All draws follow from ids, ``tie`` (a hash of what else tells rows of one
+    id apart; by default of source and size) and ``seed``, and buckets from the number of rows: reruns agree on any
+    cluster.
 
     Rows without words take no part in the exchange and are drawn singly. Null sources are a source of their own.
     """
-    spark = docs.sparkSession
     counted = F.coalesce(size, F.lit(0)).cast("long") if size is not None else word_count(F.col("text"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(source).cast("string").alias("source"), counted.alias("size"))
-    rows = saved(with_row_number(rows, "__id", ["source", "size"]))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(source).cast("string").alias("source"), counted.alias("size"), *([tie.alias("__tie")] if tie is not None else []))
+    if tie is None:
+        rows = rows.withColumn("__tie", F.xxhash64("source", "size"))
+    rows = saved(with_row_number(rows, ["__id", "__tie"]))
     targets = source_targets(rows.select("source", "size"), weights, share, most)
-    buckets = rows_per_task(spark, rows.count(), ROWS_PER_TASK)
+    buckets = tasks_for(rows.count(), ROWS_PER_TASK)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(float(min(share, most))))
     near = targets.withColumnRenamed("source", "__s")
     joined = (
         rows.join(near, rows["source"].eqNullSafe(near["__s"]), "left").drop("__s")
-        .withColumn("__hash", F.xxhash64(F.col("__id"), F.col("__n"), F.lit(seed)))
+        .withColumn("__hash", F.xxhash64(F.col("__id"), F.col("__tie"), F.col("__n"), F.lit(seed)))
         .withColumn("__ratio", ratio)
         .withColumn("__whole", F.floor(F.col("__ratio") + NEAR).cast("int"))
         .withColumn("__part", F.greatest(F.col("__ratio") - F.col("__whole"), F.lit(0.0)))
@@ -132,12 +135,13 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
     for more in finished:
         settled = settled.union(more)
     out = done.filter("not __left").select(columns).union(settled)
-    return out.select("__id", "__n", "source", "size", "source_size", "target", (F.col("__whole") + F.round("__part")).cast("int").alias("copies"))
+    return out.select("__id", "__tie", "__n", "source", "size", "source_size", "target", (F.col("__whole") + F.round("__part")).cast("int").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it (none to twice); columns as before."""
-    plan = mix_copies(docs.withColumn("__w", word_count(F.col(text))), id_col, source, F.col("__w"), **options).select(F.col("__id").alias("__pid"), F.col("__n").alias("__pn"), "copies").filter("copies > 0")
-    rows = with_row_number(docs.withColumns({"__id": F.col(id_col), "__s": F.col(source).cast("string"), "__w": word_count(F.col(text))}), "__id", ["__s", "__w"])
-    met = rows.join(plan, rows["__id"].eqNullSafe(plan["__pid"]) & (rows["__n"] == plan["__pn"]))
+    plan = mix_copies(docs, id_col, source, word_count(F.col(text)), tie=row_tie(docs), **options)
+    plan = plan.filter("copies > 0").select(F.col("__id").alias("__pid"), F.col("__tie").alias("__pt"), F.col("__n").alias("__pn"), "copies")
+    rows = with_row_number(docs.withColumns({"__id": F.col(id_col), "__tie": row_tie(docs)}), ["__id", "__tie"])
+    met = rows.join(plan, rows["__id"].eqNullSafe(plan["__pid"]) & (rows["__tie"] == plan["__pt"]) & (rows["__n"] == plan["__pn"]))
     return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
