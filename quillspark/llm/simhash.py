@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, joined_words, local_roots, mixed, null_safe, rows_per_task, saved, text_slices, word_bounds, xxh64_slices
+from ._shared import LOWER, joined_words, local_roots, mixed, null_safe, row_tie, saved, tasks_for, text_slices, word_bounds, xxh64_slices
 from .components import components
 from .substring import bitmap, has
 from .verify import verified_components
@@ -21,7 +21,7 @@ NODE_LIMIT = 8192
 #: Children of a node of the hierarchical index; node pairs that are expanded at once.
 FANOUT, PAIRS_AT_ONCE = 8, 200_000
 #: Keyed rows that one task indexes.
-ROWS_PER_TASK = 500_000
+ROWS_PER_TASK = 250_000
 
 
 def fingerprint_rows(data: np.ndarray, offsets: np.ndarray, shingle: int = 4) -> np.ndarray:
@@ -198,7 +198,7 @@ def near_codes(codes: DataFrame, fp: str = "fp", most: int = 4, limit: int = NOD
     """
     blocks, same = most + 2, 2
     rows = codes.select(F.col(fp).cast("long").alias("fp")).distinct()
-    tasks = rows_per_task(codes.sparkSession, rows.count() * blocks * (blocks - 1) // 2, ROWS_PER_TASK)
+    tasks = tasks_for(rows.count() * blocks * (blocks - 1) // 2, ROWS_PER_TASK)
     step = saved(_linked(_keyed(rows, blocks, same), tasks, most, limit))
     edges, over = step.filter("a is not null").select("a", "b"), step.filter("a is null").select("node", "fp")
     if not over.isEmpty():
@@ -233,12 +233,13 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each near-duplicate group of ``docs``: that with the smallest id (of these, with the smallest text hash)."""
+    """One row of each near-duplicate group of ``docs``: that with the smallest id (of these, with the smallest text
+    hash, then the smallest hash of all columns)."""
     classes = saved(simhash_classes(docs, id_col, text, **options))
     kept = classes.filter(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__fp", "component_id").agg(F.min(F.struct("__id", "__h")).alias("k"))
     kept = kept.groupBy("component_id").agg(F.min("k").alias("k")).select(F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h"), F.lit(1).alias("__n"))
     rows = docs.withColumns({"__id": F.col(id_col), "__h": F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text)))})
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0)))).filter("__n = 1")
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(row_tie(docs)))).filter("__n = 1")
     return null_safe(rows, kept, ["__id", "__h"]).select(docs.columns)
 
 
@@ -316,7 +317,7 @@ def near_text_classes(docs: DataFrame, text: str = "text", shingle: int = 5, lea
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, node, one, two)], names=["up", "node", "one", "two"])
 
     shape = "up long, node long, one long, two long"
-    tasks = rows_per_task(docs.sparkSession, number * len(masks), ROWS_PER_TASK)
+    tasks = tasks_for(number * len(masks), ROWS_PER_TASK)
     step = saved(codes.select("node", "one", "two").mapInArrow(keyed, shape).repartition(tasks, "up").sortWithinPartitions("up").mapInArrow(_wide_links(NODE_LIMIT), "a long, b long, " + shape).distinct())
     pairs = step.filter("a is not null").select(F.col("a").alias("node"), F.col("b").alias("low"))
     over = step.filter("a is null").select("up", "node", "one", "two")
@@ -398,7 +399,8 @@ def _wide_links(limit: int | None):
 
 
 def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of each group of near-duplicate texts of ``docs``: that with the smallest id (null last), then text hash.
+    """One row of each group of near-duplicate texts of ``docs``: that with the smallest id (null last), then text hash,
+    then hash of all columns.
 
     Texts count as near by ``near_text_classes``; all texts without words, null ones too, are one group.
     """
@@ -411,5 +413,5 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classed = firsts.join(roots, firsts["__node"] == roots["node"], "left").select(F.coalesce("root", "__node").alias("root"), "k")
     kept = classed.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h"), F.lit(1).alias("__n"))
     rows = docs.withColumns({"__id": F.col(id_col), "__h": h})
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0)))).filter("__n = 1")
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(row_tie(docs)))).filter("__n = 1")
     return null_safe(rows, kept, ["__id", "__h"]).select(docs.columns)
