@@ -73,6 +73,29 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
     return bins
 
 
+#: Characters that are encoded at once by the pattern above, whose matcher fails on far longer runs of white space.
+ENCODE_CHARS = 1 << 16
+
+
+def encodable(text: str, most: int = ENCODE_CHARS) -> list[str]:
+    """``text`` in parts of at most ``most`` characters, cut before white space where some other character stands before.
+
+    No token of PATTERN crosses such a place, so the parts' tokens are those of the text. A part without one, such as a
+    run of millions of spaces, is cut anyhow: its tokens then still spell the text, byte for byte.
+    """
+    parts, at = [], 0
+    while len(text) - at > most:
+        cut = at + most
+        while True:
+            cut = max(text.rfind(" ", at, cut), text.rfind("\n", at, cut))
+            if cut <= at or not text[cut - 1].isspace():
+                break
+        cut = cut if cut > at else at + most
+        parts.append(text[at:cut])
+        at = cut
+    return [*parts, text[at:]]
+
+
 def load_tokenizer(name: str, content: bytes):
     """Function from a list of texts to lists of ids; ``name``'s ending tells the kind of file that ``content`` is."""
     if name.endswith(".tiktoken"):
@@ -80,7 +103,7 @@ def load_tokenizer(name: str, content: bytes):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         coder = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [coder.encode_ordinary(t) for t in texts]
+        return lambda texts: [[i for part in encodable(t) for i in coder.encode_ordinary(part)] for t in texts]
     if name.endswith(".json"):
         from tokenizers import Tokenizer
 
