@@ -8,25 +8,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_saved, saved
+from ._shared import HOT_PART, drop_saved, saved
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction: each node's larger (or smaller) neighbours are linked to its smallest neighbour."""
+def _star(edges: DataFrame, large: bool, hubs: list[int]) -> DataFrame:
+    """One contraction: each node's larger (or smaller) neighbours are linked to its smallest neighbour.
+
+    Edges of ``hubs`` meet their smallest neighbour by a broadcast of these few rows, so no task gets a hub's edges.
+    """
     both = edges.union(edges.select(F.col("b"), F.col("a"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    linked = both.join(lowest, "a")
+    if hubs:
+        hub = F.col("a").isin(hubs)
+        linked = both.filter(~hub).join(lowest.filter(~hub), "a").union(both.filter(hub).join(F.broadcast(lowest.filter(hub)), "a"))
+    else:
+        linked = both.join(lowest, "a")
     moved = linked.filter("b > a" if large else "b <= a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.union(lowest.select("a", F.col("m").alias("b")))
     return moved.filter("a != b").distinct()
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether all edges, from the larger to the smaller node, are stars: no node has two, or is both leaf and centre."""
+def _state(edges: DataFrame, number: int) -> tuple[bool, list[int]]:
+    """Whether all edges, from the larger to the smaller node, are stars (no node has two, or is both leaf and centre),
+    and the hubs: nodes with over HOT_PART of the edges, of which there are fewer than 2 / HOT_PART."""
     ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
-    seen = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-    return seen.filter("out > 1 or (out = 1 and into = 1)").isEmpty()
+    seen = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"), F.count("*").alias("edges"))
+    row = seen.agg(F.max(F.expr("out > 1 or (out = 1 and into = 1)")).alias("open"), F.collect_list(F.when(F.col("edges") > max(number * HOT_PART, 2), F.col("n"))).alias("hubs")).first()
+    return not row["open"], row["hubs"]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -38,9 +47,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     kept = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a != b").distinct()
     now = saved(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(most_rounds):
-        if _settled(now):
+        done, hubs = _state(now, now.count())
+        if done:
             break
-        after = saved(_star(_star(now, True), False))
+        after = saved(_star(_star(now, True, hubs), False, hubs))
         drop_saved(now)
         now = after
     else:

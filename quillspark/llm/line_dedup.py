@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._shared import mixed, null_safe, saved
+from ._shared import hot_join, mixed, null_safe, saved
 from .substring import bitmap, has
 from .verify import verified_components
 
@@ -18,8 +18,8 @@ from .verify import verified_components
 SHINGLE, LEAST = 8, 0.8
 #: Bands and signature rows of each: lines of similarity 0.8 share a band with probability 0.99, of 0.9 with 0.99999.
 BANDS, ROWS = 12, 5
-#: Characters of text that are signed at once.
-STEP_CHARS = 1 << 17
+#: Characters of text that are signed at once; lines that a task remembers, so that it signs and sends a common one once.
+STEP_CHARS, REMEMBERED = 1 << 17, 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,16 +96,22 @@ def _lines(text: str | None) -> list[str]:
 
 
 def _signed(batches):
-    """(key, line) of each distinct line of each batch and band."""
+    """(key, line) of each line and band; a line comes once a task, or once in REMEMBERED distinct lines of it."""
+    met: set[int] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
-            lines = list({x for t in batch.column(0).slice(lo, 256).to_pylist() for x in _lines(t) if x})
-            while lines:
-                total, take = 0, 0
-                while take < len(lines) and (not take or total + len(lines[take]) <= STEP_CHARS):
+            named = {_line_id(x): x for t in batch.column(0).slice(lo, 256).to_pylist() for x in set(_lines(t)) if x}
+            fresh = [i for i in named if i not in met]
+            if len(met) > REMEMBERED:
+                met.clear()
+            met.update(fresh)
+            lines, done = [named[i] for i in fresh], 0
+            while done < len(lines):
+                total, take = 0, done
+                while take < len(lines) and (take == done or total + len(lines[take]) <= STEP_CHARS):
                     total, take = total + len(lines[take]), take + 1
-                part, lines = lines[:take], lines[take:]
-                ids = np.array([_line_id(x) for x in part], np.int64)
+                part, ids = lines[done:take], np.array(fresh[done:take], np.int64)
+                done = take
                 yield pa.RecordBatch.from_arrays([pa.array(band_keys(part).ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["key", "line"])
 
 
@@ -161,8 +167,8 @@ def remove_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """(id, n_lines, n_removed, kept_sha256, removed_lines) for every row; with ``texts`` also ``kept_text``.
 
     Lines are cut at line feeds and compared without the white space around them; blank lines are never removed. Of
-    each component of equal or similar lines (Jaccard of 8-character shingles 0.8 or more) the first stays, by id and
-    line number. ``removed_lines`` lists the numbers from 0 of the lines that go. Kept lines are joined by line feeds.
+    each component of equal or similar lines (Jaccard of 8-character shingles 0.8 or more) the first stays, by id, text
+    hash and line number. ``removed_lines`` lists the numbers from 0 of the lines that go. Kept lines are joined by line feeds.
     Null texts have no lines, an empty text has one blank line. Rows of one id and text are one document: repeated rows
     lose the same lines. A null id comes before all others.
     """
@@ -182,12 +188,12 @@ def remove_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     held = read.select("__id", "__h").schema.fields
     seen = saved(read.mapInArrow(occurrences, StructType([*held, *StructType.fromDDL("number int, line long").fields])))
-    counts = seen.groupBy("line").agg(F.count("*").alias("n"))
-    classed = saved(counts.join(roots, counts["line"] == roots["node"], "left").select("line", "n", F.coalesce("root", "line").alias("root")))
-    several = classed.groupBy("root").agg(F.sum("n").alias("m")).filter("m > 1").select("root")
-    repeated = saved(seen.join(classed.join(several, "root").select("line", "root"), "line").select("__id", "__h", "number", "root"))
-    heads = repeated.groupBy("root").agg(F.min(F.struct("__id", "number")).alias("head"))
-    gone = repeated.join(heads, "root").filter(~F.struct("__id", "number").eqNullSafe(F.col("head"))).groupBy("__id", "__h").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+    place = F.struct("__id", "__h", "number")
+    firsts = seen.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    classed = saved(firsts.join(roots, firsts["line"] == roots["node"], "left").select("line", "n", "first", F.coalesce("root", "line").alias("root")))
+    heads = classed.groupBy("root").agg(F.sum("n").alias("m"), F.min("first").alias("head")).filter("m > 1").select("root", "head")
+    headed = saved(hot_join(classed.select("line", "root"), heads, ["root"]).select("line", "head"))
+    gone = hot_join(seen, headed, ["line"]).filter(~place.eqNullSafe(F.col("head"))).groupBy("__id", "__h").agg(F.array_sort(F.collect_set("number")).alias("gone"))
     joined = null_safe(read, gone, ["__id", "__h"], "left").select("__id", "__t", "gone")
     new = "n_lines long, n_removed long, kept_sha256 string, removed_lines array<int>" + ", kept_text string" * texts
     schema = StructType([StructField(id_col, held[0].dataType), *StructType.fromDDL(new).fields])

@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import saved
+from ._shared import hot_join, saved
 from .components import components
 
 #: Texts that are compared with each other in one task; more are compared block by block.
-BUCKET = 1000
+BUCKET = 300
 #: Sets that a task keeps for the next pairs.
 KEPT_SETS = 2000
 
@@ -56,8 +56,9 @@ def verified_components(pairs: DataFrame, texts: DataFrame, set_of: Callable[[st
     """(node, root) of the components of texts under links that are similar enough by exact Jaccard.
 
     ``pairs`` is (node, low): candidates, each compared with the one text of its bucket; ``texts`` is (node, text). First
-    each node is compared with its low. Then, where the nodes of a low are of several components still, those of
-    different components are compared with each other, in blocks of BUCKET, and those that a new link joins no more.
+    each node is compared with its low. Then, where the nodes of a low are of several components still, those that
+    aren't linked with the low are compared with each other and with those that are, in blocks of BUCKET, and those that
+    a new link joins no more; those linked with the low are one component already and never meet. Hot lows are split.
     """
     bucket = BUCKET
 
@@ -97,14 +98,23 @@ def verified_components(pairs: DataFrame, texts: DataFrame, set_of: Callable[[st
             yield out(held)
 
     lows = texts.select(F.col("node").alias("low"), F.col("text").alias("low_text"))
-    stars = saved(pairs.join(texts, "node").join(lows, "low").select(F.col("node").alias("a"), F.col("low").alias("b"), "text", "low_text").mapInArrow(star, "a long, b long"))
+    held = saved(pairs.join(texts, "node").select("low", "node", "text"))
+    stars = saved(hot_join(held, lows, ["low"]).select(F.col("node").alias("a"), F.col("low").alias("b"), "text", "low_text").mapInArrow(star, "a long, b long"))
     roots = saved(components(stars))
-    placed = pairs.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("low", "node", F.coalesce("root", "node").alias("root"))
-    open_lows = placed.groupBy("low").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least != most").select("low", "n")
-    open_rows = placed.join(open_lows, "low").join(texts, "node")
-    blocks = F.ceil(F.col("n") / bucket).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y")))
-    dealt = open_rows.withColumn("block", own).withColumn("unit", F.explode(meets)).select("low", "unit.x", "unit.y", "node", "root", "block", "text")
-    more = saved(dealt.repartition("low", "x", "y").sortWithinPartitions("low", "x", "y").mapInArrow(units, "a long, b long"))
+    named = roots.withColumnRenamed("node", "__n").withColumnRenamed("root", "__r")
+    placed = pairs.join(named, F.col("node") == F.col("__n"), "left").select("low", "node", F.coalesce("__r", "node").alias("root"))
+    # the low of a family with links is the least of a component of its own, or has another root
+    mine = named.select(F.col("__n").alias("low"), F.col("__r").alias("own"))
+    families = placed.groupBy("low").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("low")
+    families = saved(families.join(mine, "low", "left").select("low", F.coalesce("own", "low").alias("own")))
+    apart = saved(hot_join(saved(placed), families, ["low"]).withColumn("side", (F.col("root") == F.col("own")).cast("int")))
+    sizes = apart.groupBy("low").agg(*[F.greatest(F.lit(0), F.ceil(F.sum(F.when(F.col("side") == k, 1).otherwise(0)) / bucket)).cast("int").alias(f"k{k}") for k in (0, 1)]).filter("k0 > 0")
+    dealt = hot_join(apart, saved(sizes), ["low"])
+    # blocks 0 to k0 - 1 hold what isn't linked with the low; they meet each other and all the blocks of what is
+    block = F.when(F.col("side") == 0, F.pmod(F.xxhash64("node"), F.col("k0"))).otherwise(F.col("k0") + F.pmod(F.xxhash64("node"), F.greatest(F.col("k1"), F.lit(1)))).cast("int")
+    others = F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("k0") + F.col("k1") - 1)).otherwise(F.sequence(F.lit(0), F.col("k0") - 1))
+    meets = F.transform(others, lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y")))
+    units_of = dealt.withColumn("block", block).withColumn("unit", F.explode(meets)).select("low", "unit.x", "unit.y", "node", "root", "block")
+    rows = units_of.join(texts, "node").select("low", "x", "y", "node", "root", "block", "text")
+    more = saved(rows.repartition("low", "x", "y").sortWithinPartitions("low", "x", "y").mapInArrow(units, "a long, b long"))
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
