@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import hot_join, saved
+
 #: A block is one 64-bit word; a key sets up to KEY_BITS bits of its block; a listed key gets BITS_PER_KEY bits of filter.
 KEY_BITS, BITS_PER_KEY = 4, 16
-#: Most bytes of filter that are sent to every executor; beyond it the exact join alone decides.
-FILTER_BYTES = 1 << 20
+#: Most rules whose filter and exact keys are sent to every executor (some 100 bytes each); more are met by shuffles.
+SENT_RULES = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,52 +67,49 @@ def _mask(key: Column) -> Column:
     return out
 
 
-def bloom_words(rules: DataFrame, n_rules: int) -> list[int]:
-    """The filter's blocks; how many follows from the number of rules, which the caller has checked."""
-    blocks = max(1, -(-n_rules * BITS_PER_KEY // 64))
+def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
+    """The filter as a table (block, word) of its blocks that aren't empty."""
     key = _key(F.col("host"), F.col("path"))
-    filled = rules.groupBy(_block(key, blocks).alias("block")).agg(F.bit_or(_mask(key)).alias("word"))
-    words = [0] * blocks
-    for row in filled.collect():
-        words[row["block"]] = row["word"]
-    return words
+    return rules.groupBy(_block(key, blocks).alias("block")).agg(F.bit_or(_mask(key)).alias("word"))
 
 
-def apply_url_rules(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
+def apply_url_rules(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow", sent_rules: int = SENT_RULES) -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to ``pages``, by the longest rule that fits each URL.
 
     Candidate keys of a URL are its host's domain suffixes, each with every prefix of its path of a length that some
     rule has. Those that the blocked Bloom filter passes go to a hash join on the exact (host, path), which removes
-    false positives. The longest rule is the one with most characters in host and path; at a tie the longer host.
+    false positives. The filter is a table of blocks, met by block: up to ``sent_rules`` rules it is sent to all tasks
+    (some 10 bytes a rule), beyond that it is dealt by block, and hot blocks and keys, such as that of ``com``, are
+    split; the steps and results are the same. Only distinct (host, path) go through all this; the pages meet the
+    outcome once. The longest rule is the one with most characters in host and path; at a tie the longer host.
 
     Null URLs and URLs without ``://`` have empty host and path, so no rule with a host fits: ``rule`` null, verdict
     ``otherwise``. Empty pages give no rows; an empty rule table leaves all to ``otherwise``; repeated rows stay
     repeated. Of repeated rules one counts, ``block`` before ``allow``. Columns of ``pages`` with the names of the
     new ones are replaced.
     """
-    rules = rules.select("host", "path", "verdict").filter("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    rules = saved(rules.select("host", "path", "verdict").filter("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict")))
     known = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
     base = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).drop("rule", "verdict")
     if not known["n"]:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
-    lengths = sorted(known["lengths"])
+    blocks = max(1, -(-known["n"] * BITS_PER_KEY // 64))
     depth = F.least(F.size(F.split("host", r"\.")), F.lit(known["labels"]))
     suffixes = F.transform(F.sequence(F.lit(1), depth), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("host"), p.alias("path")))))
-    if known["n"] * BITS_PER_KEY // 8 <= FILTER_BYTES:
-        words = bloom_words(rules, known["n"])
-        held = F.array(*[F.lit(w).cast("long") for w in words]) if len(words) < 64 else F.from_json(F.lit(str(words)), "array<bigint>")
-
-        def passes(c: Column) -> Column:
-            key = _key(c["host"], c["path"])
-            return F.get(held, _block(key, len(words))).bitwiseAND(_mask(key)) == _mask(key)
-
-        pairs = F.filter(pairs, passes)
-    rows = base.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__page"), pairs.alias("__c"))
-    tried = rows.select("__row", "__page", F.explode_outer("__c").alias("__c")).select("__row", "__page", F.col("__c.host").alias("__h"), F.col("__c.path").alias("__p"))
-    listed = rules.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("verdict").alias("__v"))
-    exact = tried.join(listed, ["__h", "__p"], "left")
-    fits = F.when(F.col("__v").isNotNull(), F.struct((F.length("__h") + F.length("__p")).alias("n"), F.length("__h").alias("hn"), F.concat("__h", "__p").alias("rule"), F.col("__v").alias("verdict")))
-    best = exact.groupBy("__row").agg(F.first("__page").alias("__page"), F.max(fits).alias("__best"))
-    return best.select("__page.*", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"))
+    lengths = F.filter(F.lit(sorted(known["lengths"])), lambda n: n <= F.length("path"))
+    prefixes = F.transform(lengths, lambda n: F.substring("path", F.lit(1), n))
+    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
+    small = known["n"] <= sent_rules
+    urls = base.select("host", "path").distinct()
+    tried = urls.select("host", "path", F.explode(pairs).alias("c")).select("host", "path", "c.h", "c.p", _block(_key(F.col("c.h"), F.col("c.p")), blocks).alias("block"))
+    words, exact = bloom_blocks(rules, blocks), rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict")
+
+    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        return left.join(F.broadcast(right), keys) if small else hot_join(saved(left), right, keys)
+
+    mask = _mask(_key(F.col("h"), F.col("p")))
+    passed = meet(tried, words, ["block"]).filter(F.col("word").bitwiseAND(mask) == mask).select("host", "path", "h", "p")
+    fits = F.struct((F.length("h") + F.length("p")).alias("n"), F.length("h").alias("hn"), F.concat("h", "p").alias("rule"), F.col("verdict").alias("verdict"))
+    best = meet(passed, exact, ["h", "p"]).groupBy("host", "path").agg(F.max(fits).alias("__best"))
+    joined = base.join(best, ["host", "path"], "left")
+    return joined.select(*[c for c in base.columns], F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"))
