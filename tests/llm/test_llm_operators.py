@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, embedding_dedup, line_dedup, mixing, packing, quality, sharding, simhash, substring, url_filter, verify
 from quillspark.llm.components import components
@@ -265,6 +266,22 @@ def test_mix(spark, docs, odd, none):
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_results_do_not_follow_the_cores(spark, docs):
+    """Rows of one id, parallelism and partitions: op1's slots and op5's draws stay."""
+    rows = docs.union(docs.limit(50).withColumn("source", F.lit("other"))).union(docs.limit(3))
+    runs = []
+    for cores, parts in ((1, 1), (16, 9)):
+        context = type(spark.sparkContext)
+        old = context.defaultParallelism
+        context.defaultParallelism = property(lambda self, n=cores: n)
+        try:
+            table = rows.repartition(parts)
+            runs.append([Counter(map(repr, x.collect())) for x in (sharding.shard_by_bytes(table), sharding.shard_documents(table, 7), mixing.mix_copies(table), mixing.mix_documents(table))])
+        finally:
+            context.defaultParallelism = old
+    assert runs[0] == runs[1]
+
+
 # --- op6
 
 
@@ -287,6 +304,23 @@ def test_packing_round_trip(docs, odd, none):
     assert packing.pack_tokens(none).count() == 0
 
 
+def test_long_runs_are_packed(spark):
+    encode = packing.load_tokenizer("x.tiktoken", open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb").read())
+    texts = [" " * 2_000_000, "a" * 300_000, "word and\n\n  more " * 20_000, "x \u00a0 " * 50_000]
+    got = defaultdict(list)
+    for r in packing.pack_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        ids = np.frombuffer(r["input_ids"], "<u2")
+        for k, d in enumerate(r["doc_ids"]):
+            got[d].append((r["doc_starts"][k], ids[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()))
+    import tiktoken
+
+    ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb").read().splitlines())}
+    coder = tiktoken.Encoding("packing", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for d, t in enumerate(texts):
+        assert coder.decode([i for _, p in sorted(got[d]) for i in p][:-1]) == t
+    assert encode(texts[2:]) == [coder.encode_ordinary(t) for t in texts[2:]]
+
+
 def test_best_fit_is_best():
     draw = random.Random(4)
     for _ in range(100):
@@ -328,6 +362,8 @@ def test_fuzzy_lines(spark, docs, odd, none):
     for d, lines in rows:
         assert got[d]["removed_lines"] == [n for n, x in enumerate(lines) if x and head[label[at[x]]] != (d, n)]
     assert line_dedup.remove_fuzzy_lines(odd).count() == odd.count()
+    twins = spark.createDataFrame([(1, "one shared line of text\nfirst"), (1, "one shared line of text\nsecond"), (2, "one shared line of text")], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in line_dedup.remove_fuzzy_lines(twins).collect()) == [0, 1, 1]
     assert line_dedup.remove_fuzzy_lines(none).count() == 0
 
 
@@ -354,6 +390,8 @@ def test_url_rules(spark):
     assert got[2][3:] == ("org/", "allow") and got[3][1:] == ("org", "", None, "allow")
     assert all(g[1:] == ("", "", None, "allow") for g in got[4:7])
     assert got[7][3:] == ("a.b/cd", "block") and got[8][1] == "u@x.org:80" and got[9][1:3] == ("ÄÖ.org", "/É")
+    dealt = url_filter.apply_url_rules(table, url_filter.rules_table(spark, rules), sent_rules=0).orderBy("page_id")
+    assert [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in dealt.collect()] == got
     assert url_filter.apply_url_rules(table, url_filter.rules_table(spark, []), otherwise="block").filter("verdict = 'block'").count() == 12
     assert url_filter.apply_url_rules(table.limit(0), url_filter.rules_table(spark, rules)).count() == 0
 
@@ -364,6 +402,14 @@ def test_url_plan_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_a_million_url_rules(spark):
+    rules = spark.range(1_000_000).selectExpr("concat('h', id, '.com') as host", "concat('/', id % 7) as path", "'block' as verdict")
+    rules = rules.union(spark.createDataFrame([("com", "/", "allow")], rules.schema))
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('http://x.h', id * 331, '.com/', (id * 331) % 7 + id % 2, '/y') as url", "'html' as html")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.apply_url_rules(pages, rules).collect()}
+    assert got == {k: (f"h{k * 331}.com/{k * 331 % 7}", "block") if k % 2 == 0 and k * 331 < 1_000_000 else ("com/", "allow") for k in range(3000)}
+
+
 # --- op9
 
 
