@@ -11,11 +11,15 @@ from ._shared import local_roots, mixed, saved
 from .components import components
 
 #: Shards at least; vectors of a shard at most (more vectors make more shards).
-SHARDS, SHARD_ROWS = 8, 25_000
+SHARDS, SHARD_ROWS = 4, 25_000
 #: Links of a node on upper layers and on the ground layer; beam while building; first beam of a query.
-M, M_GROUND, EF_BUILD, EF_QUERY = 12, 24, 48, 32
+M, M_GROUND, EF_BUILD, EF_QUERY = 12, 24, 48, 16
+#: A query whose beam of this width is full of links stands in a dense group: its links are counted by matrix product.
+DENSE = 256
 #: Rows that move through a graph together; beam nodes opened in one step.
 LOCKSTEP, OPENED = 512, 4
+#: Queries whose links are held at once; dense ones; room for single precision around the threshold.
+QUERIES_AT_ONCE, DENSE_AT_ONCE, SLACK = 2048, 64, 1e-5
 #: Audited queries of a unit, and the share of a query's true links that a beam must find on average.
 AUDITED, RECALL = 256, 0.995
 
@@ -94,23 +98,24 @@ class Graph:
     def beam(self, q: np.ndarray, start: np.ndarray, ef: int, l: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the ``ef`` nearest nodes found from ``start`` on a layer, best first; -1 pads."""
         ids, sims = np.full((len(q), ef), -1, np.int32), np.full((len(q), ef), -np.inf, np.float32)
-        step = max(1, min(LOCKSTEP, (32 << 20) // max(1, len(self.x))))
+        step = max(1, min(LOCKSTEP, (16 << 20) // max(1, len(self.x))))
         for lo in range(0, len(q), step):
             ids[lo : lo + step], sims[lo : lo + step] = self._beam(q[lo : lo + step], start[lo : lo + step], ef, l)
         return ids, sims
 
     def _beam(self, q, start, ef, l):
         b, links = len(q), self.links[l]
-        seen = np.zeros((b, len(self.x)), bool)
+        met = np.zeros((b, len(self.x)), np.int32)
         ids, sims, opened = np.full((b, ef), -1, np.int32), np.full((b, ef), -np.inf, np.float32), np.ones((b, ef), bool)
         row, node = np.nonzero(start >= 0)
         node = start[row, node]
         while len(row):
-            key = np.unique(row.astype(np.int64) * len(self.x) + node)
-            row, node = key // len(self.x), key % len(self.x)
-            fresh = ~seen[row, node]
+            fresh = met[row, node] == 0
+            row, node = row[fresh], node[fresh]
+            turn = np.arange(1, len(row) + 1, dtype=np.int32)
+            met[row, node] = turn  # of a node that came twice one stays
+            fresh = met[row, node] == turn
             row, node = row[fresh], node[fresh]
-            seen[row, node] = True
             s = np.einsum("ij,ij->i", q[row], self.x[node])
             better = s > sims[row, -1]
             row, node, s = row[better], node[better], s[better]
@@ -133,8 +138,11 @@ class Graph:
             row, node = row[node >= 0], node[node >= 0]
         return ids, sims
 
-    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, node) of similarity ``least`` or more; a beam that is full of them is widened until it isn't."""
+    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (row, node) of similarity ``least`` or more, and the rows that are dense.
+
+        A beam that is full of links is widened; where even one of DENSE is full, the row is dense and gives no pairs.
+        """
         start = np.full((len(q), 1), self.entry, np.int32)
         for l in range(len(self.links) - 1, 0, -1):
             start = self.beam(q, start, 4, l)[0]
@@ -144,8 +152,11 @@ class Graph:
             full = (sims[:, -1] >= least) & (ids.shape[1] < len(self.x))
             r, c = np.nonzero((sims >= least) & ~full[:, None])
             out_r.append(rows[r]), out_n.append(ids[r, c])
-            rows, ef = rows[full], ef * 4
-        return np.concatenate([[], *out_r]).astype(np.int64), np.concatenate([[], *out_n]).astype(np.int64)
+            rows = rows[full]
+            if ef >= DENSE:
+                break
+            ef = min(ef * 4, DENSE)
+        return np.concatenate([[], *out_r]).astype(np.int64), np.concatenate([[], *out_n]).astype(np.int64), rows
 
 
 def planted(graph: Graph, queries: np.ndarray, least: float, seed: int = 7) -> np.ndarray:
@@ -161,38 +172,85 @@ def planted(graph: Graph, queries: np.ndarray, least: float, seed: int = 7) -> n
     return (least * base + np.sqrt(1 - least * least) * aside).astype(np.float32)
 
 
-def audited_links(graph: Graph, queries: np.ndarray, least: float, seed: int = 3, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """``Graph.within`` for all queries, with a beam doubled until it finds RECALL of an audited sample's true links.
+def audited_beam(graph: Graph, queries: np.ndarray, least: float, seed: int = 3) -> tuple[int, float]:
+    """(beam, recall): the narrowest beam, doubled from EF_QUERY, that finds RECALL of what brute force finds.
 
-    Recall is that of a query, averaged over those with links (to others, where ``own`` says that the queries are the
-    graph's nodes); queries with no more links than the first beam, and planted links at ``least``, must reach it by
-    themselves, so neither a large group nor a sample without links hides what small families lose.
+    Audited are links of a sample of the queries, those with few enough to need no wider beam, and links planted at
+    ``least`` between nodes and directions towards queries, which every unit has: neither a large group nor a sample
+    without links hides what small families lose. Recall is that of a query, averaged. A beam of DENSE is the widest;
+    the recall that it reaches is returned.
     """
-    slack, ef = least - 1e-4, EF_QUERY
-    sample = np.argsort(mixed(np.arange(len(queries), dtype=np.uint64) ^ np.uint64(seed)))[:AUDITED]
-    near = queries[sample] @ graph.x.T >= slack + 1e-6
-    if own:
-        near[np.arange(len(sample)), sample] = False
-    links, probes = near.sum(axis=1), planted(graph, queries[sample], least)
-    probe_links = (probes @ graph.x.T >= slack + 1e-6).sum(axis=1)
-    audits = [(queries[sample], links, links > 0, own), (queries[sample], links, (links > 0) & (links <= EF_QUERY), own), (probes, probe_links, probe_links > 0, False)]
-
-    def passes(q, truth, some, selves) -> bool:
-        some = np.flatnonzero(some)
-        if not len(some):
-            return True
-        row, node = graph.within(q[some], slack, ef)
-        if selves:
-            row = row[node != sample[some][row]]
-        return float(np.minimum(np.bincount(row, minlength=len(some)) / truth[some], 1.0).mean()) >= RECALL
-
-    while ef < len(graph.x) and not all(passes(*audit) for audit in audits):
+    slack, ef = least - SLACK, EF_QUERY
+    sample = queries[np.argsort(mixed(np.arange(len(queries), dtype=np.uint64) ^ np.uint64(seed)))[:AUDITED]]
+    audits = []
+    for q in (sample, planted(graph, sample, least)):
+        links = (q @ graph.x.T >= slack).sum(axis=1) if len(q) else np.zeros(0, np.int64)
+        some = np.flatnonzero((links > 0) & (links <= EF_QUERY))
+        if len(some):
+            audits.append((q[some], links[some]))
+
+    def recall(q, truth) -> float:
+        row, _, dense = graph.within(q, slack, ef)
+        found = np.bincount(row, minlength=len(q))
+        found[dense] = truth[dense]
+        return float(np.minimum(found / truth, 1.0).mean())
+
+    while True:
+        reached = min((recall(*a) for a in audits), default=1.0)
+        if reached >= RECALL or ef >= min(DENSE, len(graph.x)):
+            return ef, reached
         ef *= 2
-    return graph.within(queries, slack, ef)
 
 
-def _unit(blob: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    v = np.frombuffer(blob, np.float32).reshape(-1, dim).astype(np.float64)
+class Links:
+    """Counts of links and their components for the nodes of two shards, or of one with itself, filled block by block."""
+
+    def __init__(self, exact: np.ndarray, weights: np.ndarray, q_exact: np.ndarray, q_weights: np.ndarray, own: bool, least: float):
+        self.x, self.q, self.own, self.least = exact, q_exact, own, least
+        self.w, self.qw, self.shift = weights, q_weights, 0 if own else len(q_exact)
+        self.count = np.zeros(self.shift + len(exact), np.int64)
+        self.root = np.arange(len(self.count))
+
+    def _union(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins a's and b's components: only their roots and these edges are looked at."""
+        a, b = self.root[a], self.root[b]
+        some = a != b
+        if some.any():
+            names, at = np.unique(np.concatenate([a[some], b[some]]), return_inverse=True)
+            half = len(at) // 2
+            over = np.arange(len(self.root))
+            over[names] = names[local_roots(len(names), at[:half], at[half:])]
+            self.root = over[self.root]
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links found for queries ``a`` with nodes ``b``, verified in double precision; each pair is given once."""
+        good = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", self.q[a[k : k + 65536]], self.x[b[k : k + 65536]]) >= self.least for k in range(0, len(a), 65536))])
+        a, b = a[good], b[good]
+        np.add.at(self.count, a, self.w[b])
+        np.add.at(self.count, b + self.shift, self.qw[a])
+        self._union(a, b + self.shift)
+
+    def dense(self, rows: np.ndarray, near: np.ndarray, q32: np.ndarray, x32: np.ndarray) -> None:
+        """All links of dense queries, by products of a few rows with all nodes; ``near`` marks dense nodes of one shard."""
+        for lo in range(0, len(rows), DENSE_AT_ONCE):
+            some = rows[lo : lo + DENSE_AT_ONCE]
+            s = q32[some] @ x32.T
+            link = s >= self.least
+            r, c = np.nonzero(np.abs(s - self.least) < SLACK)
+            link[r, c] = np.einsum("ij,ij->i", self.q[some[r]], self.x[c]) >= self.least
+            if self.own:
+                link[np.arange(len(some)), some] = False
+            self.count[some] += link @ self.w
+            back = link & ~near[None, :] if self.own else link  # dense nodes of the same shard count their own rows
+            self.count[self.shift :] += self.qw[some] @ back
+            for k, row in enumerate(some):
+                to = np.unique(self.root[np.flatnonzero(link[k]) + self.shift])
+                self._union(np.full(len(to), row), to)
+
+
+def _unit(blob: bytes, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    v = np.frombuffer(blob, kind).reshape(-1, dim).astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     return u, u.astype(np.float32)
 
@@ -202,16 +260,22 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
 
     Equal vectors are one node with a weight. Nodes are dealt by hash to shards, each with an HNSW graph; every pair of
     shards is one unit of work, in which all vectors of one query the graph of the other, and candidates are verified
-    in double precision. Beams widen where a query's links fill them, and where the audit by brute force over a sample
-    of a unit's queries and over links planted at ``least`` finds less than RECALL. A unit returns a count for each node and a forest of its links, not
-    its pairs. Work is the number of vectors times that of shards, which past ``shards * shard_rows`` vectors grows.
+    in double precision. Beams widen where a query's links fill them (in the end its links are counted by products of
+    a few queries with the shard, so a large group makes no pairs), and where the audit by brute force over a sample of
+    a unit's queries and over links planted at ``least`` finds less than RECALL. A unit returns a count for each node
+    and a forest of its links, not its pairs. Work is the number of vectors times that of shards, and so grows with the
+    square of the vectors past ``shards * shard_rows`` of them: every shard is queried.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing: no links, their own
-    component, kept. Vectors of different length don't link. Repeated rows count as vectors of their own.
+    component, kept. Vectors of different length don't link. Repeated rows count as vectors of their own; a component's
+    id is its least known one. Vectors are compared as they are stored, in single or double precision. Only the two
+    named columns are read; others may have any names.
     """
     e = F.col("__e")
     fine = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
-    rows = vectors.select(F.col(id_col).alias("__id"), F.col(embedding).cast("array<float>").alias("__e"))
+    single = vectors.schema[embedding].dataType.elementType.typeName() in ("float", "byte", "short")
+    held, kind = ("float", "<f4") if single else ("double", "<f8")
+    rows = vectors.select(F.col(id_col).alias("__id"), F.col(embedding).cast(f"array<{held}>").alias("__e"))
     rows = rows.withColumn("__ok", F.coalesce(fine, F.lit(False)))
     key = {"__k1": F.when(F.col("__ok"), F.xxhash64("__e")), "__k2": F.when(F.col("__ok"), F.xxhash64("__e", F.lit(1)))}
     marked = rows.withColumns(key)
@@ -221,8 +285,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-        graph = Graph(_unit(v.tobytes(), v.shape[1])[1])
+        v = np.stack(pdf["v"].to_numpy()).astype(kind)
+        graph = Graph(_unit(v.tobytes(), v.shape[1], kind)[1])
         kept = {"entry": graph.entry, "top": len(graph.links)}
         row = {"dim": v.shape[1], "shard": pdf["shard"].iloc[0], "ids": pdf["node"].to_numpy(np.int64).tobytes(), "weights": pdf["weight"].to_numpy(np.int64).tobytes(), "vectors": v.tobytes(), "entry": kept["entry"], "ground": graph.links[0].tobytes()}
         upper = [(l, np.flatnonzero(graph.level >= l).astype(np.int32)) for l in range(1, kept["top"])]
@@ -238,7 +302,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
     def search(batches):
         for pdf in batches:
             for u in pdf.itertuples():
-                exact, x = _unit(u.vectors, u.dim)
+                exact, x = _unit(u.vectors, u.dim, kind)
                 graph = Graph.__new__(Graph)
                 graph.x, graph.entry, graph.links = x, u.entry, [np.frombuffer(u.ground, np.int32).reshape(-1, M_GROUND)]
                 for layer in u.upper:
@@ -246,24 +310,30 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
                     full = np.full((len(x), M), -1, np.int32)
                     full[at] = np.frombuffer(layer["links"], np.int32).reshape(-1, M)
                     graph.links.append(full)
-                q_exact, q = _unit(u.q_vectors, u.dim)
-                a, b = audited_links(graph, q, least, own=u.i == u.j)
-                if u.i == u.j:
-                    key = np.unique(np.minimum(a, b) * len(x) + np.maximum(a, b))
-                    a, b = key // len(x), key % len(x)
-                    a, b = a[a != b], b[a != b]
-                good = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", q_exact[a[k : k + 65536]], exact[b[k : k + 65536]]) >= least for k in range(0, len(a), 65536))])
-                a, b = a[good], b[good]
+                own = u.i == u.j
+                q_exact, q = (exact, x) if own else _unit(u.q_vectors, u.dim, kind)
                 ids, weights = np.frombuffer(u.ids, np.int64), np.frombuffer(u.weights, np.int64)
-                q_ids, q_weights = (ids, weights) if u.i == u.j else (np.frombuffer(u.q_ids, np.int64), np.frombuffer(u.q_weights, np.int64))
-                shift = 0 if u.i == u.j else len(q_ids)
-                all_ids = ids if u.i == u.j else np.concatenate([q_ids, ids])
-                count = np.zeros(len(all_ids), np.int64)
-                np.add.at(count, a, weights[b])
-                np.add.at(count, b + shift, q_weights[a])
-                some = np.flatnonzero(count)
-                root = local_roots(len(all_ids), a, b + shift)
-                yield pd.DataFrame({"node": all_ids[some], "links": count[some], "other": all_ids[root[some]]})
+                q_ids, q_weights = (ids, weights) if own else (np.frombuffer(u.q_ids, np.int64), np.frombuffer(u.q_weights, np.int64))
+                ef, _ = audited_beam(graph, q, least)
+                made, dense, first, second = Links(exact, weights, q_exact, q_weights, own, least), [], [], []
+                for lo in range(0, len(q), QUERIES_AT_ONCE):
+                    a, b, full = graph.within(q[lo : lo + QUERIES_AT_ONCE], least - SLACK, ef)
+                    dense.append(full + lo)
+                    if own:
+                        first.append(a + lo), second.append(b)
+                    else:
+                        made.pairs(a + lo, b)
+                dense, near = np.concatenate(dense), np.zeros(len(x), bool)
+                if own:  # found from both ends, or from one; what a dense end has is counted there
+                    near[dense] = True
+                    a, b = np.concatenate(first), np.concatenate(second)
+                    some = (a != b) & ~near[a] & ~near[b]
+                    key = np.unique(np.minimum(a[some], b[some]) * len(x) + np.maximum(a[some], b[some]))
+                    made.pairs(key // len(x), key % len(x))
+                made.dense(dense, near, q, x)
+                all_ids = ids if own else np.concatenate([q_ids, ids])
+                some = np.flatnonzero(made.count)
+                yield pd.DataFrame({"node": all_ids[some], "links": made.count[some], "other": all_ids[made.root[some]]})
 
     found = saved(units.mapInPandas(search, "node long, links long, other long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

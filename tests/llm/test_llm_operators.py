@@ -102,11 +102,33 @@ def test_graph_recall():
     x = draw.normal(size=(3000, 32)).astype(np.float32)
     x = np.concatenate([x, x[:500] + draw.normal(0, 0.05, (500, 32)).astype(np.float32)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = embedding_dedup.audited_links(embedding_dedup.Graph(x), x, 0.95)
-    truth = np.argwhere(x @ x.T >= 0.95 - 1e-4)
+    graph = embedding_dedup.Graph(x)
+    ef, recall = embedding_dedup.audited_beam(graph, x, 0.95)
+    a, b, dense = graph.within(x, 0.95, ef)
+    truth = np.argwhere(x @ x.T >= 0.95)
+    assert recall >= embedding_dedup.RECALL and not len(dense)
     assert len(set(zip(a.tolist(), b.tolist())) & set(map(tuple, truth.tolist()))) >= 0.99 * len(truth)
 
 
+@pytest.mark.parametrize("kind,spread", [("float", 0.01), ("double", 0.025), ("float", 0.03)])
+def test_a_large_group_of_vectors(spark, kind, spread):
+    draw = np.random.default_rng(15)
+    x = np.concatenate([draw.normal(0, 0.125, (400, 64)), draw.normal(0, 0.125, 64) + draw.normal(0, spread, (1500, 64))])
+    x = x.astype(np.float32).astype(float) if kind == "float" else x
+    table = spark.createDataFrame([(i, v.tolist(), "a", 1) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>, node string, dim int")
+    table = table.union(table.filter("vec_id = 1000"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_links(table).collect()}
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    n = link.sum(1) + link[:, 1000]
+    n[1000] += 1
+    label = np.arange(len(x))
+    while (label != (new := np.minimum(label, np.where(link, label[None, :], len(x)).min(1)))).any():
+        label = new
+    assert got == {i: (int(n[i]), int(label[i])) for i in range(len(x))}
+
+
 # --- op3
 
 
