@@ -89,15 +89,17 @@ def with_row_number(df: DataFrame, key: list[str]) -> DataFrame:
 HOT_PART = 1 / 500
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Equi-join of ``left``, any key of which may have a large part of its rows, with ``right``, unique in the keys.
 
-    Hot keys are counted first (combined where the rows are) and number under 1 / HOT_PART by definition: their right rows
-    are broadcast, so their left rows stay where they are, and all others are joined by a shuffle. ``left`` is read
-    twice, so it should be a saved table or cheap. Null keys match nothing.
+    Hot keys are counted first (combined where the rows are), or given by who has counted them as ``hot``. They number
+    under 1 / HOT_PART by definition: their right rows are broadcast, so their left rows stay where they are, and all
+    others are joined by a shuffle. ``left`` is read several times, so it should be a saved table. Null keys match nothing.
     """
-    counts = left.groupBy(*keys).agg(F.count("*").alias("__c"))
-    hot = saved(counts.filter(F.col("__c") > max(1.0, left.count() * HOT_PART)).select(*keys).filter(" and ".join(f"{k} is not null" for k in keys)))
+    if hot is None:
+        counts = left.groupBy(*keys).agg(F.count("*").alias("__c"))
+        hot = counts.filter(F.col("__c") > max(1.0, left.count() * HOT_PART)).select(*keys).filter(" and ".join(f"{k} is not null" for k in keys))
+    hot = saved(hot)
     if hot.isEmpty():
         return left.join(right, keys, how)
     marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")

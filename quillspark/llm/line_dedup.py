@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._shared import hot_join, mixed, null_safe, saved
+from ._shared import CHUNK_BYTES, HOT_PART, WHITE, hot_join, mixed, null_safe, saved, text_slices, xxh64_slices
 from .substring import bitmap, has
 from .verify import verified_components
 
@@ -22,6 +22,8 @@ BANDS, ROWS = 12, 5
 STEP_CHARS, REMEMBERED = 1 << 17, 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
+#: White space around a line.
+_AROUND = b" \t\r\x0b\x0c"
 
 
 def shingle_hashes(codes: np.ndarray) -> np.ndarray:
@@ -44,27 +46,26 @@ def line_set(line: str) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
+def band_keys(codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """BANDS keys of each line, from a one-permutation MinHash signature of BANDS * ROWS places.
 
-    A shingle's hash names its place and its value there; a place that no shingle names borrows from the next one that
-    has a value, rotated by the distance.
+    A line is ``sizes`` code points from ``begin``; a short one has zeros behind it up to SHINGLE. A shingle's hash names
+    its place and its value there; a place that no shingle names borrows from the next one that has a value, rotated by
+    the distance. Shingles go STEP_CHARS at a time, so a very long line costs no more memory than its characters.
     """
-    k = BANDS * ROWS
-    sizes = np.array([max(len(x), SHINGLE) for x in lines])
-    codes = np.zeros(int(sizes.sum()), np.uint32)
-    begin = np.cumsum(sizes) - sizes
-    true = np.array([len(x) for x in lines])
-    at = np.repeat(begin - (np.cumsum(true) - true), true) + np.arange(int(true.sum()))
-    codes[at] = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = shingle_hashes(codes)
-    number = sizes - SHINGLE + 1
-    first = np.cumsum(number) - number
-    pick = np.repeat(begin - first, number) + np.arange(int(number.sum()))
-    h, line = h[pick], np.repeat(np.arange(len(lines)), number)
-    most = np.uint64(np.iinfo(np.uint64).max)
-    places = np.full(len(lines) * k, most, np.uint64)
-    np.minimum.at(places, line * k + ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64), h)
+    k, most = BANDS * ROWS, np.uint64(np.iinfo(np.uint64).max)
+    number = np.maximum(sizes, SHINGLE) - SHINGLE + 1
+    ends = np.cumsum(number)
+    places = np.full(len(begin) * k, most, np.uint64)
+    done = 0
+    while done < ends[-1]:  # shingles of all lines one after another, in steps
+        upto = min(int(ends[-1]), done + STEP_CHARS)
+        line = np.searchsorted(ends, np.arange(done, upto), "right")
+        at = begin[line] + np.arange(done, upto) - (ends - number)[line]
+        low = int(at[0])
+        h = shingle_hashes(codes[low : int(at.max()) + SHINGLE])[at - low]
+        np.minimum.at(places, line * k + ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64), h)
+        done = upto
     sign = places.reshape(-1, k)
     short = np.flatnonzero((sign == most).any(axis=1))
     given, made = sign[short], sign[short].copy()
@@ -79,40 +80,78 @@ def band_keys(lines: list[str]) -> np.ndarray:
         if not left.all():
             short, given, made = short[left], given[left], made[left]
     parts = sign.reshape(-1, BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS))
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(begin), BANDS))
     with np.errstate(over="ignore"):
         for r in range(ROWS):
             keys = mixed(keys * _B + parts[:, :, r])
     return keys
 
 
-def _line_id(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
+def line_slices(texts: pa.Array):
+    """Yields (row, number, ids, bytes, starts, ends) of the lines of slices of the texts that aren't blank.
 
-def _lines(text: str | None) -> list[str]:
-    """Lines without the white space around them."""
-    return [x.strip(" \t\r\x0b\x0c") for x in (text or "").split("\n")]
+    Lines are cut at line feeds, ``number`` counts all of a row from 0; ``starts`` and ``ends`` leave out the white space
+    around; ``ids`` is the XXH64 of what they leave. A row over CHUNK_BYTES comes in slices of whole lines.
+    """
+    for first, data, offsets in text_slices(texts):
+        size, begin, base = int(offsets[-1]), 0, 0
+        while begin < size:
+            end = size
+            if len(offsets) == 2 and size - begin > CHUNK_BYTES:
+                feeds = np.flatnonzero(data[begin : begin + CHUNK_BYTES] == 10)
+                if len(feeds):
+                    end = begin + int(feeds[-1]) + 1
+                else:
+                    rest = np.argmax(data[begin:size] == 10)
+                    end = begin + int(rest) + 1 if data[begin + rest] == 10 else size
+            part = data[begin : end + 8]
+            cuts = offsets if end - begin == size else np.array([0, end - begin])
+            feeds = np.flatnonzero(part[: end - begin] == 10)
+            row = np.concatenate([np.arange(len(cuts) - 1), np.searchsorted(cuts, feeds, "right") - 1])
+            starts, ends = np.concatenate([cuts[:-1], feeds + 1]), np.concatenate([cuts[1:], feeds])
+            order, last = np.lexsort((starts, row)), np.lexsort((ends, row))
+            row, starts, ends = row[order], starts[order], ends[last]
+            number = base + np.arange(len(row)) - np.searchsorted(row, row)
+            base, begin = base + len(feeds), end
+            if len(starts) == 1 or ends[0] - starts[0] > CHUNK_BYTES:  # one line and at most the empty rest behind its line feed
+                raw = part[starts[0] : ends[0]].tobytes()
+                bare = raw.strip(_AROUND)
+                starts, row, number = starts[:1] + len(raw) - len(raw.lstrip(_AROUND)), row[:1], number[:1]
+                ends = starts + len(bare)
+                some = ends > starts
+            else:
+                full = np.flatnonzero(~WHITE[part[: len(part) - 8]])
+                lo, hi = np.searchsorted(full, starts), np.searchsorted(full, ends)
+                some = hi > lo
+                lo, hi = lo[some], hi[some]
+                starts, ends, row, number = full[lo], full[hi - 1] + 1, row[some], number[some]
+                some = np.ones(len(starts), bool)
+            row, number, starts, ends = row[some], number[some], starts[some], ends[some]
+            if len(starts):
+                yield first + row, number, xxh64_slices(part, starts, ends - starts), part, starts, ends
 
 
 def _signed(batches):
     """(key, line) of each line and band; a line comes once a task, or once in REMEMBERED distinct lines of it."""
     met: set[int] = set()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            named = {_line_id(x): x for t in batch.column(0).slice(lo, 256).to_pylist() for x in set(_lines(t)) if x}
-            fresh = [i for i in named if i not in met]
+        for _, _, ids, data, starts, ends in line_slices(batch.column(0)):
+            _, once = np.unique(ids, return_index=True)
+            fresh = once[[i not in met for i in ids[once].tolist()]]
             if len(met) > REMEMBERED:
                 met.clear()
-            met.update(fresh)
-            lines, done = [named[i] for i in fresh], 0
-            while done < len(lines):
-                total, take = 0, done
-                while take < len(lines) and (take == done or total + len(lines[take]) <= STEP_CHARS):
-                    total, take = total + len(lines[take]), take + 1
-                part, ids = lines[done:take], np.array(fresh[done:take], np.int64)
-                done = take
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(part).ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["key", "line"])
+            met.update(ids[fresh].tolist())
+            fresh.sort()
+            done, sizes = 0, np.cumsum(ends[fresh] - starts[fresh])
+            while done < len(fresh):
+                take = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + STEP_CHARS, "right")))
+                some, done = fresh[done:take], take
+                lines = [data[a:b].tobytes().decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                length = np.array([len(x) for x in lines])
+                codes = np.frombuffer("".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le"), np.uint32)
+                whole = np.maximum(length, SHINGLE)
+                keys = band_keys(codes, np.cumsum(whole) - whole, length)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[some].view(np.int64), BANDS))], names=["key", "line"])
 
 
 def _shared(batches):
@@ -151,11 +190,11 @@ def line_links(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                lines = list({x for t in batch.column(0).slice(lo, 256).to_pylist() for x in _lines(t) if x})
-                ids = np.array([_line_id(x) for x in lines], np.int64)
-                some = pa.array(np.flatnonzero(has(sent.value, ids.view(np.uint64))))
-                yield pa.RecordBatch.from_arrays([pa.array(ids).take(some), pa.array(lines, pa.string()).take(some)], names=["line", "text"])
+            for _, _, ids, data, starts, ends in line_slices(batch.column(0)):
+                _, once = np.unique(ids, return_index=True)
+                some = once[has(sent.value, ids[once])]
+                lines = [data[a:b].tobytes().decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some].view(np.int64)), pa.array(lines, pa.string())], names=["line", "text"])
 
     texts = docs.select(F.col(text).alias("t")).mapInArrow(rows, "line long, text string")
     texts = saved(texts.groupBy("line").agg(F.min("text").alias("text")).join(wanted, "line", "left_semi"))
@@ -177,23 +216,22 @@ def remove_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     def occurrences(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                rows, number, ids = [], [], []
-                for i, t in enumerate(batch.column(2).slice(lo, 1024).to_pylist()):
-                    for n, x in enumerate(_lines(t) if t else ()):
-                        if x:
-                            rows.append(lo + i), number.append(n), ids.append(_line_id(x))
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(ids, pa.int64())], names=["__id", "__h", "number", "line"])
+            for row, number, ids, *_ in line_slices(batch.column(2)):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(ids.view(np.int64))], names=["__id", "__h", "number", "line"])
 
     held = read.select("__id", "__h").schema.fields
     seen = saved(read.mapInArrow(occurrences, StructType([*held, *StructType.fromDDL("number int, line long").fields])))
+    counts = seen.groupBy("line").agg(F.count("*").alias("n"))
+    classed = saved(counts.join(roots, counts["line"] == roots["node"], "left").select("line", "n", F.coalesce("root", "line").alias("root")))
+    several = saved(classed.groupBy("root").agg(F.sum("n").alias("m")).filter("m > 1"))
+    wanted = saved(hot_join(classed, several, ["root"]).select("line", "n", "root", "m"))
+    much = HOT_PART * (several.agg(F.sum("m")).first()[0] or 0)
     place = F.struct("__id", "__h", "number")
-    firsts = seen.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    classed = saved(firsts.join(roots, firsts["line"] == roots["node"], "left").select("line", "n", "first", F.coalesce("root", "line").alias("root")))
-    heads = classed.groupBy("root").agg(F.sum("n").alias("m"), F.min("first").alias("head")).filter("m > 1").select("root", "head")
-    headed = saved(hot_join(classed.select("line", "root"), heads, ["root"]).select("line", "head"))
-    gone = hot_join(seen, headed, ["line"]).filter(~place.eqNullSafe(F.col("head"))).groupBy("__id", "__h").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+    repeated = saved(hot_join(seen, wanted.select("line", "root"), ["line"], hot=wanted.filter(F.col("n") > much).select("line")).select("__id", "__h", "number", "root"))
+    heads = repeated.groupBy("root").agg(F.min(place).alias("head"))
+    gone = hot_join(repeated, heads, ["root"], hot=several.filter(F.col("m") > much).select("root"))
+    gone = gone.filter(~place.eqNullSafe(F.col("head"))).groupBy("__id", "__h").agg(F.array_sort(F.collect_set("number")).alias("gone"))
     joined = null_safe(read, gone, ["__id", "__h"], "left").select("__id", "__t", "gone")
     new = "n_lines long, n_removed long, kept_sha256 string, removed_lines array<int>" + ", kept_text string" * texts
     schema = StructType([StructField(id_col, held[0].dataType), *StructType.fromDDL(new).fields])

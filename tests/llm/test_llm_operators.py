@@ -365,7 +365,7 @@ def test_best_fit_is_best():
 
 def test_fuzzy_lines(spark, docs, odd, none):
     got = {r["doc_id"]: r for r in line_dedup.remove_fuzzy_lines(docs, texts=True).collect()}
-    rows = sorted((r["doc_id"], line_dedup._lines(r["text"])) for r in docs.collect())
+    rows = sorted((r["doc_id"], [x.strip(" \t\r\x0b\x0c") for x in (r["text"] or "").split("\n")]) for r in docs.collect())
     first, names = {}, []
     for d, lines in rows:
         for n, x in enumerate(lines):
@@ -389,6 +389,25 @@ def test_fuzzy_lines(spark, docs, odd, none):
     assert line_dedup.remove_fuzzy_lines(none).count() == 0
 
 
+def test_line_slices(monkeypatch):
+    import pyarrow as pa
+
+    draw = random.Random(21)
+    texts = [None, "", "\n", " \n \n", "\n\nab\n", "é \r\n\t漢字 x \n"] + ["".join(draw.choice("ab \n\té") for _ in range(draw.randint(0, 60))) for _ in range(80)] + ["x" * 50 + "\n" + " y" * 40 + "\n\n" + "z\n" * 30]
+    want = [(r, n, x.strip(" \t\r\x0b\x0c")) for r, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]
+    for size in (1 << 20, 40, 16):
+        slices = line_dedup.text_slices
+        monkeypatch.setattr(line_dedup, "CHUNK_BYTES", size)
+        monkeypatch.setattr(line_dedup, "text_slices", lambda t, k=size: slices(t, k))
+        got = []
+        for row, number, ids, data, starts, ends in line_dedup.line_slices(pa.array(texts)):
+            lines = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+            assert ids.tolist() == [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+            got += zip(row.tolist(), number.tolist(), lines)
+        monkeypatch.undo()
+        assert got == want
+
+
 def test_buckets_are_compared_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(verify, "BUCKET", 3)
     draw = random.Random(8)
