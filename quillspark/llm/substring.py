@@ -1,4 +1,4 @@
-"""Substring dedup: seeds on winnowed anchors, extension to repeated windows, maximal repeats over a length."""
+"""Substring dedup: texts joined on winnowed anchors, matches extended both ways, maximal repeats over a length."""
 
 from __future__ import annotations
 
@@ -8,16 +8,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._shared import mixed, null_safe, saved, text_slices, word_bounds, xxh64_slices
+from ._shared import CHUNK_BYTES, hot_join, mixed, null_safe, row_pieces, saved, text_slices, word_bounds, xxh64_slices
 
 #: Words of a seed. With windows of n words, n - SEED + 1 seeds compete for an anchor, so each window has one.
 SEED = 8
 #: Bits of the bitmap of repeated anchors for each of them, and the most bits it has (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Contexts that a task remembers, so that it sends a common one once; occurrences of an anchor that are met in one task.
+REMEMBERED, GROUP_MOST = 1 << 18, 20_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,20 +54,29 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _windows(texts: pa.Array, window: int):
-    """Yields (row, place, anchor, seeds, words) arrays for the windows of slices of the texts, row by row in order."""
+    """Yields (row, place, least, seeds, words, bytes, starts, ends) for slices of the texts.
+
+    One entry of row, place (its first word), least (its anchor, the least hash of a seed in it) and first (its index in
+    ``words``) for each window of ``window`` words; words are hashes. Very long texts come in pieces.
+    """
     for first, data, offsets in text_slices(texts):
-        starts, ends, of = word_bounds(data, offsets)
-        if len(starts) < window:
-            continue
-        words = xxh64_slices(data, starts, ends - starts)
-        seeds = gram_hashes(words, SEED)
-        least = sliding_min(seeds, window - SEED + 1)
-        count = np.diff(of)
-        row = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(words)) - of[:-1][row]
-        good = np.flatnonzero(place[: len(least)] + window <= count[row[: len(least)]])
-        if len(good):
-            yield first, row, place, good, least, seeds, words
+        if len(offsets) == 2 and offsets[1] > CHUNK_BYTES:
+            parts = ((word, piece, starts, ends, np.array([0, len(starts)])) for _, word, piece, starts, ends in row_pieces(data, int(offsets[1]), overlap=window - 1))
+        else:
+            starts, ends, of = word_bounds(data, offsets)
+            parts = [(0, data, starts, ends, of)]
+        for before, piece, starts, ends, of in parts:
+            if len(starts) < window:
+                continue
+            words = xxh64_slices(piece, starts, ends - starts)
+            seeds = gram_hashes(words, SEED)
+            least = sliding_min(seeds, window - SEED + 1)
+            count = np.diff(of)
+            row = np.repeat(np.arange(len(count)), count)
+            place = np.arange(len(words)) - of[:-1][row]
+            good = np.flatnonzero(place[: len(least)] + window <= count[row[: len(least)]])
+            if len(good):
+                yield first + row[good], before + place[good], least[good], good, seeds, words, piece, starts, ends
 
 
 def _copy_key(id_col: Column, text: Column) -> Column:
@@ -81,27 +92,16 @@ def first_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return firsts.select(F.xxhash64("a", "b", "least.id").alias("key"))
 
 
-def _later_here(one: np.ndarray, two: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which windows repeat an earlier one of the same slice of texts."""
-    order = np.lexsort((place, rank, two, one))
-    o, t, r, p = one[order], two[order], rank[order], place[order]
-    fresh = np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])])
-    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    sure = np.zeros(len(one), bool)
-    sure[order] = (r != r[head]) | (p != p[head])
-    return sure
-
-
 def repeated_anchors(docs: DataFrame, text: str, window: int, firsts: Broadcast, key: Column) -> DataFrame:
     """(anchor) of the winnowed anchors that occur at two places or more, in one first copy or several."""
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(has(firsts.value, np.asarray(batch.column(1)).view(np.uint64))))
-            for _, row, place, good, least, seeds, _ in _windows(batch.column(0), window):
-                before = np.maximum(good - 1, 0)
-                fresh = (place[good] == 0) | (least[good] != least[before]) | (seeds[before] == least[before])
-                yield pa.RecordBatch.from_arrays([pa.array(least[good[fresh]].view(np.int64))], names=["anchor"])
+            for row, place, least, good, seeds, *_ in _windows(batch.column(0), window):
+                fresh = np.ones(len(good), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1]) | (seeds[good[:-1]] == least[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(least[fresh].view(np.int64))], names=["anchor"])
 
     anchors = docs.select(F.col(text).alias("t"), key.alias("key")).mapInArrow(run, "anchor long")
     return anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
@@ -125,40 +125,187 @@ def bitmap(anchors: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def later_windows(docs: DataFrame, firsts: Broadcast, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """(__id, __h, place) of each window of ``window`` words of first copies that also starts earlier; __h: the text's XXH64.
+def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether the slices of ``data`` at ``a`` and at ``b`` hold the same bytes."""
+    for lo in range(0, len(a), 4096):
+        n = sizes[lo : lo + 4096]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(data[np.repeat(a[lo : lo + 4096], n) + inside], data[np.repeat(b[lo : lo + 4096], n) + inside]):
+            return False
+    return True
+
+
+def extend(contexts: pa.Array, number: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (occurrence, first word, one past the last) of occurrences that repeat an earlier one, words of a context.
+
+    ``contexts`` holds the words around each occurrence of an anchor, joined by spaces, in order of document and place:
+    the anchor and what it may be extended by on both sides, which is ``number`` windows. An occurrence is extended
+    left and right as far as an earlier one has the same words; occurrences meet through the hashes of their windows,
+    not in pairs, and what they are said to share is compared word by word. Windows of one document (``doc``) at one
+    place are the same, not repeats.
+    """
+    data = np.frombuffer(b" ".join(x.as_py().encode() for x in contexts) + bytes(8), np.uint8)
+    starts, ends, _ = word_bounds(data, np.array([0, len(data) - 8]))
+    words = xxh64_slices(data, starts, ends - starts)
+    size = number + window - 1
+    base = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(number)), number)
+    j = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
+    at = base[of] + j
+    one, two = gram_hashes(words, window)[at], gram_hashes(mixed(words), window)[at]
+    order = np.lexsort((np.arange(len(at)), two, one))
+    fresh = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    head = np.empty(len(at), np.int64)
+    head[order] = order[fresh][np.cumsum(fresh) - 1]
+    where = place[of] + j
+    later = (head != np.arange(len(at))) & ((doc[of] != doc[of[head]]) | (where != where[head]))
+    some = np.flatnonzero(later)
+    # windows side by side whose heads are side by side too are one stretch
+    cut = np.ones(len(some), bool)
+    cut[1:] = (some[1:] != some[:-1] + 1) | (of[some[1:]] != of[some[:-1]]) | (head[some[1:]] != head[some[:-1]] + 1) | (of[head[some[1:]]] != of[head[some[:-1]]])
+    begin = some[cut]
+    finish = some[np.append(np.flatnonzero(cut)[1:], len(some)) - 1] if len(some) else begin
+    n = finish - begin + window
+    a, b = at[begin], at[head[begin]]
+    lengths = ends[a + n - 1] - starts[a]
+    if not (np.array_equal(lengths, ends[b + n - 1] - starts[b]) and _alike(data, starts[a], starts[b], lengths)):
+        raise ArithmeticError("two windows of different words have one 128-bit hash")
+    return of[begin], j[begin], j[begin] + n
+
+
+def later_stretches(docs: DataFrame, firsts: Broadcast, id_col: str = "doc_id", text: str = "text", window: int = 20, group_most: int = GROUP_MOST) -> DataFrame:
+    """(__id, __h, start, stop): stretches of words of first copies that repeat earlier ones; __h: the text's XXH64.
 
     Seeds are winnowed anchors: of the 8-word grams in a window that with the least hash. Equal windows choose equal
-    anchors, so texts are joined on the anchors that occur twice or more; each occurrence is extended to both sides
-    over all windows that it stands for, and a window repeats where its 128-bit hash does. The first in order of id and
-    place stays, whatever the number of others: no pairs are made. A window that repeats one of the same slice of texts is
-    known to there, and travels under a key of its own, so a window that is very common meets in no one task. Rows of one
-    id and text are one document.
+    anchors, so texts are joined on the anchors that occur twice or more. An occurrence travels with its context, the
+    words that the windows it stands for have on both sides, and is extended over them (``extend``): one row an
+    occurrence, none a window. The first in order of id, text hash and place stays, whatever the number of others.
+
+    A task sends a context once, and again only if it comes earlier in that order; the others are known for repeats
+    where they are read, so a passage that is in every document meets in no one task. An anchor with over
+    ``group_most`` occurrences is left to its windows' hashes, which are combined where they are and joined with hot ones split.
+    Rows of one id and text are one document.
     """
     key = _copy_key(F.col(id_col), F.col(text))
     marked = saved(repeated_anchors(docs, text, window, firsts, key))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(marked))
     read = docs.select(F.col(id_col).alias("__id"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("__h"), F.col(text).alias("t"), key.alias("key"))
+    fields = read.select("__id", "__h").schema.fields
+    widest = window - SEED + 1
 
-    def run(batches):
+    def occur(batches):
+        met: dict[tuple[int, int, int], tuple] = {}
         for batch in batches:
             batch = batch.filter(pa.array(has(firsts.value, np.asarray(batch.column(3)).view(np.uint64))))
-            for first, row, place, good, least, _, words in _windows(batch.column(2), window):
-                good = good[has(sent.value, least[good])]
+            for row, place, least, good, _, words, data, starts, ends in _windows(batch.column(2), window):
+                some = has(sent.value, least)
+                row, place, least, good = row[some], place[some], least[some], good[some]
                 if not len(good):
                     continue
-                one, two = gram_hashes(words, window)[good], gram_hashes(mixed(words), window)[good]
-                rows, at = pa.array(first + row[good]), place[good]
-                rank = np.asarray(pc.rank(batch.column(0).take(rows), null_placement="at_start", tiebreaker="dense"))
-                sure = _later_here(one, two, rank, at)
-                one[sure] = mixed(one[sure] ^ mixed(rank[sure] * np.uint64(1 << 32) + at[sure].astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(sure)], names=["one", "two", "__id", "__h", "place", "sure"])
-
-    schema = read.select("__id", "__h").schema
-    rows = read.mapInArrow(run, StructType([*StructType.fromDDL("one long, two long").fields, *schema.fields, *StructType.fromDDL("place int, sure boolean").fields]))
-    order = Window.partitionBy("one", "two").orderBy("__id", "place")
-    first = F.first(F.struct("__id", "place")).over(order)
-    return rows.withColumn("first", first).filter(F.col("sure") | ~F.struct("__id", "place").eqNullSafe(F.col("first"))).select("__id", "__h", "place")
+                # runs of windows side by side with one anchor: an occurrence, at most as many as have room around a seed
+                cut = np.ones(len(good), bool)
+                cut[1:] = (row[1:] != row[:-1]) | (good[1:] != good[:-1] + 1) | (least[1:] != least[:-1])
+                begin = np.flatnonzero(cut)
+                inside = np.arange(len(good)) - begin[np.cumsum(cut) - 1]
+                begin = np.flatnonzero(inside % widest == 0)
+                number = np.diff(np.append(begin, len(good)))
+                grams = gram_hashes(words, window)
+                lasts = good[begin] + number - 1
+                ids, hs = batch.column(0).take(pa.array(row[begin])), batch.column(1).take(pa.array(row[begin]))
+                named = zip(ids.to_pylist(), hs.to_pylist(), place[begin].tolist(), zip(grams[good[begin]].tolist(), grams[lasts].tolist(), number.tolist()), starts[good[begin]].tolist(), ends[lasts + window - 1].tolist())
+                contexts, keep, keys = [], [], least[begin].view(np.int64).copy()
+                for i, (d, h, p, context, s, e) in enumerate(named):
+                    mine = (d is not None, d, h, p)
+                    before = met.get(context)
+                    if before == mine:
+                        continue
+                    keep.append(i)
+                    if before is not None and before < mine:
+                        contexts.append(None)
+                        keys[i] = hash(mine[1:]) & 0x7FFFFFFFFFFFFFFF
+                        continue
+                    if len(met) >= REMEMBERED:
+                        met.clear()
+                    met[context] = mine
+                    contexts.append(b" ".join(data[s:e].tobytes().split()).decode())
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys).take(at), ids.take(at), hs.take(at), pa.array(place[begin].astype(np.int32)).take(at), pa.array(number.astype(np.int32)).take(at), pa.array(contexts, pa.string())], names=["anchor", "__id", "__h", "place", "number", "context"])
+
+    seeds = read.mapInArrow(occur, StructType([*StructType.fromDDL("anchor long").fields, *fields, *StructType.fromDDL("place int, number int, context string").fields]))
+    made = StructType([*fields, *StructType.fromDDL("start int, stop int, one long, two long").fields])
+
+    def meet(batches):
+        def out(rows: pa.RecordBatch, at: np.ndarray, start: np.ndarray, stop: np.ndarray, one=None, two=None):
+            none = pa.nulls(len(at), pa.int64())
+            at = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([rows.column("__id").take(at), rows.column("__h").take(at), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), none if one is None else pa.array(one.view(np.int64)), none if two is None else pa.array(two.view(np.int64))], names=made.names)
+
+        def extended(rows: pa.RecordBatch):
+            rank = np.asarray(pc.rank(rows.column("__id"), null_placement="at_start", tiebreaker="dense")).astype(np.int64)
+            doc = np.unique(np.stack([rank, np.asarray(rows.column("__h"))], axis=1), axis=0, return_inverse=True)[1].ravel()
+            place = np.asarray(rows.column("place")).astype(np.int64)
+            of, a, b = extend(rows.column("context"), np.asarray(rows.column("number")).astype(np.int64), doc, place, window)
+            return out(rows, of, place[of] + a, place[of] + b)
+
+        def by_window(rows: pa.RecordBatch):
+            for lo in range(0, rows.num_rows, 2000):
+                part = rows.slice(lo, 2000)
+                data = np.frombuffer(" ".join(part.column("context").to_pylist()).encode() + bytes(8), np.uint8)
+                starts, ends, _ = word_bounds(data, np.array([0, len(data) - 8]))
+                words, number = xxh64_slices(data, starts, ends - starts), np.asarray(part.column("number")).astype(np.int64)
+                of = np.repeat(np.arange(len(number)), number)
+                j = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
+                at = (np.cumsum(number + window - 1) - (number + window - 1))[of] + j
+                start = np.asarray(part.column("place"))[of] + j
+                yield out(part, of, start, start + window, gram_hashes(words, window)[at], gram_hashes(mixed(words), window)[at])
+
+        def settled(rows: pa.RecordBatch):
+            anchor = np.asarray(rows.column("anchor"))
+            begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            size = np.diff(np.append(begin, len(anchor)))
+            large = np.repeat(size > group_most, size)
+            if large.any():
+                yield from by_window(rows.filter(pa.array(large)))
+                rows = rows.filter(pa.array(~large))
+            if rows.num_rows:
+                yield extended(rows)
+
+        held, over = None, None
+        for batch in batches:
+            known = pc.is_null(batch.column("context"))
+            rows, batch = batch.filter(known), batch.filter(pc.invert(known))
+            if rows.num_rows:
+                start = np.asarray(rows.column("place"))
+                yield out(rows, np.arange(rows.num_rows), start, start + np.asarray(rows.column("number")) + window - 1)
+            if over is not None:  # the rest of an anchor whose first rows have gone by their windows
+                lead = int(np.searchsorted(np.asarray(batch.column("anchor")), over, "right"))
+                if lead:
+                    yield from by_window(batch.slice(0, lead))
+                    batch = batch.slice(lead)
+            if not batch.num_rows:
+                continue
+            over = None
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            anchor = np.asarray(batch.column("anchor"))
+            last = int(np.searchsorted(anchor, anchor[-1]))
+            if last:
+                yield from settled(batch.slice(0, last))
+            held = batch.slice(last)
+            if held.num_rows > group_most:
+                yield from by_window(held)
+                over, held = anchor[-1], None
+        if held is not None:
+            yield from settled(held)
+
+    found = saved(seeds.repartition("anchor").sortWithinPartitions("anchor", "__id", "__h", "place").mapInArrow(meet, made))
+    stretches = found.filter("one is null").select("__id", "__h", "start", "stop")
+    if found.filter("one is not null").isEmpty():
+        return stretches
+    alone = saved(found.filter("one is not null"))
+    where = F.struct("__id", "__h", "start")
+    heads = alone.groupBy("one", "two").agg(F.min(where).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return stretches.union(hot_join(alone, heads, ["one", "two"]).filter(~where.eqNullSafe(F.col("head"))).select("__id", "__h", "start", "stop"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, texts: bool = False) -> DataFrame:
@@ -172,10 +319,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     same text) do not make each other repeats. A null id comes before all others.
     """
     firsts = docs.sparkSession.sparkContext.broadcast(bitmap(first_copies(docs, id_col, text).withColumnRenamed("key", "anchor")))
-    later = later_windows(docs, firsts, id_col, text, window)
-    spans = later.groupBy("__id", "__h").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    later = later_stretches(docs, firsts, id_col, text, window)
+    spans = later.groupBy("__id", "__h").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     read = docs.select(F.col(id_col).alias("__id"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("__h"), F.col(text).alias("__t"))
-    joined = null_safe(read, spans, ["__id", "__h"], "left").select("__id", "__t", "places", _copy_key(F.col("__id"), F.col("__t")).alias("key"))
+    joined = null_safe(read, spans, ["__id", "__h"], "left").select("__id", "__t", "spans", _copy_key(F.col("__id"), F.col("__t")).alias("key"))
     none = hashlib.sha256(b"").hexdigest()
     new = "n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>" + ", kept_text string" * texts
     schema = StructType([StructField(id_col, read.schema["__id"].dataType), *StructType.fromDDL(new).fields])
@@ -189,11 +336,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 removed = np.zeros(len(words), bool)
                 stretches = []
                 if len(words) >= window and (lists[i].is_valid or not first[i]):
-                    at = np.asarray(lists[i].values) if first[i] else np.arange(len(words) - window + 1)
-                    cut = np.flatnonzero(np.diff(at) > window) + 1
-                    for a, b in zip(at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]] + window):
-                        removed[a:b] = True
-                        stretches.append({"start": int(a), "end": int(b)})
+                    a, b = (np.asarray(lists[i].values.field(k)) for k in (0, 1)) if first[i] else (np.zeros(1, int), np.array([len(words)]))
+                    reach = np.maximum.accumulate(b)
+                    cut = np.flatnonzero(a[1:] > reach[:-1]) + 1
+                    for s, e in zip(a[np.r_[0, cut]], reach[np.r_[cut - 1, len(a) - 1]]):
+                        removed[s:e] = True
+                        stretches.append({"start": int(s), "end": int(e)})
                     words = [w for w, r in zip(words, removed) if not r]
                 kept = b" ".join(words)
                 n_words.append(len(removed)), n_removed.append(int(removed.sum())), repeats.append(stretches)

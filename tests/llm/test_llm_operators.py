@@ -481,6 +481,36 @@ def test_substring(docs, odd, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_shared_passages(spark, monkeypatch, most):
+    """Passages in many documents, ends that differ, a frequent anchor, texts in pieces; large groups by their windows."""
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring.later_stretches, "__defaults__", (*substring.later_stretches.__defaults__[:-1], most))
+    draw = random.Random(31)
+    words = ["w%d" % k for k in range(50)]
+    passages = [" ".join(draw.choice(words) for _ in range(draw.randint(15, 60))) for _ in range(6)]
+    rows = []
+    for d in range(80):
+        parts = []
+        for _ in range(draw.randint(0, 6)):
+            p = draw.choice(passages).split()
+            a, b = sorted((draw.randint(0, 5), len(p) - draw.randint(0, 5)))
+            parts += [draw.choice(words) for _ in range(draw.randint(0, 12))] + p[a:b]
+        rows.append((draw.choice([d, 500, None]), "  ".join(parts)))
+    rows.append((7, " ".join("w%d" % (k * k % 97) for k in range(1500))))
+    table = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    found = [(r["doc_id"], r["h"], (r["text"] or "").encode().split()) for r in table.withColumn("h", F.xxhash64("text")).collect()]
+    first, out = {}, {}
+    for d, h, w in sorted(set((d, h, tuple(w)) for d, h, w in found), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        for p in range(len(w) - 19):
+            first.setdefault(w[p : p + 20], (d, h, p))
+    for d, h, w in found:
+        gone = {i for p in range(len(w) - 19) if first[tuple(w[p : p + 20])] != (d, h, p) for i in range(p, p + 20)}
+        out[d, h] = (len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest())
+    got = substring.remove_repeats(table).collect()
+    assert Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter((d, *out[d, h]) for d, h, _ in found)
+
+
 def test_repeated_words(spark):
     rows = [(1, "for " * 50), (2, "for " * 19), (3, "a b c d e f g h i j " * 7), (4, "x " + "for " * 21)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
