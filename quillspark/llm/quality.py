@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import WHITE, text_slices, xxh64_slices
+from ._shared import CHUNK_BYTES, WHITE, row_pieces, text_slices, xxh64_slices
 
 #: Words are hashed to so many rows of vectors; their length; index vectors' nonzeros; neighbours counted on each side.
 BUCKETS, DIMENSIONS, NONZEROS, SIDE = 1 << 15, 64, 6, 2
 #: Labelled rows that the network is fitted on at most; those with the least hash of the id are taken.
 MOST_LABELLED = 20_000
-#: Bytes of text whose context rows are held at once; bucket rows in a summed block.
-STEP_BYTES, BLOCK = 1 << 20, 1024
+#: Bytes of text, and words, whose vectors are held at once; bucket rows in a summed block.
+STEP_BYTES, STEP_WORDS, BLOCK = 1 << 20, 1 << 18, 1024
 #: Tasks' sums of a block are added in so many lanes before the lanes are.
 LANES = 64
 
@@ -32,6 +32,10 @@ _CLASS[WHITE] = 0
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each word, and for each row where its words begin (one more at the end)."""
     n = int(offsets[-1])
+    if len(offsets) == 2 and n > CHUNK_BYTES:
+        parts = [_words(piece, np.array([0, len(piece) - 8]))[0] for _, _, piece, _, _ in row_pieces(data, n, limit=STEP_BYTES)]
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
     kind = _CLASS[data[:n]]
     fresh = np.ones(n + 1, bool)
     fresh[1:n] = kind[1:] != kind[:-1]
@@ -67,17 +71,21 @@ def fit_word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
                 ids, of = _words(data, offsets)
                 if not len(ids):
                     continue
-                near, context = index[ids], np.zeros((len(ids), DIMENSIONS), np.int16)
-                row = np.repeat(np.arange(len(of) - 1), np.diff(of))
-                for d in range(1, SIDE + 1):
-                    same = (row[d:] == row[:-d]).astype(np.int16)[:, None]
-                    context[d:] += near[:-d] * same
-                    context[:-d] += near[d:] * same
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                total[ids[cut], :DIMENSIONS] += np.add.reduceat(context[order], cut, axis=0, dtype=np.int32)
-                total[ids[cut], DIMENSIONS] += np.diff(np.append(cut, len(ids))).astype(np.int32)
+                rows = np.repeat(np.arange(len(of) - 1, dtype=np.int32), np.diff(of))
+                for lo in range(0, len(ids), STEP_WORDS):  # with the neighbours of its ends
+                    a, b = max(0, lo - SIDE), min(len(ids), lo + STEP_WORDS + SIDE)
+                    near, row = index[ids[a:b]], rows[a:b]
+                    context = np.zeros((b - a, DIMENSIONS), np.int16)
+                    for d in range(1, SIDE + 1):
+                        same = (row[d:] == row[:-d]).astype(np.int16)[:, None]
+                        context[d:] += near[:-d] * same
+                        context[:-d] += near[d:] * same
+                    mine = ids[lo : lo + STEP_WORDS]
+                    order = np.argsort(mine, kind="stable")
+                    mine = mine[order]
+                    cut = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                    total[mine[cut], :DIMENSIONS] += np.add.reduceat(context[lo - a + order], cut, axis=0, dtype=np.int32)
+                    total[mine[cut], DIMENSIONS] += np.diff(np.append(cut, len(mine))).astype(np.int32)
         for b in range(0, BUCKETS, BLOCK):
             if total[b : b + BLOCK].any():
                 lane = TaskContext.get().partitionId() % LANES
@@ -112,6 +120,14 @@ def _pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(np.diff(of))
         if not len(some):
             continue
+        if len(of) == 2 and len(ids) > STEP_WORDS:
+            total, square = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+            for k in range(0, len(ids), STEP_WORDS):
+                x = vectors[ids[k : k + STEP_WORDS]]
+                total, square = total + x.sum(0, dtype=np.float64), square + np.square(x).sum(0, dtype=np.float64)
+            mean = total / len(ids)
+            out[first] = np.concatenate([mean, np.sqrt(np.maximum(square / len(ids) - mean**2, 0))])
+            continue
         x, n = vectors[ids], np.diff(of)[some][:, None]
         mean = np.add.reduceat(x, of[some], axis=0) / n
         np.square(x, out=x)
@@ -179,12 +195,12 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 48, epochs: int = 60
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, most: int) -> DataFrame:
     """(text, y) of at most ``most`` labelled rows for learning: ids whose CRC32 mod 3 isn't 1, least hashes first.
 
-    Labels other than 0 and 1 don't count; of several labels of one id the majority does, and none at a tie.
+    Of several rows of one id the least text is taken. Labels other than 0 and 1 don't count; of several labels of one id the majority does, and none at a tie.
     """
     learn = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.avg(label).alias("share"))
     learn = learn.filter((F.col("share") != 0.5) & F.col("__id").isNotNull() & ~_held_out(F.col("__id")))
     chosen = learn.select("__id", (F.col("share") > 0.5).cast("int").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id").select("t", "y")
+    return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y")
 
 
 def _held_out(id_col):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, joined_words, local_roots, mixed, null_safe, row_tie, saved, tasks_for, text_slices, word_bounds, xxh64_slices
+from ._shared import CHUNK_BYTES, LOWER, joined_words, local_roots, mixed, null_safe, row_pieces, row_tie, saved, tasks_for, text_slices, word_bounds, xxh64_slices
 from .components import components
 from .substring import bitmap, has
 from .verify import verified_components
@@ -24,6 +24,24 @@ FANOUT, PAIRS_AT_ONCE = 8, 200_000
 ROWS_PER_TASK = 250_000
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    out = np.zeros(64, np.int64)
+    for lo in range(0, len(h), 65536):
+        out += np.unpackbits(h[lo : lo + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return out
+
+
+def shingle_pieces(data: np.ndarray, size: int, shingle: int):
+    """Yields the hashes of the word shingles of one text, very long ones piece by piece; fewer words make one shingle."""
+    for _, word, piece, starts, ends in row_pieces(data, size, overlap=shingle - 1):
+        n = min(shingle, len(starts)) if not word else shingle
+        if not len(starts) or len(starts) < n:
+            continue
+        buffer, starts, ends = joined_words(np.concatenate([LOWER[piece[:-8]], piece[-8:]]), starts, ends)
+        yield xxh64_slices(buffer, starts[: len(starts) - n + 1], ends[n - 1 :] - starts[: len(starts) - n + 1])
+
+
 def fingerprint_rows(data: np.ndarray, offsets: np.ndarray, shingle: int = 4) -> np.ndarray:
     """64-bit SimHash of each row of a slice of texts."""
     data = np.concatenate([LOWER[data[:-8]], data[-8:]])
@@ -57,7 +75,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
         for batch in batches:
             fp = np.zeros(batch.num_rows, np.uint64)
             for first, data, offsets in text_slices(batch.column(2)):
-                fp[first : first + len(offsets) - 1] = fingerprint_rows(data, offsets, shingle)
+                if len(offsets) == 2 and offsets[1] > CHUNK_BYTES:
+                    count, number = np.zeros(64, np.int64), 0
+                    for h in shingle_pieces(data, int(offsets[1]), shingle):
+                        count, number = count + bit_counts(h), number + len(h)
+                    fp[first] = np.packbits(count * 2 > number, bitorder="little").view("<u8")[0]
+                else:
+                    fp[first : first + len(offsets) - 1] = fingerprint_rows(data, offsets, shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["__id", "__h", "__fp"])
 
     return read.mapInArrow(run, read.schema.__class__([read.schema["__id"], read.schema["__h"]]).add("__fp", "long"))
@@ -253,14 +277,7 @@ WIDE_RECALL = 0.99
 
 def _shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; fewer words make one."""
-    data = np.frombuffer(text + bytes(8), np.uint8)
-    data = LOWER[data]
-    starts, ends, _ = word_bounds(data, np.array([0, len(text)]))
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    buffer, starts, ends = joined_words(data, starts, ends)
-    n = min(size, len(starts))
-    return np.unique(xxh64_slices(buffer, starts[: len(starts) - n + 1], ends[n - 1 :] - starts[: len(starts) - n + 1]))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_pieces(np.frombuffer(text + bytes(8), np.uint8), len(text), size)]))
 
 
 def wide_fingerprints(texts, size: int) -> np.ndarray:
@@ -270,8 +287,7 @@ def wide_fingerprints(texts, size: int) -> np.ndarray:
         h = _shingles(t, size)
         for k, x in enumerate((h, mixed(h ^ np.uint64(0x5851F42D4C957F2D)))):
             if len(h):
-                bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                out[i, k] = np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(h), bitorder="little").view("<u8")[0]
+                out[i, k] = np.packbits(bit_counts(x) * 2 > len(h), bitorder="little").view("<u8")[0]
     return out
 
 

@@ -164,6 +164,14 @@ def test_simhash(spark, docs, odd, none):
     assert kept.count() == len(set(_classes([(r["doc_id"], r["text"]) for r in odd.collect()])[1]))
 
 
+def test_fingerprints_of_long_texts(spark, monkeypatch):
+    draw = random.Random(2)
+    text = " ".join("".join(draw.choice("abcXYZé") for _ in range(draw.randint(1, 9))) for _ in range(600_000)) + "  "
+    rows = [(1, text), (2, "x" * 3_000_000), (3, " " * 3_000_000 + "a b")]
+    got = {r["__id"]: r["__fp"] % 2**64 for r in simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: _simhash(t) for d, t in rows}
+
+
 @pytest.mark.parametrize("limit", [8192, 40])
 def test_near_codes_links_all_pairs(spark, limit):
     draw = random.Random(7)
@@ -239,6 +247,36 @@ def test_quality(spark, odd, none):
     assert quality.score_quality(none, labels).count() == 0
 
 
+def test_word_vectors_and_pooling_by_brute_force(spark, monkeypatch):
+    texts = ["The cat sat, the cat ran 42 times!", "a b a b a", None, "", "  ", "it's über-cool... " * 3]
+    words = [[m.group() for m in __import__("regex").finditer(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|([^A-Za-z0-9\s\x80-\U0010ffff])\1*", t or "")] for t in texts]
+    bucket = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) % quality.BUCKETS
+    index, total, often = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIMENSIONS)), np.zeros((quality.BUCKETS, 1))
+    for ws in words:
+        for i, w in enumerate(ws):
+            often[bucket(w)] += 1
+            for j in range(max(0, i - quality.SIDE), min(len(ws), i + quality.SIDE + 1)):
+                if j != i:
+                    total[bucket(w)] += index[bucket(ws[j])]
+    often /= often.sum()
+    total = total - often.T @ total
+    size = np.linalg.norm(total, axis=1, keepdims=True)
+    want = total / np.where(size > 0, size, 1) * (1e-3 / (1e-3 + often)) ** 0.5
+    got = quality.fit_word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert np.allclose(got, want, atol=1e-5)
+    import pyarrow as pa
+
+    pooled = quality._pooled(pa.array(texts), got)
+    for t, p in zip(words, pooled):
+        x = got[[bucket(w) for w in t]]
+        assert np.allclose(p, np.concatenate([x.mean(0), x.std(0)]) if len(t) else 0, atol=1e-3)
+    long = " ".join(f"w{k % 50} {k % 7}" for k in range(4000))
+    whole = quality._pooled(pa.array([long]), got)
+    for name, value in (("CHUNK_BYTES", 3000), ("STEP_BYTES", 2000), ("STEP_WORDS", 500)):
+        monkeypatch.setattr(quality, name, value)
+    assert np.allclose(quality._pooled(pa.array([long]), got), whole, atol=1e-5)
+
+
 def test_temperature_and_network():
     draw = np.random.default_rng(2)
     x = draw.normal(size=(2000, 8))
@@ -484,7 +522,6 @@ def test_substring(docs, odd, none):
 @pytest.mark.parametrize("most", [20_000, 3])
 def test_shared_passages(spark, monkeypatch, most):
     """Passages in many documents, ends that differ, a frequent anchor, texts in pieces; large groups by their windows."""
-    monkeypatch.setattr(substring, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(substring.later_stretches, "__defaults__", (*substring.later_stretches.__defaults__[:-1], most))
     draw = random.Random(31)
     words = ["w%d" % k for k in range(50)]
@@ -498,6 +535,7 @@ def test_shared_passages(spark, monkeypatch, most):
             parts += [draw.choice(words) for _ in range(draw.randint(0, 12))] + p[a:b]
         rows.append((draw.choice([d, 500, None]), "  ".join(parts)))
     rows.append((7, " ".join("w%d" % (k * k % 97) for k in range(1500))))
+    rows.append((9, " ".join("w%d" % (k * k % 4973) for k in range(450_000))))  # over two pieces
     table = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
     found = [(r["doc_id"], r["h"], (r["text"] or "").encode().split()) for r in table.withColumn("h", F.xxhash64("text")).collect()]
     first, out = {}, {}
