@@ -85,6 +85,13 @@ def with_row_number(df: DataFrame, key: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """Inner equi-join of ``left``, any key of which may be hot, with a narrow ``right``, unique in the keys: each right row
+    goes to ``salts`` places, and a key's left rows are spread over these."""
+    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts)))
+    return spread.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*keys, "__salt"]).drop("__salt")
+
+
 #: A key with over this part of a join's rows is hot: so there are fewer hot keys than its inverse.
 HOT_PART = 1 / 500
 

@@ -5,10 +5,15 @@ Works on edges only, in DataFrame joins and aggregates with map-side combine; no
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HOT_PART, drop_saved, saved
+from ._shared import HOT_PART, drop_saved, local_roots, saved
+
+#: Edges that one task settles by itself (some 100 MB); with more, rounds of contraction go on.
+ONE_TASK = 1_000_000
 
 
 def _star(edges: DataFrame, large: bool, hubs: list[int]) -> DataFrame:
@@ -38,16 +43,31 @@ def _state(edges: DataFrame, number: int) -> tuple[bool, list[int]]:
     return not row["open"], row["hubs"]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def _settle(batches):
+    """(node, root) of the components of a bounded number of edges."""
+    ends = [np.stack([np.asarray(x.column(0)), np.asarray(x.column(1))]) for x in batches if x.num_rows]
+    if ends:
+        a, b = np.concatenate(ends, axis=1)
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = nodes[local_roots(len(nodes), at[: len(a)], at[len(a) :])]
+        for lo in range(0, len(nodes), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[lo : lo + 65536]), pa.array(root[lo : lo + 65536])], names=["node", "root"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node reachable.
 
     Self-loops and edges with a null end are ignored; an empty edge table gives no rows. The number of rounds grows
-    with the square of the logarithm of the largest component; each round's edges are written to shared storage.
+    with the square of the logarithm of the largest component; each round's edges are written to shared storage. Where
+    at most ``one_task`` edges are left, or come, one task of bounded size settles them; the result is the same.
     """
     kept = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a != b").distinct()
     now = saved(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(most_rounds):
-        done, hubs = _state(now, now.count())
+        number = now.count()
+        if number <= one_task:
+            return now.repartition(1).mapInArrow(_settle, "node long, root long")
+        done, hubs = _state(now, number)
         if done:
             break
         after = saved(_star(_star(now, True, hubs), False, hubs))

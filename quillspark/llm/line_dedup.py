@@ -6,18 +6,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._shared import CHUNK_BYTES, HOT_PART, WHITE, hot_join, mixed, null_safe, saved, text_slices, xxh64_slices
+from ._shared import CHUNK_BYTES, HOT_PART, WHITE, hot_join, mixed, null_safe, salted_join, saved, text_slices
 from .substring import bitmap, has
 from .verify import verified_components
 
 #: Characters of a shingle; least Jaccard similarity of a link.
 SHINGLE, LEAST = 8, 0.8
-#: Bands and signature rows of each: lines of similarity 0.8 share a band with probability 0.99, of 0.9 with 0.99999.
-BANDS, ROWS = 12, 5
+#: Bands and signature rows of each: lines of similarity 0.8 share a band with probability 0.99, of 0.9 with 0.9999.
+BANDS, ROWS = 9, 4
 #: Characters of text that are signed at once; lines that a task remembers, so that it signs and sends a common one once.
 STEP_CHARS, REMEMBERED = 1 << 17, 1 << 20
 
@@ -128,7 +129,9 @@ def line_slices(texts: pa.Array):
                 some = np.ones(len(starts), bool)
             row, number, starts, ends = row[some], number[some], starts[some], ends[some]
             if len(starts):
-                yield first + row, number, xxh64_slices(part, starts, ends - starts), part, starts, ends
+                raw = part.tobytes()
+                ids = np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+                yield first + row, number, ids, raw, starts, ends
 
 
 def _signed(batches):
@@ -146,7 +149,7 @@ def _signed(batches):
             while done < len(fresh):
                 take = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + STEP_CHARS, "right")))
                 some, done = fresh[done:take], take
-                lines = [data[a:b].tobytes().decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                lines = [data[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
                 length = np.array([len(x) for x in lines])
                 codes = np.frombuffer("".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le"), np.uint32)
                 whole = np.maximum(length, SHINGLE)
@@ -193,7 +196,7 @@ def line_links(docs: DataFrame, text: str = "text") -> DataFrame:
             for _, _, ids, data, starts, ends in line_slices(batch.column(0)):
                 _, once = np.unique(ids, return_index=True)
                 some = once[has(sent.value, ids[once])]
-                lines = [data[a:b].tobytes().decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                lines = [data[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some].view(np.int64)), pa.array(lines, pa.string())], names=["line", "text"])
 
     texts = docs.select(F.col(text).alias("t")).mapInArrow(rows, "line long, text string")
@@ -225,7 +228,7 @@ def remove_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     counts = seen.groupBy("line").agg(F.count("*").alias("n"))
     classed = saved(counts.join(roots, counts["line"] == roots["node"], "left").select("line", "n", F.coalesce("root", "line").alias("root")))
     several = saved(classed.groupBy("root").agg(F.sum("n").alias("m")).filter("m > 1"))
-    wanted = saved(hot_join(classed, several, ["root"]).select("line", "n", "root", "m"))
+    wanted = saved(salted_join(classed, several, ["root"]).select("line", "n", "root", "m"))
     much = HOT_PART * (several.agg(F.sum("m")).first()[0] or 0)
     place = F.struct("__id", "__h", "number")
     repeated = saved(hot_join(seen, wanted.select("line", "root"), ["line"], hot=wanted.filter(F.col("n") > much).select("line")).select("__id", "__h", "number", "root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -269,10 +270,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 # --- texts by similarity: a wide fingerprint finds, exact similarity decides ---------------------------------------
 
-#: Most bits of 128 that two texts of similarity 0.8 differ in (20 on average, deviation 4 and more in short texts); share for which masks are counted.
-WIDE_MOST, WIDE_SHARE = 36, 0.19
-#: Recall of the masks at that similarity.
-WIDE_RECALL = 0.99
+#: Most bits of 128 in which two texts of similarity 0.8 are looked for: 20 differ on average, up to 22 in short texts, with a deviation of 4.
+WIDE_MOST = 40
+#: Share of the bits that differ, for which masks are counted, and what part of such pairs they must find, whatever the number of bits in a mask.
+WIDE_SHARE, WIDE_RECALL = 0.17, 0.99
 
 
 def _shingles(text: bytes, size: int) -> np.ndarray:
@@ -294,7 +295,11 @@ def wide_fingerprints(texts, size: int) -> np.ndarray:
 def wide_masks(number: int) -> list[tuple[int, int]]:
     """Masks of random bits: as many bits as leave few codes a pattern, as many masks as give the recall."""
     bits = min(28, max(12, int(number).bit_length() - 10))
-    masks = int(np.ceil(np.log(1 - WIDE_RECALL) / np.log(1 - (1 - WIDE_SHARE) ** bits)))
+    share = np.array([comb(128, d) * WIDE_SHARE**d * (1 - WIDE_SHARE) ** (128 - d) for d in range(129 - bits)])
+    apart = 1 - np.array([comb(128 - d, bits) / comb(128, bits) for d in range(129 - bits)])
+    masks = 1
+    while (share * (1 - apart**masks)).sum() < WIDE_RECALL:
+        masks += 1
     draw = np.random.default_rng(1234)
     out = []
     for _ in range(masks):

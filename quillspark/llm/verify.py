@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import hot_join, saved
+from ._shared import HOT_PART, hot_join, salted_join, saved
 from .components import components
 
 #: Texts that are compared with each other in one task; more are compared block by block.
@@ -98,18 +98,19 @@ def verified_components(pairs: DataFrame, texts: DataFrame, set_of: Callable[[st
             yield out(held)
 
     lows = texts.select(F.col("node").alias("low"), F.col("text").alias("low_text"))
-    held = saved(pairs.join(texts, "node").select("low", "node", "text"))
-    stars = saved(hot_join(held, lows, ["low"]).select(F.col("node").alias("a"), F.col("low").alias("b"), "text", "low_text").mapInArrow(star, "a long, b long"))
+    hot = pairs.groupBy("low").agg(F.count("*").alias("n")).filter(F.col("n") > max(1.0, HOT_PART * pairs.count())).select("low")
+    held = pairs.join(texts, "node").select("low", "node", "text")
+    stars = saved(hot_join(held, lows, ["low"], hot=hot).select(F.col("node").alias("a"), F.col("low").alias("b"), "text", "low_text").mapInArrow(star, "a long, b long"))
     roots = saved(components(stars))
     named = roots.withColumnRenamed("node", "__n").withColumnRenamed("root", "__r")
     placed = pairs.join(named, F.col("node") == F.col("__n"), "left").select("low", "node", F.coalesce("__r", "node").alias("root"))
     # the low of a family with links is the least of a component of its own, or has another root
     mine = named.select(F.col("__n").alias("low"), F.col("__r").alias("own"))
     families = placed.groupBy("low").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("low")
-    families = saved(families.join(mine, "low", "left").select("low", F.coalesce("own", "low").alias("own")))
-    apart = saved(hot_join(saved(placed), families, ["low"]).withColumn("side", (F.col("root") == F.col("own")).cast("int")))
+    families = families.join(mine, "low", "left").select("low", F.coalesce("own", "low").alias("own"))
+    apart = saved(salted_join(placed, families, ["low"]).withColumn("side", (F.col("root") == F.col("own")).cast("int")))
     sizes = apart.groupBy("low").agg(*[F.greatest(F.lit(0), F.ceil(F.sum(F.when(F.col("side") == k, 1).otherwise(0)) / bucket)).cast("int").alias(f"k{k}") for k in (0, 1)]).filter("k0 > 0")
-    dealt = hot_join(apart, saved(sizes), ["low"])
+    dealt = salted_join(apart, sizes, ["low"])
     # blocks 0 to k0 - 1 hold what isn't linked with the low; they meet each other and all the blocks of what is
     block = F.when(F.col("side") == 0, F.pmod(F.xxhash64("node"), F.col("k0"))).otherwise(F.col("k0") + F.pmod(F.xxhash64("node"), F.greatest(F.col("k1"), F.lit(1)))).cast("int")
     others = F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("k0") + F.col("k1") - 1)).otherwise(F.sequence(F.lit(0), F.col("k0") - 1))

@@ -28,8 +28,12 @@ def test_components(spark):
         for a, b in edges:
             if a in label and b in label and a != b:
                 label[a] = label[b] = min(label[a], label[b])
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == label
+    for one_task in (1_000_000, 0):
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+        assert got == label
+    hub = [(10**6, k) for k in range(500, 3000)] + [(k, 10**6 + 1) for k in range(2990, 5000)]
+    got = components(spark.createDataFrame(hub, "a long, b long"), one_task=0).agg(F.min("root"), F.max("root"), F.count("*")).first()
+    assert tuple(got) == (500, 500, 4502)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -439,7 +443,7 @@ def test_line_slices(monkeypatch):
         monkeypatch.setattr(line_dedup, "text_slices", lambda t, k=size: slices(t, k))
         got = []
         for row, number, ids, data, starts, ends in line_dedup.line_slices(pa.array(texts)):
-            lines = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+            lines = [data[a:b].decode() for a, b in zip(starts, ends)]
             assert ids.tolist() == [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
             got += zip(row.tolist(), number.tolist(), lines)
         monkeypatch.undo()
