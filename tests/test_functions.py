@@ -3,6 +3,7 @@ import re
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,26 @@ def test_prose_chunks_lose_nothing():
     assert len(chunking.prose_chunks("x" * 5000, 100, 0)) == 13
 
 
+def test_chunks_by_brute_force():
+    """Every unit of a text is in a chunk, in order, no chunk is over the target, and its place is that of its first unit."""
+    import random
+
+    draw = random.Random(4)
+    for _ in range(60):
+        text = "".join(draw.choice(["word", "Word.", "x" * 50, " ", "  ", "\n", "\n\n", "! Then ", "終。次", "\t"]) for _ in range(draw.randint(0, 400)))
+        spans = chunking.prose_spans(chunking.clean(text), 120) if chunking.clean(text) else []
+        units = [chunking.clean(text)[a:b] for a, b in spans]
+        assert "".join("".join(units).split()) == "".join(text.split()) and all(len(u) <= 120 for u in units)
+        chunks, at = chunking.prose_chunks(text, 30, 6), 0
+        for c in chunks:
+            first = next(i for i in range(len(units)) if spans[i][0] == c.start)
+            assert first <= at  # no gap to the chunk before
+            size = next(k for k in range(1, len(units) - first + 1) if " ".join(units[first : first + k]).strip() == c.text)
+            assert len(c.text) <= 120 and (first + size == len(units) or len(" ".join(units[first : first + size + 1])) + 1 > 120)
+            at = first + size
+        assert at == len(units)
+
+
 def test_structured_chunks():
     import json
 
@@ -77,7 +98,10 @@ def test_structured_chunks():
 
 
 def test_names():
-    found = {n: (c, s) for n, c, s in entities.scan_names("Anna: Wow. We met Berta Klein in SKU-4471 with gpt-4o, k8s and NASA in 2024. Wow.")}
+    texts = pd.Series(["Anna: Wow. We met Berta Klein in SKU-4471 with gpt-4o, k8s and NASA in 2024. Wow.", None, "Berta? Berta! and then\nBerta The Iliad"])
+    found = {n: (c, s) for _, n, c, s in entities.name_table(texts[:1]).itertuples(index=False)}
+    third = {n: (c, s) for r, n, c, s in entities.name_table(texts).itertuples(index=False) if r == 2}
+    assert third == {"berta": (2, False), "berta the iliad": (1, True)}
     assert found["berta klein"] == (1, True) and found["wow"][1] is False and "anna" not in found
     assert all(found[n][1] for n in ("sku-4471", "gpt-4o", "k8s", "nasa", "2024"))
 

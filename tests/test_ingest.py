@@ -39,12 +39,23 @@ def test_batches(spark):
     assert {r["type"] for r in plain.space.edges.collect()} >= {"contradicts"}
 
 
-def test_verdicts_need_evidence():
+def test_verdicts_need_evidence(spark):
     ok = '[{"n": 1, "supersedes": true, "confidence": 0.9, "old_value": "45", "new_value": "60"}]'
-    assert len(claims.verdicts(ok.replace("45", "45 dollars"), ["costs 45 dollars"], "it costs 60 now")) == 1
-    assert not claims.verdicts(ok.replace('"45"', '"unknown"'), ["costs 45"], "it costs 60")
-    assert not claims.verdicts(ok.replace('"60"', '"45.0"').replace('"45"', '"45 dollars"'), ["costs 45 dollars"], "Redis is unchanged at 45")
-    assert not claims.verdicts(ok.replace("0.9", "0.5"), ["costs 45"], "x") and not claims.verdicts("no json", ["a"], "b")
+    rows = [
+        (1, ok.replace("45", "45 dollars"), ["costs 45 dollars"], "it costs 60 now"),
+        (0, ok.replace('"45"', '"unknown"'), ["costs 45"], "it costs 60"),
+        (0, ok.replace('"60"', '"45.0"').replace('"45"', '"45 dollars"'), ["costs 45 dollars"], "Redis is unchanged at 45"),
+        (0, ok.replace("0.9", "0.5"), ["costs 45 dollars"], "x"), (0, "no json", ["a"], "b"), (0, None, ["a"], "b"),
+        (0, ok.replace('"n": 1', '"n": 2').replace("45", "45 dollars"), ["costs 45 dollars"], "it costs 60 now"),
+        (0, ok.replace("true", "false").replace("45", "45 dollars"), ["costs 45 dollars"], "it costs 60 now"),
+        (1, ok[:-1] + ", " + ok[1:], ["it is 45, costs 45"], "it costs 60 now"),
+        (0, ok.replace('"60"', '"the price went to 60 dollars in May"').replace('"45"', '"costs 45"'), ["costs 45"], "the price went to 60 dollars in May."),
+        (0, ok.replace('"60"', '"so the price went to 60 in May"').replace('"45"', '"costs 45"'), ["costs 45"], "the price went to 60 in May"),
+        (1, ok.replace('"45"', '"lives in Rome"').replace('"60"', '"Oslo"'), ["Anna lives, still, in Rome"], "Anna moved to Oslo last week"),
+        (1, '{"n": "1", "confidence": "0.8", "old_value": 1200, "new_value": 1300} trailing', ["it is 1,200 euros; 1200"], "it is 1300 euros from now on"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, want int, reply string, olds array<string>, statement string")
+    assert [(r["i"], len(r["verdicts"])) for r in claims.verdicts(df).orderBy("i").collect()] == [(i, r[0]) for i, r in enumerate(rows)]
 
 
 def test_claims(spark):

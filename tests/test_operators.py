@@ -156,11 +156,36 @@ def test_derive_with_a_scripted_model(spark):
     assert Y.derive_rows(docs, None, "Extract.").count() == 0
 
 
-def test_parsing():
-    assert Y.parse_order("noise [2, 0, 9, 2] more", 3) == [2, 0, 1] and Y.parse_order("first 1 then 0", 3) == [1, 0, 2] and Y.parse_order("none", 3) is None
+def test_parsing(spark):
+    replies = [("noise [2, 0, 9, 2] more", [2, 0, 1]), ("first 1 then 0", [1, 0, 2]), ("none", None), (None, None), ("[1] or [ 2,1 ]", [2, 1, 0]), ("[] 3 1", None), ("-1 2", [2, 0, 1]), ("[99999999999, 1]", [1, 0, 2])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(replies)], "i int, reply string, want array<int>")
+    assert [r["got"] for r in df.select("i", Y.stated_order(F.col("reply"), F.lit(3)).alias("got")).orderBy("i").collect()] == [w for _, w in replies]
     assert Y.parse_citations("see [2], [9], [2] and [1]", ["a", "b"]) == ["b", "a"]
 
 
+def test_hydrate_by_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    doc = lambda i: (i, "x" * (i * 7 % 23), at(1 + i % 28))
+    rows, want = [], {}
+    for q in range(40):
+        anchors = [(q, r, *doc(draw.randrange(30)), [doc(draw.randrange(30)) for _ in range(draw.randint(0, 3))], [doc(draw.randrange(30)) for _ in range(draw.randint(0, 3))]) for r in range(draw.randint(1, 4))]
+        rows += anchors
+        left, chosen = 60 - sum(i * 7 % 23 for i in {a[2] for a in anchors}), {a[2] for a in anchors}
+        order = sorted(((k, a[1], s), d[0]) for a in anchors for s, side in ((0, a[5][::-1]), (1, a[6])) for k, d in enumerate(side))
+        for _, i in order:
+            if i not in chosen and i * 7 % 23 <= left:
+                chosen.add(i)
+                left -= i * 7 % 23
+        want[q] = sorted((1 + i % 28, i, i in {a[2] for a in anchors}) for i in chosen)
+    schema = "qid int, rank int, id int, text string, occurred_at timestamp, before array<struct<id:int,text:string,occurred_at:timestamp>>, after array<struct<id:int,text:string,occurred_at:timestamp>>"
+    got = {}
+    for r in Y.hydrate(spark.createDataFrame(rows, schema), 60).orderBy("qid", "place").collect():
+        got.setdefault(r["qid"], []).append((1 + r["id"] % 28, r["id"], r["anchor"]))
+    assert got == want
+
+
 def test_listwise_rerank(spark):
     pool = spark.createDataFrame([(1, 10, 1, "a", "q"), (1, 11, 2, "b", "q")], "qid int, memory_id int, rank int, text string, question string")
     assert [r["memory_id"] for r in Y.listwise_rerank(pool, lambda p: ["[1, 0]"] * len(p)).orderBy("rank").collect()] == [11, 10]

@@ -1,11 +1,10 @@
 """Cases beyond the registered tables: copies, shared names, long documents, many queries."""
 
-import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.entities import scan_names
-from quillspark.llm import embedding_dedup
+from quillspark.functions.entities import name_table
 from quillspark.operators import retrieval as S
 from quillspark.plans import catalogue
 
@@ -27,46 +26,13 @@ def test_long_documents_push_no_memory_out(spark, kind):
     assert [(int(r["memory_id"]), r["ordinal"]) for r in got] == [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0)]
 
 
-class Narrow:
-    """Brute force that loses the links of queries with few of them at beams under 128."""
-
-    def __init__(self, x):
-        self.x = x
-
-    def within(self, q, least, ef):
-        near = q @ self.x.T >= least
-        if ef < 128:
-            near[near.sum(axis=1) <= 3] = False
-        return np.nonzero(near)
-
-
-def units(rng, *shape):
-    x = rng.normal(size=shape)
-    return (x / np.linalg.norm(x, axis=-1, keepdims=True)).astype(np.float32)
-
-
-def test_audit_sees_small_families():
-    rng = np.random.default_rng(5)
-    x, others = units(rng, 2000, 64), units(rng, 3000, 64)
-    others[2999] = x[77]  # the one link of two shards; the sample has none
-    sample = np.argsort(embedding_dedup.mixed(np.arange(3000, dtype=np.uint64) ^ np.uint64(3)))[: embedding_dedup.AUDITED]
-    assert 2999 not in sample
-    row, node = embedding_dedup.audited_links(Narrow(x), others, 0.95)
-    assert list(zip(row, node, strict=True)) == [(2999, 77)]
-    hot = np.repeat(units(rng, 1, 64), 1500, axis=0) + rng.normal(size=(1500, 64)).astype(np.float32) * 0.01
-    x = np.concatenate([hot / np.linalg.norm(hot, axis=1, keepdims=True), units(rng, 250, 64)])
-    x = np.concatenate([x, x[-250:]]).astype(np.float32)  # pairs beside a large group
-    row, node = embedding_dedup.audited_links(Narrow(x), x, 0.95, own=True)
-    assert {(a, b) for a, b in zip(row, node, strict=True) if a >= 1500 and a != b} == {(1500 + i, 1500 + (i + 250) % 500) for i in range(500)}
-
-
 def test_associations_take_shared_names(spark, tmp_path):
     texts = {0: "we met Berta Klein at the gate", 1: "the crane belongs to Berta Klein now", 2: "the crane is out of order"}
     rows = [(i, t, f"l{i}", f"s{i}") for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(i, [1.0, 0.5 * i]) for i in texts], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    names = {i: {n for n, _, sure in scan_names(t) if sure} for i, t in texts.items()}
+    names = {i: {n for _, n, _, sure in name_table(pd.Series([t])).itertuples(index=False) if sure} for i, t in texts.items()}
     want = {(0, i, len(names[0] & names[i]) + 1) for i in (1, 2) if names[0] & names[i]}
     got = {(r["left_id"], r["right_id"], r["weight"]) for r in catalogue.association_edges(spark, str(tmp_path)).collect()}
     assert got == want == {(0, 1, 2)}
