@@ -5,8 +5,13 @@ Every expression is SQL text first, so the same rule runs in any SQL engine; ``F
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 
@@ -144,3 +149,49 @@ def normalize(text: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, rounded up; none for empty or null."""
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
+
+
+#: Characters of text whose words are counted at once.
+COUNT_CHARS = 4 << 20
+
+
+def _kept_words(vocabulary: list[str]) -> pd.Series:
+    """For each raw word what it counts as, by the rules of ``kept_tokens``; null where it doesn't count."""
+    words = pd.Series(vocabulary, dtype=object)
+    quoted = words.str.contains("'", regex=False)
+    words[quoted] = words[quoted].str.replace(r"'s$|'$|^'", "", regex=True).str.strip("'")
+    words = words.mask(words.isin(NEGATIVE_CONTRACTIONS), "not")
+    return words.mask((words == "") | words.isin(STOP_WORDS))
+
+
+def word_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys..., words, tfs, length): the distinct kept tokens (``kept_tokens``) of each row's text, how often each stands there, all.
+
+    Words are split and counted in Arrow batches, and their rules applied to each distinct word of a batch once; one row
+    in, one row out, nothing is shuffled.
+    """
+    folded = F.replace(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("ß"), F.lit("ss"))
+    read = rows.select(*keys, folded.alias("__t"))
+    schema = StructType([*read.schema.fields[:-1], *StructType.fromDDL("words array<string>, tfs array<int>, length int").fields])
+
+    def count(batches):
+        for batch in batches:
+            sizes = np.cumsum(pc.utf8_length(batch.column(len(keys))).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + COUNT_CHARS, "right")))
+                part, at = batch.slice(at, end - at), end
+                lists = pc.split_pattern_regex(part.column(len(keys)), r"[^\p{L}\p{N}_']+")
+                coded = pc.list_flatten(lists).dictionary_encode()
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                code, words = pd.factorize(_kept_words(coded.dictionary.to_pylist()))
+                code = code[np.asarray(coded.indices)] if len(code) else np.zeros(0, np.int64)
+                row, code = row[code >= 0], code[code >= 0]
+                wide = max(1, len(words))
+                key, tf = np.unique(row * wide + code, return_counts=True)
+                ends = pa.array(np.searchsorted(key // wide, np.arange(part.num_rows + 1)).astype(np.int32))
+                named = pa.array(list(words), pa.string()).take(pa.array(key % wide))
+                made = [pa.ListArray.from_arrays(ends, named), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32))), pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made], names=schema.names)
+
+    return read.mapInArrow(count, schema)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import analyze_query, kept_tokens, stem
+from ..functions.text import analyze_query, stem, word_counts
+from ..storage import stored
 
-#: Queries that one search answers at most: their vectors and terms are sent to every task.
+#: Queries whose vectors are sent to every task at once; more go block by block.
 MOST_QUERIES = 10_000
+#: Queries, and chunks, of one matrix product of the lexical arm.
+QUERIES_AT_ONCE, CHUNKS_AT_ONCE = 256, 512
 
 K1, B = 1.2, 0.75
 
@@ -30,17 +36,45 @@ def best_chunk(rows: DataFrame, score: str = "score", query: str | None = "qid")
     return rows.groupBy(*keys).agg(best).select(*keys, F.col("best.s").alias(score), (-F.col("best.o")).alias("ordinal"))
 
 
+def passed_on(memory: pa.Array, ordinal: pa.Array, s: np.ndarray, qids: list, k: int, schema: StructType, qid_type: pa.DataType, least: float = -np.inf):
+    """Rows (qid, memory, score, ordinal) of each query's ``k`` best memories in a batch of chunks, with ties at the edge.
+
+    ``s`` has a row for each query. The best chunk of each memory comes first, so many chunks of one push no other out;
+    scores that aren't over ``least`` are left out.
+    """
+    ids, member = np.unique(memory.to_numpy(zero_copy_only=False), return_inverse=True)
+    by_memory = np.lexsort((np.asarray(ordinal), member))
+    starts = np.flatnonzero(np.diff(member[by_memory], prepend=-1))
+    for qid, mine in zip(qids, s):
+        at = by_memory
+        if len(ids) < len(at):
+            best = np.maximum.reduceat(mine[at], starts)
+            at = at[mine[at] == np.repeat(best, np.diff(starts, append=len(at)))]
+            at = at[np.flatnonzero(np.diff(member[at], prepend=-1))]
+        at = at[mine[at] > least]
+        if k < len(at):
+            at = at[mine[at] >= np.partition(mine[at], len(at) - k)[len(at) - k]]
+        if len(at):
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array([qid] * len(at), qid_type), memory.take(rows), pa.array(mine[at]), ordinal.take(rows)], names=schema.names)
+
+
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
     """(qid, memory_id, score, ordinal, rank) of the ``k`` nearest memories of each query, exactly.
 
-    ``chunks`` has memory_id, ordinal, embedding; ``queries`` has qid and embedding and is bounded by MOST_QUERIES. A
+    ``chunks`` has memory_id, ordinal, embedding; ``queries`` has qid and embedding, and more than MOST_QUERIES
+    of them are answered block by block. A
     task scores its chunks against all queries by one matrix product a batch, and passes on only its k best memories of
     each query, so what is shuffled doesn't grow with a task's chunks. Chunks without a vector, or of another length,
     are skipped; a zero vector scores 0.
     """
-    held = queries.select("qid", F.col("embedding").cast("array<double>")).filter("embedding is not null").limit(MOST_QUERIES + 1).collect()
-    if len(held) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one search")
+    asked = queries.select("qid", F.col("embedding").cast("array<double>")).filter("embedding is not null")
+    blocks = -(-asked.count() // MOST_QUERIES)
+    if blocks > 1:
+        asked = stored(asked.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(2 * blocks))))
+        parts = [vector_search(chunks, asked.filter(F.col("__block") == i).drop("__block"), k, digits) for i in range(2 * blocks)]
+        return reduce(DataFrame.union, parts)
+    held = asked.collect()
     read = chunks.select("memory_id", F.col("ordinal").cast("int"), F.col("embedding").cast("array<double>").alias("embedding"))
     kind = queries.schema["qid"].dataType
     schema = StructType([StructField("qid", kind), read.schema["memory_id"], *StructType.fromDDL("score double, ordinal int").fields])
@@ -67,20 +101,7 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int, digits: int | N
                     s = np.where(norm == 0, 0.0, np.clip(q @ x.T / norm, -1, 1))
                 if digits is not None:
                     s = np.round(s, digits) + 0.0
-                ids, member = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-                ordinal = np.asarray(part.column(1))
-                by_memory = np.lexsort((ordinal, member))
-                starts = np.flatnonzero(np.diff(member[by_memory], prepend=-1))
-                for i, qid in enumerate(qids):
-                    # the best chunk of each memory first, so that many chunks of one push no other out
-                    at = by_memory
-                    if len(ids) < len(at):
-                        best = np.maximum.reduceat(s[i][at], starts)
-                        at = at[s[i][at] == np.repeat(best, np.diff(starts, append=len(at)))]
-                        at = at[np.flatnonzero(np.diff(member[at], prepend=-1))]
-                    if k < len(at):  # with ties at the edge
-                        at = at[s[i][at] >= np.partition(s[i][at], len(at) - k)[len(at) - k]]
-                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(at), qid_type), part.column(0).take(pa.array(at)), pa.array(s[i][at]), part.column(1).take(pa.array(at))], names=schema.names)
+                yield from passed_on(part.column(0), part.column(1), s, qids, k, schema, qid_type)
 
     return top_per_query(best_chunk(read.mapInArrow(score, schema)), k)
 
@@ -94,26 +115,68 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, digits: int =
     """(qid, memory_id, score, ordinal, rank) of the ``k`` best memories of each query by BM25; any term may match.
 
     Number of chunks, mean length and document frequencies are those of ``chunks`` as given, so filter them before.
-    Only tokens that begin like a query term are stemmed: a stem keeps the first two characters of its word. The terms
-    of the bounded batch of queries are small beside the chunks; each shuffled row is a chunk's count of a query term.
+    Each text is tokenised once, where it is read, into a stored table of its words and their counts, from which all
+    of these are taken. Only its distinct words are stemmed; those that are a query's terms, a table that the batch of
+    queries bounds, go to the tasks. A task scores its chunks against QUERIES_AT_ONCE queries by one matrix product a
+    batch, and passes on only its k best memories of each query.
     """
-    terms = query_terms(queries).cache()
-    heads = terms.select(F.substring("term", 1, 2).alias("head")).distinct()
-    words = chunks.select("memory_id", F.col("ordinal").cast("int").alias("ordinal"), kept_tokens(F.col("text")).alias("words"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    if not stats["n"]:
-        return terms.limit(0).select("qid", F.lit(0).alias("memory_id"), F.lit(0.0).alias("score"), F.lit(0).alias("ordinal"), F.lit(0).alias("rank"))
-    some = words.select("memory_id", "ordinal", F.size("words").alias("length"), F.explode("words").alias("word"))
-    some = some.withColumn("head", F.substring("word", 1, 2)).join(heads, "head", "left_semi")
-    stems = some.select("memory_id", "ordinal", "length", stem(F.col("word")).alias("term"))
-    counts = stems.join(terms.select("term").distinct(), "term", "left_semi").groupBy("memory_id", "ordinal", "length", "term").agg(F.count("*").alias("tf"))
-    found = counts.groupBy("term").agg(F.count("*").alias("df"))
+    terms = stored(query_terms(queries))
+    index = stored(word_counts(chunks.select("memory_id", F.col("ordinal").cast("int").alias("ordinal"), "text"), ["memory_id", "ordinal"], "text"))
+    kind = queries.schema["qid"].dataType
+    schema = StructType([StructField("qid", kind), index.schema["memory_id"], *StructType.fromDDL("score double, ordinal int").fields])
+    number = terms.select("qid").distinct().count()
+    if number > MOST_QUERIES:
+        parts = 2 * -(-number // MOST_QUERIES)
+        block = F.pmod(F.xxhash64("qid"), F.lit(parts))
+        return reduce(DataFrame.union, [_lexical(index, terms.filter(block == i), k, digits, schema) for i in range(parts)])
+    return _lexical(index, terms, k, digits, schema)
+
+
+def _lexical(index: DataFrame, terms: DataFrame, k: int, digits: int, schema: StructType) -> DataFrame:
+    """The search of one bounded block of queries (qid, term) in an index (memory_id, ordinal, words, tfs, length)."""
+    stats = index.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = float(stats["n"]), float(stats["mean"] or 0.0) or 1.0
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    scored = counts.join(found, "term").withColumn("part", idf * weight).join(terms, "term")
-    summed = scored.groupBy("qid", "memory_id", "ordinal").agg(F.round(F.sum("part"), digits).alias("score")).filter("score > 0")
-    return top_per_query(best_chunk(summed), k)
+    words = index.select(F.explode("words").alias("word")).distinct()
+    known = stored(words.select("word", stem(F.col("word")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi"))
+    stems = known.groupBy("word").agg(F.first("term").alias("term"))
+    holds = index.select(F.monotonically_increasing_id().alias("__row"), F.explode("words").alias("word")).join(stems, "word")
+    found = {r["term"]: r["df"] for r in holds.groupBy("term").agg(F.count_distinct("__row").alias("df")).collect()}
+    names = sorted(found)
+    place = {t: i for i, t in enumerate(names)}
+    df = np.array([found[t] for t in names], float)
+    asked: dict = {}
+    for r in terms.filter(F.col("qid").isNotNull()).collect():
+        if r["term"] in place:
+            asked.setdefault(r["qid"], []).append(place[r["term"]])
+    blocks = [sorted(asked)[i : i + QUERIES_AT_ONCE] for i in range(0, len(asked), QUERIES_AT_ONCE)]
+    sent = index.sparkSession.sparkContext.broadcast(({r["word"]: place[r["term"]] for r in known.collect() if r["term"] in place}, np.log(1 + (n - df + 0.5) / (df + 0.5)), [(b, [asked[q] for q in b]) for b in blocks]))
+    qid_type = to_arrow_type(schema["qid"].dataType)
+
+    def score(batches):
+        word_at, idf, all_asked = sent.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, CHUNKS_AT_ONCE):
+                batch = whole.slice(lo, CHUNKS_AT_ONCE)
+                lists, tfs = batch.column(2), pc.list_flatten(batch.column(3)).to_numpy()
+                coded = pc.list_flatten(lists).dictionary_encode()
+                term = np.array([word_at.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+                some = term >= 0
+                row, term, tf = row[some], term[some], tfs[some].astype(float)
+                norm = K1 * (1 - B + B * batch.column(4).to_numpy() / mean)
+                for qids, wanted in all_asked:
+                    mine, at = np.unique(np.concatenate([np.array(w) for w in wanted]), return_inverse=True)
+                    local = np.full(len(idf), -1)
+                    local[mine] = np.arange(len(mine))
+                    here = local[term] >= 0
+                    weights = np.zeros((batch.num_rows, len(mine)))
+                    np.add.at(weights, (row[here], local[term[here]]), tf[here])
+                    weights = weights * (K1 + 1) / (weights + norm[:, None]) * idf[mine]
+                    of = np.zeros((len(mine), len(qids)))
+                    of[at, np.repeat(np.arange(len(qids)), [len(w) for w in wanted])] = 1
+                    yield from passed_on(batch.column(0), batch.column(1), np.round((weights @ of).T, digits), qids, k, schema, qid_type, 0.0)
+
+    return top_per_query(best_chunk(index.mapInArrow(score, schema)), k)
 
 
 def neighbours(memories: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 64) -> DataFrame:

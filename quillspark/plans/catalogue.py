@@ -13,7 +13,7 @@ from ..functions.chunking import chunk_memories
 from ..functions.embed import embed, hash_embedder
 from ..functions.entities import entities
 from ..functions.questions import date_windows, question_kind
-from ..functions.text import content_hash, kept_tokens, stem, token_estimate, tokens
+from ..functions.text import content_hash, stem, token_estimate, tokens, word_counts
 from ..operators import consolidate as C
 from ..operators import filters as P
 from ..operators import graph as G
@@ -82,9 +82,8 @@ def token_counts(spark, sf):
 
 
 def analyzed_terms(spark, sf):
-    words = X.table(spark, sf, "documents").select("doc_id", F.explode(kept_tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    stems = words.groupBy("w", "doc_id", "n").agg(F.first(F.lit(1))).select("doc_id", "n", stem(F.col("w")).alias("term"))
-    per = stems.groupBy("term", "doc_id").agg(F.sum("n").alias("n"))
+    words = word_counts(X.table(spark, sf, "documents"), ["doc_id"], "text").select("doc_id", F.inline(F.arrays_zip("words", "tfs")))
+    per = words.select("doc_id", F.col("tfs").alias("n"), stem(F.col("words")).alias("term")).groupBy("term", "doc_id").agg(F.sum("n").alias("n"))
     return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
