@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import content_hash
-from ..functions.vector import cosine
+from ..storage import stored
+from .retrieval import MOST_QUERIES
+
+#: Vectors that one matrix product compares with a block of new ones.
+OLD_AT_ONCE = 512
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 
@@ -60,18 +71,41 @@ def merge_duplicates(rows: DataFrame, by: list[str], order: str = "id") -> DataF
 def similar_pairs(new: DataFrame, old: DataFrame, low: float, high: float | None, digits: int = 9) -> DataFrame:
     """(new_id, old_id, sim) of vectors with cosine in [low, high), or from ``low`` up where ``high`` is None; another id each.
 
-    ``new`` is a bounded micro-batch: its vectors are compared with all of ``old`` by retrieval.vector_search-like matrix
-    products; the batch is checked against MOST_QUERIES there.
+    ``new`` goes to the tasks in blocks of MOST_QUERIES vectors; a task compares a batch of ``old`` with a block by one
+    matrix product and gives only the pairs in the band. Vectors of other lengths, and null ones, give none; a zero
+    vector has cosine 0. Both sides' ids have one type.
     """
-    from .retrieval import MOST_QUERIES
-
-    if new.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"consolidate in batches of {MOST_QUERIES} at most")
-    n = new.select(F.col("id").alias("new_id"), F.col("embedding").alias("__n"))
-    o = old.select(F.col("id").alias("old_id"), F.col("embedding").alias("__o"))
-    sim = F.round(cosine(F.col("__n"), F.col("__o")), digits)
-    wanted = F.col("sim") >= low if high is None else (F.col("sim") >= low) & (F.col("sim") < high)
-    return o.join(F.broadcast(n), F.col("new_id") != F.col("old_id")).select("new_id", "old_id", sim.alias("sim")).filter(wanted)
+    asked = new.select("id", F.col("embedding").cast("array<double>")).filter("embedding is not null")
+    blocks = -(-asked.count() // MOST_QUERIES)
+    if blocks > 1:
+        asked = stored(asked.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(2 * blocks))))
+        return reduce(DataFrame.union, [similar_pairs(asked.filter(F.col("__block") == i).drop("__block"), old, low, high, digits) for i in range(2 * blocks)])
+    by_size: dict[int, list] = {}
+    for r in asked.collect():
+        by_size.setdefault(len(r["embedding"]), []).append(r)
+    sent = new.sparkSession.sparkContext.broadcast({size: ([r["id"] for r in rows], np.array([r["embedding"] for r in rows])) for size, rows in by_size.items()})
+    read = old.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    new_type = to_arrow_type(asked.schema["id"].dataType)
+    schema = StructType([StructField("new_id", asked.schema["id"].dataType), StructField("old_id", read.schema["id"].dataType), StructField("sim", DoubleType())])
+
+    def meet(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, OLD_AT_ONCE):
+                batch = whole.slice(lo, OLD_AT_ONCE)
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), -1))
+                for size, (ids, q) in sent.value.items():
+                    at = np.flatnonzero(sizes == size)
+                    if not len(at) or not size:
+                        continue
+                    part = batch.take(pa.array(at))
+                    x = np.asarray(part.column(1).flatten()).reshape(-1, size)
+                    norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sim = np.round(np.where(norm == 0, 0.0, np.clip(x @ q.T / norm, -1, 1)), digits) + 0.0
+                    i, j = np.nonzero(sim >= low if high is None else (sim >= low) & (sim < high))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, new_type).take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(sim[i, j])], names=schema.names)
+
+    return read.mapInArrow(meet, schema).filter("new_id <> old_id")
 
 
 def other_lineage(pairs: DataFrame, memories: DataFrame, parent: str = "extracted_from") -> DataFrame:
@@ -122,6 +156,24 @@ def supersessions(pairs: DataFrame, memories: DataFrame, low: float = SUPERSEDE_
     return rows.select("new_id", "old_id", "sim", F.round(F.least(value, F.lit(0.99)), digits).alias("confidence"))
 
 
+#: Flags of a text by which two texts disagree: whether it is negated, has the one or the other term of each pair, and its figures.
+def disagreement_flags(text: Column) -> Column:
+    """Struct of what ``polarity_conflict`` and ``figure_conflict`` need from one side, worked out once a text."""
+    sides = [text.rlike(rf"(?i)\b{word}{INFLECTIONS}\b") for pair in ANTONYMS for word in pair]
+    figures = F.regexp_extract_all(text, F.lit(FIGURE), F.lit(1))
+    return F.struct(negated(text).alias("negated"), F.array(*sides).alias("terms"), figures.alias("figures"), F.regexp_extract_all(F.lower(text), F.lit(WEEKDAY), F.lit(1)).alias("days"))
+
+
+def flags_conflict(a: Column, b: Column) -> tuple[Column, Column]:
+    """(polarity, figures) conflicts of two texts by their flags."""
+    polarity = a["negated"] != b["negated"]
+    for i in range(0, 2 * len(ANTONYMS), 2):
+        ay, an, by, bn = (F.get(x["terms"], F.lit(k)) for x in (a, b) for k in (i, i + 1))
+        polarity |= ~(ay & an) & ~(by & bn) & ((ay & bn) | (an & by))
+    apart = lambda k: (F.size(a[k]) > 0) & (F.size(b[k]) > 0) & ~F.arrays_overlap(a[k], b[k])
+    return polarity, apart("figures") | apart("days")
+
+
 def polarity_conflict(a: Column, b: Column) -> Column:
     """One side negated and the other not, or opposite terms on the two sides where neither has both."""
     out = negated(a) != negated(b)
@@ -142,10 +194,17 @@ def figure_conflict(a: Column, b: Column) -> Column:
     return apart(FIGURE, a, b) | apart(WEEKDAY, F.lower(a), F.lower(b))
 
 
+def _flagged(pairs: DataFrame, memories: DataFrame, low: float, high: float) -> DataFrame:
+    """Pairs of the band with an active old side, and whether polarity and figures disagree; texts are read once a memory."""
+    flags = stored(memories.select("id", "status", disagreement_flags(F.col("content")).alias("flags")))
+    rows = _both(other_lineage(pairs, memories).filter((F.col("sim") >= low) & (F.col("sim") < high)), flags, ["flags", "status"]).filter("o_status = 'active'")
+    polarity, figures = flags_conflict(F.col("n_flags"), F.col("o_flags"))
+    return rows.withColumns({"polarity": polarity, "figures": figures})
+
+
 def contradictions(pairs: DataFrame, memories: DataFrame, low: float = CONTRADICT_LOW, high: float = DUPLICATE, digits: int = 6) -> DataFrame:
     """(left_id, right_id, sim, polarity, figures, confidence) of pairs with a sign of disagreement."""
-    rows = _both(other_lineage(pairs, memories).filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["content", "status"]).filter("o_status = 'active'")
-    rows = rows.withColumns({"polarity": polarity_conflict(F.col("n_content"), F.col("o_content")), "figures": figure_conflict(F.col("n_content"), F.col("o_content"))}).filter("polarity or figures")
+    rows = _flagged(pairs, memories, low, high).filter("polarity or figures")
     value = F.least(0.45 + 0.2 * (F.col("sim") - low) / (high - low), F.lit(0.95))
     value = F.when(F.col("polarity") & F.col("figures"), F.least(value + 0.2, F.lit(0.95))).otherwise(value)
     return rows.select(F.col("new_id").alias("left_id"), F.col("old_id").alias("right_id"), "sim", "polarity", "figures", F.round(value, digits).alias("confidence"))
@@ -153,8 +212,7 @@ def contradictions(pairs: DataFrame, memories: DataFrame, low: float = CONTRADIC
 
 def unexplained(pairs: DataFrame, memories: DataFrame, low: float = CONTRADICT_LOW, high: float = DUPLICATE) -> DataFrame:
     """(new_id, old_id, sim) of pairs in the band without such a sign, for an adjudicator."""
-    rows = _both(other_lineage(pairs, memories).filter((F.col("sim") >= low) & (F.col("sim") < high)), memories, ["content", "status"]).filter("o_status = 'active'")
-    return rows.filter(~(polarity_conflict(F.col("n_content"), F.col("o_content")) | figure_conflict(F.col("n_content"), F.col("o_content")))).select("new_id", "old_id", "sim")
+    return _flagged(pairs, memories, low, high).filter("not (polarity or figures)").select("new_id", "old_id", "sim")
 
 
 def associations(pairs: DataFrame, memories: DataFrame, entities: DataFrame | None = None, low: float = ASSOCIATE_LOW, high: float = DUPLICATE, tag_low: float = TAG_LOW, most: int = MOST_ASSOCIATIONS, digits: int = 6) -> DataFrame:

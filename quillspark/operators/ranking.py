@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import analyze
+from ..functions.text import analyze, stem, word_counts
+from ..storage import stored
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 
@@ -79,20 +80,26 @@ def heuristic_rerank(pool: DataFrame, queries: DataFrame, digits: int = 6) -> Da
     share of the prior score. Rows without words score 0; a query of stop words keeps the order, ``reranked`` false.
     """
     q = queries.select("qid", F.array_distinct(analyze(F.col("text"))).alias("terms"), F.array_join(analyze(F.col("text")), " ").alias("phrase"))
-    # each text is analysed once, whatever the number of queries that it is in the pool of
-    texts = pool.select("memory_id", "text").dropDuplicates(["memory_id"]).select("memory_id", analyze(F.col("text")).alias("words"))
-    w = Window.partitionBy("qid")
-    rows = pool.select("qid", "memory_id", "score").withColumn("n", F.count("*").over(w)).join(texts, "memory_id").join(F.broadcast(q), "qid")
+    # each text is tokenised once, whatever the number of queries that it is in the pool of, and only distinct words are stemmed
+    texts = pool.select("memory_id", "text").dropDuplicates(["memory_id"])
+    index = stored(word_counts(texts, ["memory_id"], "text"))
+    entries = index.select("memory_id", F.inline(F.arrays_zip("words", "tfs")))
     terms = F.broadcast(q.select("qid", F.explode("terms").alias("i")))
-    spread = rows.select("qid", "memory_id", "n", F.explode("words").alias("i")).join(terms, ["qid", "i"]).groupBy("qid", "memory_id", "n", "i").agg(F.count("*").alias("c"))
+    known = entries.select("words").distinct().select("words", stem(F.col("words")).alias("i")).join(F.broadcast(q.select(F.explode("terms").alias("i")).distinct()), "i", "left_semi")
+    held = entries.join(known, "words").groupBy("memory_id", "i").agg(F.sum("tfs").alias("c"))
+    w = Window.partitionBy("qid")
+    rows = pool.select("qid", "memory_id", "score", "text").withColumn("n", F.count("*").over(w)).join(index.select("memory_id", "length"), "memory_id").join(F.broadcast(q), "qid")
+    spread = rows.select("qid", "memory_id", "n").join(held, "memory_id").join(terms, ["qid", "i"])
     df = spread.groupBy("qid", "i").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") + 1) / (F.col("df") + 1))
     evidence = spread.join(df, ["qid", "i"]).groupBy("qid", "memory_id").agg(F.sum(idf * F.col("c") / (F.col("c") + RERANK_K)).alias("base"), F.count("*").alias("hit"))
     joined = rows.join(evidence, ["qid", "memory_id"], "left").fillna({"base": 0.0, "hit": 0})
     has = F.size("terms") > 0
     score = F.col("base") * (0.5 + 0.5 * F.col("hit") / F.size("terms"))
-    score = score * F.when(F.array_join("words", " ").contains(F.col("phrase")), PHRASE_BONUS).otherwise(1.0) + PRIOR_SHARE * F.col("score")
-    new = F.when(~has, F.col("score")).when(F.size("words") == 0, 0.0).otherwise(F.round(score, digits))
+    # only a text with all terms of a query can hold its phrase
+    phrase = F.when(F.col("hit") == F.size("terms"), F.array_join(analyze(F.col("text")), " ").contains(F.col("phrase"))).otherwise(False)
+    score = score * F.when(phrase, PHRASE_BONUS).otherwise(1.0) + PRIOR_SHARE * F.col("score")
+    new = F.when(~has, F.col("score")).when(F.col("length") == 0, 0.0).otherwise(F.round(score, digits))
     return ranked(joined.select("qid", "memory_id", F.col("score").alias("prior"), new.alias("score"), has.alias("reranked")))
 
 

@@ -132,37 +132,51 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, digits: int =
     return _lexical(index, terms, k, digits, schema)
 
 
+def _term_counts(batch: pa.RecordBatch, word_at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, tf) of the known words of a batch of the index."""
+    coded = pc.list_flatten(batch.column("words")).dictionary_encode()
+    term = np.array([word_at.get(w, -1) for w in coded.dictionary.to_pylist()] or [-1], np.int64)[np.asarray(coded.indices)]
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("words")).to_numpy())
+    some = term >= 0
+    return row[some], term[some], pc.list_flatten(batch.column("tfs")).to_numpy()[some].astype(float)
+
+
 def _lexical(index: DataFrame, terms: DataFrame, k: int, digits: int, schema: StructType) -> DataFrame:
     """The search of one bounded block of queries (qid, term) in an index (memory_id, ordinal, words, tfs, length)."""
     stats = index.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = float(stats["n"]), float(stats["mean"] or 0.0) or 1.0
     words = index.select(F.explode("words").alias("word")).distinct()
     known = stored(words.select("word", stem(F.col("word")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi"))
-    stems = known.groupBy("word").agg(F.first("term").alias("term"))
-    holds = index.select(F.monotonically_increasing_id().alias("__row"), F.explode("words").alias("word")).join(stems, "word")
-    found = {r["term"]: r["df"] for r in holds.groupBy("term").agg(F.count_distinct("__row").alias("df")).collect()}
-    names = sorted(found)
-    place = {t: i for i, t in enumerate(names)}
-    df = np.array([found[t] for t in names], float)
+    pairs = known.collect()
+    place = {t: i for i, t in enumerate(sorted({r["term"] for r in pairs}))}
+    words_sent = index.sparkSession.sparkContext.broadcast({r["word"]: place[r["term"]] for r in pairs})
+
+    def frequencies(batches):
+        total = np.zeros(len(words_sent.value), np.int64)
+        for batch in batches:
+            row, term, _ = _term_counts(batch, words_sent.value)
+            total += np.bincount(np.unique(row * len(total) + term) % max(1, len(total)), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
+
+    df = np.ones(max(1, len(place)))
+    for r in index.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        df[r["term"]] = r["df"]
     asked: dict = {}
     for r in terms.filter(F.col("qid").isNotNull()).collect():
         if r["term"] in place:
             asked.setdefault(r["qid"], []).append(place[r["term"]])
     blocks = [sorted(asked)[i : i + QUERIES_AT_ONCE] for i in range(0, len(asked), QUERIES_AT_ONCE)]
-    sent = index.sparkSession.sparkContext.broadcast(({r["word"]: place[r["term"]] for r in known.collect() if r["term"] in place}, np.log(1 + (n - df + 0.5) / (df + 0.5)), [(b, [asked[q] for q in b]) for b in blocks]))
+    sent = index.sparkSession.sparkContext.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), [(b, [asked[q] for q in b]) for b in blocks]))
     qid_type = to_arrow_type(schema["qid"].dataType)
 
     def score(batches):
-        word_at, idf, all_asked = sent.value
+        word_at = words_sent.value
+        idf, all_asked = sent.value
         for whole in batches:
             for lo in range(0, whole.num_rows, CHUNKS_AT_ONCE):
                 batch = whole.slice(lo, CHUNKS_AT_ONCE)
-                lists, tfs = batch.column(2), pc.list_flatten(batch.column(3)).to_numpy()
-                coded = pc.list_flatten(lists).dictionary_encode()
-                term = np.array([word_at.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
-                some = term >= 0
-                row, term, tf = row[some], term[some], tfs[some].astype(float)
+                row, term, tf = _term_counts(batch, word_at)
                 norm = K1 * (1 - B + B * batch.column(4).to_numpy() / mean)
                 for qids, wanted in all_asked:
                     mine, at = np.unique(np.concatenate([np.array(w) for w in wanted]), return_inverse=True)
