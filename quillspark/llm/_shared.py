@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -134,6 +135,14 @@ def tasks_for(rows: int, per_task: int) -> int:
     return max(1, -(-rows // per_task))
 
 
+def give_back() -> None:
+    """Returns to the system what the allocators of this Python worker keep after a step; workers live on and are reused."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # --- bytes -------------------------------------------------------------------------------------------------------
 
 #: Bytes that separate words: space and 0x09 to 0x0D.

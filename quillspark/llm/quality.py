@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import CHUNK_BYTES, WHITE, row_pieces, text_slices, xxh64_slices
+from ._shared import CHUNK_BYTES, WHITE, give_back, row_pieces, text_slices, xxh64_slices
 
 #: Words are hashed to so many rows of vectors; their length; index vectors' nonzeros; neighbours counted on each side.
 BUCKETS, DIMENSIONS, NONZEROS, SIDE = 1 << 15, 64, 6, 2
 #: Labelled rows that the network is fitted on at most; those with the least hash of the id are taken.
 MOST_LABELLED = 20_000
 #: Bytes of text, and words, whose vectors are held at once; bucket rows in a summed block.
-STEP_BYTES, STEP_WORDS, BLOCK = 1 << 20, 1 << 18, 1024
+STEP_BYTES, STEP_WORDS, BLOCK = 1 << 19, 1 << 17, 1024
 #: Tasks' sums of a block are added in so many lanes before the lanes are.
 LANES = 64
 
@@ -86,6 +86,7 @@ def fit_word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
                     cut = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
                     total[mine[cut], :DIMENSIONS] += np.add.reduceat(context[lo - a + order], cut, axis=0, dtype=np.int32)
                     total[mine[cut], DIMENSIONS] += np.diff(np.append(cut, len(mine))).astype(np.int32)
+        give_back()
         for b in range(0, BUCKETS, BLOCK):
             if total[b : b + BLOCK].any():
                 lane = TaskContext.get().partitionId() % LANES
@@ -238,5 +239,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             score = np.concatenate([model.score(_pooled(batch.column(batch.num_columns - 1).slice(i, 2000), sent.value)) for i in range(0, max(1, batch.num_rows), 2000)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*columns, *names])
+        give_back()
 
     return read.mapInArrow(run, StructType([*read.schema.fields[:-1], *StructType.fromDDL("score double, predicted int").fields]))

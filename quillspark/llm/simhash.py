@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import CHUNK_BYTES, LOWER, joined_words, local_roots, mixed, null_safe, row_pieces, row_tie, saved, tasks_for, text_slices, word_bounds, xxh64_slices
+from ._shared import CHUNK_BYTES, LOWER, give_back, joined_words, local_roots, mixed, null_safe, row_pieces, row_tie, saved, tasks_for, text_slices, word_bounds, xxh64_slices
 from .components import components
 from .substring import bitmap, has
 from .verify import verified_components
@@ -327,6 +327,7 @@ def near_text_classes(docs: DataFrame, text: str = "text", shingle: int = 5, lea
                 part = batch.slice(lo, 512)
                 code = wide_fingerprints([x.as_py() for x in part.column(1).cast(pa.binary())], shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(code[:, k]).view(np.int64)) for k in range(WIDE_WORDS))], names=["node", *names])
+        give_back()
 
     names = [f"w{k}" for k in range(WIDE_WORDS)]
     words = ", ".join(f"{c} long" for c in names)

@@ -10,13 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HOT_PART, hot_join, salted_join, saved
+from ._shared import HOT_PART, give_back, hot_join, salted_join, saved
 from .components import components
 
 #: Texts that are compared with each other in one task; more are compared block by block.
 BUCKET = 500
 #: Sets that a task keeps for the next pairs.
-KEPT_SETS = 2000
+KEPT_SETS = 500
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,6 +80,7 @@ def verified_components(pairs: DataFrame, texts: DataFrame, set_of: Callable[[st
         for batch in batches:
             good = pa.array([near(s, t) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(0), good), pc.filter(batch.column(1), good)], names=["a", "b"])
+        give_back()
 
     def units(batches):
         def out(rows):
@@ -96,6 +97,7 @@ def verified_components(pairs: DataFrame, texts: DataFrame, set_of: Callable[[st
                 held.append(row)
         if len(held) > 1:
             yield out(held)
+        give_back()
 
     lows = texts.select(F.col("node").alias("low"), F.col("text").alias("low_text"))
     hot = pairs.groupBy("low").agg(F.count("*").alias("n")).filter(F.col("n") > max(1.0, HOT_PART * pairs.count())).select("low")
