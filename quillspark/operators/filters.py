@@ -14,7 +14,10 @@ from ..functions.text import content_hash
 
 @dataclass(frozen=True)
 class MemoryFilter:
-    """Conjunction of predicates; an empty set or None leaves its column free. ``metadata`` is (column, value) pairs."""
+    """Conjunction of predicates; an empty set or None leaves its column free. ``metadata`` is (key, value) pairs.
+
+    With ``in_map`` these are entries of the map column ``metadata`` and compared as text, else columns of their own.
+    """
 
     statuses: frozenset[str] = frozenset({"active"})
     kinds: frozenset[str] = frozenset()
@@ -23,6 +26,7 @@ class MemoryFilter:
     after: datetime | None = None
     before: datetime | None = None
     source: str | None = None
+    in_map: bool = False
 
     def column(self) -> Column:
         """The predicate; comparisons with literals, so that scans can take them over."""
@@ -33,7 +37,9 @@ class MemoryFilter:
             wanted = F.array(*[F.lit(t.lower()) for t in sorted(self.tags)])
             out &= F.size(F.array_except(wanted, F.col("tags"))) == 0
         for key, value in self.metadata:
-            out &= F.col(key).isNull() if value is None else F.col(key).eqNullSafe(F.lit(value))
+            held = F.element_at(F.col("metadata"), F.lit(key)) if self.in_map else F.col(key)
+            wanted = F.lit(str(value)) if self.in_map and value is not None else F.lit(value)
+            out &= held.isNull() if value is None else held.eqNullSafe(wanted)
         if self.after is not None:
             out &= F.col("occurred_at") >= F.lit(self.after)
         if self.before is not None:
@@ -48,6 +54,11 @@ def in_space(rows: DataFrame, org_id: str, space_id: str) -> DataFrame:
     return rows.filter((F.col("org_id") == org_id) & (F.col("space_id") == space_id))
 
 
+def source_of(rows: DataFrame) -> Column:
+    """What a memory counts under in a cap of sources: the memory it was taken from, else its document, else its source."""
+    return F.coalesce(*[F.col(c).cast("string") for c in ("extracted_from", "doc_id", "source") if c in rows.columns], F.lit(None).cast("string"))
+
+
 def fetch(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows of the given ids; ids that don't exist are absent."""
     return rows.join(ids.select(id_col).distinct(), id_col, "left_semi")

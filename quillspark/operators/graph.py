@@ -50,6 +50,24 @@ def reach(roots: DataFrame, steps: DataFrame, most_depth: int = MOST_DEPTH) -> D
     return out.filter("root <> node")
 
 
+def reached(starts: DataFrame, steps: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """(node) of all that one step or more (from, to) lead to from any start (column node): a frontier of nodes alone."""
+    steps = steps.select(F.col("from").alias("node"), F.col("to").alias("__to")).distinct()
+    frontier, parts = starts.select("node").distinct(), []
+    for _ in range(most_depth):
+        new = frontier.join(steps, "node").select(F.col("__to").alias("node")).distinct()
+        for p in parts:
+            new = new.join(p, "node", "left_anti")
+        frontier = stored(new)
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+    out = starts.select("node").limit(0)
+    for p in parts:
+        out = out.union(p)
+    return out
+
+
 def reachable_superseders(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): transitive superseders of each root."""
     back = edges.filter("type = 'supersedes'").select(F.col("target_id").alias("from"), F.col("source_id").alias("to"))
@@ -65,22 +83,38 @@ def suppress_superseded(results: DataFrame, edges: DataFrame) -> DataFrame:
     return results.filter("status <> 'superseded'").join(hidden, ["qid", "memory_id"], "left_anti")
 
 
-def lineage_heads(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(root, head, depth): end of the chain of superseders, by the oldest edge at each step; the root itself if current."""
-    sup = edges.filter("type = 'supersedes'")
-    first = Window.partitionBy("target_id").orderBy("created_at", "source_id")
-    step = stored(sup.withColumn("n", F.row_number().over(first)).filter("n = 1").select(F.col("target_id").alias("at"), F.col("source_id").alias("next")))
-    now = stored(roots.select("root", F.col("root").alias("at"), F.lit(0).alias("depth"), F.array("root").alias("path")))
+def _chains(edges: DataFrame, roots: DataFrame, most_depth: int, forward: bool) -> DataFrame:
+    """(root, path): the chain of superseders (or of what was superseded) from each root, by the oldest edge at each step.
+
+    A chain ends where nothing follows, or what follows is in it already.
+    """
+    at, to = ("target_id", "source_id") if forward else ("source_id", "target_id")
+    first = Window.partitionBy(at).orderBy("created_at", to)
+    step = stored(edges.filter("type = 'supersedes'").withColumn("n", F.row_number().over(first)).filter("n = 1").select(F.col(at).alias("at"), F.col(to).alias("next")))
+    now = stored(roots.select("root", F.col("root").alias("at"), F.array("root").alias("path")).distinct())
     ended = None
     for _ in range(most_depth):
         moved = now.join(step, "at", "left")
         on = F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
-        done = moved.filter(~F.coalesce(on, F.lit(False))).select("root", F.col("at").alias("head"), "depth")
+        done = moved.filter(~F.coalesce(on, F.lit(False))).select("root", "path")
         ended = done if ended is None else ended.union(done)
-        now = stored(moved.filter(on).select("root", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("next")).alias("path")))
+        now = stored(moved.filter(on).select("root", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")))
         if now.isEmpty():
             return ended
-    return ended.union(now.select("root", F.col("at").alias("head"), "depth"))
+    return ended.union(now.select("root", "path"))
+
+
+def lineage_heads(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """(root, head, depth): end of the chain of superseders, by the oldest edge at each step; the root itself if current."""
+    return _chains(edges, roots, most_depth, True).select("root", F.element_at("path", -1).alias("head"), (F.size("path") - 1).alias("depth"))
+
+
+def lineage(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """(root, ancestors, successors, is_current, head): what each root replaced, oldest last, and what replaced it, head last."""
+    tail = lambda c: F.slice(c, 2, most_depth)
+    up = _chains(edges, roots, most_depth, True).withColumnRenamed("path", "up")
+    down = _chains(edges, roots, most_depth, False).withColumnRenamed("path", "down")
+    return up.join(down, "root").select("root", tail(F.col("down")).alias("ancestors"), tail(F.col("up")).alias("successors"), (F.size("up") == 1).alias("is_current"), F.element_at("up", -1).alias("head"))
 
 
 def bridge(edges: DataFrame, removed: DataFrame) -> DataFrame:
@@ -103,7 +137,7 @@ def remove_touching(edges: DataFrame, removed: DataFrame) -> DataFrame:
 def stale_after(memories: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(id) of active memories derived, over any number of steps, from the changed ones (column id)."""
     steps = edges.filter("type = 'derived_from'").select(F.col("target_id").alias("from"), F.col("source_id").alias("to"))
-    hit = reach(changed.select(F.col("id").alias("root")), steps).select(F.col("node").alias("id")).distinct()
+    hit = reached(changed.select(F.col("id").alias("node")), steps).select(F.col("node").alias("id"))
     return memories.filter("status = 'active'").join(hit, "id", "left_semi").select("id")
 
 
@@ -113,6 +147,13 @@ def dependency_closure(edges: DataFrame, roots: DataFrame, depth: int = 2) -> Da
     return reach(roots, steps, depth)
 
 
+def bounded_closure(closure: DataFrame, limit: int) -> DataFrame:
+    """A closure (root, node, depth) with at most ``limit`` nodes a root, the nearest first, and ``truncated`` where more were there."""
+    w = Window.partitionBy("root").orderBy("depth", "node")
+    placed = closure.withColumns({"__n": F.row_number().over(w), "truncated": F.count("*").over(Window.partitionBy("root")) > limit})
+    return placed.filter(F.col("__n") <= limit).drop("__n")
+
+
 def graph_profile(memories: DataFrame, edges: DataFrame) -> DataFrame:
     """(measure, key, n): memories by status, edges by type (a contradiction once), isolated memories."""
     status = memories.groupBy(F.col("status").alias("key")).agg(F.count("*").alias("n")).select(F.lit("status").alias("measure"), "key", "n")

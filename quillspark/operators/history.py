@@ -56,3 +56,18 @@ def erase(memories: DataFrame, versions: DataFrame, edges: DataFrame, erased: Da
     made = bridge(edges, ids).withColumn("created_at", F.lit(None).cast(edges.schema["created_at"].dataType))
     kept = remove_touching(edges.unionByName(made.select(edges.columns)), ids)
     return memories.join(ids, "id", "left_anti"), versions.join(ids.withColumnRenamed("id", "memory_id"), "memory_id", "left_anti"), kept
+
+
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Current rows with the incoming ones in place of those of their keys; columns as in ``current``.
+
+    Of several incoming rows of a key that with the highest ``order`` (version, if not given) counts; where the current
+    row's is higher it stays. Null keys never meet.
+    """
+    keys, order = keys or ["id"], order or ["version"]
+    both = current.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order], F.col("__new").desc(), F.xxhash64(*[c for c in current.columns if "map<" not in current.schema[c].dataType.simpleString()]))
+    known = F.lit(True)
+    for c in keys:
+        known &= F.col(c).isNotNull()
+    return both.withColumn("__n", F.row_number().over(w)).filter((F.col("__n") == 1) | ~known).select(current.columns)

@@ -43,6 +43,30 @@ def ranked(rows: DataFrame, score: str = "score") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(_by_score(score)))
 
 
+def by_kind(kind: Column, values: dict[str, float]) -> Column:
+    """Value of a question's kind; that of ``direct`` where the kind is unknown."""
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(F.element_at(table, kind), F.lit(values["direct"]))
+
+
+def intent_fusion(arms: dict[str, tuple[DataFrame, float]], kinds: DataFrame, digits: int = 9) -> DataFrame:
+    """``rank_fusion`` with the weights and k of each question's own kind; ``kinds`` is (qid, kind), a bounded batch.
+
+    The arms ``vector`` and ``lexical`` are weighed by kind, others by their own weight alone.
+    """
+    k = by_kind(F.col("kind"), {n: v[2] for n, v in INTENT_WEIGHTS.items()})
+    parts = None
+    for name, (rows, weight) in arms.items():
+        if weight:
+            place = {"vector": 0, "lexical": 1}.get(name)
+            own = F.lit(1.0) if place is None else by_kind(F.col("kind"), {n: float(v[place]) for n, v in INTENT_WEIGHTS.items()})
+            one = rows.join(F.broadcast(kinds), "qid").select("qid", "memory_id", F.lit(name).alias("arm"), F.col("rank").cast("int").alias("r"), (F.lit(float(weight)) * own / (k + F.col("rank"))).alias("part"))
+            parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        raise ValueError("no arm has a weight")
+    return ranked(parts.groupBy("qid", "memory_id").agg(F.round(F.sum("part"), digits).alias("score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("arm", "r")))).alias("ranks")))
+
+
 def rank_fusion(arms: dict[str, tuple[DataFrame, float]], k: int = 60, digits: int = 9) -> DataFrame:
     """(qid, memory_id, score, ranks) by reciprocal ranks; an arm is (rows with qid, memory_id, rank; weight).
 
@@ -147,7 +171,20 @@ def kind_allocation(rows: DataFrame, limit: int, question_kind: str = "direct")
     return ranked(chosen.drop("__n", "__spare"))
 
 
-def cut(rows: DataFrame, limit: int, min_score: float = 0.0, vector_score: str | None = None) -> DataFrame:
+def kind_allocation_each(rows: DataFrame, limit: Column, kind: Column) -> DataFrame:
+    """``kind_allocation`` with each row's question kind and limit."""
+    share = by_kind(kind, EPISODIC_SHARE)
+    least = F.least(F.lit(2), F.floor(limit / 2))
+    many = F.greatest(least, F.least(F.bround(limit * share, 0), limit - least))
+    episodic = F.when(limit > 1, many).otherwise((share >= 0.5).cast("int"))
+    per = Window.partitionBy("qid", "kind").orderBy(F.col("score").desc(), "memory_id")
+    first = F.row_number().over(per) <= F.when(F.col("kind") == "episodic", episodic).otherwise(limit - episodic)
+    fill = Window.partitionBy("qid").orderBy(F.col("__spare"), F.col("score").desc(), "memory_id")
+    chosen = rows.withColumn("__spare", (~first).cast("int")).withColumn("__n", F.row_number().over(fill)).filter(F.col("__n") <= limit)
+    return ranked(chosen.drop("__n", "__spare"))
+
+
+def cut(rows: DataFrame, limit: int | Column, min_score: float = 0.0, vector_score: str | None = None) -> DataFrame:
     """First ``limit`` rows, then those of at least ``min_score`` (by cosine where there is one)."""
     calibrated = F.coalesce(F.col(vector_score), F.col("score")) if vector_score else F.col("score")
     return ranked(rows).filter(F.col("rank") <= limit).filter(calibrated >= min_score)
@@ -192,8 +229,11 @@ def conflict_pairs(results: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.select("qid", F.least("source_id", "target_id").alias("left_id"), F.greatest("source_id", "target_id").alias("right_id")).distinct()
 
 
-def confidence(rows: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
-    """(qid, level, top_score, margin, n_results, reason) from calibrated scores in rank order."""
+def confidence(rows: DataFrame, conflicts: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(qid, level, top_score, margin, n_results, reason) from calibrated scores in rank order.
+
+    Questions of ``asked`` (qid) without results have the level ``none``.
+    """
     top = rows.groupBy("qid").agg(F.max_by("score", -F.col("rank")).alias("top_score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.count("*").alias("n_results"))
     hit = top.join(conflicts.select("qid", F.lit(True).alias("clash")).distinct(), "qid", "left") if conflicts is not None else top.withColumn("clash", F.lit(None).cast("boolean"))
     margin = F.col("top_score") - F.coalesce("second", F.lit(0.0))
@@ -201,7 +241,11 @@ def confidence(rows: DataFrame, conflicts: DataFrame | None = None) -> DataFrame
     flat = (F.col("n_results") > 1) & (margin < FLAT_MARGIN * F.col("top_score"))
     level = F.when(clash | weak | flat, "low").when(F.col("top_score") >= STRONG_TOP, "high").otherwise("medium")
     reason = F.when(clash, "conflict").when(weak, "weak").when(flat, "flat").otherwise("ok")
-    return hit.select("qid", level.alias("level"), "top_score", F.round(margin, 6).alias("margin"), "n_results", reason.alias("reason"))
+    graded = hit.select("qid", level.alias("level"), "top_score", F.round(margin, 6).alias("margin"), "n_results", reason.alias("reason"))
+    if asked is None:
+        return graded
+    bare = asked.select("qid").distinct().join(graded, "qid", "left_anti").select("qid", F.lit("none").alias("level"), F.lit(0.0).alias("top_score"), F.lit(0.0).alias("margin"), F.lit(0).cast("long").alias("n_results"), F.lit("nothing").alias("reason"))
+    return graded.unionByName(bare)
 
 
 def evidence_budget(rows: DataFrame, cliff: float, floor: int, ceiling: int = 100) -> DataFrame:

@@ -69,20 +69,32 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
 
     Order: arms, rank fusion with the weights of the question kind, names as a third arm, pool, rerank, window of ``questions.start``/``end``
     if there, decay, suppression of what a result supersedes, source cap, kind allocation, diversification, cut, floor.
+
+    With a column ``kind`` in ``questions`` each question has the weights, limit and allocation of its own kind;
+    otherwise all have those of ``options.question_kind``. A batch of questions is bounded, so it is sent to the rows.
     """
+    own = "kind" in questions.columns
     live = memories.filter(options.filter.column())
-    listing = options.question_kind == "list_all"
+    listing = options.question_kind == "list_all" or (own and not questions.filter("kind = 'list_all'").isEmpty())
     limit, fetch, pool_size = S.candidate_sizes(options.limit, listing)
+    kinds = questions.select("qid", F.coalesce("kind", F.lit("direct")).alias("kind")) if own else None
+    small = S.candidate_sizes(options.limit, False)
+    few = lambda wide, narrow: F.when(F.col("__kind") == "list_all", wide).otherwise(narrow)
     ids = live.select(F.col("id").alias("memory_id"))
     vector, lexical = hybrid_arms(live, chunks.join(ids, "memory_id", "left_semi"), vectors, questions, fetch)
     wv, wl, k = R.INTENT_WEIGHTS[options.question_kind] if options.tune_by_intent else (1.0, 1.0, options.rrf_k)
+    if own and options.tune_by_intent:
+        wv = wl = 1.0  # each question's kind weighs below
     arms = {"vector": (vector, options.vector_weight * wv), "lexical": (lexical, options.lexical_weight * wl)}
-    fused = R.rank_fusion(arms, k)
+    fuse = (lambda a: R.intent_fusion(a, kinds)) if own and options.tune_by_intent else (lambda a: R.rank_fusion(a, k))
+    fused = fuse(arms)
     if options.use_entities and options.entity_budget > 0:
         third = entity_arm(chunks.join(ids, "memory_id", "left_semi"), stored(fused), questions, fetch, limit, options.entity_budget)
-        fused = R.rank_fusion(arms | {"entity": (stored(third), options.entity_weight)}, k)
+        fused = fuse(arms | {"entity": (stored(third), options.entity_weight)})
     why = F.transform(F.map_entries("ranks"), lambda e: F.concat(e["key"], F.lit(" rank "), e["value"].cast("string")))
-    pool = fused.filter(F.col("rank") <= pool_size).select("qid", "memory_id", "score", F.concat(why, F.array(F.concat(F.lit("fused "), F.col("score").cast("string")))).alias("explain"))
+    named = kinds.withColumnRenamed("kind", "__kind") if own else None
+    inside = F.col("rank") <= (few(pool_size, small[2]) if own else pool_size)
+    pool = (fused.join(F.broadcast(named), "qid") if own else fused).filter(inside).select("qid", "memory_id", "score", F.concat(why, F.array(F.concat(F.lit("fused "), F.col("score").cast("string")))).alias("explain"))
     pool = pool.join(vector.select("qid", "memory_id", F.col("score").alias("vector_score")), ["qid", "memory_id"], "left")
     pool = pool.join(lexical.select("qid", "memory_id", F.col("score").alias("lexical_score")), ["qid", "memory_id"], "left")
     about = live.select(F.col("id").alias("memory_id"), "source", "kind", "status", "occurred_at")
@@ -100,12 +112,16 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
     if edges is not None:
         rows = G.suppress_superseded(rows, edges)
     rows = R.source_cap(rows, options.max_per_source)
+    if own:
+        rows = rows.join(F.broadcast(named), "qid")
     if options.route_by_kind:
-        rows = R.kind_allocation(rows, limit, options.question_kind)
+        rows = R.kind_allocation_each(rows, few(limit, small[0]), F.col("__kind")) if own else R.kind_allocation(rows, limit, options.question_kind)
     if options.use_mmr:
         chosen = R.mmr(rows.join(vectors.select("memory_id", "embedding"), "memory_id", "left"), limit, options.mmr_trade)
         rows = rows.drop("score", "rank").join(chosen.select("qid", "memory_id", "score", "rank"), ["qid", "memory_id"])
         out = rows.filter(F.coalesce("vector_score", "score") >= options.min_score)
+        if own:
+            out = out.filter(F.col("rank") <= few(limit, small[0]))
     else:
-        out = R.cut(rows, limit, options.min_score, "vector_score")
+        out = R.cut(rows, few(limit, small[0]) if own else limit, options.min_score, "vector_score")
     return out.select("qid", "memory_id", "score", "rank", "vector_score", "lexical_score", "source", "kind", "status", "explain")
