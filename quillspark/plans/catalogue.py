@@ -273,6 +273,69 @@ def association_edges(spark, sf):
     return C.associations(_pairs(spark, sf, 0.1, 0.97), m, named, low=0.1, tag_low=0.1).select("left_id", "right_id", F.round("sim", 6).alias("sim"), "weight", "confidence")
 
 
+#: What is planted by id: text before and after the content, and how much of the reversed vector is added.
+PLANTED_TEXTS = [("", ""), ("No longer: ", ""), ("", " 42"), ("not ", "")]
+PLANTED_TURNS = [0.0, 0.1, 0.3, 0.5, 0.7]
+
+
+def _planted(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new vectors, old vectors, memories): every memory again a day later, with a changed text and a turned vector.
+
+    By its id a text is the same, revised, negated or has another figure, and a vector is turned by 0 to 35 degrees, so
+    pairs lie in every band of the consolidation rules.
+    """
+    m, v = X.memories_text(spark, sf), X.table(spark, sf, "embeddings")
+    turn = F.element_at(F.array(*[F.lit(t) for t in PLANTED_TURNS]), (F.col("vec_id") % len(PLANTED_TURNS) + 1).cast("int"))
+    e = F.col("embedding").cast("array<double>")
+    new = v.select((F.col("vec_id") + 1_000_000).alias("id"), F.zip_with(e, F.reverse(e), lambda a, b: a + turn * b).alias("embedding"))
+    part = lambda k: F.element_at(F.array(*[F.lit(t[k]) for t in PLANTED_TEXTS]), (F.col("id") % len(PLANTED_TEXTS) + 1).cast("int"))
+    again = m.withColumns({"content": F.concat(part(0), F.col("content"), part(1)), "status": F.lit("active"), "occurred_at": F.col("occurred_at") + F.expr("interval 1 day"), "id": F.col("id") + 1_000_000})
+    return new, v.select(F.col("vec_id").alias("id"), "embedding"), m.unionByName(again)
+
+
+def planted_near_duplicates(spark, sf):
+    new, old, memories = _planted(spark, sf)
+    return C.near_duplicates(C.similar_pairs(new, old, C.DUPLICATE, None), memories).select("new_id", "old_id", F.round("sim", 6).alias("sim"))
+
+
+def planted_supersessions(spark, sf):
+    new, old, memories = _planted(spark, sf)
+    return C.supersessions(C.similar_pairs(new, old, C.SUPERSEDE_LOW, C.DUPLICATE), memories).select("new_id", "old_id", F.round("sim", 6).alias("sim"), "confidence")
+
+
+def planted_contradictions(spark, sf):
+    new, old, memories = _planted(spark, sf)
+    return C.contradictions(C.similar_pairs(new, old, C.CONTRADICT_LOW, C.DUPLICATE), memories).select("left_id", "right_id", F.round("sim", 6).alias("sim"), "polarity", "figures", "confidence")
+
+
+def planted_unexplained(spark, sf):
+    new, old, memories = _planted(spark, sf)
+    return C.unexplained(C.similar_pairs(new, old, C.CONTRADICT_LOW, C.DUPLICATE), memories).select("new_id", "old_id", F.round("sim", 6).alias("sim"))
+
+
+def planted_associations(spark, sf):
+    new, old, memories = _planted(spark, sf)
+    return C.associations(C.similar_pairs(new, old, C.ASSOCIATE_LOW, C.DUPLICATE), memories).select("left_id", "right_id", F.round("sim", 6).alias("sim"), "weight", "confidence")
+
+
+def whole_lineage(spark, sf):
+    found = G.lineage(X.edges(spark, sf), _roots(spark, sf))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return found.select("root", listed(F.col("ancestors")).alias("ancestors"), listed(F.col("successors")).alias("successors"), "is_current", "head")
+
+
+def upserted_memories(spark, sf):
+    m = X.memories_text(spark, sf).select("id", "status", F.lit(2).alias("version"))
+    new = m.filter("id % 3 = 0").select((F.col("id") * 2).alias("id"), F.lit("stale").alias("status"), (F.col("id") % 4).cast("int").alias("version"))
+    return H.upsert(m, new)
+
+
+def benchmark_quotes(spark, sf):
+    """Benchmark passages quoted by every document: those that stand in it word by word."""
+    docs, quotes = X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), X.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return Y.ground_all(quotes, docs).select("item_id", F.col("id").alias("doc_id"))
+
+
 def entity_lists(spark, sf):
     return entities(X.memories_text(spark, sf).select("id", "content"), "content").select("id", F.array_join("entities", "|").alias("entities"))
 
@@ -398,7 +461,8 @@ ALL = [
     vector_topk, vector_topk_batch, best_chunk_per_memory, hybrid_topk, weighted_fusion, heuristic_rerank, recency_decay, access_boost, temporal_boost, source_cap,
     kind_allocation, evidence_budget, mmr_topk, confidence_grade, conflict_pairs, suppress_superseded, lineage_head, reachable_superseders, bridge_on_delete,
     stale_propagation, dependency_closure, graph_profile, node_degrees, as_of_snapshot, as_of_join, scd2_history, erase_report, near_duplicate_pairs,
-    supersession_proposals, contradiction_proposals, unexplained_pairs, association_edges, entity_lists, prose_chunks, turn_neighbours, hydrate_budget,
+    supersession_proposals, contradiction_proposals, unexplained_pairs, association_edges, planted_near_duplicates, planted_supersessions, planted_contradictions,
+    planted_unexplained, planted_associations, whole_lineage, upserted_memories, benchmark_quotes, entity_lists, prose_chunks, turn_neighbours, hydrate_budget,
     classify_questions, question_windows, derive_reduce, ground_quotes, jaccard_dedupe, retrieval_metrics, wilson_by_category, deterministic_embed, search_production, entity_bridge,
 ]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.text import NEGATIVE_CONTRACTIONS, STOP_WORDS, _quoted, stem_sql
 from ..operators.consolidate import ANTONYMS, INFLECTIONS, REVISION_MARKERS
 from ..sources.fixtures import with_views
-from .catalogue import _WINDOWS, QUESTIONS
+from .catalogue import _WINDOWS, PLANTED_TEXTS, PLANTED_TURNS, QUESTIONS
 
 _FOLD = "replace(lower(coalesce({x}, '')), 'ß', 'ss')"
 
@@ -236,6 +236,50 @@ SQL["association_edges"] = with_views("memories_text") + f""", {_pairs(0.1, 0.97
 SELECT new_id AS left_id, old_id AS right_id, round(sim, 6) AS sim, 1 AS weight, round(least(1.0, 0.65 + 0.2 * sim), 6) AS confidence FROM joined
 WHERE ostatus = 'active' AND list_has_any(ntags, otags) QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) <= 4"""
 
+_TURN = " ".join(f"WHEN {i} THEN {t}::DOUBLE" for i, t in enumerate(PLANTED_TURNS))
+_BEFORE, _AFTER = (" ".join(f"WHEN {i} THEN '{t[k]}'" for i, t in enumerate(PLANTED_TEXTS)) for k in (0, 1))
+
+
+def _planted(low: float, high: float | None) -> str:
+    """CTEs pairs and joined of the planted memories with all others, in [low, high)."""
+    n, k = len(PLANTED_TURNS), len(PLANTED_TEXTS)
+    return f"""turned AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE vec_id % {n} {_TURN} END AS t FROM embeddings),
+pv AS (SELECT vec_id + 1000000 AS id, list_transform(range(1, len(e) + 1), lambda i: e[i] + t * e[len(e) + 1 - i]) AS e FROM turned),
+pm AS (SELECT id + 1000000 AS id, (CASE id % {k} {_BEFORE} END) || content || (CASE id % {k} {_AFTER} END) AS content, occurred_at + INTERVAL 1 DAY AS occurred_at, tags FROM memories_text),
+pairs AS (SELECT new_id, old_id, sim FROM (SELECT p.id AS new_id, t.vec_id AS old_id, round(list_cosine_similarity(p.e, t.e), 9) AS sim FROM pv p, turned t) WHERE sim >= {low}{f" AND sim < {high}" if high else ""}),
+joined AS (SELECT p.*, n.content AS nc, n.occurred_at AS nt, n.tags AS ntags, o.content AS oc, o.occurred_at AS ot, o.tags AS otags, o.status AS ostatus
+  FROM pairs p JOIN pm n ON n.id = new_id JOIN memories_text o ON o.id = old_id)"""
+
+
+_DIGITS = r"list_sort(list_distinct(regexp_extract_all({x}, '\b\w*\d[\w.-]*\b')))"
+SQL["planted_near_duplicates"] = with_views("memories_text") + f""", {_planted(0.97, None)}
+SELECT new_id, old_id, round(sim, 6) AS sim FROM joined WHERE {_DIGITS.format(x="nc")} = {_DIGITS.format(x="oc")} QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) = 1"""
+SQL["planted_supersessions"] = with_views("memories_text") + f""", {_planted(0.72, 0.97)}
+SELECT new_id, old_id, round(sim, 6) AS sim, round(least(0.99, 0.35 + 0.45 * (sim - 0.72) / (0.97 - 0.72)::DOUBLE + CASE WHEN {_MARKED} THEN 0.15 ELSE 0 END
+  + CASE WHEN {_NEG.format(x="nc")} THEN 0.05 ELSE 0 END + CASE WHEN list_has_any(ntags, otags) THEN 0.05 ELSE 0 END), 6) AS confidence
+FROM joined WHERE ostatus = 'active' AND length(oc) <= 500 AND ot < nt"""
+SQL["planted_contradictions"] = with_views("memories_text") + f""", {_planted(0.82, 0.97)},
+m AS (SELECT *, {_POLARITY} AS polarity, {_FIGURES} AS figures, least(0.45 + 0.2 * (sim - 0.82) / (0.97 - 0.82)::DOUBLE, 0.95) AS v FROM joined WHERE ostatus = 'active')
+SELECT new_id AS left_id, old_id AS right_id, round(sim, 6) AS sim, polarity, figures, round(CASE WHEN polarity AND figures THEN least(v + 0.2, 0.95) ELSE v END, 6) AS confidence
+FROM m WHERE polarity OR figures"""
+SQL["planted_unexplained"] = with_views("memories_text") + f""", {_planted(0.82, 0.97)}
+SELECT new_id, old_id, round(sim, 6) AS sim FROM joined WHERE ostatus = 'active' AND NOT ({_POLARITY} OR {_FIGURES})"""
+SQL["planted_associations"] = with_views("memories_text") + f""", {_planted(0.45, 0.97)}
+SELECT new_id AS left_id, old_id AS right_id, round(sim, 6) AS sim, 1 AS weight, round(least(1.0, 0.65 + 0.2 * sim), 6) AS confidence FROM joined
+WHERE ostatus = 'active' AND sim >= 0.6 AND list_has_any(ntags, otags) QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) <= 4"""
+
+_WALK = """{n}_steps AS (SELECT {a} AS cur, {b} AS nxt FROM (SELECT *, row_number() OVER (PARTITION BY {a} ORDER BY created_at, {b}) AS n FROM edges WHERE type = 'supersedes') WHERE n = 1),
+{n}_walk AS (SELECT o_orderkey AS root, o_orderkey AS node, []::BIGINT[] AS path, 0 AS depth FROM orders
+  UNION ALL SELECT root, nxt, list_append(path, nxt), depth + 1 FROM {n}_walk JOIN {n}_steps ON cur = node WHERE depth < 20),
+{n} AS (SELECT root, arg_max(path, depth) AS path FROM {n}_walk GROUP BY root)"""
+SQL["whole_lineage"] = with_views("edges", recursive=True) + ", " + _WALK.format(n="up", a="target_id", b="source_id") + ", " + _WALK.format(n="down", a="source_id", b="target_id") + """
+SELECT up.root, array_to_string(down.path, ',') AS ancestors, array_to_string(up.path, ',') AS successors, len(up.path) = 0 AS is_current, coalesce(up.path[-1], up.root) AS head FROM up JOIN down USING (root)"""
+SQL["upserted_memories"] = with_views("memories_text") + """, i AS (SELECT id * 2 AS id, 'stale' AS status, (id % 4)::INTEGER AS version FROM memories_text WHERE id % 3 = 0)
+SELECT id, CASE WHEN i.version >= 2 OR m.id IS NULL THEN i.status ELSE m.status END AS status, CASE WHEN i.version >= 2 OR m.id IS NULL THEN i.version ELSE 2 END AS version
+FROM memories_text m FULL JOIN i USING (id)"""
+SQL["benchmark_quotes"] = """
+SELECT item_id, doc_id FROM (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark) JOIN (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents) ON q <> '' AND contains(t, q)"""
+
 SQL["turn_neighbours"] = """
 SELECT conv_id AS session_id, turn, len(coalesce(b, [])) AS n_before, len(coalesce(a, [])) AS n_after, sha256(coalesce(array_to_string(b, chr(10)), '')) AS before_sha, sha256(coalesce(array_to_string(a, chr(10)), '')) AS after_sha
 FROM (SELECT conv_id, turn, list(text) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b, list(text) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS a
