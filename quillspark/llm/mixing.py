@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ._shared import mixed, row_tie, saved, tasks_for, with_global_rank, with_row_number
 
-#: Rows that one task rounds, residual rows of earlier tasks that one later task combines.
-ROWS_PER_TASK, FAN_IN = 10_000, 64
+#: Rows of a bucket that is rounded at once, buckets whose residual rows a later one combines.
+ROWS_PER_BUCKET, FAN_IN = 2_000, 64
 #: Fractions nearer than this to 0 or 1 count as integral.
 NEAR = 1e-9
 
@@ -92,7 +92,7 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
         rows = rows.withColumn("__tie", F.xxhash64("source", "size"))
     rows = saved(with_row_number(rows, ["__id", "__tie"]))
     targets = source_targets(rows.select("source", "size"), weights, share, most)
-    buckets = tasks_for(rows.count(), ROWS_PER_TASK)
+    buckets = tasks_for(rows.count(), ROWS_PER_BUCKET)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(float(min(share, most))))
     near = targets.withColumnRenamed("source", "__s")
     joined = (
@@ -121,7 +121,7 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
 
     kept = [f for f in joined.schema.fields]
     schema = joined.schema.add("__left", "boolean")
-    done = saved(joined.repartition(buckets, "__bucket").groupBy("__bucket").applyInPandas(exchange, schema))
+    done = saved(joined.groupBy("__bucket").applyInPandas(exchange, schema))
     columns = [f.name for f in kept]
     open_rows = done.filter("__left").select(columns)
     finished, width = [], buckets

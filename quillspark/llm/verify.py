@@ -14,7 +14,7 @@ from ._shared import HOT_PART, give_back, hot_join, salted_join, saved
 from .components import components
 
 #: Texts that are compared with each other in one task; more are compared block by block.
-BUCKET = 500
+BUCKET = 200
 #: Sets that a task keeps for the next pairs.
 KEPT_SETS = 500
 
