@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ._shared import mixed, row_tie, saved, tasks_for, with_global_rank, with_row_number
 
@@ -119,8 +120,8 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
                 left[some[held]] = True
         return pdf.assign(__part=part, __left=left)
 
-    kept = [f for f in joined.schema.fields]
-    schema = joined.schema.add("__left", "boolean")
+    kept = joined.schema.fields
+    schema = StructType([*kept, StructField("__left", BooleanType())])
     done = saved(joined.groupBy("__bucket").applyInPandas(exchange, schema))
     columns = [f.name for f in kept]
     open_rows = done.filter("__left").select(columns)
