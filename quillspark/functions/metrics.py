@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,14 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
 
 
+def by_category(rows: DataFrame, category: str = "category", digits: int = 4) -> DataFrame:
+    """(category, n, full_recall, full_low, full_high, hit, mrr) of rows (full_recall, hit, mrr), with Wilson's interval of full recall."""
+    mean = lambda c: F.round(F.avg(c), digits).alias(c)
+    table = rows.groupBy(category).agg(F.count("*").alias("n"), F.sum("full_recall").alias("good"), mean("full_recall"), mean("hit"), mean("mrr"))
+    low, high = wilson(F.col("good"), F.col("n"))
+    return table.select(category, "n", "full_recall", F.round(low, digits).alias("full_low"), F.round(high, digits).alias("full_high"), "hit", "mrr")
+
+
 def sign_test(wins: int, losses: int) -> float:
     """Exact two-sided probability that a fair coin is as uneven."""
     n = wins + losses

@@ -330,6 +330,11 @@ def upserted_memories(spark, sf):
     return H.upsert(m, new)
 
 
+def retrieval_by_label(spark, sf):
+    labels = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("label").alias("category"))
+    return M.by_category(retrieval_metrics(spark, sf).join(labels, "qid"))
+
+
 def benchmark_quotes(spark, sf):
     """Benchmark passages quoted by every document: those that stand in it word by word."""
     docs, quotes = X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), X.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
@@ -462,7 +467,7 @@ ALL = [
     kind_allocation, evidence_budget, mmr_topk, confidence_grade, conflict_pairs, suppress_superseded, lineage_head, reachable_superseders, bridge_on_delete,
     stale_propagation, dependency_closure, graph_profile, node_degrees, as_of_snapshot, as_of_join, scd2_history, erase_report, near_duplicate_pairs,
     supersession_proposals, contradiction_proposals, unexplained_pairs, association_edges, planted_near_duplicates, planted_supersessions, planted_contradictions,
-    planted_unexplained, planted_associations, whole_lineage, upserted_memories, benchmark_quotes, entity_lists, prose_chunks, turn_neighbours, hydrate_budget,
+    planted_unexplained, planted_associations, whole_lineage, upserted_memories, benchmark_quotes, retrieval_by_label, entity_lists, prose_chunks, turn_neighbours, hydrate_budget,
     classify_questions, question_windows, derive_reduce, ground_quotes, jaccard_dedupe, retrieval_metrics, wilson_by_category, deterministic_embed, search_production, entity_bridge,
 ]
 

@@ -306,6 +306,11 @@ _Z = 1.959963984540054
 SQL["wilson_by_category"] = with_views("memories_text") + f""", c AS (SELECT space_id, sum(quality)::BIGINT AS good, count(*) AS n, sum(quality)::DOUBLE / count(*) AS p FROM memories_text WHERE quality IS NOT NULL GROUP BY space_id),
 i AS (SELECT *, (p + {_Z * _Z} / (2 * n)) / (1 + {_Z * _Z} / n) AS mid, {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n)) / (1 + {_Z * _Z} / n) AS half FROM c)
 SELECT space_id, good, n, round(greatest(0, mid - half), 6) AS low, round(least(1, mid + half), 6) AS high FROM i"""
+SQL["retrieval_by_label"] = f"""
+WITH m AS ({SQL["retrieval_metrics"]}), c AS (
+  SELECT label AS category, count(*) AS n, sum(full_recall) AS good, avg(full_recall) AS f, avg(hit) AS h, avg(mrr) AS r, sum(full_recall) / count(*) AS p FROM m JOIN embeddings ON vec_id = qid GROUP BY label),
+i AS (SELECT *, (p + {_Z * _Z} / (2 * n)) / (1 + {_Z * _Z} / n) AS mid, {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n)) / (1 + {_Z * _Z} / n) AS half FROM c)
+SELECT category, n, round(f, 4) AS full_recall, round(greatest(0, mid - half), 4) AS full_low, round(least(1, mid + half), 4) AS full_high, round(h, 4) AS hit, round(r, 4) AS mrr FROM i"""
 
 
 def oracle_sql() -> dict[str, str]:

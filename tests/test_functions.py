@@ -135,3 +135,17 @@ def test_metrics(spark):
     best = 1 + 1 / math.log2(3)
     assert list(row) == pytest.approx([0.5, 0, 1, 0.5, (1 / math.log2(3)) / best])
     assert metrics.sign_test(10, 0) == pytest.approx(2 / 1024) and metrics.sign_test(3, 3) == 1.0 and metrics.sign_test(0, 0) == 1.0
+
+
+def test_grades(spark):
+    from quillspark.functions import scoring
+
+    rows = [
+        ("It is 180cm tall", "180", True, 1.0), ("It is 180 tall", "18", False, 1.0), ("a pair of slip-ons", "slipons", True, 1.0), ("your body weight", "bodyweight", True, 1.0),
+        ("secondhand car", "second hand", True, 1.0), ("the cats", "cat s", False, 1.0), ("$1,500 in all", "1500", True, 1.0), ("red eye flight", "aisle; red-eye|red eye", False, 1.0),
+        ("aisle seat, red-eye", "aisle; red-eye|red eye", True, 1.0), ("Yes: 180", "yes + 180 210", True, 0.5), (None, "x", False, 1.0), ("x", " + y", None, None), ("STRASSE", "straße", True, 1.0),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, answer string, spec string, want boolean, share double")
+    got = df.withColumn("g", scoring.grade(F.col("answer"), F.col("spec"))).orderBy("i").collect()
+    assert [(r["g"] and r["g"]["correct"], r["g"] and r["g"]["completeness"]) for r in got] == [r[2:] for r in rows]
+    assert got[7]["g"]["missing"] == ["aisle"]
