@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
-from ._shared import LOWER, row_pieces, saved, text_slices, word_bounds, xxh64_slices
+from ._shared import LOWER, give_back, row_pieces, saved, text_slices, word_bounds, xxh64_slices
 
 #: Bytes that separate words: all ASCII but digits and letters.
 APART = np.ones(256, bool)
@@ -103,20 +103,45 @@ def _merged(spans: list[tuple[int, int, int, int]]) -> tuple[int, list[dict]]:
     return int((reach[finish] - a[begin]).sum()), [{"start": int(x), "end": int(y)} for x, y in zip(s[begin], np.maximum.accumulate(e)[finish])]
 
 
-def _scanned(docs: DataFrame, items: list[tuple[str, bytes]], window: int, text: str) -> DataFrame:
-    """``docs`` with hits of the items added to the columns __words, __spans and __items."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    span = pa.struct([(c, pa.int64()) for c in ("a", "b", "s", "e")])
+#: Columns that the scan adds.
+_ADDED = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:long,end:long>>"
+_NAMES = [c.split()[0] for c in _ADDED.split(", ")]
+_HELD = "array<struct<a:long,b:long,s:long,e:long>>"
+_NONE = hashlib.sha256(b"").hexdigest()
+
+
+def _digest(words: np.ndarray, spans: list[list[tuple]], ids: list[set[str]]) -> list[pa.Array]:
+    """Arrays of the columns _ADDED."""
+    out: dict[str, list] = {c: [] for c in _NAMES}
+    for w, s, i in zip(words.tolist(), spans, ids):
+        hit, stretches = _merged(s) if s else (0, [])
+        values = (w, hit, len(i), hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() if i else _NONE, hit > 0, stretches)
+        for c, v in zip(out, values):
+            out[c].append(v)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    return [pa.array(v, k) for v, k in zip(out.values(), kinds)]
+
+
+def _scanned(rows: DataFrame, items: list[tuple[str, bytes]], window: int, text: str, columns: list[str], last: bool) -> DataFrame:
+    """``rows`` after a scan for the items: their ``columns`` and _ADDED, or before the last part with its hits in __spans and __items."""
+    sent = rows.sparkSession.sparkContext.broadcast(items)
+    span = pa.struct([(c, pa.int64()) for c in "abse"])
+    schema = StructType([*rows.select(*columns).schema.fields, *StructType.fromDDL(_ADDED).fields]) if last else rows.schema
+    held = "__spans" in rows.columns
 
     def scan(batches):
         found = _windows(sent, window)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
+            at = batch.schema.get_field_index
+            texts = batch.column(at(text))
             spans, ids, words = [[] for _ in range(len(texts))], [set() for _ in range(len(texts))], np.zeros(len(texts), np.int64)
+            if held:
+                spans = [[tuple(x[c] for c in "abse") for x in s] for s in batch.column(at("__spans")).to_pylist()]
+                ids = [set(i) for i in batch.column(at("__items")).to_pylist()]
             seen: set[tuple[int, bytes]] = set()
 
-            def add(row, word, shift, first, last, key, starts, ends):
-                spans[row].append((word + first, word + last, shift + int(starts[first]), shift + int(ends[last - 1])))
+            def add(row, word, shift, first, last_word, key, starts, ends):
+                spans[row].append((word + first, word + last_word, shift + int(starts[first]), shift + int(ends[last_word - 1])))
                 if (row, key) not in seen:
                     seen.add((row, key))
                     ids[row].update(found.exact[key])
@@ -125,24 +150,25 @@ def _scanned(docs: DataFrame, items: list[tuple[str, bytes]], window: int, text:
                 if len(offsets) == 2 and offsets[1] > SCAN_BYTES:
                     for shift, word, piece, starts, ends in row_pieces(data, int(offsets[1]), APART, window - 1, SCAN_BYTES):
                         words[first] = word + len(starts)
-                        clean = _CLEAN_BYTES[piece]
-                        for a, b, key in found.hits(clean, starts, ends, np.zeros(len(starts), np.int64)):
+                        for a, b, key in found.hits(_CLEAN_BYTES[piece], starts, ends, np.zeros(len(starts), np.int64)):
                             add(first, word, shift, a, b, key, starts, ends)
                     continue
                 starts, ends, of = word_bounds(data, offsets, APART)
                 count = np.diff(of)
                 words[first : first + len(count)] = count
-                rows = np.repeat(np.arange(len(count)), count)
-                for a, b, key in found.hits(_CLEAN_BYTES[data], starts, ends, rows):
-                    r = int(rows[a])
-                    base, shift = int(of[r]), -int(offsets[r])
-                    add(first + r, -base, shift, a, b, key, starts, ends)
-            old_spans, old_items = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__spans", "__items"))
-            spans = [o + [dict(zip("abse", x)) for x in sorted(set(s))] for o, s in zip(old_spans, spans)]
-            new = {"__words": pa.array(words), "__spans": pa.array(spans, pa.list_(span)), "__items": pa.array([sorted(set(o) | i) for o, i in zip(old_items, ids)], pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
+                of_row = np.repeat(np.arange(len(count)), count)
+                for a, b, key in found.hits(_CLEAN_BYTES[data], starts, ends, of_row):
+                    r = int(of_row[a])
+                    add(first + r, -int(of[r]), -int(offsets[r]), a, b, key, starts, ends)
+            if last:
+                made = [*(batch.column(at(c)) for c in columns), *_digest(words, [sorted(set(s)) for s in spans], ids)]
+            else:
+                new = {"__spans": pa.array([[dict(zip("abse", x)) for x in sorted(set(s))] for s in spans], pa.list_(span)), "__items": pa.array([sorted(i) for i in ids], pa.list_(pa.string()))}
+                made = [new.get(c, batch.column(at(c))) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(made, names=schema.names)
+        give_back()
 
-    return docs.mapInArrow(scan, docs.schema)
+    return rows.mapInArrow(scan, schema)
 
 
 def scan_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -160,31 +186,16 @@ def scan_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     Null and empty texts have no words and no hits; items without words have no window; repeated items count by their
     ids once; an empty benchmark hits nothing. Rows stay as they are, repeats too; own columns of these names go.
     """
-    new = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:long,end:long>>"
-    added = StructType.fromDDL(new)
-    columns = [c for c in (keep if keep is not None else docs.columns) if c not in added.names]
-    kept = docs.select(*columns).schema
+    columns = [c for c in (keep if keep is not None else docs.columns) if c not in _NAMES]
     t = F.col(item_text)
     listed = benchmark.filter(t.isNotNull()).select(F.col(item_id).cast("string").alias("item"), t.alias("text")).distinct()
     parts = max(1, -(-(listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
-    hidden = "array<struct<a:long,b:long,s:long,e:long>>"
-    rows = docs.select(*columns, F.col(text).alias("__t"), F.lit(0).cast("long").alias("__words"), F.array().cast(hidden).alias("__spans"), F.array().cast("array<string>").alias("__items"))
+    name = text if text in columns else "__t"
+    rows = docs.select(*columns, *([] if name == text else [F.col(text).alias(name)]))
+    if parts > 1:
+        rows = rows.withColumns({"__spans": F.array().cast(_HELD), "__items": F.array().cast("array<string>")})
     for p in range(parts):
         mine = listed.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).collect()
         items = sorted(("null" if r["item"] is None else r["item"], r["text"].encode("utf-8", "surrogatepass").translate(_CLEAN)) for r in mine)
-        rows = _scanned(saved(rows) if p else rows, items, window, "__t")
-    schema = StructType([*kept.fields, *added.fields])
-    none = hashlib.sha256(b"").hexdigest()
-
-    def digest(batches):
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in added.names}
-            words, spans, ids = (batch.column(batch.num_columns - k).to_pylist() for k in (3, 2, 1))
-            for w, s, i in zip(words, spans, ids):
-                hit, stretches = _merged([(x["a"], x["b"], x["s"], x["e"]) for x in s]) if s else (0, [])
-                for c, v in zip(added.names, (w, hit, len(i), hashlib.sha256(",".join(i).encode()).hexdigest() if i else none, hit > 0, stretches)):
-                    out[c].append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=schema.names)
-
-    return rows.drop("__t").mapInArrow(digest, schema)
+        rows = _scanned(saved(rows) if p else rows, items, window, name, columns, p == parts - 1)
+    return rows

@@ -421,6 +421,7 @@ def _wide_links(limit: int | None):
                     yield made
         if len(held[0]) and (made := index(*held)) is not None:
             yield made
+        give_back()
 
     return run
 
