@@ -159,16 +159,18 @@ def supersessions(pairs: DataFrame, memories: DataFrame, low: float = SUPERSEDE_
 #: Flags of a text by which two texts disagree: whether it is negated, has the one or the other term of each pair, and its figures.
 def disagreement_flags(text: Column) -> Column:
     """Struct of what ``polarity_conflict`` and ``figure_conflict`` need from one side, worked out once a text."""
-    sides = [text.rlike(rf"(?i)\b{word}{INFLECTIONS}\b") for pair in ANTONYMS for word in pair]
+    # no term begins another one, so one scan over all of them finds what a scan for each would
+    every = "|".join(sorted({word for pair in ANTONYMS for word in pair}))
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({every}){INFLECTIONS}\b"), F.lit(1)), lambda w: F.lower(w))
     figures = F.regexp_extract_all(text, F.lit(FIGURE), F.lit(1))
-    return F.struct(negated(text).alias("negated"), F.array(*sides).alias("terms"), figures.alias("figures"), F.regexp_extract_all(F.lower(text), F.lit(WEEKDAY), F.lit(1)).alias("days"))
+    return F.struct(negated(text).alias("negated"), F.array_distinct(found).alias("terms"), figures.alias("figures"), F.regexp_extract_all(F.lower(text), F.lit(WEEKDAY), F.lit(1)).alias("days"))
 
 
 def flags_conflict(a: Column, b: Column) -> tuple[Column, Column]:
     """(polarity, figures) conflicts of two texts by their flags."""
     polarity = a["negated"] != b["negated"]
-    for i in range(0, 2 * len(ANTONYMS), 2):
-        ay, an, by, bn = (F.get(x["terms"], F.lit(k)) for x in (a, b) for k in (i, i + 1))
+    for pair in ANTONYMS:
+        ay, an, by, bn = (F.array_contains(x["terms"], term) for x in (a, b) for term in pair)
         polarity |= ~(ay & an) & ~(by & bn) & ((ay & bn) | (an & by))
     apart = lambda k: (F.size(a[k]) > 0) & (F.size(b[k]) > 0) & ~F.arrays_overlap(a[k], b[k])
     return polarity, apart("figures") | apart("days")
@@ -196,8 +198,10 @@ def figure_conflict(a: Column, b: Column) -> Column:
 
 def _flagged(pairs: DataFrame, memories: DataFrame, low: float, high: float) -> DataFrame:
     """Pairs of the band with an active old side, and whether polarity and figures disagree; texts are read once a memory."""
-    flags = stored(memories.select("id", "status", disagreement_flags(F.col("content")).alias("flags")))
-    rows = _both(other_lineage(pairs, memories).filter((F.col("sim") >= low) & (F.col("sim") < high)), flags, ["flags", "status"]).filter("o_status = 'active'")
+    band = stored(pairs.filter((F.col("sim") >= low) & (F.col("sim") < high)))
+    met = band.select(F.explode(F.array("new_id", "old_id")).alias("id")).distinct()
+    flags = stored(memories.join(met, "id", "left_semi").select("id", "status", disagreement_flags(F.col("content")).alias("flags")))
+    rows = _both(other_lineage(band, memories), flags, ["flags", "status"]).filter("o_status = 'active'")
     polarity, figures = flags_conflict(F.col("n_flags"), F.col("o_flags"))
     return rows.withColumns({"polarity": polarity, "figures": figures})
 

@@ -32,7 +32,7 @@ def reach(roots: DataFrame, steps: DataFrame, most_depth: int = MOST_DEPTH) -> D
 
     Cycles end where nothing new is reached.
     """
-    steps = steps.select(F.col("from").alias("__from"), F.col("to").alias("__to")).distinct()
+    steps = stored(steps.select(F.col("from").alias("__from"), F.col("to").alias("__to")).distinct())  # read by every round
     seen = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     frontier, parts = seen, [seen]
     for depth in range(1, most_depth + 1):
@@ -52,7 +52,7 @@ def reach(roots: DataFrame, steps: DataFrame, most_depth: int = MOST_DEPTH) -> D
 
 def reached(starts: DataFrame, steps: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """(node) of all that one step or more (from, to) lead to from any start (column node): a frontier of nodes alone."""
-    steps = steps.select(F.col("from").alias("node"), F.col("to").alias("__to")).distinct()
+    steps = stored(steps.select(F.col("from").alias("node"), F.col("to").alias("__to")).distinct())  # read by every round
     frontier, parts = starts.select("node").distinct(), []
     for _ in range(most_depth):
         new = frontier.join(steps, "node").select(F.col("__to").alias("node")).distinct()
