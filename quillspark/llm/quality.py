@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ._shared import CHUNK_BYTES, WHITE, give_back, row_pieces, text_slices, xxh64_slices
 
@@ -201,7 +201,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
     learn = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.avg(label).alias("share"))
     learn = learn.filter((F.col("share") != 0.5) & F.col("__id").isNotNull() & ~_held_out(F.col("__id")))
     chosen = learn.select("__id", (F.col("share") > 0.5).cast("int").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y")
+    return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id").groupBy("__id", "y").agg(F.min("t").alias("t")).select("t", "y")
 
 
 def _held_out(id_col):
@@ -229,16 +229,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), 2 * DIMENSIONS).astype(float)
     network = fit_network(x, np.array([r["y"] for r in rows]))
     net = spark.sparkContext.broadcast(network.__dict__)
-    added = "held_out boolean, score double, predicted int"
-    names = [f.split()[0] for f in added.split(", ")]
-    columns = [c for c in docs.columns if c not in names]
-    read = docs.select(*columns, _held_out(F.col(id_col)).alias("held_out"), F.col(text).alias("__t"))
+    columns = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
-    def run(batches):
+    def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Network(**net.value)
-        for batch in batches:
-            score = np.concatenate([model.score(_pooled(batch.column(batch.num_columns - 1).slice(i, 2000), sent.value)) for i in range(0, max(1, batch.num_rows), 2000)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*columns, *names])
+        for texts in parts:
+            yield pa.array(np.concatenate([np.zeros(0), *(model.score(_pooled(texts.slice(i, 2000), sent.value)) for i in range(0, len(texts), 2000))]))
         give_back()
 
-    return read.mapInArrow(run, StructType([*read.schema.fields[:-1], *StructType.fromDDL("score double, predicted int").fields]))
+    # only texts go to Python and only scores come back; not deterministic, so that no filter makes the plan score twice
+    score = F.arrow_udf(scores, "double").asNondeterministic()
+    scored = docs.select(*columns, _held_out(F.col(id_col)).alias("held_out"), score(F.col(text)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
