@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damaged, repair_conversations
 from .decontaminate import scan_contamination
 from .divergence import source_divergence
 from .embedding_dedup import embedding_links
@@ -89,6 +90,11 @@ def op10_decontaminate_ac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_conversation_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    return repair_conversations(damaged(_read(spark, sf_dir, "conversations")), copies=F.col("copies"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of every source's words from its language and the other sources."""
     return source_divergence(_read(spark, sf_dir, "documents").select("text", "lang", "source"))
@@ -103,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, folder of tables)."""
-    listed = [op1_shard_kk, op2_embedding_hnsw, op3_simhash_gray, op4_quality_ri, op5_mix_pivotal, op6_pack_bfd, op7_lines_minhash, op8_url_bloom, op9_substring_seeds, op10_decontaminate_ac, op13_divergence, pipeline]
+    listed = [op1_shard_kk, op2_embedding_hnsw, op3_simhash_gray, op4_quality_ri, op5_mix_pivotal, op6_pack_bfd, op7_lines_minhash, op8_url_bloom, op9_substring_seeds, op10_decontaminate_ac, op12_conversation_dp, op13_divergence, pipeline]
     return {f.__name__: f for f in listed}
 
 
