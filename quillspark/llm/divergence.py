@@ -20,8 +20,8 @@ BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 #: Bytes of text that are counted in one step.
 STEP_BYTES = 4 * CHUNK_BYTES
-#: Counts of one chunk (terms times sources), and pairs of sources of one unit of work.
-CELLS, PAIRS = 1 << 20, 1 << 20
+#: Terms, and counts (terms times sources), of one chunk, and pairs of sources of one unit of work.
+TERMS, CELLS, PAIRS = 2048, 1 << 20, 1 << 20
 #: Shares are whole parts of this many.
 SCALE = 1_000_000_000
 
@@ -139,7 +139,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     Null texts, languages and sources count as empty strings, so they form groups like any other; a group without terms has
     its pairs; no rows give no rows. Each row is a document, repeated rows too. Other columns are not read.
 
-    Work is dealt by chunks of a language's kept terms (by hash), as many terms as make ``CELLS`` counts; a chunk meets all
+    Work is dealt by chunks of a language's kept terms (by hash), ``TERMS`` of them, or as many as make ``CELLS`` counts; a chunk meets all
     sources of its language, and hands on sums for each pair and ``ranks`` terms a source. So no task holds a
     language, a source or a vocabulary; counts are combined where texts are read, before anything is shuffled.
     """
@@ -150,7 +150,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("head").alias("kept"))
     groups = saved(read.groupBy("lang", "source").agg(F.count("*").alias("rows")).join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept")))
     langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("kept").alias("kept"), F.count("*").alias("sources"))
-    wide = F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.col("sources")))
+    wide = F.greatest(F.lit(1), F.least(F.lit(TERMS), F.floor(F.lit(CELLS) / F.col("sources"))))
     langs = saved(langs.withColumns({"chunks": F.greatest(F.lit(1), F.ceil(F.col("kept") / wide)), "blocks": F.ceil(F.col("sources") / F.greatest(F.lit(1), F.floor(F.lit(PAIRS) / F.col("sources"))))}))
     spread = hot_join(counts.drop("head"), langs.select("lang", "chunks", "blocks"), ["lang"])
     spread = spread.select("lang", F.pmod(F.xxhash64("term"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", "term", "n")
