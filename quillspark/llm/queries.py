@@ -18,6 +18,7 @@ from .quality import score_quality
 from .sharding import shard_by_bytes
 from .simhash import simhash_classes
 from .substring import remove_repeats
+from .suffix_array import remove_repeated_bytes
 from .url_filter import UrlRule, apply_url_rules, rules_table
 
 
@@ -90,6 +91,12 @@ def op10_decontaminate_ac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_suffix_pfp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in strings of 200 that stand elsewhere too."""
+    found = remove_repeated_bytes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_conversation_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of every damaged conversation."""
     return repair_conversations(damaged(_read(spark, sf_dir, "conversations")), copies=F.col("copies"))
@@ -109,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, folder of tables)."""
-    listed = [op1_shard_kk, op2_embedding_hnsw, op3_simhash_gray, op4_quality_ri, op5_mix_pivotal, op6_pack_bfd, op7_lines_minhash, op8_url_bloom, op9_substring_seeds, op10_decontaminate_ac, op12_conversation_dp, op13_divergence, pipeline]
+    listed = [op1_shard_kk, op2_embedding_hnsw, op3_simhash_gray, op4_quality_ri, op5_mix_pivotal, op6_pack_bfd, op7_lines_minhash, op8_url_bloom, op9_substring_seeds, op10_decontaminate_ac, op11_suffix_pfp, op12_conversation_dp, op13_divergence, pipeline]
     return {f.__name__: f for f in listed}
 
 
