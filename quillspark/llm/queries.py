@@ -181,6 +181,18 @@ FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT r, p, md5(substr(x, 2 * p - 1, 400)) AS gram FROM d, unnest(generate_series(1, CAST(length(x) // 2 - 199 AS BIGINT))) AS t(p)),
+again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY gram) AS n FROM g) WHERE n > 1),
+edge AS (SELECT r, p, CASE WHEN lag(p) OVER w >= p - 200 THEN 0 ELSE 1 END AS new FROM again WINDOW w AS (PARTITION BY r ORDER BY p)),
+run AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM edge) GROUP BY r, k),
+part AS (SELECT r, a, b, lag(b, 1, 1) OVER (PARTITION BY r ORDER BY a) AS before FROM run),
+kept AS (SELECT d.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, CAST(2 * before - 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(x), CAST(2 * max(b) - 1 AS BIGINT)) AS left_ FROM part JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 _OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -210,4 +222,4 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses; the others are tested against brute force."""
-    return {"op2_embedding_hnsw": _OP2, "op8_url_bloom": _OP8, "op9_substring_seeds": _OP9, "op10_decontaminate_ac": _OP10, "op13_divergence": _OP13}
+    return {"op2_embedding_hnsw": _OP2, "op8_url_bloom": _OP8, "op9_substring_seeds": _OP9, "op10_decontaminate_ac": _OP10, "op11_suffix_pfp": _OP11, "op13_divergence": _OP13}
