@@ -27,8 +27,9 @@ from .substring import REMEMBERED, _copy_key, bitmap, gram_hashes, has, sliding_
 
 #: Bytes of a rolling hash; bytes of a trigger, and bytes of text for each trigger.
 GRAM, TRIGGER, SPARSE = 48, 8, 32
-#: Bytes that are ordered at once. Anchors with more occurrences are hot: less than this many have room in it.
-ORDERED_BYTES, HOT_ANCHOR = 2 << 20, 6000
+#: Bytes of text that are hashed at once, and of contexts that are ordered at once. Anchors with more occurrences are hot:
+#: fewer have room in it.
+STEP_BYTES, ORDERED_BYTES, HOT_ANCHOR = CHUNK_BYTES // 2, 1 << 20, 6000
 
 
 def _ranked(*keys: np.ndarray) -> np.ndarray:
@@ -138,10 +139,10 @@ def _windows(texts: pa.Array, length: int):
     One entry of row, place (its first byte in the row), least (its anchor) and at (its index in ``bytes``) for each window;
     ``grams`` are the hashes at all places. Very long texts come in pieces.
     """
-    for first, data, offsets in text_slices(texts):
+    for first, data, offsets in text_slices(texts, STEP_BYTES):
         size = int(offsets[-1])
-        if len(offsets) == 2 and size > CHUNK_BYTES:
-            parts = [(lo, data[lo : min(size, lo + CHUNK_BYTES + length - 1) + 8]) for lo in range(0, size - length + 1, CHUNK_BYTES)]
+        if len(offsets) == 2 and size > STEP_BYTES:
+            parts = [(lo, data[lo : min(size, lo + STEP_BYTES + length - 1) + 8]) for lo in range(0, size - length + 1, STEP_BYTES)]
         else:
             parts = [(0, data)]
         for before, piece in parts:
@@ -186,15 +187,17 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, id_col: str, text: str, l
     counted = saved(read.mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     some, hot = (context.broadcast(bitmap(counted.filter(cond).select("anchor"))) for cond in ("n > 1", f"n > {HOT_ANCHOR}"))
     widest = length - GRAM + 1
-    sent = StructType([*StructType.fromDDL("anchor long").fields, *known, *StructType.fromDDL("start long, number int, context binary, one long, two long").fields])
+    sent = StructType([*StructType.fromDDL("anchor long").fields, *known, *StructType.fromDDL("start long, number int, context binary, inner boolean, one long, two long").fields])
 
     def occur(batches):
         met: dict[int, tuple | None] = {}
+        seen: dict[tuple[int, int], tuple | None] = {}
         for batch in batches:
             batch = kept(batch)
             for row, place, least, at, grams, data in _windows(batch.column(2), length):
+                fresh = _starts(row, least, at, grams)
                 good = np.flatnonzero(has(some.value, least))
-                row, place, least, at = row[good], place[good], least[good], at[good]
+                row, place, least, at, fresh = row[good], place[good], least[good], at[good], fresh[good]
                 if not len(at):
                     continue
                 cut = np.ones(len(at), bool)
@@ -204,11 +207,20 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, id_col: str, text: str, l
                 number = np.diff(np.append(begin, len(at)))
                 ids, hs = batch.column(0).take(pa.array(row[begin])).to_pylist(), batch.column(1).take(pa.array(row[begin])).to_pylist()
                 heated = has(hot.value, least[begin])
+                twice = (np.add.reduceat(fresh, begin) - fresh[begin] > 0).tolist()
                 one = two = None
-                keys, i_d, h, start, many, bodies, a, b = ([] for _ in range(8))
+                keys, i_d, h, start, many, bodies, inner, a, b = ([] for _ in range(9))
 
-                def out(i, k, doc, s, n, body=None, x=None, y=None):
-                    keys.append(k), i_d.append(doc[0]), h.append(doc[1]), start.append(s), many.append(n), bodies.append(body), a.append(x), b.append(y)
+                def out(k, doc, s, n, body=None, more=None, x=None, y=None):
+                    keys.append(k), i_d.append(doc[0]), h.append(doc[1]), start.append(s), many.append(n), bodies.append(body), inner.append(more), a.append(x), b.append(y)
+
+                def repeat(windows):
+                    """Windows (document, place) that are known to repeat, those side by side as one."""
+                    lo = 0
+                    for hi in range(1, len(windows) + 1):
+                        if hi == len(windows) or windows[hi] != (*windows[hi - 1][:2], windows[hi - 1][2] + 1):
+                            out(hash(windows[lo]) & 0x7FFFFFFFFFFFFFFF, windows[lo][:2], windows[lo][2], hi - lo)
+                            lo = hi
 
                 for i, (d, s, n, p, anchor) in enumerate(zip(zip(ids, hs), at[begin].tolist(), number.tolist(), place[begin].tolist(), least[begin].view(np.int64).tolist())):
                     body = data[s : s + n + length - 1].tobytes()
@@ -216,37 +228,60 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, id_col: str, text: str, l
                     if name in met:  # this task has sent these bytes: both places repeat, nothing more to find out
                         before = met[name]
                         if before is not None:
-                            out(i, hash(before) & 0x7FFFFFFFFFFFFFFF, before[:2], before[2], n)
+                            out(hash(before) & 0x7FFFFFFFFFFFFFFF, before[:2], before[2], n)
                             met[name] = None
-                        out(i, hash((d, p)) & 0x7FFFFFFFFFFFFFFF, d, p, n)
+                        out(hash((d, p)) & 0x7FFFFFFFFFFFFFFF, d, p, n)
                         continue
                     if len(met) >= REMEMBERED:
                         met.clear()
                     met[name] = (*d, p)
                     if not heated[i]:
-                        out(i, anchor, d, p, n, body)
+                        out(anchor, d, p, n, body, twice[i])
                         continue
                     if one is None:
                         bytes_ = data[:-8].astype(np.uint64) + np.uint64(1)
                         one, two = gram_hashes(bytes_, length).view(np.int64), gram_hashes(mixed(bytes_), length).view(np.int64)
-                    for o in range(n):
-                        out(i, int(one[s + o]) & 0x7FFFFFFFFFFFFFFF, d, p + o, 1, None, int(one[s + o]), int(two[s + o]))
+                    first_ones, mine = [], []
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    for o, window in enumerate(zip(one[s : s + n].tolist(), two[s : s + n].tolist())):
+                        if window in seen:
+                            if seen[window] is not None:
+                                first_ones.append(seen[window])
+                                seen[window] = None
+                            mine.append((*d, p + o))
+                        else:
+                            seen[window] = (*d, p + o)
+                            out(window[0] & 0x7FFFFFFFFFFFFFFF, d, p + o, 1, None, None, *window)
+                    repeat(first_ones)
+                    repeat(mine)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(i_d, batch.schema.field(0).type), pa.array(h, pa.int64()), pa.array(start, pa.int64()), pa.array(many, pa.int32()), pa.array(bodies, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=sent.names
+                    [pa.array(keys, pa.int64()), pa.array(i_d, batch.schema.field(0).type), pa.array(h, pa.int64()), pa.array(start, pa.int64()), pa.array(many, pa.int32()), pa.array(bodies, pa.binary()), pa.array(inner, pa.bool_()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=sent.names
                 )
         give_back()
 
     found = StructType([*known, *StructType.fromDDL("start long, stop long, one long, two long").fields])
 
     def settled(rows: pa.RecordBatch) -> pa.RecordBatch:
-        """Spans of a batch of whole anchors."""
+        """Spans of a batch of whole anchors.
+
+        An anchor's only context is not ordered, unless the anchor is in it more than once.
+        """
         encoded = rows.column("context").dictionary_encode()
         texts, which = encoded.dictionary, np.asarray(encoded.indices)
-        data = np.frombuffer(b"".join(texts.to_pylist()) + bytes(8), np.uint8)
-        size = np.asarray(pc.binary_length(texts)).astype(np.int64)
-        offsets = np.append(0, np.cumsum(size))
-        number = size - length + 1
-        again = np.repeat(np.bincount(which) > 1, number) | repeated_places(data, offsets, number, length)
+        anchor = np.empty(len(texts), np.int64)
+        anchor[which] = np.asarray(rows.column("anchor"))
+        several = np.zeros(len(texts), bool)
+        several[which] = np.asarray(rows.column("inner"))
+        _, of, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        several |= count[of] > 1
+        number = np.asarray(pc.binary_length(texts)).astype(np.int64) - length + 1
+        again = np.repeat(np.bincount(which) > 1, number)
+        if several.any():
+            some = texts.filter(pa.array(several))
+            data = np.frombuffer(b"".join(some.to_pylist()) + bytes(8), np.uint8)
+            offsets = np.append(0, np.cumsum(number[several] + length - 1))
+            again[np.repeat(several, number)] |= repeated_places(data, offsets, number[several], length)
         base = np.cumsum(number) - number
         begins, ends = again.copy(), again.copy()
         begins[1:] &= ~again[:-1]

@@ -59,7 +59,7 @@ def test_removed_bytes_equal_all_windows(spark, monkeypatch, hot, ordered):
 
 
 def test_pieces_of_very_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(S, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(S, "STEP_BYTES", 1000)
     draw = random.Random(9)
     body = "".join(draw.choices("abcdefgh ", k=9000))
     rows = [(1, body), (2, "x" + body[500:4200] + "".join(draw.choices("abcdefgh ", k=3000)) + body[8000:]), (3, body[990:1195])]
