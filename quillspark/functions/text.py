@@ -164,34 +164,50 @@ def _kept_words(vocabulary: list[str]) -> pd.Series:
     return words.mask((words == "") | words.isin(STOP_WORDS))
 
 
+def counted_words(texts: pa.Array):
+    """Yields (words, row, word, tf, lengths) for slices of folded texts that follow each other.
+
+    ``words`` are the slice's distinct kept tokens (``kept_tokens``); one entry of row, word (both numbers within the
+    slice) and tf for each word of each row, in order of rows; ``lengths`` are all rows' numbers of kept tokens.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + COUNT_CHARS, "right")))
+        part, at = texts.slice(at, end - at), end
+        lists = pc.split_pattern_regex(pc.fill_null(part, ""), r"[^\p{L}\p{N}_']+")
+        coded = pc.list_flatten(lists).dictionary_encode()
+        row = np.repeat(np.arange(len(part)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        code, words = pd.factorize(_kept_words(coded.dictionary.to_pylist()))
+        code = code[np.asarray(coded.indices)] if len(code) else np.zeros(0, np.int64)
+        row, code = row[code >= 0], code[code >= 0]
+        wide = max(1, len(words))
+        key, tf = np.unique(row * wide + code, return_counts=True)
+        yield list(words), key // wide, key % wide, tf, np.bincount(row, minlength=len(part))
+
+
+def folded_text(text: Column) -> Column:
+    """Text in lower case, with sharp s as ss; null is empty."""
+    return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
+
+
 def word_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys..., words, tfs, length): the distinct kept tokens (``kept_tokens``) of each row's text, how often each stands there, all.
 
     Words are split and counted in Arrow batches, and their rules applied to each distinct word of a batch once; one row
     in, one row out, nothing is shuffled.
     """
-    folded = F.replace(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("ß"), F.lit("ss"))
-    read = rows.select(*keys, folded.alias("__t"))
+    read = rows.select(*keys, folded_text(F.col(text)).alias("__t"))
     schema = StructType([*read.schema.fields[:-1], *StructType.fromDDL("words array<string>, tfs array<int>, length int").fields])
 
     def count(batches):
         for batch in batches:
-            sizes = np.cumsum(pc.utf8_length(batch.column(len(keys))).to_numpy(zero_copy_only=False))
             at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + COUNT_CHARS, "right")))
-                part, at = batch.slice(at, end - at), end
-                lists = pc.split_pattern_regex(part.column(len(keys)), r"[^\p{L}\p{N}_']+")
-                coded = pc.list_flatten(lists).dictionary_encode()
-                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                code, words = pd.factorize(_kept_words(coded.dictionary.to_pylist()))
-                code = code[np.asarray(coded.indices)] if len(code) else np.zeros(0, np.int64)
-                row, code = row[code >= 0], code[code >= 0]
-                wide = max(1, len(words))
-                key, tf = np.unique(row * wide + code, return_counts=True)
-                ends = pa.array(np.searchsorted(key // wide, np.arange(part.num_rows + 1)).astype(np.int32))
-                named = pa.array(list(words), pa.string()).take(pa.array(key % wide))
-                made = [pa.ListArray.from_arrays(ends, named), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32))), pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made], names=schema.names)
+            for words, row, word, tf, lengths in counted_words(batch.column(len(keys))):
+                ends = pa.array(np.searchsorted(row, np.arange(len(lengths) + 1)).astype(np.int32))
+                named = pa.array(words, pa.string()).take(pa.array(word))
+                made = [pa.ListArray.from_arrays(ends, named), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32))), pa.array(lengths.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(lengths)) for c in batch.columns[: len(keys)]), *made], names=schema.names)
+                at += len(lengths)
 
     return read.mapInArrow(count, schema)

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import analyze, stem, word_counts
 from ..storage import stored
+from .lexical_index import LexicalIndex
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 
@@ -97,30 +98,38 @@ def score_fusion(arms: dict[str, tuple[DataFrame, float]], digits: int = 6) -> D
     return ranked(parts.groupBy("qid", "memory_id").agg(F.round(F.sum("part") / total, digits).alias("score")))
 
 
-def heuristic_rerank(pool: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+def heuristic_rerank(pool: DataFrame, queries: DataFrame, digits: int = 6, index: LexicalIndex | None = None) -> DataFrame:
     """Scores replaced by term evidence within the pool; ``pool`` has qid, memory_id, score, text, bounded per query.
 
     Sum of idf times saturated frequency, by coverage of the query's terms, more where its analysed phrase occurs, plus a
     share of the prior score. Rows without words score 0; a query of stop words keeps the order, ``reranked`` false.
+
+    Where the pool's texts are chunks of an index (``ordinal`` says which), counts are read from its postings; else each text
+    is tokenised once, whatever the number of queries that it is in the pool of. A text is analysed whole only if it
+    has all terms of a query, as only then it can hold the phrase.
     """
-    q = queries.select("qid", F.array_distinct(analyze(F.col("text"))).alias("terms"), F.array_join(analyze(F.col("text")), " ").alias("phrase"))
-    # each text is tokenised once, whatever the number of queries that it is in the pool of, and only distinct words are stemmed
-    texts = pool.select("memory_id", "text").dropDuplicates(["memory_id"])
-    index = stored(word_counts(texts, ["memory_id"], "text"))
-    entries = index.select("memory_id", F.inline(F.arrays_zip("words", "tfs")))
-    terms = F.broadcast(q.select("qid", F.explode("terms").alias("i")))
-    known = entries.select("words").distinct().select("words", stem(F.col("words")).alias("i")).join(F.broadcast(q.select(F.explode("terms").alias("i")).distinct()), "i", "left_semi")
-    held = entries.join(known, "words").groupBy("memory_id", "i").agg(F.sum("tfs").alias("c"))
+    q = stored(queries.select("qid", F.array_distinct(analyze(F.col("text"))).alias("terms"), F.array_join(analyze(F.col("text")), " ").alias("phrase")))
+    asked = q.select("qid", F.explode("terms").alias("i"))
+    if index is not None:
+        found = stored(index.term_counts(pool, asked.select(F.col("i").alias("term"))))
+        held = found.filter("term is not null").select("memory_id", F.col("term").alias("i"), F.col("tf").alias("c"))
+        lengths = found.filter("term is null").select("memory_id", F.col("tf").alias("length"))
+    else:
+        texts = pool.select("memory_id", "text").dropDuplicates(["memory_id"])
+        counted = stored(word_counts(texts, ["memory_id"], "text"))
+        entries = counted.select("memory_id", F.inline(F.arrays_zip("words", "tfs")))
+        known = entries.select("words").distinct().select("words", stem(F.col("words")).alias("i")).join(asked.select("i").distinct(), "i", "left_semi")
+        held = entries.join(known, "words").groupBy("memory_id", "i").agg(F.sum("tfs").alias("c"))
+        lengths = counted.select("memory_id", "length")
     w = Window.partitionBy("qid")
-    rows = pool.select("qid", "memory_id", "score", "text").withColumn("n", F.count("*").over(w)).join(index.select("memory_id", "length"), "memory_id").join(F.broadcast(q), "qid")
-    spread = rows.select("qid", "memory_id", "n").join(held, "memory_id").join(terms, ["qid", "i"])
+    rows = pool.select("qid", "memory_id", "score", "text").withColumn("n", F.count("*").over(w)).join(lengths, "memory_id").join(q, "qid")
+    spread = rows.select("qid", "memory_id", "n").join(held, "memory_id").join(asked, ["qid", "i"])
     df = spread.groupBy("qid", "i").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") + 1) / (F.col("df") + 1))
     evidence = spread.join(df, ["qid", "i"]).groupBy("qid", "memory_id").agg(F.sum(idf * F.col("c") / (F.col("c") + RERANK_K)).alias("base"), F.count("*").alias("hit"))
     joined = rows.join(evidence, ["qid", "memory_id"], "left").fillna({"base": 0.0, "hit": 0})
     has = F.size("terms") > 0
     score = F.col("base") * (0.5 + 0.5 * F.col("hit") / F.size("terms"))
-    # only a text with all terms of a query can hold its phrase
     phrase = F.when(F.col("hit") == F.size("terms"), F.array_join(analyze(F.col("text")), " ").contains(F.col("phrase"))).otherwise(False)
     score = score * F.when(phrase, PHRASE_BONUS).otherwise(1.0) + PRIOR_SHARE * F.col("score")
     new = F.when(~has, F.col("score")).when(F.col("length") == 0, 0.0).otherwise(F.round(score, digits))

@@ -12,16 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import analyze_query, stem, word_counts
 from ..storage import stored
+from .lexical_index import temporary_index
 
 #: Queries whose vectors are sent to every task at once; more go block by block.
 MOST_QUERIES = 10_000
-#: Queries, and chunks, of one matrix product of the lexical arm.
-QUERIES_AT_ONCE, CHUNKS_AT_ONCE = 256, 512
-
-K1, B = 1.2, 0.75
-
 
 def top_per_query(rows: DataFrame, k: int, score: str = "score", id_col: str = "memory_id", query: str = "qid") -> DataFrame:
     """First ``k`` rows of each query by score, ties by id, with ``rank`` from 1."""
@@ -106,91 +101,13 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int, digits: int | N
     return top_per_query(best_chunk(read.mapInArrow(score, schema)), k)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, term) of the distinct analysed terms of each query text."""
-    return queries.select("qid", F.explode(F.array_distinct(analyze_query(F.col("text")))).alias("term"))
-
-
 def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(qid, memory_id, score, ordinal, rank) of the ``k`` best memories of each query by BM25; any term may match.
 
-    Number of chunks, mean length and document frequencies are those of ``chunks`` as given, so filter them before.
-    Each text is tokenised once, where it is read, into a stored table of its words and their counts, from which all
-    of these are taken. Only its distinct words are stemmed; those that are a query's terms, a table that the batch of
-    queries bounds, go to the tasks. A task scores its chunks against QUERIES_AT_ONCE queries by one matrix product a
-    batch, and passes on only its k best memories of each query.
+    Number of chunks, mean length and document frequencies are those of ``chunks`` as given, so filter them before. The
+    chunks are indexed for this search alone; to ask more than once, keep a ``LexicalIndex`` and give it the filter.
     """
-    terms = stored(query_terms(queries))
-    index = stored(word_counts(chunks.select("memory_id", F.col("ordinal").cast("int").alias("ordinal"), "text"), ["memory_id", "ordinal"], "text"))
-    kind = queries.schema["qid"].dataType
-    schema = StructType([StructField("qid", kind), index.schema["memory_id"], *StructType.fromDDL("score double, ordinal int").fields])
-    number = terms.select("qid").distinct().count()
-    if number > MOST_QUERIES:
-        parts = 2 * -(-number // MOST_QUERIES)
-        block = F.pmod(F.xxhash64("qid"), F.lit(parts))
-        return reduce(DataFrame.union, [_lexical(index, terms.filter(block == i), k, digits, schema) for i in range(parts)])
-    return _lexical(index, terms, k, digits, schema)
-
-
-def _term_counts(batch: pa.RecordBatch, word_at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, tf) of the known words of a batch of the index."""
-    coded = pc.list_flatten(batch.column("words")).dictionary_encode()
-    term = np.array([word_at.get(w, -1) for w in coded.dictionary.to_pylist()] or [-1], np.int64)[np.asarray(coded.indices)]
-    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("words")).to_numpy())
-    some = term >= 0
-    return row[some], term[some], pc.list_flatten(batch.column("tfs")).to_numpy()[some].astype(float)
-
-
-def _lexical(index: DataFrame, terms: DataFrame, k: int, digits: int, schema: StructType) -> DataFrame:
-    """The search of one bounded block of queries (qid, term) in an index (memory_id, ordinal, words, tfs, length)."""
-    stats = index.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = float(stats["n"]), float(stats["mean"] or 0.0) or 1.0
-    words = index.select(F.explode("words").alias("word")).distinct()
-    known = stored(words.select("word", stem(F.col("word")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi"))
-    pairs = known.collect()
-    place = {t: i for i, t in enumerate(sorted({r["term"] for r in pairs}))}
-    words_sent = index.sparkSession.sparkContext.broadcast({r["word"]: place[r["term"]] for r in pairs})
-
-    def frequencies(batches):
-        total = np.zeros(len(words_sent.value), np.int64)
-        for batch in batches:
-            row, term, _ = _term_counts(batch, words_sent.value)
-            total += np.bincount(np.unique(row * len(total) + term) % max(1, len(total)), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
-
-    df = np.ones(max(1, len(place)))
-    for r in index.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]
-    asked: dict = {}
-    for r in terms.filter(F.col("qid").isNotNull()).collect():
-        if r["term"] in place:
-            asked.setdefault(r["qid"], []).append(place[r["term"]])
-    blocks = [sorted(asked)[i : i + QUERIES_AT_ONCE] for i in range(0, len(asked), QUERIES_AT_ONCE)]
-    sent = index.sparkSession.sparkContext.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), [(b, [asked[q] for q in b]) for b in blocks]))
-    qid_type = to_arrow_type(schema["qid"].dataType)
-
-    def score(batches):
-        word_at = words_sent.value
-        idf, all_asked = sent.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, CHUNKS_AT_ONCE):
-                batch = whole.slice(lo, CHUNKS_AT_ONCE)
-                row, term, tf = _term_counts(batch, word_at)
-                norm = K1 * (1 - B + B * batch.column(4).to_numpy() / mean)
-                for qids, wanted in all_asked:
-                    mine, at = np.unique(np.concatenate([np.array(w) for w in wanted]), return_inverse=True)
-                    local = np.full(len(idf), -1)
-                    local[mine] = np.arange(len(mine))
-                    here = local[term] >= 0
-                    weights = np.zeros((batch.num_rows, len(mine)))
-                    np.add.at(weights, (row[here], local[term[here]]), tf[here])
-                    weights = weights * (K1 + 1) / (weights + norm[:, None]) * idf[mine]
-                    of = np.zeros((len(mine), len(qids)))
-                    of[at, np.repeat(np.arange(len(qids)), [len(w) for w in wanted])] = 1
-                    yield from passed_on(batch.column(0), batch.column(1), np.round((weights @ of).T, digits), qids, k, schema, qid_type, 0.0)
-
-    return top_per_query(best_chunk(index.mapInArrow(score, schema)), k)
+    return temporary_index(chunks).search(queries, k, digits=digits)
 
 
 def neighbours(memories: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 64) -> DataFrame:

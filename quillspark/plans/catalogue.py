@@ -21,6 +21,7 @@ from ..operators import history as H
 from ..operators import ranking as R
 from ..operators import retrieval as S
 from ..operators import synth as Y
+from ..operators.lexical_index import LexicalIndex, kept_index, temporary_index
 from ..sources import fixtures as X
 from ..storage import stored
 from .search import SearchOptions, hybrid_arms, search
@@ -49,6 +50,11 @@ def _chunks(memories: DataFrame) -> DataFrame:
     return memories.select(F.col("id").alias("memory_id"), F.lit(0).alias("ordinal"), F.col("content").alias("text"))
 
 
+def _index(spark: SparkSession, sf: str) -> LexicalIndex:
+    """The kept index of all text memories."""
+    return kept_index(_chunks(X.memories_text(spark, sf)))
+
+
 def filter_memories(spark, sf):
     wanted = P.MemoryFilter(frozenset({"active", "stale"}), frozenset({"episodic"}), frozenset({"quality"}), (("quality", 1),), datetime(2024, 1, 3, tzinfo=UTC), datetime(2024, 12, 31, tzinfo=UTC))
     return X.memories_text(spark, sf).filter(wanted.column()).select("id", "space_id", "status", "kind", "source", _text("occurred_at").alias("occurred_at"))
@@ -91,14 +97,28 @@ def token_estimates(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"), content_hash(F.col("text")).alias("sha"))
 
 
+def _passages(spark, sf):
+    return X.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
 def bm25_topk(spark, sf):
-    found = S.lexical_search(_chunks(X.memories_text(spark, sf)), X.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), 10)
-    return found.select("qid", "memory_id", "score", "rank")
+    return _index(spark, sf).search(_passages(spark, sf), 10).select("qid", "memory_id", "score", "rank")
 
 
 def bm25_filtered_topk(spark, sf):
     rows = X.memories_text(spark, sf).filter(P.MemoryFilter(kinds=frozenset({"episodic"})).column() & (F.col("space_id") == "en"))
-    return S.lexical_search(_chunks(rows), X.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), 10).select("qid", "memory_id", "score", "rank")
+    return _index(spark, sf).search(_passages(spark, sf), 10, within=rows.select(F.col("id").alias("memory_id"))).select("qid", "memory_id", "score", "rank")
+
+
+def bm25_added_batch(spark, sf):
+    """An index in two batches: of three memories one comes with the second, one is replaced by it; a fourth kind is removed."""
+    chunks = _chunks(X.memories_text(spark, sf))
+    first = chunks.filter("memory_id % 3 > 0").withColumn("text", F.when(F.col("memory_id") % 3 == 1, F.reverse("text")).otherwise(F.col("text")))
+    odd = chunks.filter("memory_id % 7 = 0").select((-F.col("memory_id") - 1).alias("memory_id"), "ordinal", "text")
+    index = temporary_index(first.unionByName(odd))
+    index.add(chunks.filter("memory_id % 3 < 2"))
+    index.remove(odd)
+    return index.search(_passages(spark, sf), 10).select("qid", "memory_id", "score", "rank")
 
 
 def vector_topk(spark, sf):
@@ -117,12 +137,12 @@ def best_chunk_per_memory(spark, sf):
 
 def hybrid_topk(spark, sf):
     memories = X.memories_text(spark, sf)
-    return search(memories, _chunks(memories), X.chunks_vec(spark, sf), _questions(spark, sf), SearchOptions(limit=10, use_decay=False)).select("qid", "memory_id", "score", "rank", "source")
+    return search(memories, _chunks(memories), X.chunks_vec(spark, sf), _questions(spark, sf), SearchOptions(limit=10, use_decay=False), index=_index(spark, sf)).select("qid", "memory_id", "score", "rank", "source")
 
 
 def _arms(spark, sf):
     live = X.memories_text(spark, sf).filter("status = 'active'")
-    return hybrid_arms(live, _chunks(live), X.chunks_vec(spark, sf), _questions(spark, sf), 60)
+    return hybrid_arms(live, _chunks(live), X.chunks_vec(spark, sf), _questions(spark, sf), 60, _index(spark, sf))
 
 
 def weighted_fusion(spark, sf):
@@ -133,8 +153,8 @@ def weighted_fusion(spark, sf):
 def heuristic_rerank(spark, sf):
     _, lexical = _arms(spark, sf)
     texts = _chunks(X.memories_text(spark, sf)).select("memory_id", "text")
-    pool = lexical.filter("rank <= 32").join(texts, "memory_id").select("qid", "memory_id", "score", "text")
-    return R.heuristic_rerank(stored(pool), _questions(spark, sf)).select("qid", "memory_id", "prior", "score", "rank")
+    pool = lexical.filter("rank <= 32").join(texts, "memory_id").select("qid", "memory_id", "ordinal", "score", "text")
+    return R.heuristic_rerank(stored(pool), _questions(spark, sf), index=_index(spark, sf)).select("qid", "memory_id", "prior", "score", "rank")
 
 
 def recency_decay(spark, sf):
@@ -452,17 +472,17 @@ def deterministic_embed(spark, sf):
 def search_production(spark, sf):
     memories = X.memories_text(spark, sf)
     options = SearchOptions(limit=10, use_rerank=True, max_per_source=3, question_kind="order", now=datetime(2024, 6, 1, tzinfo=UTC))
-    return search(memories, _chunks(memories), X.chunks_vec(spark, sf), _questions(spark, sf), options)
+    return search(memories, _chunks(memories), X.chunks_vec(spark, sf), _questions(spark, sf), options, index=_index(spark, sf))
 
 
 def entity_bridge(spark, sf):
     memories = X.memories_text(spark, sf)
     options = SearchOptions(limit=10, use_entities=True, use_decay=False)
-    return search(memories, _chunks(memories), X.chunks_vec(spark, sf), _questions(spark, sf), options).select("qid", "memory_id", "score", "rank")
+    return search(memories, _chunks(memories), X.chunks_vec(spark, sf), _questions(spark, sf), options, index=_index(spark, sf)).select("qid", "memory_id", "score", "rank")
 
 
 ALL = [
-    filter_memories, tenant_usage, quota_flags, keyset_page, exact_dedupe, merge_duplicates, token_counts, analyzed_terms, token_estimates, bm25_topk, bm25_filtered_topk,
+    filter_memories, tenant_usage, quota_flags, keyset_page, exact_dedupe, merge_duplicates, token_counts, analyzed_terms, token_estimates, bm25_topk, bm25_filtered_topk, bm25_added_batch,
     vector_topk, vector_topk_batch, best_chunk_per_memory, hybrid_topk, weighted_fusion, heuristic_rerank, recency_decay, access_boost, temporal_boost, source_cap,
     kind_allocation, evidence_budget, mmr_topk, confidence_grade, conflict_pairs, suppress_superseded, lineage_head, reachable_superseders, bridge_on_delete,
     stale_propagation, dependency_closure, graph_profile, node_degrees, as_of_snapshot, as_of_join, scd2_history, erase_report, near_duplicate_pairs,

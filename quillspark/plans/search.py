@@ -13,6 +13,7 @@ from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import retrieval as S
 from ..operators.filters import MemoryFilter
+from ..operators.lexical_index import LexicalIndex
 from ..storage import stored
 
 
@@ -41,17 +42,20 @@ class SearchOptions:
     now: datetime | None = None
 
 
-def hybrid_arms(live: DataFrame, chunks: DataFrame, vectors: DataFrame, questions: DataFrame, fetch: int) -> tuple[DataFrame, DataFrame]:
+def hybrid_arms(live: DataFrame, chunks: DataFrame, vectors: DataFrame, questions: DataFrame, fetch: int, index: LexicalIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """Vector and lexical arm over the memories that pass the filter; the filter comes before the scores.
 
+    With an index of all chunks the lexical arm reads its postings, and the ids that pass; else it indexes ``chunks``.
+
     Both are at most ``fetch`` rows a question and are read by several stages, so they are written once.
     """
     ids = live.select(F.col("id").alias("memory_id"))
     vector = S.vector_search(vectors.join(ids, "memory_id", "left_semi"), questions.select("qid", "embedding"), fetch)
-    return stored(vector), stored(S.lexical_search(chunks, questions.select("qid", "text"), fetch))
+    asked = questions.select("qid", "text")
+    return stored(vector), stored(S.lexical_search(chunks, asked, fetch) if index is None else index.search(asked, fetch, within=ids))
 
 
-def entity_arm(chunks: DataFrame, fused: DataFrame, questions: DataFrame, fetch: int, limit: int, budget: int = 6, seeds: int = 8) -> DataFrame:
+def entity_arm(chunks: DataFrame, fused: DataFrame, questions: DataFrame, fetch: int, limit: int, budget: int = 6, seeds: int = 8, index: LexicalIndex | None = None) -> DataFrame:
     """(qid, memory_id, score, rank) of memories that share a salient name with the first fused ones and aren't fused yet.
 
     Each name of a question is one lexical lookup; all lookups are one batch. A memory counts by its best lookup.
@@ -59,19 +63,20 @@ def entity_arm(chunks: DataFrame, fused: DataFrame, questions: DataFrame, fetch:
     texts = chunks.groupBy("memory_id").agg(F.min_by("text", "ordinal").alias("text"))
     top = fused.filter(F.col("rank") <= seeds).select("qid", "memory_id").join(texts, "memory_id").select("qid", "text")
     found = stored(salient(top, questions.select("qid", "text"), budget).withColumn("key", F.concat_ws("#", F.col("qid").cast("string"), "entity")))
-    hits = S.lexical_search(chunks, found.select(F.col("key").alias("qid"), F.col("entity").alias("text")), max(fetch // 2, limit))
+    named = found.select(F.col("key").alias("qid"), F.col("entity").alias("text"))
+    hits = S.lexical_search(chunks, named, max(fetch // 2, limit)) if index is None else index.search(named, max(fetch // 2, limit), within=chunks.select("memory_id"))
     best = hits.withColumnRenamed("qid", "key").join(found.select("key", "qid"), "key").groupBy("qid", "memory_id").agg(F.max("score").alias("score"))
     return R.ranked(best.join(fused.select("qid", "memory_id"), ["qid", "memory_id"], "left_anti"))
 
 
-def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions: DataFrame, options: SearchOptions, edges: DataFrame | None = None) -> DataFrame:
+def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions: DataFrame, options: SearchOptions, edges: DataFrame | None = None, index: LexicalIndex | None = None) -> DataFrame:
     """(qid, memory_id, score, rank, vector_score, lexical_score, source, kind, status, explain) of each question's results.
 
     Order: arms, rank fusion with the weights of the question kind, names as a third arm, pool, rerank, window of ``questions.start``/``end``
     if there, decay, suppression of what a result supersedes, source cap, kind allocation, diversification, cut, floor.
 
     With a column ``kind`` in ``questions`` each question has the weights, limit and allocation of its own kind;
-    otherwise all have those of ``options.question_kind``. A batch of questions is bounded, so it is sent to the rows.
+    otherwise all have those of ``options.question_kind``. ``index`` is a kept index of all chunks.
     """
     own = "kind" in questions.columns
     live = memories.filter(options.filter.column())
@@ -81,7 +86,7 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
     small = S.candidate_sizes(options.limit, False)
     few = lambda wide, narrow: F.when(F.col("__kind") == "list_all", wide).otherwise(narrow)
     ids = live.select(F.col("id").alias("memory_id"))
-    vector, lexical = hybrid_arms(live, chunks.join(ids, "memory_id", "left_semi"), vectors, questions, fetch)
+    vector, lexical = hybrid_arms(live, chunks.join(ids, "memory_id", "left_semi"), vectors, questions, fetch, index)
     wv, wl, k = R.INTENT_WEIGHTS[options.question_kind] if options.tune_by_intent else (1.0, 1.0, options.rrf_k)
     if own and options.tune_by_intent:
         wv = wl = 1.0  # each question's kind weighs below
@@ -89,19 +94,19 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
     fuse = (lambda a: R.intent_fusion(a, kinds)) if own and options.tune_by_intent else (lambda a: R.rank_fusion(a, k))
     fused = fuse(arms)
     if options.use_entities and options.entity_budget > 0:
-        third = entity_arm(chunks.join(ids, "memory_id", "left_semi"), stored(fused), questions, fetch, limit, options.entity_budget)
+        third = entity_arm(chunks.join(ids, "memory_id", "left_semi"), stored(fused), questions, fetch, limit, options.entity_budget, index=index)
         fused = fuse(arms | {"entity": (stored(third), options.entity_weight)})
     why = F.transform(F.map_entries("ranks"), lambda e: F.concat(e["key"], F.lit(" rank "), e["value"].cast("string")))
     named = kinds.withColumnRenamed("kind", "__kind") if own else None
     inside = F.col("rank") <= (few(pool_size, small[2]) if own else pool_size)
-    pool = (fused.join(F.broadcast(named), "qid") if own else fused).filter(inside).select("qid", "memory_id", "score", F.concat(why, F.array(F.concat(F.lit("fused "), F.col("score").cast("string")))).alias("explain"))
+    pool = (fused.join(named, "qid") if own else fused).filter(inside).select("qid", "memory_id", "score", F.concat(why, F.array(F.concat(F.lit("fused "), F.col("score").cast("string")))).alias("explain"))
     pool = pool.join(vector.select("qid", "memory_id", F.col("score").alias("vector_score")), ["qid", "memory_id"], "left")
     pool = pool.join(lexical.select("qid", "memory_id", F.col("score").alias("lexical_score")), ["qid", "memory_id"], "left")
     about = live.select(F.col("id").alias("memory_id"), "source", "kind", "status", "occurred_at")
     rows = pool.join(about, "memory_id")
     if options.use_rerank:
-        texts = chunks.groupBy("memory_id").agg(F.min_by("text", "ordinal").alias("text"))
-        new = R.heuristic_rerank(stored(pool.join(texts, "memory_id").select("qid", "memory_id", "score", "text")), questions)
+        texts = chunks.groupBy("memory_id").agg(F.min_by("text", "ordinal").alias("text"), F.min("ordinal").alias("ordinal"))
+        new = R.heuristic_rerank(stored(pool.join(texts, "memory_id").select("qid", "memory_id", "score", "text", "ordinal")), questions, index=index)
         rows = rows.drop("score").join(new.select("qid", "memory_id", "score"), ["qid", "memory_id"])
     if "start" in questions.columns:
         rows = rows.join(questions.select("qid", "start", "end"), "qid")
@@ -113,7 +118,7 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
         rows = G.suppress_superseded(rows, edges)
     rows = R.source_cap(rows, options.max_per_source)
     if own:
-        rows = rows.join(F.broadcast(named), "qid")
+        rows = rows.join(named, "qid")
     if options.route_by_kind:
         rows = R.kind_allocation_each(rows, few(limit, small[0]), F.col("__kind")) if own else R.kind_allocation(rows, limit, options.question_kind)
     if options.use_mmr:
