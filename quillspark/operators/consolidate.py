@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import content_hash
 from ..storage import stored
-from .retrieval import MOST_QUERIES
-
-#: Vectors that one matrix product compares with a block of new ones.
-OLD_AT_ONCE = 512
+from .bands import similar_pairs  # noqa: F401  the join that the rules below stand on
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 
@@ -68,46 +58,6 @@ def merge_duplicates(rows: DataFrame, by: list[str], order: str = "id") -> DataF
     return merged.join(tags, [*by, "content_sha256"], "left")
 
 
-def similar_pairs(new: DataFrame, old: DataFrame, low: float, high: float | None, digits: int = 9) -> DataFrame:
-    """(new_id, old_id, sim) of vectors with cosine in [low, high), or from ``low`` up where ``high`` is None; another id each.
-
-    ``new`` goes to the tasks in blocks of MOST_QUERIES vectors; a task compares a batch of ``old`` with a block by one
-    matrix product and gives only the pairs in the band. Vectors of other lengths, and null ones, give none; a zero
-    vector has cosine 0. Both sides' ids have one type.
-    """
-    asked = new.select("id", F.col("embedding").cast("array<double>")).filter("embedding is not null")
-    blocks = -(-asked.count() // MOST_QUERIES)
-    if blocks > 1:
-        asked = stored(asked.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(2 * blocks))))
-        return reduce(DataFrame.union, [similar_pairs(asked.filter(F.col("__block") == i).drop("__block"), old, low, high, digits) for i in range(2 * blocks)])
-    by_size: dict[int, list] = {}
-    for r in asked.collect():
-        by_size.setdefault(len(r["embedding"]), []).append(r)
-    sent = new.sparkSession.sparkContext.broadcast({size: ([r["id"] for r in rows], np.array([r["embedding"] for r in rows])) for size, rows in by_size.items()})
-    read = old.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    new_type = to_arrow_type(asked.schema["id"].dataType)
-    schema = StructType([StructField("new_id", asked.schema["id"].dataType), StructField("old_id", read.schema["id"].dataType), StructField("sim", DoubleType())])
-
-    def meet(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, OLD_AT_ONCE):
-                batch = whole.slice(lo, OLD_AT_ONCE)
-                sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), -1))
-                for size, (ids, q) in sent.value.items():
-                    at = np.flatnonzero(sizes == size)
-                    if not len(at) or not size:
-                        continue
-                    part = batch.take(pa.array(at))
-                    x = np.asarray(part.column(1).flatten()).reshape(-1, size)
-                    norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sim = np.round(np.where(norm == 0, 0.0, np.clip(x @ q.T / norm, -1, 1)), digits) + 0.0
-                    i, j = np.nonzero(sim >= low if high is None else (sim >= low) & (sim < high))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, new_type).take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(sim[i, j])], names=schema.names)
-
-    return read.mapInArrow(meet, schema).filter("new_id <> old_id")
-
-
 def other_lineage(pairs: DataFrame, memories: DataFrame, parent: str = "extracted_from") -> DataFrame:
     """Pairs without those of a claim with its parent, or of two claims of one parent; all where no parent is known."""
     if parent not in memories.columns:
@@ -123,12 +73,17 @@ def digit_words(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(DIGIT_WORD), F.lit(0))))
 
 
+def allowed_duplicates(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs without those whose figures differ."""
+    one = texts.select(F.col("id").alias("new_id"), digit_words(F.col("content")).alias("__a"))
+    two = texts.select(F.col("id").alias("old_id"), digit_words(F.col("content")).alias("__b"))
+    return pairs.join(one, "new_id").join(two, "old_id").filter(F.col("__a") == F.col("__b")).select("new_id", "old_id", "sim")
+
+
 def near_duplicates(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(new_id, old_id, sim): the most similar partner of each new memory, without those whose figures differ."""
     if texts is not None:
-        one = texts.select(F.col("id").alias("new_id"), digit_words(F.col("content")).alias("__a"))
-        two = texts.select(F.col("id").alias("old_id"), digit_words(F.col("content")).alias("__b"))
-        pairs = pairs.join(one, "new_id").join(two, "old_id").filter(F.col("__a") == F.col("__b")).select("new_id", "old_id", "sim")
+        pairs = allowed_duplicates(pairs, texts)
     w = Window.partitionBy("new_id").orderBy(F.col("sim").desc(), "old_id")
     return pairs.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
@@ -158,7 +113,7 @@ def supersessions(pairs: DataFrame, memories: DataFrame, low: float = SUPERSEDE_
 
 #: Flags of a text by which two texts disagree: whether it is negated, has the one or the other term of each pair, and its figures.
 def disagreement_flags(text: Column) -> Column:
-    """Struct of what ``polarity_conflict`` and ``figure_conflict`` need from one side, worked out once a text."""
+    """Struct of what ``flags_conflict`` needs from one side, worked out once a text."""
     # no term begins another one, so one scan over all of them finds what a scan for each would
     every = "|".join(sorted({word for pair in ANTONYMS for word in pair}))
     found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({every}){INFLECTIONS}\b"), F.lit(1)), lambda w: F.lower(w))
@@ -178,22 +133,12 @@ def flags_conflict(a: Column, b: Column) -> tuple[Column, Column]:
 
 def polarity_conflict(a: Column, b: Column) -> Column:
     """One side negated and the other not, or opposite terms on the two sides where neither has both."""
-    out = negated(a) != negated(b)
-    for yes, no in ANTONYMS:
-        y, n = rf"(?i)\b{yes}{INFLECTIONS}\b", rf"(?i)\b{no}{INFLECTIONS}\b"
-        ay, an, by, bn = a.rlike(y), a.rlike(n), b.rlike(y), b.rlike(n)
-        out |= ~(ay & an) & ~(by & bn) & ((ay & bn) | (an & by))
-    return out
+    return flags_conflict(disagreement_flags(a), disagreement_flags(b))[0]
 
 
 def figure_conflict(a: Column, b: Column) -> Column:
     """Figures on both sides without a common one, or weekdays so."""
-
-    def apart(pattern: str, x: Column, y: Column) -> Column:
-        m, n = F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), F.regexp_extract_all(y, F.lit(pattern), F.lit(1))
-        return (F.size(m) > 0) & (F.size(n) > 0) & ~F.arrays_overlap(m, n)
-
-    return apart(FIGURE, a, b) | apart(WEEKDAY, F.lower(a), F.lower(b))
+    return flags_conflict(disagreement_flags(a), disagreement_flags(b))[1]
 
 
 def _flagged(pairs: DataFrame, memories: DataFrame, low: float, high: float) -> DataFrame:

@@ -16,7 +16,9 @@ from ..functions.text import content_hash
 class MemoryFilter:
     """Conjunction of predicates; an empty set or None leaves its column free. ``metadata`` is (key, value) pairs.
 
-    With ``in_map`` these are entries of the map column ``metadata`` and compared as text, else columns of their own.
+    These are columns of their own; with ``in_map`` entries of the map column ``metadata``, compared as text; with
+    ``in_variant`` fields of the VARIANT column ``metadata``, compared as what they are: a number meets an equal number, never
+    the text that reads like it nor a boolean. None meets a field that is null or not there.
     """
 
     statuses: frozenset[str] = frozenset({"active"})
@@ -27,6 +29,7 @@ class MemoryFilter:
     before: datetime | None = None
     source: str | None = None
     in_map: bool = False
+    in_variant: bool = False
 
     def column(self) -> Column:
         """The predicate; comparisons with literals, so that scans can take them over."""
@@ -37,6 +40,9 @@ class MemoryFilter:
             wanted = F.array(*[F.lit(t.lower()) for t in sorted(self.tags)])
             out &= F.size(F.array_except(wanted, F.col("tags"))) == 0
         for key, value in self.metadata:
+            if self.in_variant:
+                out &= typed_equal(F.col("metadata"), key, value)
+                continue
             held = F.element_at(F.col("metadata"), F.lit(key)) if self.in_map else F.col(key)
             wanted = F.lit(str(value)) if self.in_map and value is not None else F.lit(value)
             out &= held.isNull() if value is None else held.eqNullSafe(wanted)
@@ -49,6 +55,24 @@ class MemoryFilter:
         return out
 
 
+def typed_equal(metadata: Column, key: str, value: object) -> Column:
+    """Whether a field of a VARIANT object is a value of its type."""
+    if '"' in key:
+        raise ValueError("a key with a quotation mark has no path")
+    path = f'$["{key}"]'
+    field = F.try_variant_get(metadata, path, "variant")
+    kind = F.schema_of_variant(field)
+    if value is None:
+        return field.isNull() | (kind == "VOID")
+    if isinstance(value, bool):
+        typed, held = kind == "BOOLEAN", F.try_variant_get(metadata, path, "boolean") == F.lit(value)
+    elif isinstance(value, (int, float)):
+        typed, held = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(metadata, path, "double") == F.lit(float(value))
+    else:
+        typed, held = kind == "STRING", F.try_variant_get(metadata, path, "string") == F.lit(str(value))
+    return F.coalesce(typed & held, F.lit(False))
+
+
 def in_space(rows: DataFrame, org_id: str, space_id: str) -> DataFrame:
     """Rows of one tenant's space; both ids are partition columns in storage, so other tenants' files aren't read."""
     return rows.filter((F.col("org_id") == org_id) & (F.col("space_id") == space_id))

@@ -1,6 +1,7 @@
 """Typed relations: reachability, lineage, closure, staleness, bridging, profiles.
 
-Loops run over frontiers: each round joins only the rows that the last one added, and writes them to shared storage.
+Closures of most nodes, and chains, double their reach each round; those of few nodes run over frontiers, each round joining only
+the rows that the last one added. Rounds are written to shared storage.
 """
 
 from __future__ import annotations
@@ -30,24 +31,57 @@ def induced(edges: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
 def reach(roots: DataFrame, steps: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """(root, node, depth) of all nodes that ``steps`` (from, to) reach from each root, at their least depth, without the root.
 
-    Cycles end where nothing new is reached.
+    Cycles end where nothing new is reached. Where most nodes are roots, paths are doubled: ways of up to d steps joined with
+    each other are those of up to 2 d, so rounds are the logarithm of the depth. For few roots a frontier goes step by step,
+    as ways between all nodes would be wasted.
     """
-    steps = stored(steps.select(F.col("from").alias("__from"), F.col("to").alias("__to")).distinct())  # read by every round
-    seen = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    steps = stored(steps.select(F.col("from").alias("__from"), F.col("to").alias("__to")).filter("__from is not null and __to is not null").distinct())
+    asked = stored(roots.select("root").distinct())
+    nodes = steps.select(F.col("__from").alias("root")).distinct()
+    if 2 * nodes.join(asked, "root", "left_semi").count() >= nodes.count():
+        ways = _doubled_ways(steps, most_depth)
+        return ways.join(asked, "root", "left_semi").filter("root <> node").select("root", "node", "depth")
+    seen = stored(asked.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     frontier, parts = seen, [seen]
     for depth in range(1, most_depth + 1):
         new = frontier.join(steps, frontier["node"] == steps["__from"]).select("root", F.col("__to").alias("node")).distinct()
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.union(p)
-        frontier = stored(new.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = stored(new.join(_union(parts), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         parts.append(frontier)
+    return _union(parts).filter("root <> node")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.filter("root <> node")
+    return out
+
+
+def _doubled_ways(steps: DataFrame, most_depth: int) -> DataFrame:
+    """(root, node, depth) of ways of 1 to ``most_depth`` steps between all nodes, at their least depth."""
+    power = stored(steps.select(F.col("__from").alias("root"), F.col("__to").alias("node"), F.lit(1).alias("depth")))
+    done, length, whole = None, 1, 0
+
+    def then(first: DataFrame | None, second: DataFrame) -> DataFrame:
+        if first is None:
+            return second
+        on = first.withColumnRenamed("node", "__mid").withColumnRenamed("depth", "__d")
+        joined = on.join(second.withColumnRenamed("root", "__mid"), "__mid").select("root", "node", (F.col("__d") + F.col("depth")).alias("depth"))
+        return stored(first.union(second).union(joined).groupBy("root", "node").agg(F.min("depth").alias("depth")))
+
+    left = most_depth
+    while left:
+        if left & 1:
+            done, whole = then(done, power), whole + length
+        left >>= 1
+        if left:
+            longer = then(power, power)
+            if longer.filter(F.col("depth") > length).isEmpty():
+                return longer  # no way is longer than those that are known
+            power, length = longer, 2 * length
+    return done
 
 
 def reached(starts: DataFrame, steps: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
@@ -86,22 +120,26 @@ def suppress_superseded(results: DataFrame, edges: DataFrame) -> DataFrame:
 def _chains(edges: DataFrame, roots: DataFrame, most_depth: int, forward: bool) -> DataFrame:
     """(root, path): the chain of superseders (or of what was superseded) from each root, by the oldest edge at each step.
 
-    A chain ends where nothing follows, or what follows is in it already.
+    A chain ends where nothing follows, or what follows is in it already. By pointer doubling: a node's next d nodes, and
+    the next d of the last of them, are its next 2 d.
     """
     at, to = ("target_id", "source_id") if forward else ("source_id", "target_id")
     first = Window.partitionBy(at).orderBy("created_at", to)
-    step = stored(edges.filter("type = 'supersedes'").withColumn("n", F.row_number().over(first)).filter("n = 1").select(F.col(at).alias("at"), F.col(to).alias("next")))
-    now = stored(roots.select("root", F.col("root").alias("at"), F.array("root").alias("path")).distinct())
-    ended = None
-    for _ in range(most_depth):
-        moved = now.join(step, "at", "left")
-        on = F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
-        done = moved.filter(~F.coalesce(on, F.lit(False))).select("root", "path")
-        ended = done if ended is None else ended.union(done)
-        now = stored(moved.filter(on).select("root", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")))
-        if now.isEmpty():
-            return ended
-    return ended.union(now.select("root", "path"))
+    step = edges.filter("type = 'supersedes'").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    ahead = stored(step.select(F.col(at).alias("at"), F.array(F.col(to)).alias("next")))
+    length = 1
+    while length < most_depth:
+        further = ahead.select(F.col("at").alias("__last"), F.col("next").alias("__more"))
+        joined = ahead.withColumn("__last", F.element_at("next", -1)).join(further, "__last", "left")
+        ahead = stored(joined.select("at", F.when(F.size("next") == length, F.concat("next", F.coalesce("__more", F.slice("next", 1, 0)))).otherwise(F.col("next")).alias("next")))
+        length *= 2
+        if ahead.filter(F.size("next") == length).isEmpty():
+            break
+    asked = roots.select("root").distinct()
+    path = F.concat(F.array("root"), F.coalesce(F.slice("next", 1, most_depth), F.array().cast(ahead.schema["next"].dataType)))
+    walked = asked.join(ahead, asked["root"] == ahead["at"], "left").select("root", path.alias("path"))
+    again = F.filter(F.sequence(F.lit(1), F.size("path")), lambda i: F.array_position("path", F.element_at("path", i)) < i)
+    return walked.withColumn("path", F.when(F.size(again) > 0, F.slice("path", F.lit(1), F.element_at(again, 1) - 1)).otherwise(F.col("path")))
 
 
 def lineage_heads(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
@@ -143,20 +181,50 @@ def stale_after(memories: DataFrame, edges: DataFrame, changed: DataFrame) -> Da
 
 def dependency_closure(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """(root, node, depth) over depends_on and derived_from edges."""
-    steps = edges.filter("type in ('depends_on', 'derived_from')").select(F.col("source_id").alias("from"), F.col("target_id").alias("to"))
-    return reach(roots, steps, depth)
+    return reach(roots, _needs(edges), depth)
+
+
+def _needs(edges: DataFrame) -> DataFrame:
+    return edges.filter("type in ('depends_on', 'derived_from')").select(F.col("source_id").alias("from"), F.col("target_id").alias("to"))
+
+
+def limited_closure(edges: DataFrame, roots: DataFrame, depth: int, limit: int) -> DataFrame:
+    """(root, node, depth, truncated): a root's dependency closure with at most ``limit`` nodes, the nearest first, smaller ids first.
+
+    A root stops in the round in which it has more than ``limit`` nodes, and takes no more than one over it from any
+    round, so the work is bounded by roots times limit times what a node depends on, whatever there is to reach.
+    """
+    steps = stored(_needs(edges).filter("from is not null and to is not null and from <> to").distinct())
+    frontier = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    parts = [frontier]
+    for d in range(1, depth + 1):
+        new = frontier.join(steps, frontier["node"] == steps["from"]).select("root", F.col("to").alias("node")).distinct()
+        fresh = new.join(_union(parts), ["root", "node"], "left_anti")
+        nearest = Window.partitionBy("root").orderBy("node")
+        fresh = fresh.withColumn("__n", F.row_number().over(nearest)).filter(F.col("__n") <= limit + 1).select("root", "node", F.lit(d).alias("depth"))
+        fresh = stored(fresh)
+        if fresh.isEmpty():
+            break
+        parts.append(fresh)
+        full = _union(parts[1:]).groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("root")
+        frontier = fresh.join(full, "root", "left_anti")
+    return bounded_closure(_union(parts).filter("depth > 0"), limit)
 
 
 def bounded_closure(closure: DataFrame, limit: int) -> DataFrame:
-    """A closure (root, node, depth) with at most ``limit`` nodes a root, the nearest first, and ``truncated`` where more were there."""
+    """A closure (root, node, depth) with at most ``limit`` nodes a root, the nearest first, and ``truncated`` where more were there.
+
+    To stop before the whole closure is made, see ``limited_closure``.
+    """
     w = Window.partitionBy("root").orderBy("depth", "node")
     placed = closure.withColumns({"__n": F.row_number().over(w), "truncated": F.count("*").over(Window.partitionBy("root")) > limit})
     return placed.filter(F.col("__n") <= limit).drop("__n")
 
 
 def graph_profile(memories: DataFrame, edges: DataFrame) -> DataFrame:
-    """(measure, key, n): memories by status, edges by type (a contradiction once), isolated memories."""
-    status = memories.groupBy(F.col("status").alias("key")).agg(F.count("*").alias("n")).select(F.lit("status").alias("measure"), "key", "n")
+    """(measure, key, n): memories by status and, where they have one, by kind, edges by type (a contradiction once), isolated memories."""
+    by = lambda c: memories.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).select(F.lit(c).alias("measure"), "key", "n")
+    status = by("status").union(by("kind")) if "kind" in memories.columns else by("status")
     once = edges.filter("type <> 'contradicts' or source_id < target_id")
     kinds = once.groupBy(F.col("type").alias("key")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("measure"), "key", "n")
     touched = edges.select(F.col("source_id").alias("id")).union(edges.select(F.col("target_id").alias("id"))).distinct()

@@ -26,11 +26,21 @@ def as_of(versions: DataFrame, at: Column) -> DataFrame:
 
 
 def as_of_each(versions: DataFrame, questions: DataFrame) -> DataFrame:
-    """As-of join: (qid, memory_id, at) each with the version that holds then."""
-    v = versions.withColumnRenamed("memory_id", "__m")
-    holds = (F.col("memory_id") == F.col("__m")) & (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-    w = Window.partitionBy("qid").orderBy(F.col("version").desc())
-    return questions.join(v, holds).drop("__m").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """As-of join: (qid, memory_id, at) each with the version that holds then; versions of a memory don't overlap.
+
+    Questions and versions are one table, sorted once by memory and time, in which the last version is carried forward: the
+    work is linear in both, however many versions a memory has. Questions before the first version, or in a gap, go.
+    """
+    names = [c for c in versions.columns if c != "memory_id"]
+    asked = [c for c in questions.columns if c != "memory_id"]
+    version, question = F.struct(*names), F.struct(*asked)
+    none = lambda df, columns: F.lit(None).cast(df.select(F.struct(*columns).alias("s")).schema["s"].dataType)
+    one = versions.filter("memory_id is not null and valid_from is not null").select("memory_id", F.col("valid_from").alias("__t"), F.lit(0).alias("__k"), F.col("version").alias("__v"), version.alias("__version"), none(questions, asked).alias("__q"))
+    two = questions.filter("memory_id is not null and at is not null").select("memory_id", F.col("at").alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(versions.schema["version"].dataType).alias("__v"), none(versions, names).alias("__version"), question.alias("__q"))
+    order = Window.partitionBy("memory_id").orderBy("__t", "__k", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    carried = one.unionByName(two).withColumn("__version", F.last("__version", ignorenulls=True).over(order)).filter("__k = 1 and __version is not null")
+    rows = carried.select("memory_id", *[F.col(f"__q.{c}").alias(c) for c in asked], *[F.col(f"__version.{c}").alias(c) for c in names])
+    return rows.filter(F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
 
 
 def live_view(log: DataFrame) -> DataFrame:

@@ -44,6 +44,22 @@ def ranked(rows: DataFrame, score: str = "score") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(_by_score(score)))
 
 
+def ranked_wide(rows: DataFrame, score: str = "score") -> DataFrame:
+    """``ranked`` for queries with any number of rows: no task holds a query's rows.
+
+    Rows are dealt by ranges of query, score and id, placed within their range, and moved on by the query's rows in the
+    ranges before.
+    """
+    ranged = stored(rows.repartitionByRange("qid", F.col(score).desc(), F.col("memory_id")).withColumn("__part", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("qid", "__part").orderBy(F.col(score).desc(), F.col("memory_id")))
+    earlier = Window.partitionBy("qid").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("qid", "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    before = before.select(F.col("qid").alias("__q"), F.col("__part").alias("__p"), "__before")
+    placed = ranged.withColumn("__own", own)
+    joined = placed.join(before, placed["qid"].eqNullSafe(before["__q"]) & (placed["__part"] == before["__p"]))
+    return joined.withColumn("rank", (F.col("__own") + F.col("__before")).cast("int")).drop("__q", "__p", "__part", "__own", "__before")
+
+
 def by_kind(kind: Column, values: dict[str, float]) -> Column:
     """Value of a question's kind; that of ``direct`` where the kind is unknown."""
     table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
@@ -142,9 +158,9 @@ def recency_factor(occurred_at: Column, now: Column, half_life: float = HALF_LIF
     return F.when(age > OLDEST_DAYS, F.lit(floor)).otherwise(floor + (1 - floor) * F.pow(F.lit(0.5), age / half_life))
 
 
-def apply_decay(rows: DataFrame, now: Column, digits: int = 6, **options) -> DataFrame:
-    """Scores by recency, ranked anew."""
-    return ranked(rows.withColumn("recency", F.round(recency_factor(F.col("occurred_at"), now, **options), digits)).withColumn("score", F.round(F.col("score") * recency_factor(F.col("occurred_at"), now, **options), digits)))
+def apply_decay(rows: DataFrame, now: Column, digits: int = 6, wide: bool = False, **options) -> DataFrame:
+    """Scores by recency, ranked anew; ``wide`` for queries that have very many rows, whole spaces for example."""
+    return (ranked_wide if wide else ranked)(rows.withColumn("recency", F.round(recency_factor(F.col("occurred_at"), now, **options), digits)).withColumn("score", F.round(F.col("score") * recency_factor(F.col("occurred_at"), now, **options), digits)))
 
 
 def access_factor(count: Column, strength: float = 0.10, saturation: int = 20) -> Column:

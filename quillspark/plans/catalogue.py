@@ -60,6 +60,19 @@ def filter_memories(spark, sf):
     return X.memories_text(spark, sf).filter(wanted.column()).select("id", "space_id", "status", "kind", "source", _text("occurred_at").alias("occurred_at"))
 
 
+def typed_metadata(spark, sf):
+    """Fields of a JSON object by value and type: a number, a text, a boolean and a field that is not there."""
+    held = F.to_json(F.struct("quality", F.col("space_id").alias("lang"), (F.length("content") > 1000).alias("long"), F.col("quality").cast("string").alias("said")))
+    rows = X.memories_text(spark, sf).select("id", "status", F.parse_json(held).alias("metadata"))
+    fields = lambda *pairs: P.MemoryFilter(frozenset(), metadata=pairs, in_variant=True).column()
+    asked = [("all", (("quality", 1), ("lang", "en"), ("long", True), ("none", None))), ("text", (("said", "1"), ("quality", None))), ("number", (("said", 1),)), ("said", (("said", "1"),)), ("boolean", (("long", 1),)), ("absent", (("quality", None), ("long", False)))]
+    return rows.select("id", *[fields(*pairs).alias(f"is_{name}") for name, pairs in asked])
+
+
+def limited_closure(spark, sf):
+    return G.limited_closure(X.edges(spark, sf), _roots(spark, sf), 5, 3)
+
+
 def tenant_usage(spark, sf):
     return P.tenant_usage(X.memories_text(spark, sf), F.lit(datetime(2024, 1, 15, tzinfo=UTC)), ["org_id", "space_id"])
 
@@ -159,7 +172,7 @@ def heuristic_rerank(spark, sf):
 
 def recency_decay(spark, sf):
     rows = X.memories_order(spark, sf).select(F.col("space_id").alias("qid"), F.col("id").alias("memory_id"), F.lit(1.0).alias("score"), "occurred_at")
-    return R.apply_decay(rows, F.lit(datetime(2001, 8, 2, tzinfo=UTC))).select("qid", "memory_id", "recency", "score", "rank")
+    return R.apply_decay(rows, F.lit(datetime(2001, 8, 2, tzinfo=UTC)), wide=True).select("qid", "memory_id", "recency", "score", "rank")
 
 
 def access_boost(spark, sf):
@@ -482,7 +495,7 @@ def entity_bridge(spark, sf):
 
 
 ALL = [
-    filter_memories, tenant_usage, quota_flags, keyset_page, exact_dedupe, merge_duplicates, token_counts, analyzed_terms, token_estimates, bm25_topk, bm25_filtered_topk, bm25_added_batch,
+    filter_memories, typed_metadata, limited_closure, tenant_usage, quota_flags, keyset_page, exact_dedupe, merge_duplicates, token_counts, analyzed_terms, token_estimates, bm25_topk, bm25_filtered_topk, bm25_added_batch,
     vector_topk, vector_topk_batch, best_chunk_per_memory, hybrid_topk, weighted_fusion, heuristic_rerank, recency_decay, access_boost, temporal_boost, source_cap,
     kind_allocation, evidence_budget, mmr_topk, confidence_grade, conflict_pairs, suppress_superseded, lineage_head, reachable_superseders, bridge_on_delete,
     stale_propagation, dependency_closure, graph_profile, node_degrees, as_of_snapshot, as_of_join, scd2_history, erase_report, near_duplicate_pairs,

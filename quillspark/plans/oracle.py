@@ -95,6 +95,10 @@ SELECT id, space_id, status, kind, source, {_STAMP.format(x="occurred_at")} AS o
 WHERE status IN ('active', 'stale') AND kind = 'episodic' AND list_contains(tags, 'quality') AND quality = 1
   AND occurred_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-12-31'"""
 
+SQL["typed_metadata"] = with_views("memories_text") + """
+SELECT id, coalesce(quality = 1 AND space_id = 'en' AND length(content) > 1000, false) AS is_all, false AS is_text, false AS is_number, coalesce(quality = 1, false) AS is_said,
+  false AS is_boolean, quality IS NULL AND coalesce(length(content) <= 1000, false) AS is_absent FROM memories_text"""
+
 _USAGE = """SELECT {by}, count(*) AS memories, sum(octet_length(encode(content)))::BIGINT AS bytes, count(*) FILTER (occurred_at >= TIMESTAMP '2024-01-15') AS recent
 FROM memories_text WHERE status <> 'archived' GROUP BY ALL"""
 SQL["tenant_usage"] = with_views("memories_text") + _USAGE.format(by="org_id, space_id")
@@ -199,6 +203,10 @@ SELECT id FROM memories_order WHERE status = 'active' AND id IN (SELECT node FRO
 SQL["dependency_closure"] = with_views("edges", recursive=True) + f""",
 steps AS (SELECT DISTINCT source_id AS cur, target_id AS nxt FROM edges WHERE type IN ('depends_on', 'derived_from')), {_REACH.format(depth=2)}
 SELECT root, node, min(depth) AS depth FROM reach WHERE node <> root GROUP BY ALL"""
+SQL["limited_closure"] = with_views("edges", recursive=True) + f""",
+steps AS (SELECT DISTINCT source_id AS cur, target_id AS nxt FROM edges WHERE type IN ('depends_on', 'derived_from')), {_REACH.format(depth=5)},
+whole AS (SELECT root, node, min(depth) AS depth FROM reach WHERE node <> root GROUP BY ALL)
+SELECT root, node, depth, count(*) OVER (PARTITION BY root) > 3 AS truncated FROM whole QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, node) <= 3"""
 SQL["graph_profile"] = with_views("memories_order", "edges") + """
 SELECT 'status' AS measure, status AS key, count(*) AS n FROM memories_order GROUP BY ALL
 UNION ALL SELECT 'edge', type, count(*) FROM edges WHERE type <> 'contradicts' OR source_id < target_id GROUP BY ALL
@@ -233,6 +241,20 @@ SELECT new_id AS left_id, old_id AS right_id, round(sim, 6) AS sim, polarity, fi
 FROM m WHERE polarity OR figures"""
 SQL["unexplained_pairs"] = with_views("memories_text") + f""", {_pairs(0.1, 0.97)}
 SELECT new_id, old_id, round(sim, 6) AS sim FROM joined WHERE ostatus = 'active' AND NOT ({_POLARITY} OR {_FIGURES})"""
+_CONTENT = "regexp_extract_all(" + _FOLD.format(x="content") + ", '[a-z0-9]+')"
+SQL["jaccard_dedupe"] = with_views("memories_text", recursive=True) + f""",
+raw AS (SELECT space_id AS qid, id AS seq, CAST(occurred_at AS DATE) AS d, list_distinct({_CONTENT}) AS w FROM memories_text),
+few AS (SELECT *, list_filter(w, lambda x: x NOT IN ({_quoted(STOP_WORDS)})) AS f FROM raw),
+told AS (SELECT qid, seq, d, CASE WHEN len(f) > 0 THEN f ELSE w END AS w FROM few),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid, d ORDER BY seq) AS i FROM told WHERE len(w) > 0),
+walk AS (
+  SELECT qid, d, seq, i, [w] AS kept, true AS stays FROM f WHERE i = 1
+  UNION ALL
+  SELECT qid, d, seq, i, CASE WHEN alike THEN kept ELSE list_append(kept, w) END, NOT alike FROM (
+    SELECT f.*, walk.kept, len(list_filter(walk.kept, lambda k: len(list_intersect(k, f.w))::DOUBLE / (len(k) + len(f.w) - len(list_intersect(k, f.w))) >= 0.6)) > 0 AS alike
+    FROM walk JOIN f ON f.qid IS NOT DISTINCT FROM walk.qid AND f.d IS NOT DISTINCT FROM walk.d AND f.i = walk.i + 1)
+)
+SELECT qid, seq FROM walk WHERE stays UNION ALL SELECT qid, seq FROM told WHERE len(w) = 0"""
 SQL["association_edges"] = with_views("memories_text") + f""", {_pairs(0.1, 0.97)}
 SELECT new_id AS left_id, old_id AS right_id, round(sim, 6) AS sim, 1 AS weight, round(least(1.0, 0.65 + 0.2 * sim), 6) AS confidence FROM joined
 WHERE ostatus = 'active' AND list_has_any(ntags, otags) QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) <= 4"""

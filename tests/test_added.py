@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.embed import hash_embedder
 from quillspark.functions.text import kept_tokens, word_counts
+from quillspark.operators import bands
 from quillspark.operators import consolidate as C
 from quillspark.operators import filters as P
 from quillspark.operators import graph as G
@@ -139,5 +140,5 @@ def test_searches_and_pairs_in_blocks(spark, monkeypatch):
     run = lambda: [sorted(map(tuple, df.collect())) for df in (S.vector_search(vectors, asked, 5), S.lexical_search(chunks, texts, 5), C.similar_pairs(ids.limit(25), ids, 0.2, None))]
     whole = run()
     monkeypatch.setattr(S, "MOST_QUERIES", 7)
-    monkeypatch.setattr(C, "MOST_QUERIES", 7)
+    monkeypatch.setattr(bands, "UNIT_ROWS", 7)
     assert run() == whole and all(whole)
