@@ -74,14 +74,16 @@ def alike_sets(rows: DataFrame, keys: list[str], order: list[str], words: Column
     ranked = each.join(common, [*keys, "word"]).groupBy(*keys, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("p"))
     size = F.size("p")
     prefixes = ranked.select(*keys, "id", F.explode(F.slice("p", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))).alias("word"))
-    full = sets.select(*keys, "id", F.struct(*order, "id").alias("o"), "w")
-    met = stored(prefixes.join(full, [*keys, "id"]))
-    a = met.select(*keys, "word", F.col("o").alias("o1"), F.col("w").alias("w1"), F.col("id").alias("first"))
-    b = met.select(*keys, "word", F.col("o").alias("o2"), F.col("w").alias("w2"), F.col("id").alias("later"))
+    placed = sets.select(*keys, "id", F.struct(*order, "id").alias("o"), F.size("w").alias("n"))
+    met = stored(prefixes.join(placed, [*keys, "id"]))
+    a = met.select(*keys, "word", F.col("o").alias("o1"), F.col("n").alias("n1"), F.col("id").alias("first"))
+    b = met.select(*keys, "word", F.col("o").alias("o2"), F.col("n").alias("n2"), F.col("id").alias("later"))
+    near = (F.col("n1") >= least * F.col("n2") - 1e-9) & (F.col("n2") >= least * F.col("n1") - 1e-9)
+    candidates = a.join(b, [*keys, "word"]).filter((F.col("o1") < F.col("o2")) & near).select("first", "later").distinct()
+    one, two = (sets.select(F.col("id").alias(c), F.col("w").alias(w)) for c, w in (("first", "w1"), ("later", "w2")))
     shared = F.size(F.array_intersect("w1", "w2"))
-    near = (F.size("w1") >= least * F.size("w2") - 1e-9) & (F.size("w2") >= least * F.size("w1") - 1e-9)
-    pairs = a.join(b, [*keys, "word"]).filter((F.col("o1") < F.col("o2")) & near)
-    return pairs.filter(shared / (F.size("w1") + F.size("w2") - shared) >= least).select("first", "later").distinct()
+    pairs = candidates.join(one, "first").join(two, "later")
+    return pairs.filter(shared / (F.size("w1") + F.size("w2") - shared) >= least).select("first", "later")
 
 
 def first_of_alike(rows: DataFrame, keys: list[str], order: list[str], words: Column, least: float) -> DataFrame:

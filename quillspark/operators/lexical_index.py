@@ -24,6 +24,8 @@ K1, B = 1.2, 0.75
 SHARD_CHUNKS, BLOCK_BITS = 1 << 15, 10
 #: Chunks from which a shard's scores are pruned by bounds; queries of one unit of work.
 PRUNED_FROM, QUERIES_EACH = 4096, 256
+#: Buckets of terms if not said otherwise (a folder each, so large corpora take more), and the number of this layout.
+BUCKETS, LAYOUT = 16, 1
 #: Scores are rounded before they are ranked, so bounds leave room for that.
 ROOM = 1e-5
 
@@ -200,13 +202,13 @@ class LexicalIndex:
     """Postings of chunks (memory_id, ordinal, text) under a folder that driver and executors share.
 
     A batch is there once its mark is written, after all its files; a search reads the batches that are marked when it
-    begins. A memory that is added again counts as added last; what it was before is written down as dead, and so are
+    begins. All who open an index give the number of buckets that it was made with. A memory that is added again counts as added last; what it was before is written down as dead, and so are
     removed ones. Counts are those of the living.
     """
 
     spark: SparkSession
     path: str
-    buckets: int = 64
+    buckets: int = BUCKETS
 
     def _file(self, *parts: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path.rstrip("/"), *parts]))
@@ -400,7 +402,7 @@ def _frequencies(rows: pa.Table, there: pa.Table) -> pa.Table:
     return pa.table({"term": rows.column("term"), "df": pa.array(df.astype(np.int64), pa.int64())})
 
 
-def temporary_index(chunks: DataFrame, buckets: int = 64) -> LexicalIndex:
+def temporary_index(chunks: DataFrame, buckets: int = BUCKETS) -> LexicalIndex:
     """An index of chunks for one search, in the shared folder."""
     index = LexicalIndex(chunks.sparkSession, f"{shared_base(chunks.sparkSession)}/index-{uuid.uuid4().hex}", buckets)
     path, files = index._file()
@@ -409,10 +411,10 @@ def temporary_index(chunks: DataFrame, buckets: int = 64) -> LexicalIndex:
     return index
 
 
-def kept_index(chunks: DataFrame, buckets: int = 64) -> LexicalIndex:
+def kept_index(chunks: DataFrame, buckets: int = BUCKETS) -> LexicalIndex:
     """The index of chunks that are read from files, made at the first call and used again while the files are the same ones."""
     spark = chunks.sparkSession
-    name = hashlib.md5(chunks.columns.__repr__().encode())
+    name = hashlib.md5(f"{LAYOUT} {buckets} {chunks.columns}".encode())
     for file in sorted(chunks.inputFiles()):
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
