@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 
@@ -23,7 +24,8 @@ from ..operators import retrieval as S
 from ..operators import synth as Y
 from ..operators.lexical_index import LexicalIndex, kept_index, temporary_index
 from ..sources import fixtures as X
-from ..storage import stored
+from ..sources.log_store import SpaceStore
+from ..storage import shared_base, stored
 from .search import SearchOptions, hybrid_arms, search
 
 UTC = timezone.utc
@@ -274,6 +276,34 @@ def scd2_history(spark, sf):
     return H.scd2(v).select("memory_id", "version", "content", _text("valid_from").alias("valid_from"), _text("valid_to").alias("valid_to"))
 
 
+def _logged(spark, sf) -> SpaceStore:
+    """A log of the text memories: all written, some again as a new version or in place, some deleted, some erased."""
+    base = f"{shared_base(spark)}/log-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    log, day = SpaceStore(spark, base), lambda d: datetime(2025, 1, d, tzinfo=UTC)
+    m = X.memories_text(spark, sf).select("org_id", "space_id", "id", "status", F.lit(1).alias("version"), F.md5("content").alias("content"))
+    log.put(day(1), m)
+    log.put(day(2), m.filter("id % 3 = 0").withColumns({"version": F.lit(2), "status": F.lit("stale"), "content": F.lit("second")}))
+    log.put(day(3), m.filter("id % 6 = 0").withColumns({"version": F.lit(2), "status": F.lit("active"), "content": F.lit("third")}))
+    log.delete(m.filter("id % 5 = 0"), day(4))
+    log.put(day(5), m.filter("id % 10 = 0").withColumns({"version": F.lit(3), "content": F.lit("fifth")}))
+    log.erase(m.filter("id % 7 = 0"), day(6))
+    return log
+
+
+def logged_history(spark, sf):
+    h = _logged(spark, sf).history()
+    return h.select("space_id", "id", "version", "status", "content", _text("valid_from").alias("valid_from"), _text("valid_to").alias("valid_to"))
+
+
+def logged_snapshots(spark, sf):
+    """Memories of the log's last snapshot, and of that of its second commit, which is before deletions."""
+    log = _logged(spark, sf)
+    rows = lambda v: log.memories(v).select(F.lit(v or 0).alias("snapshot"), "space_id", "id", "version", "content")
+    return rows(None).unionByName(rows(2))
+
+
 def erase_report(spark, sf):
     m = X.memories_order(spark, sf)
     return H.erase_report(X.versions(spark, sf), X.edges(spark, sf), m, m.filter("tag = '1-URGENT'").select("id"))
@@ -498,7 +528,7 @@ ALL = [
     filter_memories, typed_metadata, limited_closure, tenant_usage, quota_flags, keyset_page, exact_dedupe, merge_duplicates, token_counts, analyzed_terms, token_estimates, bm25_topk, bm25_filtered_topk, bm25_added_batch,
     vector_topk, vector_topk_batch, best_chunk_per_memory, hybrid_topk, weighted_fusion, heuristic_rerank, recency_decay, access_boost, temporal_boost, source_cap,
     kind_allocation, evidence_budget, mmr_topk, confidence_grade, conflict_pairs, suppress_superseded, lineage_head, reachable_superseders, bridge_on_delete,
-    stale_propagation, dependency_closure, graph_profile, node_degrees, as_of_snapshot, as_of_join, scd2_history, erase_report, near_duplicate_pairs,
+    logged_history, logged_snapshots, stale_propagation, dependency_closure, graph_profile, node_degrees, as_of_snapshot, as_of_join, scd2_history, erase_report, near_duplicate_pairs,
     supersession_proposals, contradiction_proposals, unexplained_pairs, association_edges, planted_near_duplicates, planted_supersessions, planted_contradictions,
     planted_unexplained, planted_associations, whole_lineage, upserted_memories, benchmark_quotes, retrieval_by_label, entity_lists, prose_chunks, turn_neighbours, hydrate_budget,
     classify_questions, question_windows, derive_reduce, ground_quotes, jaccard_dedupe, retrieval_metrics, wilson_by_category, deterministic_embed, search_production, entity_bridge,

@@ -223,6 +223,19 @@ SELECT e.event_id AS qid, v.memory_id, max(v.version) AS version FROM events e J
 SQL["scd2_history"] = with_views("versions") + f""",
 w AS (SELECT memory_id, (version + 1) // 2 AS version, arg_max(content, version) AS content, min(valid_from) AS valid_from FROM versions GROUP BY memory_id, (version + 1) // 2)
 SELECT memory_id, version::INTEGER AS version, content, {_STAMP.format(x="valid_from")} AS valid_from, {_STAMP.format(x="lead(valid_from) OVER (PARTITION BY memory_id ORDER BY version)")} AS valid_to FROM w"""
+_WRITES = """, m AS (SELECT space_id, id, status, md5(content) AS content FROM memories_text WHERE id % 7 <> 0),
+w AS (
+  SELECT space_id, id, 1 AS version, status, content, 1 AS d FROM m UNION ALL SELECT space_id, id, 2, 'stale', 'second', 2 FROM m WHERE id % 3 = 0
+  UNION ALL SELECT space_id, id, 2, 'active', 'third', 3 FROM m WHERE id % 6 = 0 UNION ALL SELECT space_id, id, 3, status, 'fifth', 5 FROM m WHERE id % 10 = 0
+)"""
+SQL["logged_history"] = with_views("memories_text") + _WRITES + f""",
+one AS (SELECT space_id, id, version, max_by(status, d) AS status, max_by(content, d) AS content, min(d) AS a, max(d) AS z FROM w GROUP BY ALL),
+ends AS (SELECT *, CASE WHEN id % 5 = 0 AND z < 4 THEN 4 END AS cut, lead(a) OVER (PARTITION BY space_id, id ORDER BY version) AS b FROM one),
+t AS (SELECT *, CASE WHEN b IS NULL OR cut < b THEN cut ELSE b END AS e FROM ends)
+SELECT space_id, id, version, status, content, {_STAMP.format(x="TIMESTAMP '2024-12-31' + a * INTERVAL 1 DAY")} AS valid_from, {_STAMP.format(x="TIMESTAMP '2024-12-31' + e * INTERVAL 1 DAY")} AS valid_to FROM t"""
+SQL["logged_snapshots"] = with_views("memories_text") + _WRITES + """
+SELECT 0 AS snapshot, space_id, id, version, content FROM w WHERE id % 5 <> 0 OR d = 5 QUALIFY row_number() OVER (PARTITION BY space_id, id ORDER BY d DESC) = 1
+UNION ALL SELECT 2, space_id, id, version, content FROM (SELECT space_id, id, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN id % 3 = 0 THEN 'second' ELSE md5(content) END AS content FROM memories_text)"""
 SQL["erase_report"] = with_views("memories_order", "edges", "versions") + """, gone AS (SELECT id FROM memories_order WHERE tag = '1-URGENT'), s AS (SELECT * FROM edges WHERE type = 'supersedes'),
 made AS (SELECT DISTINCT a.source_id, b.target_id FROM s a JOIN s b ON a.target_id = b.source_id WHERE a.target_id IN (FROM gone) AND a.source_id <> b.target_id)
 SELECT (SELECT count(*) FROM gone) AS memories, (SELECT count(*) FROM versions WHERE memory_id IN (FROM gone)) AS versions,
