@@ -23,6 +23,7 @@ from ..operators import ranking as R
 from ..operators import retrieval as S
 from ..operators import synth as Y
 from ..operators.lexical_index import LexicalIndex, kept_index, temporary_index
+from ..operators.vector_index import VectorIndex
 from ..sources import fixtures as X
 from ..sources.log_store import SpaceStore
 from ..storage import shared_base, stored
@@ -145,6 +146,14 @@ def vector_topk_batch(spark, sf):
     return _by_vector(spark, sf, 10).select("qid", "memory_id", "score", "rank")
 
 
+def vector_index_topk(spark, sf):
+    """Active memories nearest to every 50th vector, by a kept index that widens its probes until the audit finds all."""
+    vectors = X.chunks_vec(spark, sf)
+    live = X.memories_text(spark, sf).filter("status = 'active'").select(F.col("id").alias("memory_id"))
+    asked = vectors.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("qid"), "embedding")
+    return VectorIndex.build(vectors).search(asked, 10, within=live, recall=1.0)[0].select("qid", "memory_id", "score", "rank")
+
+
 def best_chunk_per_memory(spark, sf):
     chunks = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("memory_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_extendedprice").alias("score"))
     return S.best_chunk(chunks, query=None)
@@ -526,7 +535,7 @@ def entity_bridge(spark, sf):
 
 ALL = [
     filter_memories, typed_metadata, limited_closure, tenant_usage, quota_flags, keyset_page, exact_dedupe, merge_duplicates, token_counts, analyzed_terms, token_estimates, bm25_topk, bm25_filtered_topk, bm25_added_batch,
-    vector_topk, vector_topk_batch, best_chunk_per_memory, hybrid_topk, weighted_fusion, heuristic_rerank, recency_decay, access_boost, temporal_boost, source_cap,
+    vector_topk, vector_topk_batch, vector_index_topk, best_chunk_per_memory, hybrid_topk, weighted_fusion, heuristic_rerank, recency_decay, access_boost, temporal_boost, source_cap,
     kind_allocation, evidence_budget, mmr_topk, confidence_grade, conflict_pairs, suppress_superseded, lineage_head, reachable_superseders, bridge_on_delete,
     logged_history, logged_snapshots, stale_propagation, dependency_closure, graph_profile, node_degrees, as_of_snapshot, as_of_join, scd2_history, erase_report, near_duplicate_pairs,
     supersession_proposals, contradiction_proposals, unexplained_pairs, association_edges, planted_near_duplicates, planted_supersessions, planted_contradictions,

@@ -126,6 +126,7 @@ SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w JOIN v USING (w
 SQL["token_estimates"] = f"SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, {_SHA.format(x='text')} AS sha FROM documents"
 
 SQL["bm25_topk"] = with_views("memories_text") + "," + _bm25("SELECT id AS memory_id, content AS text FROM memories_text", 10) + "\nSELECT qid, memory_id, score, rank FROM lexical"
+SQL["vector_index_topk"] = with_views("memories_text", "chunks_vec") + "," + _vector(_FIFTY, 10, _LIVE_VEC) + "\nSELECT qid, memory_id, score, rank FROM vector"
 SQL["bm25_added_batch"] = SQL["bm25_topk"]
 SQL["bm25_filtered_topk"] = with_views("memories_text") + "," + _bm25("SELECT id AS memory_id, content AS text FROM memories_text WHERE status = 'active' AND kind = 'episodic' AND space_id = 'en'", 10) + "\nSELECT qid, memory_id, score, rank FROM lexical"
 SQL["vector_topk"] = with_views("chunks_vec") + "," + _vector("SELECT 0 AS qid, embedding FROM chunks_vec WHERE memory_id = 0", 60) + "\nSELECT memory_id, score, rank FROM vector"
