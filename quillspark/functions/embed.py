@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,6 +55,10 @@ def hash_embedder(size: int = 768) -> Embedder:
     return run
 
 
+class WrongSize(ValueError):
+    """Vectors of another size than asked for, which asking again does not mend."""
+
+
 def checked(vectors: list[list[float]], number: int, size: int | None = None) -> list[list[float]]:
     """Unit vectors; ValueError unless there are ``number`` of one size, finite and not zero."""
     if len(vectors) != number:
@@ -61,14 +66,31 @@ def checked(vectors: list[list[float]], number: int, size: int | None = None) ->
     out = []
     for v in vectors:
         a = np.asarray(v, float)
-        if (size and len(a) != size) or not np.isfinite(a).all() or not a.any():
-            raise ValueError("a vector has another size, is not finite or is zero")
+        if size and len(a) != size:
+            raise WrongSize(f"a vector has {len(a)} components, not {size}")
+        if not np.isfinite(a).all() or not a.any():
+            raise ValueError("a vector is not finite or is zero")
         out.append((a / np.linalg.norm(a)).tolist())
     return out
 
 
-def embed(rows: DataFrame, text: str, embedder: Embedder, name: str = "embedding", batch: int = 64) -> DataFrame:
-    """``rows`` with vectors of a text column, in batches; rows of a batch that fails get null."""
+def asked_again(embedder: Embedder, texts: list[str], size: int | None = None, attempts: int = 3, delay: float = 0.25) -> list[list[float]]:
+    """Checked vectors of texts; a failed call is made again, ``attempts`` times in all, after ``delay`` seconds and twice as long each time."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return checked(embedder(texts), len(texts), size)
+        except WrongSize:
+            raise
+        except Exception:
+            if not left:
+                raise
+            time.sleep(delay)
+            delay *= 2
+    raise AssertionError
+
+
+def embed(rows: DataFrame, text: str, embedder: Embedder, name: str = "embedding", batch: int = 64, size: int | None = None, attempts: int = 3, delay: float = 0.25) -> DataFrame:
+    """``rows`` with vectors of a text column, in batches; rows of a batch that fails ``attempts`` times get null."""
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -77,7 +99,7 @@ def embed(rows: DataFrame, text: str, embedder: Embedder, name: str = "embedding
             for i in range(0, len(texts), batch):
                 some = [t or "" for t in texts.iloc[i : i + batch]]
                 try:
-                    out += checked(embedder(some), len(some))
+                    out += asked_again(embedder, some, size, attempts, delay)
                 except Exception:  # a provider that is down leaves the lexical arm
                     out += [None] * len(some)
             yield pd.Series(out, index=texts.index)

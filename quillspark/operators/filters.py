@@ -80,7 +80,7 @@ def in_space(rows: DataFrame, org_id: str, space_id: str) -> DataFrame:
 
 def source_of(rows: DataFrame) -> Column:
     """What a memory counts under in a cap of sources: the memory it was taken from, else its document, else its source."""
-    return F.coalesce(*[F.col(c).cast("string") for c in ("extracted_from", "doc_id", "source") if c in rows.columns], F.lit(None).cast("string"))
+    return F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("extracted_from", "doc_id", "source") if c in rows.columns], F.lit(None).cast("string"))
 
 
 def fetch(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.entities import salient
 from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import retrieval as S
-from ..operators.filters import MemoryFilter
+from ..operators.filters import MemoryFilter, source_of
 from ..operators.lexical_index import LexicalIndex
 from ..storage import stored
 
@@ -102,7 +102,7 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
     pool = (fused.join(named, "qid") if own else fused).filter(inside).select("qid", "memory_id", "score", F.concat(why, F.array(F.concat(F.lit("fused "), F.col("score").cast("string")))).alias("explain"))
     pool = pool.join(vector.select("qid", "memory_id", F.col("score").alias("vector_score")), ["qid", "memory_id"], "left")
     pool = pool.join(lexical.select("qid", "memory_id", F.col("score").alias("lexical_score")), ["qid", "memory_id"], "left")
-    about = live.select(F.col("id").alias("memory_id"), "source", "kind", "status", "occurred_at")
+    about = live.select(F.col("id").alias("memory_id"), "source", "kind", "status", "occurred_at", source_of(live).alias("__from"))
     rows = pool.join(about, "memory_id")
     if options.use_rerank:
         texts = chunks.groupBy("memory_id").agg(F.min_by("text", "ordinal").alias("text"), F.min("ordinal").alias("ordinal"))
@@ -116,7 +116,7 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
         rows = rows.withColumn("score", F.round(F.col("score") * factor, 9))
     if edges is not None:
         rows = G.suppress_superseded(rows, edges)
-    rows = R.source_cap(rows, options.max_per_source)
+    rows = R.source_cap(rows, options.max_per_source, "__from").drop("__from")
     if own:
         rows = rows.join(named, "qid")
     if options.route_by_kind:
@@ -130,3 +130,10 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
     else:
         out = R.cut(rows, few(limit, small[0]) if own else limit, options.min_score, "vector_score")
     return out.select("qid", "memory_id", "score", "rank", "vector_score", "lexical_score", "source", "kind", "status", "explain")
+
+
+def projected(results: DataFrame, memories: DataFrame, explain: bool = False, chars: int = 280) -> DataFrame:
+    """Results as they are shown: scores to 6 digits, the text's first ``chars`` characters, and how they came about if asked for."""
+    texts = memories.select(F.col("id").alias("memory_id"), F.substring("content", 1, chars).alias("preview"))
+    rows = results.join(texts, "memory_id", "left").withColumns({c: F.round(c, 6) for c in ("score", "vector_score", "lexical_score")})
+    return rows if explain else rows.drop("explain")
