@@ -11,8 +11,8 @@ from ._shared import hot_join, saved
 
 #: A block is one 64-bit word; a key sets up to KEY_BITS bits of its block; a listed key gets BITS_PER_KEY bits of filter.
 KEY_BITS, BITS_PER_KEY = 4, 16
-#: Most rules whose filter and exact keys are sent to every executor (some 100 bytes each); more are met by shuffles.
-SENT_RULES = 200_000
+#: Most rules whose filter is sent to every executor (some 10 bytes each), and whose exact keys are (some 100 bytes each).
+SENT_FILTER, SENT_RULES = 4_000_000, 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,14 +73,15 @@ def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
     return rules.groupBy(_block(key, blocks).alias("block")).agg(F.bit_or(_mask(key)).alias("word"))
 
 
-def apply_url_rules(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow", sent_rules: int = SENT_RULES) -> DataFrame:
+def apply_url_rules(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow", sent_rules: int = SENT_RULES, sent_filter: int = SENT_FILTER) -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to ``pages``, by the longest rule that fits each URL.
 
     Candidate keys of a URL are its host's domain suffixes, each with every prefix of its path of a length that some
     rule has. Those that the blocked Bloom filter passes go to a hash join on the exact (host, path), which removes
-    false positives. The filter is a table of blocks, met by block: up to ``sent_rules`` rules it is sent to all tasks
-    (some 10 bytes a rule), beyond that it is dealt by block, and hot blocks and keys, such as that of ``com``, are
-    split; the steps and results are the same. Only distinct (host, path) go through all this; the pages meet the
+    false positives. The filter is a table of blocks, met by block: up to ``sent_filter`` rules it is sent to all tasks
+    (some 10 bytes a rule), so only what it passes is shuffled to meet more than ``sent_rules`` exact keys (some 100 bytes
+    each). Beyond its own bound it is dealt by block too; hot blocks and keys, such as that of ``com``, are split. The steps
+    and results are the same. Only distinct (host, path) go through all this; the pages meet the
     outcome once. The longest rule is the one with most characters in host and path; at a tie the longer host.
 
     Null URLs and URLs without ``://`` have empty host and path, so no rule with a host fits: ``rule`` null, verdict
@@ -99,17 +100,16 @@ def apply_url_rules(pages: DataFrame, rules: DataFrame, url: str = "url", otherw
     lengths = F.filter(F.lit(sorted(known["lengths"])), lambda n: n <= F.length("path"))
     prefixes = F.transform(lengths, lambda n: F.substring("path", F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
-    small = known["n"] <= sent_rules
     urls = base.select("host", "path").distinct()
     tried = urls.select("host", "path", F.explode(pairs).alias("c")).select("host", "path", "c.h", "c.p", _block(_key(F.col("c.h"), F.col("c.p")), blocks).alias("block"))
     words, exact = bloom_blocks(rules, blocks), rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict")
 
-    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        return left.join(F.broadcast(right), keys) if small else hot_join(saved(left), right, keys)
+    def meet(left: DataFrame, right: DataFrame, keys: list[str], most: int) -> DataFrame:
+        return left.join(F.broadcast(right), keys) if known["n"] <= most else hot_join(saved(left), right, keys)
 
     mask = _mask(_key(F.col("h"), F.col("p")))
-    passed = meet(tried, words, ["block"]).filter(F.col("word").bitwiseAND(mask) == mask).select("host", "path", "h", "p")
+    passed = meet(tried, words, ["block"], sent_filter).filter(F.col("word").bitwiseAND(mask) == mask).select("host", "path", "h", "p")
     fits = F.struct((F.length("h") + F.length("p")).alias("n"), F.length("h").alias("hn"), F.concat("h", "p").alias("rule"), F.col("verdict").alias("verdict"))
-    best = meet(passed, exact, ["h", "p"]).groupBy("host", "path").agg(F.max(fits).alias("__best"))
+    best = meet(passed, exact, ["h", "p"], sent_rules).groupBy("host", "path").agg(F.max(fits).alias("__best"))
     joined = base.join(best, ["host", "path"], "left")
     return joined.select(*[c for c in base.columns], F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"))

@@ -101,6 +101,17 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_units_whose_recall_is_too_low(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(200, 16))
+    x = np.concatenate([base, base[:80] + draw.normal(0, 0.05, (80, 16)), base[:1] + draw.normal(0, 0.02, (60, 16))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    run = lambda: sorted(map(tuple, embedding_dedup.embedding_links(table, shards=3).collect()))
+    by_graph = run()
+    monkeypatch.setattr(embedding_dedup, "RECALL", 2.0)  # no beam reaches it
+    assert run() == by_graph
+
+
 def test_graph_recall():
     draw = np.random.default_rng(6)
     x = draw.normal(size=(3000, 32)).astype(np.float32)
@@ -475,6 +486,8 @@ def test_url_rules(spark):
     assert got[7][3:] == ("a.b/cd", "block") and got[8][1] == "u@x.org:80" and got[9][1:3] == ("ÄÖ.org", "/É")
     dealt = url_filter.apply_url_rules(table, url_filter.rules_table(spark, rules), sent_rules=0).orderBy("page_id")
     assert [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in dealt.collect()] == got
+    dealt = url_filter.apply_url_rules(table, url_filter.rules_table(spark, rules), sent_rules=0, sent_filter=0).orderBy("page_id")
+    assert [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in dealt.collect()] == got
     assert url_filter.apply_url_rules(table, url_filter.rules_table(spark, []), otherwise="block").filter("verdict = 'block'").count() == 12
     assert url_filter.apply_url_rules(table.limit(0), url_filter.rules_table(spark, rules)).count() == 0
 
