@@ -175,19 +175,19 @@ def planted(graph: Graph, queries: np.ndarray, least: float, seed: int = 7) -> n
 def audited_beam(graph: Graph, queries: np.ndarray, least: float, seed: int = 3) -> tuple[int, float]:
     """(beam, recall): the narrowest beam, doubled from EF_QUERY, that finds RECALL of what brute force finds.
 
-    Audited are links of a sample of the queries, those with few enough to need no wider beam, and links planted at
-    ``least`` between nodes and directions towards queries, which every unit has: neither a large group nor a sample
-    without links hides what small families lose. Recall is that of a query, averaged. A beam of DENSE is the widest;
-    the recall that it reaches is returned.
+    Audited are links of a sample of the queries, those with few, for which no beam widens, and those with more apart from
+    them, and links planted at ``least`` between nodes and directions towards queries, which every unit has: neither a large
+    group nor a sample without links hides what small families lose. Recall is that of a query, averaged. A beam of DENSE
+    is the widest; the recall that it reaches is returned, and where that is too low the unit is done without the graph.
     """
     slack, ef = least - SLACK, EF_QUERY
     sample = queries[np.argsort(mixed(np.arange(len(queries), dtype=np.uint64) ^ np.uint64(seed)))[:AUDITED]]
     audits = []
     for q in (sample, planted(graph, sample, least)):
         links = (q @ graph.x.T >= slack).sum(axis=1) if len(q) else np.zeros(0, np.int64)
-        some = np.flatnonzero((links > 0) & (links <= EF_QUERY))
-        if len(some):
-            audits.append((q[some], links[some]))
+        for some in (np.flatnonzero((links > 0) & (links <= EF_QUERY)), np.flatnonzero((links > EF_QUERY) & (links < DENSE))):
+            if len(some):
+                audits.append((q[some], links[some]))
 
     def recall(q, truth) -> float:
         row, _, dense = graph.within(q, slack, ef)
@@ -262,7 +262,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
     shards is one unit of work, in which all vectors of one query the graph of the other, and candidates are verified
     in double precision. Beams widen where a query's links fill them (in the end its links are counted by products of
     a few queries with the shard, so a large group makes no pairs), and where the audit by brute force over a sample of
-    a unit's queries and over links planted at ``least`` finds less than RECALL. A unit returns a count for each node
+    a unit's queries and over links planted at ``least`` finds less than RECALL; a unit whose widest beam finds less is done by
+    products of all its queries with all nodes. A unit returns a count for each node
     and a forest of its links, not its pairs. Work is the number of vectors times that of shards, and so grows with the
     square of the vectors past ``shards * shard_rows`` of them: every shard is queried.
 
@@ -314,9 +315,11 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
                 q_exact, q = (exact, x) if own else _unit(u.q_vectors, u.dim, kind)
                 ids, weights = np.frombuffer(u.ids, np.int64), np.frombuffer(u.weights, np.int64)
                 q_ids, q_weights = (ids, weights) if own else (np.frombuffer(u.q_ids, np.int64), np.frombuffer(u.q_weights, np.int64))
-                ef, _ = audited_beam(graph, q, least)
+                ef, reached = audited_beam(graph, q, least)
                 made, dense, first, second = Links(exact, weights, q_exact, q_weights, own, least), [], [], []
-                for lo in range(0, len(q), QUERIES_AT_ONCE):
+                if reached < RECALL:  # the graph loses links at any beam: all queries meet all nodes by products
+                    dense.append(np.arange(len(q)))
+                for lo in range(0, len(q) if reached >= RECALL else 0, QUERIES_AT_ONCE):
                     a, b, full = graph.within(q[lo : lo + QUERIES_AT_ONCE], least - SLACK, ef)
                     dense.append(full + lo)
                     if own:
@@ -326,7 +329,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
                 dense, near = np.concatenate(dense), np.zeros(len(x), bool)
                 if own:  # found from both ends, or from one; what a dense end has is counted there
                     near[dense] = True
-                    a, b = np.concatenate(first), np.concatenate(second)
+                    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
                     some = (a != b) & ~near[a] & ~near[b]
                     key = np.unique(np.minimum(a[some], b[some]) * len(x) + np.maximum(a[some], b[some]))
                     made.pairs(key // len(x), key % len(x))
