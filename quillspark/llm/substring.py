@@ -93,7 +93,7 @@ def first_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame, text: str, window: int, firsts: Broadcast, key: Column) -> DataFrame:
-    """(anchor) of the winnowed anchors that occur at two places or more, in one first copy or several."""
+    """(anchor, n) of the winnowed anchors that occur at two places or more, in one first copy or several."""
 
     def run(batches):
         for batch in batches:
@@ -104,7 +104,7 @@ def repeated_anchors(docs: DataFrame, text: str, window: int, firsts: Broadcast,
                 yield pa.RecordBatch.from_arrays([pa.array(least[fresh].view(np.int64))], names=["anchor"])
 
     anchors = docs.select(F.col(text).alias("t"), key.alias("key")).mapInArrow(run, "anchor long")
-    return anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    return anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -182,19 +182,20 @@ def later_stretches(docs: DataFrame, firsts: Broadcast, id_col: str = "doc_id",
     occurrence, none a window. The first in order of id, text hash and place stays, whatever the number of others.
 
     A task sends a context once, and again only if it comes earlier in that order; the others are known for repeats
-    where they are read, so a passage that is in every document meets in no one task. An anchor with over
-    ``group_most`` occurrences is left to its windows' hashes, which are combined where they are and joined with hot ones split.
-    Rows of one id and text are one document.
+    where they are read, so a passage that is in every document meets in no one task. Anchors with over ``group_most``
+    occurrences are known before anything is dealt: their windows go one by one by 128-bit hashes, each once a task, are
+    combined where they are and joined with hot ones split. Rows of one id and text are one document.
     """
     key = _copy_key(F.col(id_col), F.col(text))
     marked = saved(repeated_anchors(docs, text, window, firsts, key))
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(marked))
+    sent, hot = (docs.sparkSession.sparkContext.broadcast(bitmap(rows)) for rows in (marked, marked.filter(F.col("n") > group_most)))
     read = docs.select(F.col(id_col).alias("__id"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("__h"), F.col(text).alias("t"), key.alias("key"))
     fields = read.select("__id", "__h").schema.fields
     widest = window - SEED + 1
 
     def occur(batches):
         met: dict[tuple[int, int, int], tuple] = {}
+        seen: dict[tuple[int, int], tuple] = {}
         for batch in batches:
             batch = batch.filter(pa.array(has(firsts.value, np.asarray(batch.column(3)).view(np.uint64))))
             for row, place, least, good, _, words, data, starts, ends in _windows(batch.column(2), window):
@@ -213,90 +214,78 @@ def later_stretches(docs: DataFrame, firsts: Broadcast, id_col: str = "doc_id",
                 lasts = good[begin] + number - 1
                 ids, hs = batch.column(0).take(pa.array(row[begin])), batch.column(1).take(pa.array(row[begin]))
                 named = zip(ids.to_pylist(), hs.to_pylist(), place[begin].tolist(), zip(grams[good[begin]].tolist(), grams[lasts].tolist(), number.tolist()), starts[good[begin]].tolist(), ends[lasts + window - 1].tolist())
-                contexts, keep, keys = [], [], least[begin].view(np.int64).copy()
+                heated, two = has(hot.value, least[begin]), None
+                contexts, keep, keys, shift, many, first, second = [], [], [], [], [], [], []
+
+                def out(i, key, j=0, n=1, context=None, a=None, b=None):
+                    keep.append(i), keys.append(key), shift.append(j), many.append(n), contexts.append(context), first.append(a), second.append(b)
+
                 for i, (d, h, p, context, s, e) in enumerate(named):
                     mine = (d is not None, d, h, p)
                     before = met.get(context)
                     if before == mine:
                         continue
-                    keep.append(i)
                     if before is not None and before < mine:
-                        contexts.append(None)
-                        keys[i] = hash(mine[1:]) & 0x7FFFFFFFFFFFFFFF
+                        out(i, hash(mine[1:]) & 0x7FFFFFFFFFFFFFFF, 0, context[2])
                         continue
                     if len(met) >= REMEMBERED:
                         met.clear()
                     met[context] = mine
-                    contexts.append(b" ".join(data[s:e].tobytes().split()).decode())
+                    if not heated[i]:
+                        out(i, int(least[begin[i]].view(np.int64)), 0, context[2], b" ".join(data[s:e].tobytes().split()).decode())
+                        continue
+                    two = gram_hashes(mixed(words), window) if two is None else two
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    w, n = int(good[begin[i]]), context[2]
+                    later = 0  # windows side by side that this task has sent from an earlier place
+                    for j, name in enumerate(zip(grams[w : w + n].view(np.int64).tolist(), two[w : w + n].view(np.int64).tolist())):
+                        here = (*mine[:3], p + j)
+                        if seen.get(name, here) < here:
+                            later += 1
+                            continue
+                        if later:
+                            out(i, hash(here) & 0x7FFFFFFFFFFFFFFF, j - later, later)
+                            later = 0
+                        seen[name] = here
+                        out(i, name[0] & 0x7FFFFFFFFFFFFFFF, j, 1, None, *name)
+                    if later:
+                        out(i, hash(mine) & 0x7FFFFFFFFFFFFFFF, n - later, later)
                 at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys).take(at), ids.take(at), hs.take(at), pa.array(place[begin].astype(np.int32)).take(at), pa.array(number.astype(np.int32)).take(at), pa.array(contexts, pa.string())], names=["anchor", "__id", "__h", "place", "number", "context"])
+                places = pa.array((place[begin][keep] + np.array(shift, np.int64)).astype(np.int32)) if keep else pa.array([], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids.take(at), hs.take(at), places, pa.array(many, pa.int32()), pa.array(contexts, pa.string()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["anchor", "__id", "__h", "place", "number", "context", "one", "two"])
 
-    seeds = read.mapInArrow(occur, StructType([*StructType.fromDDL("anchor long").fields, *fields, *StructType.fromDDL("place int, number int, context string").fields]))
+    seeds = read.mapInArrow(occur, StructType([*StructType.fromDDL("anchor long").fields, *fields, *StructType.fromDDL("place int, number int, context string, one long, two long").fields]))
     made = StructType([*fields, *StructType.fromDDL("start int, stop int, one long, two long").fields])
 
     def meet(batches):
-        def out(rows: pa.RecordBatch, at: np.ndarray, start: np.ndarray, stop: np.ndarray, one=None, two=None):
-            none = pa.nulls(len(at), pa.int64())
-            at = pa.array(at, pa.int64())
-            return pa.RecordBatch.from_arrays([rows.column("__id").take(at), rows.column("__h").take(at), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), none if one is None else pa.array(one.view(np.int64)), none if two is None else pa.array(two.view(np.int64))], names=made.names)
-
         def extended(rows: pa.RecordBatch):
             rank = np.asarray(pc.rank(rows.column("__id"), null_placement="at_start", tiebreaker="dense")).astype(np.int64)
             doc = np.unique(np.stack([rank, np.asarray(rows.column("__h"))], axis=1), axis=0, return_inverse=True)[1].ravel()
             place = np.asarray(rows.column("place")).astype(np.int64)
             of, a, b = extend(rows.column("context"), np.asarray(rows.column("number")).astype(np.int64), doc, place, window)
-            return out(rows, of, place[of] + a, place[of] + b)
-
-        def by_window(rows: pa.RecordBatch):
-            for lo in range(0, rows.num_rows, 2000):
-                part = rows.slice(lo, 2000)
-                data = np.frombuffer(" ".join(part.column("context").to_pylist()).encode() + bytes(8), np.uint8)
-                starts, ends, _ = word_bounds(data, np.array([0, len(data) - 8]))
-                words, number = xxh64_slices(data, starts, ends - starts), np.asarray(part.column("number")).astype(np.int64)
-                of = np.repeat(np.arange(len(number)), number)
-                j = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
-                at = (np.cumsum(number + window - 1) - (number + window - 1))[of] + j
-                start = np.asarray(part.column("place"))[of] + j
-                yield out(part, of, start, start + window, gram_hashes(words, window)[at], gram_hashes(mixed(words), window)[at])
-
-        def settled(rows: pa.RecordBatch):
-            anchor = np.asarray(rows.column("anchor"))
-            begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            size = np.diff(np.append(begin, len(anchor)))
-            large = np.repeat(size > group_most, size)
-            if large.any():
-                yield from by_window(rows.filter(pa.array(large)))
-                rows = rows.filter(pa.array(~large))
-            if rows.num_rows:
-                yield extended(rows)
+            at, none = pa.array(of, pa.int64()), pa.nulls(len(of), pa.int64())
+            return pa.RecordBatch.from_arrays([rows.column("__id").take(at), rows.column("__h").take(at), pa.array((place[of] + a).astype(np.int32)), pa.array((place[of] + b).astype(np.int32)), none, none], names=made.names)
 
-        held, over = None, None
+        held = None
         for batch in batches:
             known = pc.is_null(batch.column("context"))
             rows, batch = batch.filter(known), batch.filter(pc.invert(known))
             if rows.num_rows:
                 start = np.asarray(rows.column("place"))
-                yield out(rows, np.arange(rows.num_rows), start, start + np.asarray(rows.column("number")) + window - 1)
-            if over is not None:  # the rest of an anchor whose first rows have gone by their windows
-                lead = int(np.searchsorted(np.asarray(batch.column("anchor")), over, "right"))
-                if lead:
-                    yield from by_window(batch.slice(0, lead))
-                    batch = batch.slice(lead)
+                stop = pa.array((start + np.asarray(rows.column("number")) + window - 1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([rows.column("__id"), rows.column("__h"), rows.column("place"), stop, rows.column("one"), rows.column("two")], names=made.names)
             if not batch.num_rows:
                 continue
-            over = None
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             anchor = np.asarray(batch.column("anchor"))
             last = int(np.searchsorted(anchor, anchor[-1]))
             if last:
-                yield from settled(batch.slice(0, last))
+                yield extended(batch.slice(0, last))
             held = batch.slice(last)
-            if held.num_rows > group_most:
-                yield from by_window(held)
-                over, held = anchor[-1], None
         if held is not None:
-            yield from settled(held)
+            yield extended(held)
 
     found = saved(seeds.repartition("anchor").sortWithinPartitions("anchor", "__id", "__h", "place").mapInArrow(meet, made))
     stretches = found.filter("one is null").select("__id", "__h", "start", "stop")
