@@ -6,6 +6,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,8 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
 
 #: Characters that are encoded at once by the pattern above, whose matcher fails on far longer runs of white space.
 ENCODE_CHARS = 1 << 16
+#: Texts, and characters, whose ids are lists at once (one text, or part of a long one, at least).
+SLICE_TEXTS, SLICE_CHARS = 64, 1 << 20
 
 
 def encodable(text: str, most: int = ENCODE_CHARS) -> list[str]:
@@ -96,6 +99,24 @@ def encodable(text: str, most: int = ENCODE_CHARS) -> list[str]:
     return [*parts, text[at:]]
 
 
+def encoded(encode, texts: pa.Array, parted: bool):
+    """Yields (first row, id arrays) for runs of texts of at most SLICE_TEXTS rows and SLICE_CHARS characters.
+
+    Ids are 4 bytes each once a run is done, so several very long texts in a row cost no more than one. A text that is longer
+    is encoded in parts where the tokenizer allows it (``parted``): no token crosses where ``encodable`` cuts.
+    """
+    chars = np.asarray(pc.fill_null(pc.utf8_length(texts), 0)).astype(np.int64)
+    ends, lo = np.cumsum(chars), 0
+    while lo < len(texts):
+        hi = max(lo + 1, min(lo + SLICE_TEXTS, int(np.searchsorted(ends, ends[lo] - chars[lo] + SLICE_CHARS, "right"))))
+        run = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+        if parted and chars[lo] > SLICE_CHARS:
+            yield lo, [np.concatenate([np.array(encode([part])[0], np.uint32) for part in encodable(run[0], SLICE_CHARS)])]
+        else:
+            yield lo, [np.array(t, np.uint32) for t in encode(run)]
+        lo = hi
+
+
 def load_tokenizer(name: str, content: bytes):
     """Function from a list of texts to lists of ids; ``name``'s ending tells the kind of file that ``content`` is."""
     if name.endswith(".tiktoken"):
@@ -180,11 +201,9 @@ def pack_tokens(docs: DataFrame, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.
 
         held_ids, held, number = [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                texts = batch.column(1).slice(lo, 64).to_pylist()
-                made = [np.array(t, np.uint32) for t in encode([t or "" for t in texts])]
+            for lo, made in encoded(encode, batch.column(1), tokenizer.endswith(".tiktoken")):
                 some = [i for i, t in enumerate(made) if len(t)]
-                held_ids.append(batch.column(0).slice(lo, 64).take(pa.array(some, pa.int64())))
+                held_ids.append(batch.column(0).slice(lo, len(made)).take(pa.array(some, pa.int64())))
                 held += [made[i] if end_id is None else np.append(made[i], np.uint32(end_id)) for i in some]
                 number += sum(len(made[i]) for i in some)
                 if number >= PACK_TOKENS:

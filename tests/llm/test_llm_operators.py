@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -396,6 +397,20 @@ def test_long_runs_are_packed(spark):
     assert encode(texts[2:]) == [coder.encode_ordinary(t) for t in texts[2:]]
 
 
+def test_texts_are_encoded_by_characters(monkeypatch):
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    with open(path, "rb") as f:
+        encode = packing.load_tokenizer(path, f.read())
+    texts = ["a b " * 100, None, "", "word, and \n words " * 900, "é漢 " * 70, *["short"] * 200]
+    whole = [np.array(x) for x in encode([t or "" for t in texts])]
+    monkeypatch.setattr(packing, "SLICE_CHARS", 1000)
+    most, got = 0, {}
+    for lo, made in packing.encoded(encode, pa.array(texts), True):
+        most = max(most, len(made))
+        got |= {lo + i: t.tolist() for i, t in enumerate(made)}
+    assert got == {i: t.tolist() for i, t in enumerate(whole)} and most <= 64
+
+
 def test_best_fit_is_best():
     draw = random.Random(4)
     for _ in range(100):
