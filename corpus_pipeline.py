@@ -1,4 +1,12 @@
-"""From raw documents to shards: quality, near copies, benchmark passages, mixing, sharding."""
+"""From raw documents to shards: quality, near copies, benchmark passages, mixing, sharding.
+
+Null, empty and blank texts go through all stages like others: they have one common quality score; those that the
+classifier keeps are one group of near copies, of which one row stays; they have no benchmark words; they weigh nothing
+in the mix and 16 bytes in a shard. A null id is an id like any other, a null source a source of its own. Of repeated rows the
+near-copy stage keeps one; the mix may repeat a row again, and each repeat has a place of its own in the shards. A very long
+text is read in pieces. An empty table stays empty. Further columns are carried along; ``shard`` and ``slot`` of the last stage
+take the place of columns of these names.
+"""
 
 from __future__ import annotations
 

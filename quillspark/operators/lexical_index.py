@@ -420,8 +420,11 @@ def kept_index(chunks: DataFrame, buckets: int = BUCKETS) -> LexicalIndex:
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         name.update(f"{file} {found.getLen()} {found.getModificationTime()}".encode())
     index = LexicalIndex(spark, f"{shared_base(spark)}/kept-{name.hexdigest()}", buckets)
+    path, files = index._file()
+    # a former session's removal of its tables may have been cut short: what is not there as a whole is made anew
+    if not all(files.exists(index._file(kind, name, "_SUCCESS")[0]) for name in index.batches() for kind in ("chunks", "postings")):
+        files.delete(path, True)
     if not index.batches():
-        path, files = index._file()
         files.deleteOnExit(path)
         index.add(chunks)
     return index
