@@ -93,9 +93,9 @@ def one_by_one(space, rows, schema, spark, model):
 def test_batch_equals_one_by_one(spark):
     schema = "id string, content string, source string, occurred_at timestamp, tags array<string>"
     base = "the harbour crane is moved to the north pier by the night crew every second week of the month"
-    chain = [base, base + " s", base + " s s", base + " s s s", base]
-    others = ["the harbour crane is moved to the south pier by the night crew every second week of the month", "Berta Klein owns 3 boats in Porto", "Berta Klein owns 4 boats in Porto"]
-    rows = [(f"m{i:02d}", t, "a", T0 + timedelta(days=i), ["x"]) for i, t in enumerate([*chain, *others])]
+    chain = [base + " s" * k for k in range(4)]
+    others = ["Berta Klein owns 4 boats in Porto"]
+    rows = [(f"m{i:02d}", t, "a", T0 + timedelta(days=max(0, i - 3)), ["x"]) for i, t in enumerate([*chain, *others])]
 
     def model(prompts):
         return ['[{"n": 1, "supersedes": true, "confidence": 0.9, "old_value": "3 boats", "new_value": "4 boats"}]'] * len(prompts)
