@@ -243,7 +243,7 @@ SELECT (SELECT count(*) FROM gone) AS memories, (SELECT count(*) FROM versions W
   (SELECT count(*) FROM edges WHERE source_id IN (FROM gone) OR target_id IN (FROM gone)) AS edges,
   (SELECT count(*) FROM made WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source_id = made.source_id AND s.target_id = made.target_id)) AS bridged"""
 
-SQL["near_duplicate_pairs"] = with_views("memories_text") + f""", {_pairs(0.25, 0.99)}
+SQL["near_duplicate_pairs"] = with_views("memories_text") + f""", {_pairs(0.25, 2)}
 SELECT new_id, old_id, round(sim, 6) AS sim FROM pairs QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) = 1"""
 SQL["supersession_proposals"] = with_views("memories_text") + f""", {_pairs(0.1, 0.97)}
 SELECT new_id, old_id, round(sim, 6) AS sim, round(least(0.99, 0.35 + 0.45 * (sim - 0.1) / (0.97 - 0.1)::DOUBLE + CASE WHEN {_MARKED} THEN 0.15 ELSE 0 END

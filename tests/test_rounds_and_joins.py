@@ -116,7 +116,7 @@ def test_batch_equals_one_by_one(spark):
 
 def test_statements_that_say_less(spark):
     cases = [
-        ("Krishna works with Reakon Labs", "Krishna is Principal Engineer and co-founder of Reakon Labs Pvt. Ltd. since May 2026", True),
+        ("Mara works with Delft Harbour", "Mara is Chief Pilot and co-owner of Delft Harbour Tugs B.V. since May 2026", True),
         ("the price is $45.00 now", "the price is 60 now", False),
         ("Anna moved to Oslo", "Anna lives in Rome", False),
         ("the crane costs 45", "the crane costs 60 each month of 2024", True),
