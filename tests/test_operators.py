@@ -206,3 +206,19 @@ def test_bench_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"question_id": "q1_abs", "question": "?", "answer": "a", "question_type": "t", "question_date": "2024/01/01", "haystack_sessions": [[{"role": "user", "content": "hello"}]], "haystack_session_ids": ["h1"], "haystack_dates": ["d"], "answer_session_ids": ["h1"]}]')
     r = bench.session_documents(spark, str(tmp_path / "s.json")).first()
     assert r["text"] == "user: hello" and r["is_evidence"] and r["is_abstention"]
+
+
+def test_disagreement_reads_words_as_sql_does(spark):
+    """Words end at letters beyond ASCII, as in the SQL's regular expressions: flags of odd texts in both engines."""
+    import duckdb
+
+    from quillspark.plans import oracle
+
+    texts = ["noñjaóue", "ünot here", "say n'té, don'té", "losesícorr", "selló", "deliKe liKe", "deſell ſell liKed", "disliKed", "é5 5é 1,é 2,3ö", "mondayé émonday", "x1.é a-1ß 7.", "1, 2. 3_4", "nothing_ no_", ""]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(C.disagreement_flags(F.col("t")).alias("f"), C.digit_words(F.col("t")).alias("g")).select("f.negated", F.array_sort("f.terms"), "f.figures", "f.days", "g").collect()]
+    con = duckdb.connect()
+    terms = sorted({w for pair in C.ANTONYMS for w in pair})
+    held = ", ".join(rf"CASE WHEN regexp_matches($t, '(?i)\b{w}{C.INFLECTIONS}\b') THEN '{w}' END" for w in terms)
+    sql = f"SELECT {oracle._NEG.format(x='$t')}, list_filter([{held}], lambda x: x IS NOT NULL), " + r"regexp_extract_all($t, '\b(\d[\d,]*(\.\d+)?)\b', 1), regexp_extract_all(lower($t), '\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b', 1), " + oracle._DIGITS.format(x="$t")
+    want = [con.execute(sql, {"t": t}).fetchall()[0] for t in texts]
+    assert got == want and got[0][0] and got[3][1] == ["lose"]
