@@ -192,3 +192,16 @@ def test_typed_metadata(spark):
     ids = lambda *pairs: [r.id for r in df.filter(P.MemoryFilter(frozenset(), metadata=pairs, in_variant=True).column()).orderBy("id").collect()]
     assert ids(("a", 1)) == [1, 2] and ids(("a", "1")) == [3] and ids(("a", True)) == [4] and ids(("b", None)) == [2, 3, 4, 5, 6, 7]
     assert ids(("x y", "z")) == [7] and ids(("a", 1), ("c", True)) == [1] and ids(("a", 2)) == []
+
+
+def test_band_join_deals_by_columns_not_by_pivots(spark, monkeypatch):
+    monkeypatch.setattr(bands, "UNIT_ROWS", 100)
+    x = np.random.default_rng(3).normal(size=(400, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, [1.0, float(i)]) for i in range(250)], "id long, embedding array<double>")
+    one, held, layout = bands._dealt(df, df, 0.45)
+    columns = [{int(f) + k for f, n in zip(c[4], c[5]) for k in range(n)} for c in layout.cells.values()]
+    assert held.select("size", "cell").distinct().count() > 20 and sum(map(len, columns)) <= 4 + 1 + 3 + 1
+    assert len(set.union(*columns)) == sum(map(len, columns)) and one.count() == 650
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.45)) if i != j}
+    assert {(r.new_id, r.old_id) for r in bands.similar_pairs(df, df, 0.45, None).collect() if r.new_id < 1000 and r.old_id < 1000} == want
