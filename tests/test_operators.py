@@ -222,3 +222,12 @@ def test_disagreement_reads_words_as_sql_does(spark):
     sql = f"SELECT {oracle._NEG.format(x='$t')}, list_filter([{held}], lambda x: x IS NOT NULL), " + r"regexp_extract_all($t, '\b(\d[\d,]*(\.\d+)?)\b', 1), regexp_extract_all(lower($t), '\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b', 1), " + oracle._DIGITS.format(x="$t")
     want = [con.execute(sql, {"t": t}).fetchall()[0] for t in texts]
     assert got == want and got[0][0] and got[3][1] == ["lose"]
+
+
+def test_supersessions_need_no_pairs_with_others(spark):
+    rows = [(i, "no longer " * (i % 2) + "x" * (600 if i == 3 else 9), "stale" if i == 4 else "active", at(i + 1), ["t"]) for i in range(8)]
+    m = spark.createDataFrame(rows, "id long, content string, status string, occurred_at timestamp, tags array<string>")
+    pairs = spark.createDataFrame([(a, b, 0.8) for a in range(8) for b in range(8) if a != b], "new_id long, old_id long, sim double")
+    few = pairs.join(C.replaceable(m).select(F.col("id").alias("old_id")), "old_id", "left_semi").select("new_id", "old_id", "sim")
+    got, want = (sorted(map(tuple, C.supersessions(p, m).collect())) for p in (few, pairs))
+    assert got == want and {(a, b) for a, b, _, _ in got} == {(a, b) for a in range(8) for b in range(a) if b not in (3, 4)}
