@@ -36,3 +36,30 @@ def test_associations_take_shared_names(spark, tmp_path):
     want = {(0, i, len(names[0] & names[i]) + 1) for i in (1, 2) if names[0] & names[i]}
     got = {(r["left_id"], r["right_id"], r["weight"]) for r in catalogue.association_edges(spark, str(tmp_path)).collect()}
     assert got == want == {(0, 1, 2)}
+
+
+@pytest.mark.parametrize("held", [1 << 20, 5])
+def test_a_task_passes_on_its_best_only(spark, monkeypatch, held):
+    import numpy as np
+
+    monkeypatch.setattr(S, "MOST_HELD", held), monkeypatch.setattr(S, "TILE_SCORES", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        x = np.random.default_rng(2).integers(-2, 3, size=(900, 4)).astype(float)
+        rows = [(int(i // 3), int(i % 3), v.tolist()) for i, v in enumerate(x)] + [(400, 0, [1.0, 2.0]), (401, 0, None)]
+        chunks = spark.createDataFrame(rows, "memory_id long, ordinal int, embedding array<double>").coalesce(1)
+        asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:40])] + [(99, [2.0, 1.0])], "qid long, embedding array<double>")
+        passed, was = [], S.best_chunk
+        monkeypatch.setattr(S, "best_chunk", lambda df: passed.append(df.count()) or was(df))
+        got = {(r.qid, r.rank): (r.memory_id, r.score, r.ordinal) for r in S.vector_search(chunks, asked, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    norm = np.linalg.norm(x, axis=1)
+    with np.errstate(invalid="ignore"):
+        sim = np.round(np.where(norm[:40, None] * norm == 0, 0.0, np.clip(x[:40] @ x.T / (norm[:40, None] * norm), -1, 1)), 6) + 0.0
+    edge = 0
+    for q in range(40):
+        best = sorted((-max(c), m, int(np.argmax(c))) for m, c in enumerate(sim[q].reshape(-1, 3)))
+        assert [got[q, r] for r in range(1, 6)] == [(m, -s, o) for s, m, o in best[:5]]
+        edge += sum(s <= best[4][0] for s, _, _ in best)
+    assert got[99, 1][0] == 400 and passed == [edge + 1]
