@@ -149,3 +149,17 @@ def test_grades(spark):
     got = df.withColumn("g", scoring.grade(F.col("answer"), F.col("spec"))).orderBy("i").collect()
     assert [(r["g"] and r["g"]["correct"], r["g"] and r["g"]["completeness"]) for r in got] == [r[2:] for r in rows]
     assert got[7]["g"]["missing"] == ["aisle"]
+
+
+def test_names_are_found_by_slices(monkeypatch):
+    import pandas as pd
+
+    from quillspark.functions import entities as N
+
+    texts = pd.Series(["we met Berta Klein at the gate", None, "", "the ship QX17 left Porto Santo. Then QX17 sank", "a" * 50 + " at Delft Harbour"], index=[3, 4, 9, 11, 20])
+    whole = next(N.names.func(iter([texts])))
+    seen, was = [], N.name_table
+    monkeypatch.setattr(N, "NAMED_CHARS", 20)
+    monkeypatch.setattr(N, "name_table", lambda some: seen.append(len(some)) or was(some))
+    part = next(N.names.func(iter([texts])))
+    assert part.tolist() == whole.tolist() and list(part.index) == list(texts.index) and len(seen) > 2 and sum(seen) == 5
