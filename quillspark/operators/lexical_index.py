@@ -21,11 +21,11 @@ from ..storage import dropped, shared_base, stored
 
 K1, B = 1.2, 0.75
 #: Chunks of a shard (more only if one memory has them), and of a block, for which a posting list knows its maxima.
-SHARD_CHUNKS, BLOCK_BITS = 1 << 15, 10
+SHARD_CHUNKS, BLOCK_BITS = 1 << 13, 10
 #: Chunks from which a shard's scores are pruned by bounds; queries of one unit of work.
 PRUNED_FROM, QUERIES_EACH = 4096, 256
 #: Buckets of terms if not said otherwise (a folder each, so large corpora take more), and the number of this layout.
-BUCKETS, LAYOUT = 16, 1
+BUCKETS, LAYOUT = 16, 2
 #: Scores are rounded before they are ranked, so bounds leave room for that.
 ROOM = 1e-5
 

@@ -106,3 +106,11 @@ def test_rerank_from_postings_equals_rerank_from_texts(spark):
 def test_empty_index(spark):
     index = L.temporary_index(spark.createDataFrame([], CHUNKS))
     assert index.search(spark.createDataFrame(QUERIES, "qid int, text string"), 3).count() == 0
+
+
+def test_a_shard_stays_small(spark):
+    from quillspark.operators import lexical_index
+
+    rows = spark.range(9000).selectExpr("id AS memory_id", "0 AS ordinal", "concat('word', id % 7) AS text")
+    sizes = [r[0] for r in lexical_index._built(rows, 1).filter("word is null").selectExpr("size(offs)").collect()]
+    assert sum(sizes) == 9000 and max(sizes) <= 8192
