@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -13,6 +13,8 @@ from ..storage import stored
 
 #: Edges that one task settles.
 ONE_TASK = 1_000_000
+#: Rows of a key up to which each is compared with each; a key with more goes by shared words.
+MOST_PAIRED = 64
 
 
 def _settled(edges: DataFrame) -> DataFrame:
@@ -65,25 +67,40 @@ def dropped_by_first(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
 def alike_sets(rows: DataFrame, keys: list[str], order: list[str], words: Column, least: float) -> DataFrame:
     """(first, later): ids of rows whose word sets are alike by Jaccard ``least`` or more, within equal ``keys``, in order.
 
+    Up to MOST_PAIRED rows of a key are compared each with each, so sets are sent once a row and not once a word. Keys with
+    more go by ``_met_by_words``. Sets must be distinct within the keys; empty ones are like none. ``rows`` is read several times.
+    """
+    sets = rows.select(*keys, F.struct(*order, "id").alias("o"), "id", F.array_sort(F.array_distinct(words)).alias("w")).filter("size(w) > 0")
+    large = stored(sets.groupBy(*keys).count().filter(F.col("count") > MOST_PAIRED).select(*keys))
+    near = (F.col("n1") >= least * F.col("n2") - 1e-9) & (F.col("n2") >= least * F.col("n1") - 1e-9)
+    shared = F.size(F.array_intersect("w1", "w2"))
+    alike = shared / (F.col("n1") + F.col("n2") - shared) >= least
+    sides = lambda df: [df.select(*keys, F.col("o").alias(f"o{i}"), F.size("w").alias(f"n{i}"), F.col("w").alias(f"w{i}"), F.col("id").alias(c)) for i, c in ((1, "first"), (2, "later"))]
+    if large.isEmpty():
+        a, b = sides(sets)
+        return a.join(b, keys).filter((F.col("o1") < F.col("o2")) & near & alike).select("first", "later")
+    a, b = sides(sets.join(large, keys, "left_anti"))
+    few = a.join(b, keys).filter((F.col("o1") < F.col("o2")) & near & alike).select("first", "later")
+    many = sets.join(large, keys, "left_semi")
+    one, two = (side.drop(*keys, "o1", "o2") for side in sides(many))
+    return few.union(_met_by_words(many, keys, near, least).join(one, "first").join(two, "later").filter(alike).select("first", "later"))
+
+
+def _met_by_words(sets: DataFrame, keys: list[str], near: Column, least: float) -> DataFrame:
+    """(first, later) of sets (keys, o, id, w) that may be alike by ``least``.
+
     Prefix filter: with words from rare to common, two sets that are so alike share one of the first n - ceil(least n) + 1
-    words of each. Only rows that share one are compared. Sets must be distinct within the keys; empty ones are like none.
+    words of each. Only rows that share one are compared.
     """
-    sets = stored(rows.select(*keys, *order, "id", F.array_sort(F.array_distinct(words)).alias("w")).filter("size(w) > 0"))
     each = sets.select(*keys, "id", F.explode("w").alias("word"))
     common = each.groupBy(*keys, "word").agg(F.count("*").alias("n"))
     ranked = each.join(common, [*keys, "word"]).groupBy(*keys, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("p"))
     size = F.size("p")
     prefixes = ranked.select(*keys, "id", F.explode(F.slice("p", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))).alias("word"))
-    placed = sets.select(*keys, "id", F.struct(*order, "id").alias("o"), F.size("w").alias("n"))
-    met = stored(prefixes.join(placed, [*keys, "id"]))
+    met = stored(prefixes.join(sets.select(*keys, "id", "o", F.size("w").alias("n")), [*keys, "id"]))
     a = met.select(*keys, "word", F.col("o").alias("o1"), F.col("n").alias("n1"), F.col("id").alias("first"))
     b = met.select(*keys, "word", F.col("o").alias("o2"), F.col("n").alias("n2"), F.col("id").alias("later"))
-    near = (F.col("n1") >= least * F.col("n2") - 1e-9) & (F.col("n2") >= least * F.col("n1") - 1e-9)
-    candidates = a.join(b, [*keys, "word"]).filter((F.col("o1") < F.col("o2")) & near).select("first", "later").distinct()
-    one, two = (sets.select(F.col("id").alias(c), F.col("w").alias(w)) for c, w in (("first", "w1"), ("later", "w2")))
-    shared = F.size(F.array_intersect("w1", "w2"))
-    pairs = candidates.join(one, "first").join(two, "later")
-    return pairs.filter(shared / (F.size("w1") + F.size("w2") - shared) >= least).select("first", "later")
+    return a.join(b, [*keys, "word"]).filter((F.col("o1") < F.col("o2")) & near).select("first", "later").distinct()
 
 
 def first_of_alike(rows: DataFrame, keys: list[str], order: list[str], words: Column, least: float) -> DataFrame:
@@ -94,13 +111,12 @@ def first_of_alike(rows: DataFrame, keys: list[str], order: list[str], words: Co
     named = rows.withColumn("__words", F.array_sort(F.array_distinct(F.coalesce(words, F.array().cast("array<string>")))))
     named = named.withColumn("__key", F.to_json(F.struct(*keys)))
     named = stored(named.withColumn("__id", F.sha2(F.concat_ws("\x00", "__key", F.array_join("__words", "\x01")), 256)))
-    least_of = F.min(F.struct(*order)).alias("__first")
-    firsts = named.groupBy("__key", "__id").agg(least_of, F.first("__words").alias("__words"))
-    nodes = stored(firsts.select("__key", F.col("__id").alias("id"), *[F.col(f"__first.{c}").alias(f"__o_{c}") for c in order], "__words"))
+    first = F.row_number().over(Window.partitionBy("__key", "__id").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    nodes = named.withColumn("__n", first).filter("__n = 1").select("__key", F.col("__id").alias("id"), *[F.col(c).alias(f"__o_{c}") for c in order], "__words")
+    nodes = stored(nodes)
     edges = alike_sets(nodes, ["__key"], [f"__o_{c}" for c in order], F.col("__words"), least)
-    gone = dropped_by_first(edges).withColumnRenamed("node", "__id")
-    kept = firsts.join(gone, "__id", "left_anti").select("__key", "__id", F.col("__first"))
-    same = F.lit(True)
+    kept = nodes.join(dropped_by_first(edges).withColumnRenamed("node", "id"), "id", "left_anti").select("__key", *[f"__o_{c}" for c in order])
+    same = named["__key"] == kept["__key"]
     for c in order:
-        same &= F.col(c).eqNullSafe(F.col(f"__first.{c}"))
-    return named.join(kept, ["__key", "__id"]).filter(same).select(rows.columns)
+        same &= named[c].eqNullSafe(kept[f"__o_{c}"])
+    return named.join(kept, same, "left_semi").select(rows.columns)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.embed import hash_embedder
-from quillspark.operators import bands, claims
+from quillspark.operators import bands, claims, keep_first
 from quillspark.operators import filters as P
 from quillspark.operators import graph as G
 from quillspark.operators import history as H
@@ -51,6 +51,23 @@ def test_first_of_alike_equals_the_loop(spark):
     assert got == {i for i in want if rows[i][2]}
 
 
+@pytest.mark.parametrize("most", [0, 5, 100])
+def test_first_of_alike_stores_no_rows_a_word(spark, monkeypatch, most):
+    draw, held, was = random.Random(3), [], keep_first.stored
+    monkeypatch.setattr(keep_first, "MOST_PAIRED", most, raising=False)
+    monkeypatch.setattr(keep_first, "stored", lambda df: held.append(was(df)) or held[-1])
+    rows = [(None if i % 9 == 8 else i % 50 if i % 2 else 0, i, draw.sample(range(12), 8)) for i in range(180)]
+    kept, want = {}, set()
+    for g, i, w in rows:
+        if not any(len({*w} & k) / len({*w} | k) >= 0.6 for k in kept.setdefault(g, [])):
+            kept[g].append({*w})
+            want.add(i)
+    df = spark.createDataFrame(rows, "g long, i long, w array<long>").withColumn("w", F.col("w").cast("array<string>"))
+    assert {r.i for r in keep_first.first_of_alike(df, ["g"], ["i"], F.col("w"), 0.6).collect()} == want
+    if most == 100:
+        assert max(d.count() for d in held if "later" not in d.columns) <= len(rows)
+
+
 @pytest.mark.parametrize("low, high", [(0.97, None), (0.72, 0.97), (0.3, 0.6), (-0.2, 0.1)])
 def test_band_join_equals_all_pairs(spark, monkeypatch, low, high):
     monkeypatch.setattr(bands, "UNIT_ROWS", 17)
