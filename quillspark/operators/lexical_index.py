@@ -22,6 +22,8 @@ from ..storage import dropped, shared_base, stored
 K1, B = 1.2, 0.75
 #: Chunks of a shard (more only if one memory has them), and of a block, for which a posting list knows its maxima.
 SHARD_CHUNKS, BLOCK_BITS = 1 << 13, 10
+#: Tasks that sort postings, at least, for each shard.
+TASKS_EACH = 4
 #: Chunks from which a shard's scores are pruned by bounds; queries of one unit of work.
 PRUNED_FROM, QUERIES_EACH = 4096, 256
 #: Buckets of terms if not said otherwise (a folder each, so large corpora take more), and the number of this layout.
@@ -252,12 +254,17 @@ class LexicalIndex:
         name = f"batch={len(known):06d}-{uuid.uuid4().hex[:8]}"
         rows = chunks.count()
         cores = self.spark.sparkContext.defaultParallelism
-        built = stored(_built(chunks, max(-(-rows // SHARD_CHUNKS), min(cores, -(-rows // 512)), 1)))
+        parts = max(-(-rows // SHARD_CHUNKS), min(cores, -(-rows // 512)), 1)
+        built = stored(_built(chunks, parts))
         whole = built.filter("word is null").select("shard", F.col("offs").alias("off"), F.col("ids").alias("memory_id"), F.col("ordinals").alias("ordinal"), F.col("lens").alias("length"))
         whole.select("shard", F.inline(F.arrays_zip("off", "memory_id", "ordinal", "length"))).write.parquet(f"{self.path}/chunks/{name}")
         termed = built.filter("word is not null").select(stem(F.col("word")).alias("term"), "shard", "offs", "tfs", "lens", "mems")
         termed = termed.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        ordered = termed.repartition(min(self.buckets, 4 * cores), "bucket").sortWithinPartitions("bucket", "term", "shard")
+        # a bucket's shards are dealt to as many tasks as the batch is large, so none sorts more of a larger batch
+        tasks = max(min(self.buckets, 4 * cores), TASKS_EACH * parts)
+        pieces = -(-tasks // self.buckets)
+        task = F.col("bucket") * pieces + F.pmod(F.shiftright("shard", 20), F.lit(pieces)).cast("int")
+        ordered = termed.repartitionById(tasks if pieces == 1 else self.buckets * pieces, task).sortWithinPartitions("bucket", "term", "shard")
         _merge_rows(ordered).write.partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
         dropped(built)
         if known:

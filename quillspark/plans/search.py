@@ -55,13 +55,18 @@ def hybrid_arms(live: DataFrame, chunks: DataFrame, vectors: DataFrame, question
     return stored(vector), stored(S.lexical_search(chunks, asked, fetch) if index is None else index.search(asked, fetch, within=ids))
 
 
+def _first_texts(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(memory_id, text, ordinal) of the first chunk of the memories in ``rows``; no other texts are sorted."""
+    return chunks.join(rows.select("memory_id").distinct(), "memory_id", "left_semi").groupBy("memory_id").agg(F.min_by("text", "ordinal").alias("text"), F.min("ordinal").alias("ordinal"))
+
+
 def entity_arm(chunks: DataFrame, fused: DataFrame, questions: DataFrame, fetch: int, limit: int, budget: int = 6, seeds: int = 8, index: LexicalIndex | None = None) -> DataFrame:
     """(qid, memory_id, score, rank) of memories that share a salient name with the first fused ones and aren't fused yet.
 
     Each name of a question is one lexical lookup; all lookups are one batch. A memory counts by its best lookup.
     """
-    texts = chunks.groupBy("memory_id").agg(F.min_by("text", "ordinal").alias("text"))
-    top = fused.filter(F.col("rank") <= seeds).select("qid", "memory_id").join(texts, "memory_id").select("qid", "text")
+    seeded = fused.filter(F.col("rank") <= seeds).select("qid", "memory_id")
+    top = seeded.join(_first_texts(chunks, seeded), "memory_id").select("qid", "text")
     found = stored(salient(top, questions.select("qid", "text"), budget).withColumn("key", F.concat_ws("#", F.col("qid").cast("string"), "entity")))
     named = found.select(F.col("key").alias("qid"), F.col("entity").alias("text"))
     hits = S.lexical_search(chunks, named, max(fetch // 2, limit)) if index is None else index.search(named, max(fetch // 2, limit), within=chunks.select("memory_id"))
@@ -102,11 +107,12 @@ def search(memories: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
     pool = (fused.join(named, "qid") if own else fused).filter(inside).select("qid", "memory_id", "score", F.concat(why, F.array(F.concat(F.lit("fused "), F.col("score").cast("string")))).alias("explain"))
     pool = pool.join(vector.select("qid", "memory_id", F.col("score").alias("vector_score")), ["qid", "memory_id"], "left")
     pool = pool.join(lexical.select("qid", "memory_id", F.col("score").alias("lexical_score")), ["qid", "memory_id"], "left")
+    if options.use_rerank:
+        pool = stored(pool)
     about = live.select(F.col("id").alias("memory_id"), "source", "kind", "status", "occurred_at", source_of(live).alias("__from"))
     rows = pool.join(about, "memory_id")
     if options.use_rerank:
-        texts = chunks.groupBy("memory_id").agg(F.min_by("text", "ordinal").alias("text"), F.min("ordinal").alias("ordinal"))
-        new = R.heuristic_rerank(stored(pool.join(texts, "memory_id").select("qid", "memory_id", "score", "text", "ordinal")), questions, index=index)
+        new = R.heuristic_rerank(stored(pool.join(_first_texts(chunks, pool), "memory_id").select("qid", "memory_id", "score", "text", "ordinal")), questions, index=index)
         rows = rows.drop("score").join(new.select("qid", "memory_id", "score"), ["qid", "memory_id"])
     if "start" in questions.columns:
         rows = rows.join(questions.select("qid", "start", "end"), "qid")

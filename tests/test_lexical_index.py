@@ -114,3 +114,14 @@ def test_a_shard_stays_small(spark):
     rows = spark.range(9000).selectExpr("id AS memory_id", "0 AS ordinal", "concat('word', id % 7) AS text")
     sizes = [r[0] for r in lexical_index._built(rows, 1).filter("word is null").selectExpr("size(offs)").collect()]
     assert sum(sizes) == 9000 and max(sizes) <= 8192
+
+
+def test_a_larger_batch_is_sorted_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_CHUNKS", 10)
+    rows = [(i, 0, f"common word{i % 9} words{i % 5}") for i in range(400)]
+    index = L.temporary_index(spark.createDataFrame(rows, CHUNKS), 2)
+    postings = index.postings()
+    assert max(r["count"] for r in postings.groupBy(F.input_file_name()).count().collect()) < postings.count() / 10
+    assert postings.count() == postings.select("term", "shard").distinct().count()
+    asked = [(1, "common word3"), (2, "words4 word8")]
+    assert got(index.search(spark.createDataFrame(asked, "qid int, text string"), 20)) == brute(spark, rows, asked, 20)
