@@ -6,6 +6,7 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ def _slot(key: str, size: int, known: dict | None = None) -> tuple[int, float]:
     if found is None:
         value = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big")
         found = value % size, 1.0 if value >> 63 else -1.0
-        if known is not None and len(known) < 1 << 18:
+        if known is not None and len(known) < 1 << 16:
             known[key] = found
     return found
 
@@ -32,10 +33,9 @@ def hash_vector(text: str, size: int = 768, known: dict | None = None) -> np.nda
     folded = text.casefold()
     found = re.findall(r"\w+", folded)
     padded = f" {' '.join(found) if found else folded} "
-    keys = [(f"w:{w}", 1.0) for w in found]
-    keys += [(f"c{k}:{padded[i : i + k]}", 0.5) for k in (3, 4) for i in range(len(padded) - k + 1)]
+    grams = ((f"c{k}:{padded[i : i + k]}", 0.5) for k in (3, 4) for i in range(len(padded) - k + 1))
     raw = np.zeros(size)
-    for key, weight in keys:
+    for key, weight in chain(((f"w:{w}", 1.0) for w in found), grams):
         at, sign = _slot(key, size, known)
         raw[at] += sign * weight
     vector = np.copysign(np.log1p(np.abs(raw)), raw)
@@ -95,14 +95,15 @@ def embed(rows: DataFrame, text: str, embedder: Embedder, name: str = "embedding
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            out: list = []
-            for i in range(0, len(texts), batch):
+            for i in range(0, len(texts), batch):  # passed on at once, so no more vectors are held than a call gives
                 some = [t or "" for t in texts.iloc[i : i + batch]]
                 try:
-                    out += asked_again(embedder, some, size, attempts, delay)
+                    out = asked_again(embedder, some, size, attempts, delay)
                 except Exception:  # a provider that is down leaves the lexical arm
-                    out += [None] * len(some)
-            yield pd.Series(out, index=texts.index)
+                    out = [None] * len(some)
+                yield pd.Series(out, index=texts.index[i : i + batch], dtype=object)
+            if not len(texts):
+                yield pd.Series([], dtype=object)
 
     return rows.withColumn(name, run(F.col(text)))
 

@@ -163,3 +163,15 @@ def test_names_are_found_by_slices(monkeypatch):
     monkeypatch.setattr(N, "name_table", lambda some: seen.append(len(some)) or was(some))
     part = next(N.names.func(iter([texts])))
     assert part.tolist() == whole.tolist() and list(part.index) == list(texts.index) and len(seen) > 2 and sum(seen) == 5
+
+
+def test_hash_vector_holds_no_list_of_grams():
+    import tracemalloc
+
+    from quillspark.functions.embed import hash_vector
+
+    tracemalloc.start()
+    hash_vector("ab " * 20_000, 16, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
