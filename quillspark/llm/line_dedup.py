@@ -61,8 +61,10 @@ def band_keys(codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.nda
     done = 0
     while done < ends[-1]:  # shingles of all lines one after another, in steps
         upto = min(int(ends[-1]), done + STEP_CHARS)
-        line = np.searchsorted(ends, np.arange(done, upto), "right")
-        at = begin[line] + np.arange(done, upto) - (ends - number)[line]
+        lo, hi = np.searchsorted(ends, [done, upto - 1], "right")
+        held = np.minimum(ends[lo : hi + 1], upto) - np.maximum((ends - number)[lo : hi + 1], done)
+        line = np.repeat(np.arange(lo, hi + 1), held)
+        at = np.repeat((begin - ends + number)[lo : hi + 1], held) + np.arange(done, upto)
         low = int(at[0])
         h = shingle_hashes(codes[low : int(at.max()) + SHINGLE])[at - low]
         np.minimum.at(places, line * k + ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64), h)
@@ -226,7 +228,8 @@ def remove_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     held = read.select("__id", "__h").schema.fields
     seen = saved(read.mapInArrow(occurrences, StructType([*held, *StructType.fromDDL("number int, line long").fields])))
     counts = seen.groupBy("line").agg(F.count("*").alias("n"))
-    classed = saved(counts.join(roots, counts["line"] == roots["node"], "left").select("line", "n", F.coalesce("root", "line").alias("root")))
+    # a line that stands once and is linked with none is alone in its component, so it needs no look at the others
+    classed = saved(counts.join(roots, counts["line"] == roots["node"], "left").filter("n > 1 or root is not null").select("line", "n", F.coalesce("root", "line").alias("root")))
     several = saved(classed.groupBy("root").agg(F.sum("n").alias("m")).filter("m > 1"))
     wanted = saved(salted_join(classed, several, ["root"]).select("line", "n", "root", "m"))
     much = HOT_PART * (several.agg(F.sum("m")).first()[0] or 0)

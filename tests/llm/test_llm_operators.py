@@ -652,3 +652,14 @@ def test_long_rows_in_pieces():
             for k, (a, b) in enumerate(zip(starts, ends)):
                 assert got.setdefault(word + k, (begin + a, begin + b)) == (begin + a, begin + b)
         assert [text[got[k][0] : got[k][1]] for k in range(len(got))] == text.split()
+
+
+def test_single_lines_are_not_classed(spark, monkeypatch):
+    from quillspark.llm import line_dedup
+
+    held, was = [], line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df: held.append(was(df)) or held[-1])
+    rows = [(i, f"a line that stands in all of them\nnumber {hashlib.md5(str(i).encode()).hexdigest()}") for i in range(30)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.remove_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i > 0) for i in range(30)}
+    assert [d.count() for d in held if d.columns == ["line", "n", "root"]] == [1]
